@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
@@ -17,6 +19,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("text_sha256"), "n_lines", "n_deleted")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -29,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_minhash_near_dedup,
+        op4_line_dedup,
         op9_best_fit_packing,
         op10_token_counts,
     )
