@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from .common import read
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import held_out, score, train
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = score(docs, train(docs, read(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -35,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
         op2_minhash_near_dedup,
         op4_line_dedup,
         op9_best_fit_packing,
