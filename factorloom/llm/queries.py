@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .line_dedup import dedup_lines
+from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import held_out, score, train
 from .setsketch import near_duplicates
@@ -31,6 +32,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("text_sha256"), "n_lines", "n_deleted")
 
 
+def op6_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_classifier,
         op2_minhash_near_dedup,
         op4_line_dedup,
+        op6_mixing_sources_to_target_weights,
         op9_best_fit_packing,
         op10_token_counts,
     )
@@ -76,4 +82,43 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2_SQL}
+_OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+k AS (SELECT *, md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR) AS key FROM d),
+src AS (
+  SELECT s, sum(size)::BIGINT AS total, CASE (row_number() OVER (ORDER BY s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM k GROUP BY s),
+o AS (
+  SELECT *, total * 2 AS cap, row_number() OVER (ORDER BY total * 2 / weight, s) AS place FROM src),
+lev AS (
+  SELECT *, (SELECT sum(total) FROM src)::BIGINT * 1.5::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words,
+    ((SELECT sum(weight) FROM src)
+      - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS left_weight
+  FROM o),
+best AS (SELECT place, words, left_weight FROM lev WHERE words * weight <= cap * left_weight ORDER BY place LIMIT 1),
+tgt AS (
+  SELECT o.s, o.total, CASE WHEN b.place IS NULL OR o.place < b.place THEN o.cap::DOUBLE
+    ELSE b.words * o.weight / b.left_weight END AS target
+  FROM o LEFT JOIN best b ON true),
+rep AS (
+  SELECT *, CASE WHEN total > 0 THEN floor(target / total)::BIGINT ELSE 0 END AS whole FROM tgt),
+keys AS (SELECT s, key, sum(size)::BIGINT AS n FROM k GROUP BY s, key),
+run AS (
+  SELECT s, key, n, coalesce(sum(n) OVER (PARTITION BY s ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM keys),
+pick AS (
+  SELECT run.s, run.key, run.before + run.n / 2 <= rep.target - rep.whole * rep.total AND rep.target > rep.whole * rep.total AS more
+  FROM run JOIN rep ON rep.s = run.s)
+SELECT k.doc_id, k.size, rep.total AS source_size, rep.target,
+  k.size * (rep.whole + CASE WHEN pick.more THEN 1 ELSE 0 END) AS taken
+FROM k JOIN rep ON rep.s = k.s JOIN pick ON pick.s = k.s AND pick.key = k.key
+"""
+
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": _OP2_SQL,
+    "op6_mixing_sources_to_target_weights": _OP6_SQL,
+}
