@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .line_dedup import dedup_lines
+from .media import media_columns
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import held_out, score, train
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
+from .url_filter import judge_urls
+
+#: Rules of the url filter: verdict, then host and path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +32,19 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("text_sha256"), "n_lines", "n_deleted")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents"))
 
@@ -49,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier,
         op2_minhash_near_dedup,
+        op3_url_filters,
         op4_line_dedup,
+        op5_media_columns,
         op6_mixing_sources_to_target_weights,
         op9_best_fit_packing,
         op10_token_counts,
@@ -118,7 +133,25 @@ SELECT k.doc_id, k.size, rep.total AS source_size, rep.target,
 FROM k JOIN rep ON rep.s = k.s JOIN pick ON pick.s = k.s AND pick.key = k.key
 """
 
+_OP3_SQL = """
+WITH u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(rule, host, path, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'),
+  ('net/fr/', 'net', '/fr/', 'block')),
+m AS (
+  SELECT u.*, (SELECT max_by({'rule': r.rule, 'verdict': r.verdict}, length(r.host) * 1000 + length(r.path)) FROM r
+    WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) AS f
+  FROM u)
+SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, 'allow') AS verdict FROM m
+"""
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": _OP2_SQL,
+    "op3_url_filters": _OP3_SQL,
     "op6_mixing_sources_to_target_weights": _OP6_SQL,
 }
