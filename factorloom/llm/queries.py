@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .fingerprints import fingerprint_documents
 from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_plan
@@ -49,6 +50,10 @@ def op6_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> Da
     return mix_plan(read(spark, sf_dir, "documents"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_dedup,
         op5_media_columns,
         op6_mixing_sources_to_target_weights,
+        op8_document_fingerprints,
         op9_best_fit_packing,
         op10_token_counts,
     )
