@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import ddl, fresh, need, written
+from .common import ddl, fresh, need, new_path, written
 from .components import connected_components
 from .textarrays import LOWER, U64, chunks, hash_spans, mix, words
 
-REGISTERS, BANDS = 96, 24
+#: Bands of seven registers: sets at a similarity of 0.85 miss each other in all 34 in less than one case of a million.
+REGISTERS, BANDS = 238, 34
 #: Base of the registers' scale, and the rate that keeps registers of one-element sets positive.
 BASE, RATE = 1.05, 20.0
 #: A candidate stays unless similarity at the threshold is e**PRUNE times less likely than at the best estimate.
@@ -114,25 +115,33 @@ def _set_key(own: np.ndarray) -> bytes:
         return np.array([len(own) + int(np.add.reduce(mix(own))) & (2**64 - 1), np.add.reduce(mix(own ^ U64(0xABCDEF)))], U64).tobytes()
 
 
-def _signatures(df: DataFrame, doc_id: str, text: str, shingle: int, exact: bool) -> DataFrame:
-    """doc_id, text_hash, set_key, n_shingles, and the registers or (``exact``) the set itself."""
+def _signatures(df: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """doc_id, text_hash, set_key, n_shingles, sketch for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in chunks(batch.column(2), 1 << 20):
                 sets, at = shingle_sets(data, off, shingle)
-                own = [sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                own = (sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
                 keys = pa.array([_set_key(x) if len(x) else None for x in own], pa.binary())
-                n = pa.array(np.diff(at))
-                if exact:
-                    last = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
-                else:
-                    last = pa.array([x.tobytes() for x in sketches(sets, at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:2]), keys, n, last], names=[doc_id, "text_hash", "set_key", "n_shingles", "sketch"])
-
-    kind = "array<long>" if exact else "binary"
+                sketch = pa.array([x.tobytes() for x in sketches(sets, at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:2]), keys, pa.array(np.diff(at)), sketch], names=[doc_id, "text_hash", "set_key", "n_shingles", "sketch"])
+
     source = df.select(doc_id, F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text_"))
-    return source.mapInArrow(run, ddl(df, [doc_id], f"text_hash long, set_key binary, n_shingles long, sketch {kind}"))
+    return source.mapInArrow(run, ddl(df, [doc_id], "text_hash long, set_key binary, n_shingles long, sketch binary"))
+
+
+def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(k, items) of rows (k, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in chunks(batch.column(1), 1 << 20):
+                sets, at = shingle_sets(data, off, shingle)
+                items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), items], names=["k", "items"])
+
+    return texts.mapInArrow(run, "k long, items array<long>")
 
 
 @F.pandas_udf(BooleanType())
@@ -145,7 +154,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     """(bucket, k): one row for each class and band; the bucket is a hash of the band's number and registers."""
     width = 2 * REGISTERS // BANDS
     band = lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width)))
-    return classes.select("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    return classes.select("k", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,53 +173,43 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
     Two documents are linked if 100 x |intersection| >= ``percent`` x |union| of their sets of distinct word shingles;
     ``component_id`` is the smallest doc_id that links reach. Equal sets are one class, so copies are never paired.
-    Classes that share a band meet in a bucket; there each class is compared with the bucket's first ones (one, then 16,
-    256, ...), round after round, until no bucket has two components left with members not yet compared. So each
-    link between classes that share a bucket is found or implied, without forming the pairs of a group.
+    Classes that share a band meet in a bucket, where each is compared with the one that meets most others. Where a bucket
+    still holds several components, its members are compared by their rarest shingles (see ``_prefix_pairs``), across
+    all such buckets. So each link between classes that share a bucket is found or implied, and the pairs of a large
+    group are never formed.
 
     Empty or null texts have no shingles and are linked with nothing. Rows that share a doc_id are documents of their
     own; null ids take part, but can't be a component_id unless nothing else is there (then it is null, and kept is
     false). Other columns are ignored. An empty table gives an empty result.
     """
     need(df, [text, doc_id])
-    docs = written(_signatures(df, doc_id, text, shingle, exact=False), "signatures")
-    classes = docs.filter("n_shingles > 0").groupBy(F.col("set_key").alias("k")).agg(F.min("sketch").alias("sketch"), F.max("n_shingles").alias("n"), F.min(_row(doc_id)).alias("row"))
-    classes = written(classes.select("k", "sketch", "n", F.col("row.id").alias("rep"), F.col("row.hash").alias("rep_hash")), "classes")
+    docs = written(_signatures(df, doc_id, text, shingle), "signatures")
+    classes = docs.filter("n_shingles > 0").groupBy("set_key").agg(F.min("sketch").alias("sketch"), F.max("n_shingles").alias("n"), F.min(_row(doc_id)).alias("row"))
+    # written, so that a class keeps its number
+    classes = classes.select(F.monotonically_increasing_id().alias("k"), "set_key", "sketch", "n", F.col("row.id").alias("rep"), F.col("row.hash").alias("rep_hash"))
+    classes = written(classes, "classes")
     rows = _bands(classes)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    live = written(rows.join(shared, "bucket"), "buckets")
-    wanted = live.select("k").distinct().join(classes, "k").select(F.col("rep").alias("_rep_"), F.col("rep_hash").alias("_hash_"))
-    texts = df.join(wanted.distinct(), df[doc_id].eqNullSafe(F.col("_rep_")) & (F.xxhash64(df[text]) == F.col("_hash_")), "left_semi").select(doc_id, text)
-    sets = written(_signatures(texts, doc_id, text, shingle, exact=True).groupBy(F.col("set_key").alias("k")).agg(F.first("sketch").alias("items")), "sets")
-    roots, links, done, most = None, None, 0, 1
-    while True:
-        now = live
-        if roots is not None:
-            now = live.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-            open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-            live = written(now.drop("root").filter(F.col("members") > done + 1).join(open_, "bucket"), "buckets")
-            if live.isEmpty():
-                break
-            now = live.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        else:
-            if live.isEmpty():
-                break
-            now = live.withColumn("root", F.col("k"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("k"))
-        leaders = now.withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("rank") > done)
-        leaders = leaders.select("bucket", F.col("k").alias("a"), F.col("root").alias("root_a"))
-        pairs = now.join(leaders, "bucket").filter("a < k and root != root_a").select("a", F.col("k").alias("b")).distinct()
-        found = written(_linked(pairs, classes, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        roots = written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-        done, most = most, most * 16
-    of = classes.select("k", "rep")
-    if roots is None:
-        of = of.withColumn("root", F.col("k"))
-    else:
-        of = of.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    live = written(rows.join(shared, "bucket").select("bucket", "k", "n", "members"), "buckets")
+    # a class that meets many others is likely the one that they were copied from: it leads its buckets
+    met = live.groupBy("k").agg(F.sum("members").alias("met"))
+    live = written(live.join(met, "k"), "buckets")
+    sets = _bucketed_sets(df, text, doc_id, shingle, met.join(classes, "k").select("k", "rep", "rep_hash"))
+    # first each class with the leader of each of its buckets
+    leaders = live.groupBy("bucket").agg(F.max_by(F.struct("k", "n"), F.struct("met", -F.col("k"))).alias("lead"))
+    pairs = live.join(leaders.select("bucket", F.col("lead.k").alias("a"), F.col("lead.n").alias("n_a")), "bucket")
+    pairs = pairs.filter((F.col("k") != F.col("a")) & _sizes_allow("n", "n_a", percent)).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+    links = written(_linked(pairs, classes, sets, percent), "links")
+    roots = _roots(links)
+    # then, where a bucket still holds several components, their other members
+    now = _with_roots(live, roots)
+    undone = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("members").alias("size")).filter((F.col("lo") != F.col("hi")) & (F.col("size") > 2))
+    rest = written(now.join(undone.select("bucket"), "bucket").select("k", "n", "root").distinct(), "rest")
+    if not rest.isEmpty():
+        roots = _roots(links.union(_linked(_prefix_pairs(rest, sets, percent), classes, sets, percent)))
+    of = _with_roots(classes.select("k", "set_key", "rep"), roots)
     least = of.groupBy("root").agg(F.min("rep").alias("component"))
-    groups = of.join(least, "root").select(F.col("k").alias("set_key"), F.col("root").alias("group_key"), "component")
+    groups = of.join(least, "root").select("set_key", F.col("root").alias("group_key"), "component")
     out = docs.join(groups, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col(doc_id)).otherwise(F.col("component"))
     out = out.withColumn("component_id", component)
@@ -218,6 +217,52 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return out.select(doc_id, "text_hash", "group_key", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    """False where the sets' sizes alone rule a link out."""
+    return F.least(a, b) * 100 >= percent * F.greatest(a, b)
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of classes of ``rest`` (k, n, root) that can be linked and aren't in one component yet.
+
+    Two sets that are similar enough share an element among the rarest of each: those that are left when ``percent`` of
+    the elements, less one, are taken away as the most frequent. Rarity is counted over ``rest``. So passages that many
+    documents share join nobody; only elements that few of them share do.
+    """
+    items = rest.join(sets, "k").select("k", "n", "root", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("f")).filter("f > 1")
+    items = items.join(often, "item")
+    of = Window.partitionBy("k")
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1  # of all elements, by rarity
+    items = items.withColumn("place", F.row_number().over(of.orderBy("f", "item")) + F.col("n") - F.count("*").over(of))
+    items = written(items.filter(F.col("place") <= first).select("item", "k", "n", "root", "place"), "prefixes")
+    other = items.select("item", *(F.col(x).alias(f"{x}_b") for x in ("k", "n", "root", "place")))
+    # what follows a pair's first common element bounds how many more they can have in common
+    common = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+    enough = common * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
+    pairs = items.join(other, "item").filter((F.col("k") < F.col("k_b")) & (F.col("root") != F.col("root_b")) & _sizes_allow("n", "n_b", percent) & enough)
+    return pairs.select(F.col("k").alias("a"), F.col("k_b").alias("b")).distinct()
+
+
+def _with_roots(df: DataFrame, roots: DataFrame) -> DataFrame:
+    return df.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def _bucketed_sets(df: DataFrame, text: str, doc_id: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """The full sets of the classes in ``wanted``, in a table bucketed by class: joins with pairs don't move it again."""
+    spark = df.sparkSession
+    texts = df.select(doc_id, F.col(text).alias("_text_")).join(wanted, F.col(doc_id).eqNullSafe(F.col("rep")) & (F.xxhash64("_text_") == F.col("rep_hash"))).select("k", "_text_")
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, "sets")
+    name = f"sets_{path.rpartition('-')[2]}"
+    sets = _full_sets(texts, shingle).groupBy("k").agg(F.first("items").alias("items"))
+    sets.repartition(n, "k").write.bucketBy(n, "k").sortBy("k").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _row(doc_id: str) -> Column:
     """What orders rows: known ids first, ascending, then the text's hash."""
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("text_hash").alias("hash"))
