@@ -17,6 +17,7 @@ from .quality import held_out, score, train
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
 from .url_filter import judge_urls
+from .warc import parse_headers, resolve_revisits
 
 #: Rules of the url filter: verdict, then host and path.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -50,6 +51,35 @@ def op6_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> Da
     return mix_plan(read(spark, sf_dir, "documents"))
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """Archive records of ``pages``, one a minute in the order of page_id.
+
+    Every third page is a not-modified answer without a body. An entity tag follows from the url's path; of each seven
+    pages one has a new tag, and one has none but a date.
+    """
+    revisit = F.col("page_id") % 3 == 2
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+    path = F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([^?#]*?)(?:\.html|/)?(?:[?#]|$)", 1)
+    version = F.when(F.col("page_id") % 7 == 5, F.lit("2")).otherwise(F.lit("1"))
+    tag = F.when(F.col("page_id") % 7 == 6, F.lit("")).otherwise(F.concat(F.lit('ETag: "'), F.md5(F.concat(path, version)), F.lit('"\r\n')))
+    block = F.concat(tag, F.lit("Last-Modified: 2024-01-0"), version, F.lit("\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.octet_length("html").cast("string")), F.lit("\r\nX-Page: "), F.col("page_id").cast("string"), F.lit("\r\n"))
+    return pages.select(
+        F.col("page_id").alias("record_id"),
+        F.concat(F.lit("https://www."), path, F.lit("#"), F.col("page_id").cast("string")).alias("url"),
+        at.alias("captured"),
+        F.when(revisit, 304).otherwise(200).alias("status"),
+        parse_headers(block).alias("headers"),
+        F.when(~revisit, F.md5("html")).alias("payload_digest"),
+        F.when(~revisit, F.octet_length("html").cast("long")).alias("payload_bytes"),
+    )
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(page_records(read(spark, sf_dir, "pages")), body=("payload_digest", "payload_bytes"))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "url", "captured", "status", "base_id", "validation", "resolved", F.array_join(lines, ";").alias("headers"), "payload_digest", "payload_bytes")
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -71,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_dedup,
         op5_media_columns,
         op6_mixing_sources_to_target_weights,
+        op7_warc_revisits,
         op8_document_fingerprints,
         op9_best_fit_packing,
         op10_token_counts,
@@ -156,8 +187,38 @@ m AS (
 SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, 'allow') AS verdict FROM m
 """
 
+_OP7_SQL = """
+WITH p AS (
+  SELECT page_id AS record_id, page_id % 3 = 2 AS revisit, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * page_id AS captured,
+    regexp_extract(url, '://(?:www\\.|m\\.|blog\\.)?([^?#]*?)(?:\\.html|/)?(?:[?#]|$)', 1) AS path,
+    CASE WHEN page_id % 7 = 5 THEN '2' ELSE '1' END AS version, page_id % 7 <> 6 AS tagged,
+    md5(html) AS digest, strlen(html)::BIGINT AS bytes
+  FROM pages),
+r AS (
+  SELECT *, CASE WHEN tagged THEN '"' || md5(path || version) || '"' END AS etag, '2024-01-0' || version AS modified FROM p),
+b AS (
+  SELECT r.*, f.record_id AS base_id, f.etag AS b_etag, f.modified AS b_modified, f.digest AS b_digest, f.bytes AS b_bytes
+  FROM r ASOF LEFT JOIN (SELECT * FROM r WHERE NOT revisit) f ON r.path = f.path AND r.record_id > f.record_id),
+v AS (
+  SELECT *, CASE WHEN NOT revisit THEN NULL WHEN base_id IS NULL THEN 'none'
+      WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN CASE WHEN etag = b_etag THEN 'etag' ELSE 'mismatch' END
+      WHEN modified = b_modified THEN 'last-modified' ELSE 'mismatch' END AS validation
+  FROM b),
+t AS (SELECT *, revisit AND validation IN ('etag', 'last-modified') AS take FROM v)
+SELECT record_id, 'https://www.' || path || '#' || record_id AS url, captured,
+  CASE WHEN revisit AND NOT take THEN 304 ELSE 200 END AS status,
+  CASE WHEN revisit THEN base_id END AS base_id, validation, (NOT revisit OR take) AS resolved,
+  concat_ws(';', 'content-length=' || CASE WHEN take THEN b_bytes WHEN revisit THEN 0 ELSE bytes END,
+    'etag=' || CASE WHEN take THEN coalesce(etag, b_etag) ELSE etag END,
+    'last-modified=' || modified, 'x-page=' || record_id) AS headers,
+  CASE WHEN take THEN b_digest WHEN NOT revisit THEN digest END AS payload_digest,
+  CASE WHEN take THEN b_bytes WHEN NOT revisit THEN bytes END AS payload_bytes
+FROM t
+"""
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": _OP2_SQL,
     "op3_url_filters": _OP3_SQL,
+    "op7_warc_revisits": _OP7_SQL,
     "op6_mixing_sources_to_target_weights": _OP6_SQL,
 }

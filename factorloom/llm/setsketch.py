@@ -24,8 +24,8 @@ from .common import ddl, fresh, need, new_path, written
 from .components import connected_components
 from .textarrays import LOWER, U64, chunks, hash_spans, mix, words
 
-#: Bands of seven registers: sets at a similarity of 0.85 miss each other in all 34 in less than one case of a million.
-REGISTERS, BANDS = 238, 34
+#: Registers of a sketch; how often two sets just at the threshold may miss each other in all bands.
+REGISTERS, MISS = 238, 5e-6
 #: Base of the registers' scale, and the rate that keeps registers of one-element sets positive.
 BASE, RATE = 1.05, 20.0
 #: A candidate stays unless similarity at the threshold is e**PRUNE times less likely than at the best estimate.
@@ -150,11 +150,21 @@ def _may_link(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series, thresh
     return pd.Series(may_reach(left, right, n_a.to_numpy(float), n_b.to_numpy(float), float(threshold.iloc[0])))
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def band_width(similarity: float) -> int:
+    """The most registers of a band with which sets of that similarity still meet, but for ``MISS``.
+
+    Seven for 0.85 and six for 0.8; wider bands bring fewer dissimilar sets together.
+    """
+    equal = np.log1p(similarity * (BASE - 1)) / np.log(BASE)  # chance that a register of both is equal
+    return next((r for r in range(16, 1, -1) if (1 - equal**r) ** (REGISTERS // r) <= MISS), 1)
+
+
+def _bands(classes: DataFrame, similarity: float) -> DataFrame:
     """(bucket, k): one row for each class and band; the bucket is a hash of the band's number and registers."""
-    width = 2 * REGISTERS // BANDS
+    each = band_width(similarity)
+    width = 2 * each
     band = lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width)))
-    return classes.select("k", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    return classes.select("k", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // each - 1)), band)).alias("bucket"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +198,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     # written, so that a class keeps its number
     classes = classes.select(F.monotonically_increasing_id().alias("k"), "set_key", "sketch", "n", F.col("row.id").alias("rep"), F.col("row.hash").alias("rep_hash"))
     classes = written(classes, "classes")
-    rows = _bands(classes)
+    rows = _bands(classes, percent / 100)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     live = written(rows.join(shared, "bucket").select("bucket", "k", "n", "members"), "buckets")
     # a class that meets many others is likely the one that they were copied from: it leads its buckets
