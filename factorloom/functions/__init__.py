@@ -1 +1 @@
-"""Cross-sectional factor analytics on Spark."""
+"""Column functions: statistics that skip missing values, and the functions of factor expressions."""

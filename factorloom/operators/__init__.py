@@ -1 +1 @@
-"""Cross-sectional factor analytics on Spark."""
+"""Operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Cross-sectional factor analytics on Spark."""
+"""Readers and writers of panels, market text, reports, libraries and logs."""
