@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .stats import last_rows, over_assets, over_time, rank_pct
@@ -180,7 +180,7 @@ def ts_zscore(x, p=5):
 
 @register("_FILL", "asset", 1)
 def fill_forward(x):
-    return F.last(x, ignorenulls=True).over(over_time().rowsBetween(-(2**31), 0))
+    return F.last(x, ignorenulls=True).over(over_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 @register("WMA", "asset", 1, 2)

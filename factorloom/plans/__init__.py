@@ -1 +1 @@
-"""Cross-sectional factor analytics on Spark."""
+"""Queries over the supplied tables, with their SQL."""

@@ -1 +1 @@
-"""Cross-sectional factor analytics on Spark."""
+"""Structured Streaming jobs."""
