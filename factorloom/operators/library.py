@@ -188,27 +188,25 @@ def trigrams(text: Column) -> Column:
 
 
 def similar_expressions(new: DataFrame, library: DataFrame, threshold: float = 0.9, expression: str = "factor_expression") -> DataFrame:
-    """(new, old, similarity) of expressions whose trigram sets have a Jaccard similarity of at least ``threshold``.
+    """(new_form, old_form, similarity, n_new, n_old): pairs of normal forms whose trigram sets have a Jaccard similarity of
+    at least ``threshold``, and how many expressions have each. Copies aren't paired one by one.
 
-    Equal normal forms are one class on either side. Classes meet in an inverted index of their rarest trigrams alone: of n
-    trigrams, those left when threshold x n, less one, of the most frequent are taken away. Every pair that is similar
-    enough shares one of them; its full sets are then compared.
+    Forms meet in an inverted index of their rarest trigrams alone: of n trigrams, those left when threshold x n, less one,
+    of the most frequent are taken away. Every pair that is similar enough shares one of them; full sets are then compared.
     """
-    own = lambda d, tag: d.select(normal_form(F.col(expression)).alias(tag)).filter(F.col(tag).isNotNull()).distinct().withColumn("g", trigrams(F.col(tag)))
-    a, b = own(new, "a"), own(library, "b")
-    freq = a.select(F.explode("g").alias("t")).union(b.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
+    own = lambda d, tag: d.select(normal_form(F.col(expression)).alias(tag)).filter(F.col(tag).isNotNull()).groupBy(tag).agg(F.count("*").alias(f"n_{tag}")).withColumn(f"g_{tag}", trigrams(F.col(tag)))
+    a, b = own(new, "new"), own(library, "old")
+    freq = a.select(F.explode("g_new").alias("t")).union(b.select(F.explode("g_old").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
 
     def prefix(d: DataFrame, tag: str) -> DataFrame:
-        items = d.select(tag, F.size("g").alias("n"), F.explode("g").alias("t")).join(freq, "t")
+        items = d.select(tag, F.size(f"g_{tag}").alias("n"), F.explode(f"g_{tag}").alias("t")).join(freq, "t")
         place = F.row_number().over(Window.partitionBy(tag).orderBy("f", "t"))
         return items.withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", tag)
 
-    pairs = prefix(a, "a").join(prefix(b, "b"), "t").select("a", "b").distinct()
-    full = pairs.join(a.withColumnRenamed("g", "ga"), "a").join(b.withColumnRenamed("g", "gb"), "b")
-    score = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
-    full = full.withColumn("similarity", score).filter(F.col("similarity") >= threshold)
-    back = lambda d, tag, name: d.select(F.col(expression).alias(name), normal_form(F.col(expression)).alias(tag)).distinct()
-    return full.select("a", "b", "similarity").join(back(new, "a", "new"), "a").join(back(library, "b", "old"), "b").select("new", "old", "similarity")
+    pairs = prefix(a, "new").join(prefix(b, "old"), "t").select("new", "old").distinct()
+    full = pairs.join(a, "new").join(b, "old")
+    score = F.size(F.array_intersect("g_new", "g_old")) / F.size(F.array_union("g_new", "g_old"))
+    return full.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select(F.col("new").alias("new_form"), F.col("old").alias("old_form"), "similarity", "n_new", "n_old")
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("form", StringType()), StructField("size", IntegerType())])))
@@ -252,11 +250,11 @@ def quality_gate(new: DataFrame, library: DataFrame, columns: list[str], min_ic:
     out = rule_check(new, columns)
     names = library.select(F.lower("factor_name").alias("_n"), F.lit(True).alias("_known")).distinct()
     out = out.withColumn("_n", F.lower("factor_name")).join(names, "_n", "left")
-    near = similar_expressions(new, library, threshold).select(F.col("new").alias("factor_expression"), F.lit(True).alias("_near")).distinct()
-    out = out.join(near, "factor_expression", "left")
+    near = similar_expressions(new, library, threshold).select(F.col("new_form").alias("_form"), F.lit(True).alias("_near")).distinct()
+    out = out.withColumn("_form", normal_form(F.col("factor_expression"))).join(near, "_form", "left")
     low = (F.abs(ic) < min_ic) | (F.abs(icir) < min_icir) | (metric("metrics", "turnover") > max_turnover) | (metric("metrics", "coverage") < min_coverage)
     gate = _first_reason([("error", F.col("factor_expression").isNull()), ("metrics", F.coalesce(low, F.lit(False)) | ic.isNull()), ("rules", F.col("rejected").isNotNull()), ("name", F.col("_known").isNotNull()), ("similarity", F.col("_near").isNotNull())])
-    return out.withColumn("gate", gate).withColumn("passed", F.col("gate").isNull()).drop("_n", "_known", "_near", "rejected")
+    return out.withColumn("gate", gate).withColumn("passed", F.col("gate").isNull()).drop("_n", "_form", "_known", "_near", "rejected")
 
 
 def gate_summary(judged: DataFrame) -> DataFrame:

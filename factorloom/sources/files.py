@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ RECORD_SCHEMA = "run_id string, hypothesis string, loop_round int, intra_loop_in
 REPORT_GLOB = "*.{txt,md,markdown,html,htm}"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def read_market_text(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Text records from .jsonl, .json (one array) or .csv."""
     kind = kind or path.rpartition(".")[2].lower()
