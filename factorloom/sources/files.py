@@ -37,7 +37,7 @@ def read_market_text(spark: SparkSession, path: str, kind: str | None = None) ->
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, modified, text) of all reports below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", REPORT_GLOB).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=REPORT_GLOB)
     return files.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
 
 
@@ -82,7 +82,7 @@ def records_of(documents: DataFrame, text: str = "value") -> DataFrame:
 
 def read_libraries(spark: SparkSession, paths: list[str], unique: bool = True) -> DataFrame:
     """Factor records of JSON files; of equal expressions (without spaces) the first file's first record stays."""
-    parts = [spark.read.option("wholetext", True).text(p).select("value", F.lit(i).alias("priority"), F.input_file_name().alias("library")) for i, p in enumerate(paths)]
+    parts = [spark.read.text(p, wholetext=True).select("value", F.lit(i).alias("priority"), F.input_file_name().alias("library")) for i, p in enumerate(paths)]
     docs = parts[0]
     for p in parts[1:]:
         docs = docs.unionByName(p)
@@ -118,7 +118,7 @@ def proposed_before(traces: DataFrame, text: str = "value") -> DataFrame:
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(alias, symbol) of a JSON object, both upper-cased."""
-    pairs = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("alias", "symbol"))
+    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("alias", "symbol"))
     return pairs.select(F.upper("alias").alias("alias"), F.upper("symbol").alias("symbol"))
 
 
