@@ -99,7 +99,7 @@ def mix_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     s, size, key, times = (fresh(df, c) for c in ("_s", "_size", "_key", "_times"))
     out = df.withColumn(s, _source(source)).withColumn(size, n_words(F.col(text)))
     out = out.withColumn(key, _key(doc_id, size, seed))
-    plan = plan.select(F.col("s").alias("_plan_s_"), "whole", "cut").toDF("_plan_s_", "_plan_whole_", "_plan_cut_")
-    out = out.join(plan, out[s] == plan["_plan_s_"])
-    out = out.withColumn(times, (F.col("_plan_whole_") + (F.col(key) <= F.col("_plan_cut_")).cast("long")).cast("int"))
-    return out.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*df.columns)
+    both = out.join(plan, out[s] == plan["s"])
+    n = (plan["whole"] + (out[key] <= plan["cut"]).cast("long")).cast("int")
+    both = both.select(*(out[c] for c in df.columns), n.alias(times))
+    return both.select(*df.columns, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(size)).select(*df.columns)

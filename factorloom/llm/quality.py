@@ -121,10 +121,13 @@ class Discriminant:
 
 
 def fit(x: np.ndarray, y: np.ndarray, shares: np.ndarray, to_pooled: float = 0.3, to_diagonal: float = 0.1) -> Discriminant:
-    """``shares``: the classes' shares among all training labels, where ``x`` may hold a bounded sample of each."""
+    """``shares``: the classes' shares among all training labels, where ``x`` may hold a bounded sample of each.
+
+    Each class needs two documents at least; with fewer there is nothing to tell them apart by, and every score is 0.5.
+    """
     groups = [x[y == k] for k in (0, 1)]
     if min(map(len, groups)) < 2:
-        raise ValueError("each class needs two labelled documents at least")
+        return Discriminant(np.zeros((2, x.shape[1])), np.zeros((2, x.shape[1], x.shape[1])), np.zeros(2), 1.0, 0.0)
     means = np.array([g.mean(axis=0) for g in groups])
     own = [np.cov(g, rowvar=False) for g in groups]
     pooled = sum(c * s for c, s in zip(own, shares, strict=True))
@@ -156,8 +159,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _features(df: DataFrame, keep: list[str], text: str, model: Discriminant | None, threshold: float) -> DataFrame:
-    """The kept columns with the statistics, or with score and prediction of ``model``."""
+def _features(df: DataFrame, keep: list[str], text: str, model: Discriminant | None, threshold: float, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The kept columns with the statistics (x), or with score and prediction of ``model`` under two names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +173,9 @@ def _features(df: DataFrame, keep: list[str], text: str, model: Discriminant | N
                 else:
                     score = model.score(x)
                     new = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*same, *new], names=[*keep, *(["x"] if model is None else ["score", "predicted"])])
+                yield pa.RecordBatch.from_arrays([*same, *new], names=[*keep, *(["x"] if model is None else names)])
 
-    return df.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, ddl(df, keep, "x array<double>" if model is None else "score double, predicted int"))
+    return df.select(*keep, F.col(text).alias(fresh(df, "_text_"))).mapInArrow(run, ddl(df, keep, "x array<double>" if model is None else f"{names[0]} double, {names[1]} int"))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most: int = 6000) -> Discriminant:
@@ -185,16 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     clean = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     clean = clean.groupBy(doc_id).agg(F.min(label).alias("y"), F.max(label).alias("_y")).filter("y = _y").select(doc_id, "y")
     count = {r["y"]: r["n"] for r in clean.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(count) < 2:
-        raise ValueError("labels of both classes are needed outside the held-out fifth")
     order = F.xxhash64(doc_id)
     taken = clean.filter("y = 0").orderBy(order, doc_id).limit(most).union(clean.filter("y = 1").orderBy(order, doc_id).limit(most))
     used = docs.select(doc_id, text).join(F.broadcast(taken), doc_id)  # at most 2 x most rows of two numbers
     rows = _features(used, ["y"], text, None, 0).limit(4 * most).toArrow()
     y = rows["y"].to_numpy()
     x = np.array(rows["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
-    n = count[0] + count[1]
-    return fit(x, y, np.array([count[0] / n, count[1] / n]))
+    return fit(x, y, np.array([count.get(0, 0), count.get(1, 0)]) / max(1, sum(count.values())))
 
 
 def score(docs: DataFrame, model: Discriminant, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
@@ -212,6 +212,6 @@ def score(docs: DataFrame, model: Discriminant, text: str = "text", keep: list[s
 def drop_low_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with the columns of ``docs``."""
     need(docs, [text, doc_id])
-    own = fresh(docs, "_low")
-    found = score(docs, train(docs, labels, text, doc_id), text, docs.columns, threshold)
-    return found.withColumnRenamed("predicted", own).filter(F.col(own) == 1).select(*docs.columns)
+    names = fresh(docs, "_score"), fresh(docs, "_predicted")
+    found = _features(docs, docs.columns, text, train(docs, labels, text, doc_id), threshold, names)
+    return found.filter(F.col(names[1]) == 1).select(*docs.columns)

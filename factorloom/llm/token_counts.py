@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .common import ddl, need
+from .common import ddl, fresh, need
 from .textarrays import utf8
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,4 +40,4 @@ def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, lim
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     out = ddl(df, keep, "n_bytes long, n_tokens long, over_limit boolean")
-    return df.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).alias(fresh(df, "_text_"))).mapInArrow(run, out)

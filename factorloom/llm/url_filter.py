@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import need
+from .common import fresh, need
 
 #: Most rules of one filter: the trie is broadcast, so its size is bounded.
 MOST_RULES = 1_000_000
@@ -101,5 +101,6 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", ke
         return pd.DataFrame([find(h, p) or (None, default) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], dtype=object)
 
     out = df.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    out = out.withColumn("_found_", judge("host", "path"))
-    return out.select(*keep, "host", "path", F.col("_found_.rule").alias("rule"), F.col("_found_.verdict").alias("verdict"))
+    found = fresh(out, "_found_")
+    out = out.withColumn(found, judge("host", "path"))
+    return out.select(*keep, "host", "path", F.col(f"{found}.rule").alias("rule"), F.col(f"{found}.verdict").alias("verdict"))
