@@ -51,9 +51,12 @@ def _ratio(mean: Column, std: Column, rule: str) -> Column:
 
 
 def ic_summary(daily: DataFrame, rule: str = "floor", prefix: str = "ic", by: tuple[str, ...] = ("factor",)) -> DataFrame:
-    """Mean, sample deviation, information ratio, positive share and number of dates of a daily series."""
+    """Mean, sample deviation, information ratio, positive share and number of dates of a daily series.
+
+    A correlation within rounding error of 0 isn't positive.
+    """
     ic = F.col("ic")
-    out = daily.groupBy(*by).agg(F.avg(ic).alias("m"), F.stddev_samp(ic).alias("s"), F.avg((ic > 0).cast("double")).alias("p"), F.count(ic).alias("n"))
+    out = daily.groupBy(*by).agg(F.avg(ic).alias("m"), F.stddev_samp(ic).alias("s"), F.avg((ic > ICIR_FLOOR).cast("double")).alias("p"), F.count(ic).alias("n"))
     return out.select(*by, F.col("m").alias(f"{prefix}_mean"), F.col("s").alias(f"{prefix}_std"), _ratio(F.col("m"), F.col("s"), rule).alias(f"{prefix}_ir"), F.col("p").alias(f"{prefix}_positive"), F.col("n").alias(f"{prefix}_dates"))
 
 

@@ -78,7 +78,7 @@ g AS (SELECT * FROM f WHERE x IS NOT NULL AND returns_1d IS NOT NULL),
 k AS (SELECT datetime, {sql_rank('x')} AS a, {sql_rank('returns_1d')} AS b FROM g),
 d AS (SELECT datetime, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 2)
 SELECT 'momentum' AS factor, round(avg(ic), 6) AS rank_ic_mean, round(stddev_samp(ic), 6) AS rank_ic_std, round(avg(ic) / greatest(abs(stddev_samp(ic)), 1e-12), 6) AS rank_ic_ir,
-  round(avg((ic > 0)::INT::DOUBLE), 6) AS rank_ic_positive, count(ic) AS rank_ic_dates FROM d WHERE ic IS NOT NULL""")
+  round(avg((ic > 1e-12)::INT::DOUBLE), 6) AS rank_ic_positive, count(ic) AS rank_ic_dates FROM d WHERE ic IS NOT NULL""")
 def momentum_rank_ic(spark, sf_dir):
     df, _ = with_factors(daily(spark, sf_dir), {"momentum": "RANK($close / DELAY($close, 5) - 1)"})
     long = evaluate.long_frame(df, ["momentum"], "returns_1d")
@@ -283,7 +283,7 @@ def ic_daily(spark, sf_dir):
     return evaluate.both_ics(long(spark, sf_dir))
 
 
-@query(f"""WITH {IC_SQL} SELECT factor, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / greatest(abs(stddev_samp(ic)), 1e-12), 6) AS ic_ir, round(avg((ic > 0)::INT::DOUBLE), 6) AS ic_positive, count(ic) AS ic_dates FROM ics WHERE ic IS NOT NULL GROUP BY factor""")
+@query(f"""WITH {IC_SQL} SELECT factor, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / greatest(abs(stddev_samp(ic)), 1e-12), 6) AS ic_ir, round(avg((ic > 1e-12)::INT::DOUBLE), 6) AS ic_positive, count(ic) AS ic_dates FROM ics WHERE ic IS NOT NULL GROUP BY factor""")
 def ic_summary(spark, sf_dir):
     return evaluate.ic_summary(evaluate.daily_ic(long(spark, sf_dir)))
 
@@ -361,7 +361,7 @@ def annualised_return(spark, sf_dir):
 t AS (SELECT long.* FROM long JOIN c ON c.datetime = long.datetime, n WHERE k < n), tp AS (SELECT * FROM t WHERE value IS NOT NULL AND target IS NOT NULL),
 rk AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('target', 'factor, datetime')} AS rt FROM tp),
 i AS (SELECT factor, datetime, covar_samp(rv, rt) / nullif(stddev_samp(rv) * stddev_samp(rt), 0) AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= 2),
-st AS (SELECT factor, avg(ic) AS m, avg(ic) / greatest(abs(coalesce(stddev_samp(ic), 0)), 1e-12) AS ir, avg((ic > 0)::INT::DOUBLE) AS pos, count(ic) AS n FROM i WHERE ic IS NOT NULL GROUP BY 1),
+st AS (SELECT factor, avg(ic) AS m, avg(ic) / greatest(abs(coalesce(stddev_samp(ic), 0)), 1e-12) AS ir, avg((ic > 1e-12)::INT::DOUBLE) AS pos, count(ic) AS n FROM i WHERE ic IS NOT NULL GROUP BY 1),
 cv AS (SELECT factor, count(CASE WHEN value IS NOT NULL AND target IS NOT NULL THEN 1 END) / count(*)::DOUBLE AS cov FROM t GROUP BY 1)
 SELECT cv.factor, round(m, 6) AS ic_mean, round(m, 6) AS rank_ic_mean, round(ir, 6) AS ic_ir, round(ir, 6) AS rank_ic_ir, round(cov, 6) AS coverage, round(turnover, 6) AS turnover, round(pos, 6) AS ic_positive, coalesce(st.n, 0) AS n_valid_dates,
   coalesce(abs(m) >= 0.01 AND abs(ir) >= 0.1 AND cov >= 0.3, false) AS passed, CASE WHEN coalesce(st.n, 0) < 2 THEN 'too_few_valid_dates' WHEN abs(m) >= 0.01 AND abs(ir) >= 0.1 AND cov >= 0.3 THEN 'passed' ELSE 'below_threshold' END AS reason
