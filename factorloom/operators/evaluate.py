@@ -148,28 +148,55 @@ def annualised(daily: DataFrame, value: str, by: tuple[str, ...] = ("factor",),
     return daily.groupBy(*by).agg((F.avg(v) * periods).alias("annual_return"), (F.try_divide(F.avg(v), F.stddev_samp(v)) * F.sqrt(F.lit(float(periods)))).alias("annual_sharpe"))
 
 
+def daily_metrics(long: DataFrame, calendar: DataFrame, n_layers: int = 0, min_obs: int = 2) -> DataFrame:
+    """One row for each factor and date: rows, pairs, ic, rank_ic, turnover, and the mean target of each layer.
+
+    All ranks share one partitioning by factor and date, and the change of rank takes one by factor and asset: whatever is
+    asked of a factor afterwards comes from this table of days, and the panel is read once.
+    """
+    both = F.col("value").isNotNull() & F.col("target").isNotNull()
+    out = long.join(calendar, TIME).withColumns({"v": F.when(both, F.col("value")), "t": F.when(both, F.col("target"))})
+    new = {"r": rank_pct(F.col("value"), "factor", TIME), "rv": rank_pct(F.col("v"), "factor", TIME), "rt": rank_pct(F.col("t"), "factor", TIME)}
+    if n_layers:
+        group = Window.partitionBy("factor", TIME)
+        place = F.row_number().over(group.orderBy(F.col("v").asc_nulls_last(), ASSET))
+        new["bucket"] = F.when(F.col("v").isNotNull(), F.least(F.lit(n_layers), F.greatest(F.lit(1), F.ceil(place / F.count("v").over(group) * n_layers))))
+    out = out.withColumns(new)
+    w = Window.partitionBy("factor", ASSET).orderBy("date_no")
+    out = out.withColumn("d", F.when(F.lag("date_no").over(w) == F.col("date_no") - 1, F.abs(F.col("r") - F.lag("r").over(w))))
+    enough = F.count("v") >= min_obs
+    aggs = [F.count("*").alias("rows"), F.count("v").alias("pairs"), F.avg("d").alias("turnover")]
+    aggs += [F.when(enough, pair_corr(F.col(a), F.col(b))).alias(name) for a, b, name in (("v", "t", "ic"), ("rv", "rt", "rank_ic"))]
+    aggs += [F.when(enough, F.avg(F.when(F.col("bucket") == k, F.col("t")))).alias(f"layer_{k}") for k in range(1, n_layers + 1)]
+    return out.groupBy("factor", TIME, "date_no").agg(*aggs)
+
+
+def daily_stats(c: Column, name: str) -> list[Column]:
+    """Mean, ratio to its deviation, positive share and number of a daily value, as aggregates."""
+    ratio = F.try_divide(F.avg(c), F.greatest(F.coalesce(F.stddev_samp(c), F.lit(0.0)), F.lit(ICIR_FLOOR)))
+    return [F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_std"), ratio.alias(f"{name}_ir"), F.avg((c > ICIR_FLOOR).cast("double")).alias(f"{name}_positive"), F.count(c).alias(f"{name}_dates")]
+
+
 def screen(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, window: tuple[str, str] | None = None, min_ic: float = 0.01, min_icir: float = 0.1, min_coverage: float = 0.3, min_dates: int = 2, method: str = "spearman") -> DataFrame:
     """One row a factor: IC, rank IC, their ratios, coverage and turnover on the train dates, passed and reason.
 
     With ``spearman`` both kinds of IC are rank ICs. Turnover counts all dates.
     """
     calendar = dates(df)
-    long = long_frame(df, factors, target)
+    days = daily_metrics(long_frame(df, factors, target), calendar)
     if window:
-        train = long.filter(F.col(TIME).between(F.lit(window[0]).cast("timestamp"), F.lit(window[1]).cast("timestamp")))
+        days = days.withColumn("train", F.col(TIME).between(F.lit(window[0]).cast("timestamp"), F.lit(window[1]).cast("timestamp")))
     else:
         n = calendar.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n_train"))
-        train = long.join(calendar.crossJoin(n).filter(F.col("date_no") < F.col("n_train")).select(TIME), TIME, "left_semi")
-    ics = both_ics(train)
-    ic = F.col("rank_ic") if method == "spearman" else F.col("ic")
-    plain = ic_summary(ics.select("factor", TIME, ic.alias("ic")).filter("ic is not null"), "floor", "ic")
-    ranked = ic_summary(ics.select("factor", TIME, F.col("rank_ic").alias("ic")).filter("ic is not null"), "floor", "rank_ic")
-    out = coverage(train).join(plain, "factor", "left").join(ranked, "factor", "left").join(turnover(long, calendar), "factor", "left")
-    few = F.coalesce(F.col("ic_dates"), F.lit(0)) < min_dates
+        days = days.crossJoin(n).withColumn("train", F.col("date_no") < F.col("n_train"))
+    on = lambda c: F.when(F.col("train"), F.col(c))
+    share = F.try_divide(F.sum(on("pairs")).cast("double"), F.sum(on("rows")).cast("double"))
+    out = days.groupBy("factor").agg(*daily_stats(on("rank_ic" if method == "spearman" else "ic"), "ic"), *daily_stats(on("rank_ic"), "rank_ic"), share.alias("coverage"), F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"))
+    few = F.col("ic_dates") < min_dates
     good = (F.abs("ic_mean") >= min_ic) & (F.abs("ic_ir") >= min_icir) & (F.col("coverage") >= min_coverage)
     passed = F.when(few, False).otherwise(F.coalesce(good, F.lit(False)))
     reason = F.when(few, "too_few_valid_dates").when(passed, "passed").otherwise("below_threshold")
-    return out.select("factor", "ic_mean", "rank_ic_mean", "ic_ir", "rank_ic_ir", "coverage", "turnover", "ic_positive", F.coalesce("ic_dates", F.lit(0)).alias("n_valid_dates"), passed.alias("passed"), reason.alias("reason"))
+    return out.select("factor", "ic_mean", "rank_ic_mean", "ic_ir", "rank_ic_ir", "coverage", "turnover", "ic_positive", F.col("ic_dates").alias("n_valid_dates"), passed.alias("passed"), reason.alias("reason"))
 
 
 def threshold_gate(metrics: DataFrame, min_ic: float = 0.003, min_icir: float = 0.02, max_turnover: float = 1.0, min_coverage: float = 0.3) -> DataFrame:
@@ -207,17 +234,23 @@ def train_eval_metrics(df: DataFrame, factors: list[str], target: str = "returns
     """
     calendar = dates(df)
     n = calendar.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n_train"), F.count("*").alias("n_all"))
-    part = calendar.crossJoin(n).select(TIME, (F.col("date_no") < F.col("n_train")).alias("in_train"), ((F.col("date_no") >= F.col("n_train")) | (F.col("n_train") >= F.col("n_all"))).alias("in_eval"))
-    long = long_frame(df, factors, target)
-    split = long.join(part, TIME)
-    held = split.filter("in_eval")
-    ics = both_ics(held)
-    plain = ic_summary(ics.filter("ic is not null"), "floor", "ic")
-    ranked = ic_summary(ics.select("factor", TIME, F.col("rank_ic").alias("ic")).filter("ic is not null"), "floor", "rank_ic")
-    train = daily_ic(split.filter("in_train"), "spearman").groupBy("factor").agg(F.avg("ic").alias("train_rank_ic"))
-    out = coverage(long)
-    for p in (plain, ranked, train, layer_stats(held, n_layers), turnover(long, calendar)):
-        out = out.join(p, "factor", "left")
+    names = [f"layer_{k}" for k in range(1, n_layers + 1)]
+    days = daily_metrics(long_frame(df, factors, target), calendar, n_layers).crossJoin(n)
+    held = (F.col("date_no") >= F.col("n_train")) | (F.col("n_train") >= F.col("n_all"))
+    on = lambda c: F.when(held, c)
+    gap = F.col(names[-1]) - F.col(names[0])
+    # per day, the correlation of the layers' numbers with their returns
+    some = F.filter(F.array(*(F.struct(F.lit(float(k)).alias("x"), F.col(c).alias("y")) for k, c in enumerate(names, 1))), lambda p: p["y"].isNotNull())
+    mean = lambda f: F.aggregate(some, F.lit(0.0), lambda a, p: a + p[f]) / F.size(some)
+    days = days.withColumns({"mx": F.when(F.size(some) > 1, mean("x")), "my": F.when(F.size(some) > 1, mean("y"))})
+    moment = lambda a, b: F.aggregate(some, F.lit(0.0), lambda t, p: t + (p[a[0]] - F.col(a[1])) * (p[b[0]] - F.col(b[1])))
+    x, y = ("x", "mx"), ("y", "my")
+    days = days.withColumn("mono", F.try_divide(moment(x, y), F.sqrt(moment(x, x) * moment(y, y))))
+    ls = on(gap)
+    out = days.groupBy("factor").agg(
+        F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage"), *daily_stats(on(F.col("ic")), "ic"), *daily_stats(on(F.col("rank_ic")), "rank_ic"), F.avg(F.when(F.col("date_no") < F.col("n_train"), F.col("rank_ic"))).alias("train_rank_ic"),
+        F.avg(ls).alias("long_short_mean"), F.avg((ls > 0).cast("double")).alias("long_short_positive"), _ratio(F.avg(ls), F.stddev_samp(ls), "zero").alias("long_short_ir"), F.avg(on(F.col("mono"))).alias("layer_monotonicity"), F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"),
+    )
     a, b = F.coalesce("train_rank_ic", F.lit(0.0)), F.coalesce("rank_ic_mean", F.lit(0.0))
     lost = F.greatest(F.lit(0.0), F.try_divide(F.abs(a) - F.abs(b), F.abs(a)))
     penalty = F.when(F.abs(a) > 1e-12, F.when(a * b < 0, F.greatest(lost, F.lit(1.0))).otherwise(lost)).otherwise(0.0)
