@@ -150,3 +150,16 @@ def overfit_check(df: DataFrame, factors: list[str], target: str = "returns_1d",
     lost = F.when(F.abs(a) > 1e-12, 1 - F.abs(b) / F.abs(a)).otherwise(0.0)
     out = out.withColumns({"decay": lost, "overfit": (lost > decay) | (a * b < 0), "underfit": F.abs(a) < least})
     return out.withColumn("reason", F.when(F.col("underfit"), "underfit").when(a * b < 0, "sign_flip").when(F.col("overfit"), "decay").otherwise("ok"))
+
+
+def diagnostic_tables(df: DataFrame, score: str, label: str, k: int = 5) -> dict[str, DataFrame]:
+    """The tables behind a score's charts: group returns, monthly IC, autocorrelation, turnover of the extremes, best assets
+    of each date, groups of the last date, and a summary row."""
+    from factorloom.operators.evaluate import annualised, group_returns, ic_summary
+
+    long = long_frame(df, [score], label)
+    daily, groups = daily_ic(long), group_returns(long, k)
+    auto, sets = score_autocorrelation(long), set_turnover(long)
+    row = ic_summary(daily).join(annualised(groups, "long_short"), "factor", "left")
+    row = row.join(auto.groupBy("factor").agg(F.avg("autocorrelation").alias("autocorrelation")), "factor", "left").join(sets.groupBy("factor").agg(F.avg("top_turnover").alias("top_turnover"), F.avg("low_turnover").alias("low_turnover")), "factor", "left")
+    return {"groups": groups, "ic": daily, "monthly_ic": monthly_ic(daily), "autocorrelation": auto, "set_turnover": sets, "top": top_scores(long), "last_date": inspect_groups(long, k), "summary": row}

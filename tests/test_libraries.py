@@ -97,3 +97,10 @@ def test_manifests(spark):
     assert got == {"f": 1, "g": 2}
     files = spark.createDataFrame([("f",), ("h",)], "source_file string")
     assert {r["source_file"]: r["status"] for r in text.manifest(files, spark.createDataFrame([("f",)], "source_file string")).collect()} == {"f": "ingested", "h": "skipped"}
+
+
+def test_diagnostic_tables(spark):
+    df = panel.with_label(small_panel(spark, 40, 12)).withColumn("score", 0 - F.col("close"))
+    tables = diagnostics.diagnostic_tables(df, "score", "returns_1d")
+    assert {n: t.count() for n, t in tables.items() if n in ("groups", "ic", "monthly_ic", "summary")} == {"groups": 39, "ic": 39, "monthly_ic": 1, "summary": 1}
+    assert tables["top"].count() == 480 and tables["last_date"].count() == 12 and tables["summary"].first()["ic_mean"] > 0
