@@ -147,8 +147,9 @@ def base_symbol(symbol: Column) -> Column:
     return F.regexp_replace(symbol, f"(?<=.)(?:{'|'.join(QUOTES)})$", "")
 
 
-def chunks_of(text: Column, most: int = CHUNK_CHARS, count: int = CHUNKS) -> Column:
-    """Paragraphs packed into chunks of at most ``most`` characters; longer paragraphs are cut; the first ``count`` chunks."""
+def chunks_of(text: Column, most: int = CHUNK_CHARS, count: int | None = CHUNKS) -> Column:
+    """Paragraphs packed into chunks of at most ``most`` characters; longer paragraphs are cut; the first ``count`` chunks,
+    or all of them (None)."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda x: x != "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -161,7 +162,7 @@ def chunks_of(text: Column, most: int = CHUNK_CHARS, count: int = CHUNKS) -> Col
         return F.when(F.length(joined) <= most, F.struct(state["done"].alias("done"), joined.alias("open"))).otherwise(overflow)
 
     packed = F.aggregate(parts, start, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
-    return F.slice(packed, 1, count)
+    return packed if count is None else F.slice(packed, 1, count)
 
 
 def detect_symbols(reports: DataFrame, symbols: DataFrame, text: str = "text", key: str = "source_file") -> DataFrame:

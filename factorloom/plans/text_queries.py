@@ -100,7 +100,7 @@ def text_tidy_lines(spark, sf_dir):
 
 @query(None)
 def text_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks_of(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), 500)).alias("chunk_id", "chunk"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks_of(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), 500, None)).alias("chunk_id", "chunk"))
     return d.select("doc_id", "chunk_id", F.length("chunk").alias("n_chars"))
 
 
