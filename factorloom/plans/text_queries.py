@@ -249,7 +249,7 @@ def library_common_subtrees(spark, sf_dir):
 @query(None)
 def library_quality_gate(spark, sf_dir):
     f = factors(spark, sf_dir)
-    return library.quality_gate(f.filter("intra_loop_index % 10 = 1"), f.filter("intra_loop_index % 10 = 4"), COLUMNS).select("intra_loop_index", "gate", "passed")
+    return library.quality_gate(f.filter("intra_loop_index % 7 < 3"), f.filter("intra_loop_index % 7 >= 3"), COLUMNS).select("intra_loop_index", "gate", "passed")
 
 
 @query(f"WITH {L1} SELECT hypothesis, count(*) AS n, bool_or(sharpe > 2) AS has_strong FROM lib GROUP BY 1")

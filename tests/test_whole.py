@@ -1,8 +1,10 @@
 """Queries without SQL leave out no rows and no part of a text: all rows of the small tables against plain versions."""
 
+import re
+
 import duckdb
 
-from factorloom.plans import registry
+from factorloom.plans import registry, text_queries
 
 QUERIES = registry.queries()
 
@@ -26,3 +28,22 @@ def test_chunks_hold_whole_texts(spark, sf):
     want = sorted((d, i, len(c)) for d, t in docs for i, c in enumerate(plain_chunks(t, 500)))
     assert max(i for _, i, _ in want) >= 12
     assert sorted(tuple(r) for r in QUERIES["text_chunks"](spark, sf).collect()) == want
+
+
+def trigrams(form):
+    return {form[i : i + 3] for i in range(len(form) - 2)}
+
+
+def test_gate_judges_against_the_whole_rest(spark, sf):
+    parts = [r.asDict() for r in text_queries.factors(spark, sf).select("intra_loop_index", "factor_name", "factor_expression", "metrics").collect()]
+    new, stored = ([p for p in parts if (p["intra_loop_index"] % 7 < 3) == side] for side in (True, False))
+    form = lambda p: re.sub(r"\b\d+\b", "N", re.sub(r"\s", "", p["factor_expression"]).upper())
+    names, forms = {p["factor_name"].lower() for p in stored}, {form(p) for p in stored}
+    near = {f for f in map(form, new) if any(len(trigrams(f) & trigrams(g)) >= 0.9 * len(trigrams(f) | trigrams(g)) for g in forms)}
+    want = {}
+    for p in new:
+        window = int(re.findall(r"\d+", p["factor_expression"])[-1])
+        tests = {"metrics": abs(float(p["metrics"]["IC"])) < 0.003 or abs(float(p["metrics"]["ICIR"])) < 0.02, "rules": "EMA" in p["factor_expression"] or "$missing" in p["factor_expression"] or not 2 <= window <= 120, "name": p["factor_name"].lower() in names, "similarity": form(p) in near}
+        gate = next((k for k, failed in tests.items() if failed), None)
+        want[p["intra_loop_index"]] = (gate, gate is None)
+    assert len(new) + len(stored) == len(parts) and {r["intra_loop_index"]: (r["gate"], r["passed"]) for r in QUERIES["library_quality_gate"](spark, sf).collect()} == want
