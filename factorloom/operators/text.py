@@ -116,7 +116,7 @@ def html_to_text(html: Column) -> Column:
 def tidy_lines(text: Column) -> Column:
     """Lines without white space at their ends; blank lines go."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def title_of(text: Column, fallback: Column) -> Column:
@@ -150,7 +150,7 @@ def base_symbol(symbol: Column) -> Column:
 def chunks_of(text: Column, most: int = CHUNK_CHARS, count: int | None = CHUNKS) -> Column:
     """Paragraphs packed into chunks of at most ``most`` characters; longer paragraphs are cut; the first ``count`` chunks,
     or all of them (None)."""
-    parts = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 

@@ -93,9 +93,9 @@ def report_records(spark, sf_dir):
 
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS n_lines, sha256(list_aggregate(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), 'string_agg', chr(10))) AS tidy_sha256 FROM documents WHERE text NOT LIKE '%' || chr(13) || '%' AND length(trim(text)) > 0")
 def text_tidy_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text not like '%\\r%' and length(trim(text)) > 0")
-    tidy = text.tidy_lines(F.col("text"))
-    return d.select("doc_id", F.size(F.split(tidy, "\n")).cast("bigint").alias("n_lines"), F.sha2(tidy, 256).alias("tidy_sha256"))
+    tidy = text.tidy_lines(F.coalesce("text", F.lit("")))
+    n_lines = F.when(tidy == "", 0).otherwise(F.size(F.split(tidy, "\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", n_lines.cast("bigint").alias("n_lines"), F.sha2(tidy, 256).alias("tidy_sha256"))
 
 
 @query(None)

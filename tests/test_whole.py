@@ -1,9 +1,11 @@
 """Queries without SQL leave out no rows and no part of a text: all rows of the small tables against plain versions."""
 
+import hashlib
 import re
 
 import duckdb
 
+from factorloom.operators import text
 from factorloom.plans import registry, text_queries
 
 QUERIES = registry.queries()
@@ -47,3 +49,16 @@ def test_gate_judges_against_the_whole_rest(spark, sf):
         gate = next((k for k, failed in tests.items() if failed), None)
         want[p["intra_loop_index"]] = (gate, gate is None)
     assert len(new) + len(stored) == len(parts) and {r["intra_loop_index"]: (r["gate"], r["passed"]) for r in QUERIES["library_quality_gate"](spark, sf).collect()} == want
+
+
+def test_chunks_trim_spaces_and_no_digits(spark):
+    df = spark.createDataFrame([("0 a0\n\n 1b1 \n\n2",)], "t string")
+    assert df.select(text.chunks_of("t", 5)).first()[0] == ["0 a0", "1b1", "2"] and df.select(text.chunks_of("t", 6, 1)).first()[0] == ["0 a0"]
+
+
+def test_tidy_lines_of_odd_texts(spark, tmp_path):
+    texts = [(1, "a\r\n b \rc"), (2, ""), (3, "  \n \n"), (4, None), (5, "x\n\ny"), (6, "0 of\n1 and 1")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["tidy_sha256"]) for r in QUERIES["text_tidy_lines"](spark, str(tmp_path)).collect()}
+    lines = {1: ["a", "b", "c"], 2: [], 3: [], 4: [], 5: ["x", "y"], 6: ["0 of", "1 and 1"]}
+    assert got == {d: (len(x), hashlib.sha256("\n".join(x).encode()).hexdigest()) for d, x in lines.items()}
