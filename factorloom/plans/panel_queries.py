@@ -494,7 +494,7 @@ def overfit_check(spark, sf_dir):
 
 @query(None)
 def look_ahead_check(spark, sf_dir):
-    return diagnostics.look_ahead(weekly(spark, sf_dir), FACTORS, cuts=2)
+    return diagnostics.look_ahead(weekly(spark, sf_dir), FACTORS)
 
 
 @query(None)
@@ -513,7 +513,7 @@ def subset_scores(spark, sf_dir):
 @query(None)
 def model_boosted(spark, sf_dir):
     frame, features = model.feature_matrix(scored(spark, sf_dir), list(FACTORS), "returns_1d")
-    fitted = model.train_boosted(panel.segments(frame, RANGES), features, "returns_1d", rounds=5, depth=3)
+    fitted = model.train_boosted(panel.segments(frame, RANGES), features, "returns_1d")
     return model.predict(fitted, panel.segments(frame, RANGES).filter("segment = 'test'")).select("datetime", "symbol", "score", "returns_1d")
 
 
@@ -527,4 +527,4 @@ def model_ridge(spark, sf_dir):
 @query(None)
 def parameter_scores(spark, sf_dir):
     frame, features = model.feature_matrix(scored(spark, sf_dir), list(FACTORS), "returns_1d")
-    return model.score_parameters(panel.segments(frame, RANGES), features, "returns_1d", [{"rounds": 3, "depth": 2}, {"rounds": 5, "depth": 3}])
+    return model.score_parameters(panel.segments(frame, RANGES), features, "returns_1d", [{"rounds": 80, "depth": 3, "step": 0.05}, {"rounds": 80, "depth": 4, "step": 0.05}])

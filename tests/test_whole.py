@@ -4,8 +4,9 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 
-from factorloom.operators import text
+from factorloom.operators import diagnostics, model, text
 from factorloom.plans import registry, text_queries
 
 QUERIES = registry.queries()
@@ -62,3 +63,21 @@ def test_tidy_lines_of_odd_texts(spark, tmp_path):
     got = {r["doc_id"]: (r["n_lines"], r["tidy_sha256"]) for r in QUERIES["text_tidy_lines"](spark, str(tmp_path)).collect()}
     lines = {1: ["a", "b", "c"], 2: [], 3: [], 4: [], 5: ["x", "y"], 6: ["0 of", "1 and 1"]}
     assert got == {d: (len(x), hashlib.sha256("\n".join(x).encode()).hexdigest()) for d, x in lines.items()}
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("name", "module", "operator"), [("look_ahead_check", diagnostics, "look_ahead"), ("model_boosted", model, "train_boosted"), ("parameter_scores", model, "score_parameters")])
+def test_parameters_are_not_below_the_operators_own(spark, sf, monkeypatch, name, module, operator):
+    def seen(*args, **named):
+        raise Seen(args, named)
+
+    monkeypatch.setattr(module, operator, seen)
+    with pytest.raises(Seen) as found:
+        QUERIES[name](spark, sf)
+    args, named = found.value.args
+    assert not named.keys() & {"cuts", "rounds", "depth"}
+    if operator == "score_parameters":
+        assert all(p["rounds"] >= 80 for p in args[3])
