@@ -1,14 +1,15 @@
 """Removal of passages that occurred before, by winnowing over line hashes.
 
-A window is a least run of whole lines with ``min_words`` words or more: one that starts at a given line, or one that
-ends at it. Of each window the line with the least hash is selected; these window minima are the fingerprints. Any run
-of lines with ``min_words`` words that occurs twice holds a whole window, the same in both places, so it shares that
-window's fingerprint in both: no such run can be missed.
-
-Fingerprints that occur once are dropped. Positions of the others are joined: two positions match if the whole window
-around the fingerprint is alike (two hashes, 128 bits), and each match is held against the window's first occurrence.
-The windows that start or end at neighbouring lines extend a match in both directions, line by line; their union in
-a document is the set of its later repeated runs, which are deleted.
+Where a line breaks says nothing about what repeats: a passage may begin and end inside lines. So the lines that are
+hashed are running lines: ``least`` words that begin at any word, whatever white space lies between them. Of each
+``sure - least + 1`` neighbouring running lines the one with the least hash is selected. These window minima are the
+fingerprints: any run of ``sure`` words that occurs twice holds a whole window, the same in both places, so it has that
+window's fingerprint in both and can't be missed.
+
+Fingerprints that occur once are dropped. The positions of the others are joined with the first position of the same
+fingerprint, and each match is extended word by word in both directions by comparing the words around the two. No more
+than a window's width needs comparing on a side, since beyond it the next fingerprint of the run takes over. The runs
+found are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from .common import fresh, need, written
-from .textarrays import U64, chunks, hash_spans, mix, words
+from .textarrays import U64, chunks, hash_spans, mix, utf8, words
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
+_LAST = U64(2**64 - 1)
+#: No shorter repetition is touched, and every longer one than this is found.
+LEAST, SURE = 20, 40
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,123 +40,207 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
 
 
-def line_windows(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """Distinct windows of all rows: row, first and last line (in the row), both hashes, and the fingerprint."""
-    newline = data == 10
-    cut = np.flatnonzero(newline)
-    row_of_cut = np.searchsorted(off, cut, "right") - 1
-    rows = np.concatenate([np.arange(len(off) - 1), row_of_cut])
-    begin = np.concatenate([off[:-1], cut + 1])
-    order = np.lexsort([begin, rows])
-    rows, begin = rows[order], begin[order]
-    end = np.append(begin[1:] - 1, len(data))
-    last = np.append(rows[1:] != rows[:-1], True)
-    end[last] = off[1:][rows[last]]
-    # edges are trimmed of white space, so that they don't make lines differ
-    ws, we, _ = words(data, off)
-    a, b = np.searchsorted(ws, begin), np.searchsorted(ws, end)
-    count = b - a
-    some = count > 0
-    s, e = begin.copy(), begin.copy()
-    s[some], e[some] = ws[a[some]], we[b[some] - 1]
-    h1, h2 = hash_spans(data, s, e, seed=5), hash_spans(data, s, e, seed=11)
-    h2 = mix(h2 ^ mix(h1 ^ U64(77)))
-    n = len(rows)
-    total = np.append(0, np.cumsum(count))
-    row_begin = np.searchsorted(rows, rows, "left")
-    row_end = np.searchsorted(rows, rows, "right")
-    i = np.arange(n)
-    stop = np.searchsorted(total, total[:-1] + min_words)  # forward: lines i .. stop - 1
-    ahead = np.flatnonzero(some & (stop <= row_end))
-    back = np.searchsorted(total, total[1:] - min_words, "right") - 1  # backward: lines back .. i
-    behind = np.flatnonzero(some & (total[1:] >= min_words) & (back >= row_begin))
-    lo, hi = np.concatenate([i[ahead], back[behind]]), np.concatenate([stop[ahead], i[behind] + 1])
-    both = np.unique(lo.astype(np.int64) * (n + 1) + hi) if n else np.zeros(0, np.int64)
-    lo, hi = both // (n + 1), both % (n + 1)
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and each row's first word."""
+    starts, ends, first = words(data, off)
+    return starts, ends, hash_spans(data, starts, ends, seed=5), first
+
+
+def select(h: np.ndarray, first: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (in all rows) at which the selected running lines begin, and their hashes.
+
+    Of equal hashes in a window the first counts. Where running lines are alike one after the other (one word over and over),
+    one in ``width`` stays. A row with fewer running lines than a window has its least one selected.
+    """
+    n = len(h)
     up, down = _powers(n + 1)
     with np.errstate(over="ignore"):
-        spans = []
-        for h in (h1, h2):
-            prefix = np.append(U64(0), np.cumsum(h * up[:n], dtype=U64))
-            spans.append(mix((prefix[hi] - prefix[lo]) * down[lo] + (hi - lo).astype(U64)))
-    # blank lines are never a window's minimum; of equal hashes the first counts
-    rank = np.where(some, h1, U64(2**64 - 1))
-    at, step, go = lo.copy(), 1, np.flatnonzero(hi - lo > 1)
-    while len(go):
-        better = go[rank[lo[go] + step] < rank[at[go]]]
-        at[better] = lo[better] + step
-        step += 1
-        go = go[hi[go] - lo[go] > step]
-    begin = row_begin[lo]
-    return {"row": rows[lo], "first": lo - begin, "last": hi - 1 - begin, "at": at - begin, "w1": spans[0], "w2": spans[1], "fingerprint": h1[at]}
-
-
-def _windows(df: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+        prefix = np.append(U64(0), np.cumsum(h * up[:n], dtype=U64))
+        lines = mix((prefix[least:] - prefix[: n + 1 - least]) * down[: n + 1 - least]) if n >= least else h[:0]
+    count = np.diff(first)
+    inside = np.repeat(first[1:], count)[: len(lines)] - np.arange(len(lines)) >= least
+    value, at = np.where(inside, lines, _LAST), np.arange(len(lines))
+    step, best, where = 1, value, at
+    while 2 * step <= width:  # minima of ever wider windows; two that overlap make the last
+        better = best[step:] < best[:-step]
+        best, where = np.where(better, best[step:], best[:-step]), np.where(better, where[step:], where[:-step])
+        step *= 2
+    if rest := width - step:
+        better = best[rest:] < best[:-rest]
+        best, where = np.where(better, best[rest:], best[:-rest]), np.where(better, where[rest:], where[:-rest])
+    whole = np.flatnonzero(inside[width - 1 :] & inside[: len(best)] & (np.repeat(first[:-1], count)[: len(best)] == np.repeat(first[:-1], count)[width - 1 : width - 1 + len(best)]))
+    picked = [np.unique(where[whole])]
+    for r in np.flatnonzero((count >= least) & (count < least + width - 1)):
+        picked.append(first[r : r + 1] + np.argmin(lines[first[r] : first[r + 1] - least + 1]))
+    every = np.unique(np.concatenate(picked)).astype(np.int64)
+    same = np.zeros(len(lines), bool)
+    same[1:] = inside[1:] & inside[:-1] & (lines[1:] == lines[:-1])
+    begin = np.maximum.accumulate(np.where(same, 0, at)) if len(at) else at
+    every = every[(every - begin[every]) % width == 0]
+    return every, lines[every]
+
+
+def _fingerprints(df: DataFrame, doc_id: str, text: str, least: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, off in chunks(batch.column(2), 2 << 20):
-                found = line_windows(data, off, min_words)
-                take = pa.array(found["row"] + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(found[c].astype(np.int32)) for c in ("first", "last", "at")), *(pa.array(found[c].view(np.int64)) for c in ("w1", "w2", "fingerprint"))], names=["id", "hash", "first", "last", "at", "w1", "w2", "fingerprint"])
+                _, _, h, first = word_hashes(data, off)
+                at, lines = select(h, first, least, width)
+                row = np.searchsorted(first, at, "right") - 1
+                take = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - first[row]).astype(np.int32)), pa.array(lines.view(np.int64))], names=["id", "hash", "pos", "fingerprint"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     source = df.select(F.col(doc_id), F.xxhash64(text).alias("hash"), F.col(text).alias("_text_"))
-    return source.mapInArrow(run, f"id {kind}, hash long, first int, last int, at int, w1 long, w2 long, fingerprint long")
+    return source.mapInArrow(run, f"id {kind}, hash long, pos int, fingerprint long")
 
 
 def _place() -> Column:
-    """Document order: known ids ascending, then the text's hash, then the line."""
-    return F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "first")
-
-
-def repeated_runs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25) -> DataFrame:
-    """(id, hash, runs): for each document with later repeated runs, their line ranges (first, last), which may overlap."""
-    windows = written(_windows(df, doc_id, text, min_words), "windows")
-    place = F.xxhash64(F.col("id").isNull(), "id", "hash", "at")
-    shared = windows.groupBy("fingerprint").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("fingerprint")
-    windows = windows.join(shared, "fingerprint")
-    origin = windows.groupBy("w1", "w2").agg(F.min(_place()).alias("lo"), F.max(_place()).alias("hi")).filter("lo != hi").select("w1", "w2", "lo")
-    later = windows.join(origin, ["w1", "w2"]).filter(_place() != F.col("lo"))
-    return later.groupBy("id", "hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-
-
-@F.pandas_udf(ArrayType(BooleanType()))
-def _mask(runs: pd.Series) -> pd.Series:
-    """For each line up to the last deleted one, whether it goes."""
-    out = []
-    for spans in runs:
-        edge = np.zeros(max(s["last"] for s in spans) + 2, np.int64)
-        for s in spans:
-            edge[s["first"]] += 1
-            edge[s["last"] + 1] -= 1
-        out.append(np.cumsum(edge)[:-1] > 0)
-    return pd.Series(out)
-
-
-def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25) -> DataFrame:
-    """``df`` with later repeated runs of lines deleted from ``text``, and the columns n_lines and n_deleted added.
-
-    A line goes if it lies in a run of lines of its document, of ``min_words`` words or more together, that occurs
-    earlier: in a document with a smaller id (null ids come last, rows that share an id go by their text's hash), or
-    further up in the same one. Lines are compared without white space at their ends; case counts. A line's
-    first occurrence always stays, and so does every shorter repetition.
-
-    Null and empty texts stay as they are, with 0 and 1 lines. A text whose lines all go is empty. Rows alike in id and text are one document and are treated
-    alike. If ``df`` has columns n_lines or n_deleted, they are replaced. An empty table gives an empty result.
+    """Document order: known ids ascending, then the text's hash, then the word."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "pos")
+
+
+def _around(h: np.ndarray, at: np.ndarray, width: int, missing: int) -> np.ndarray:
+    """For each position the hashes of ``width`` words from it on, in 32 bits; ``missing`` beyond the ends."""
+    short = (h >> U64(32)).astype(np.uint32) | np.uint32(2)
+    padded = np.concatenate([np.full(width, missing, np.uint32), short, np.full(width + 1, missing, np.uint32)])
+    return padded[np.clip(at, -width, len(h))[:, None] + width + np.arange(width)]
+
+
+def _contexts(placed: DataFrame, text: str, least: int, width: int) -> DataFrame:
+    """(fingerprint, before, after): the words next to each first position, from a table with ``text`` and ``wanted``."""
+    columns = placed.columns
+    t, w = columns.index(text), columns.index("wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(w).to_pylist()
+            for i, j, data, off in chunks(batch.column(t), 2 << 20):
+                _, _, h, first = word_hashes(data, off)
+                key, before, after = [], [], []
+                for r in range(i, j):
+                    own = h[first[r - i] : first[r - i + 1]]
+                    at = np.array([x["pos"] for x in wanted[r]], np.int64)
+                    key += [x["fingerprint"] for x in wanted[r]]
+                    before += [x.tobytes() for x in _around(own, at - width, width, 0)[:, ::-1]]
+                    after += [x.tobytes() for x in _around(own, at + least, width, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["fingerprint", "before", "after"])
+
+    return placed.mapInArrow(run, "fingerprint long, before binary, after binary")
+
+
+def extended(h: np.ndarray, matches: list, least: int, width: int) -> list[tuple[int, int]]:
+    """The maximal runs of words (first, behind the last) of a document around its matches with first positions.
+
+    A match within the document (``own``: its first position, else -1) leaves the first ``least`` words of the run alone.
+    """
+    at = np.array([m["pos"] for m in matches], np.int64)
+    own = np.array([m["own"] for m in matches], np.int64)
+    stack = lambda c: np.frombuffer(b"".join(m[c] for m in matches), np.uint32).reshape(-1, width)
+    alike = lambda a, b: np.cumprod(a == b, axis=1).sum(axis=1)
+    begin = at - alike(_around(h, at - width, width, 1)[:, ::-1], stack("before"))
+    end = at + least + alike(_around(h, at + least, width, 1), stack("after"))
+    begin = np.where(own >= 0, np.maximum(begin, begin - at + own + least), begin)
+    good = end - begin >= least
+    return list(zip(begin[good].tolist(), end[good].tolist(), strict=True))
+
+
+def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
+    """``text`` without the marked words. Lines of which nothing is left go; what is left on both sides of a deleted run is
+    held apart by a space, or by a line break if the run went over one."""
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    out, at, n = [], 0, len(starts)
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        left, right = int(ends[a - 1]) if a else 0, int(starts[b]) if b < n else len(text)
+        lead, tail = text.rfind(b"\n", left, int(starts[a])), text.find(b"\n", int(ends[b - 1]), right)
+        heads, closes = a == 0 or lead >= 0, b == n or tail >= 0
+        if heads and closes:
+            stop = tail + 1 if tail >= 0 else len(text)
+            out.append(text[at : lead if tail < 0 and lead >= 0 else lead + 1])
+        elif heads:
+            out.append(text[at : int(starts[a])])
+            stop = right
+        elif closes:
+            out.append(text[at:left])
+            stop = int(ends[b - 1])
+        else:
+            out += [text[at:left], b"\n" if b"\n" in text[left:right] else b" "]
+            stop = right
+        at = stop
+    return b"".join([*out, text[at:]])
+
+
+def _edit(least: int, width: int):
+    @F.pandas_udf("text string, n_deleted long")
+    def edit(text: pd.Series, matches: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, found in zip(text, matches, strict=True):
+            if t is None:
+                out.append((None, 0))
+                continue
+            data, off = utf8(pa.array([t]))
+            starts, ends, h, _ = word_hashes(data, off)
+            gone = np.zeros(len(h) + 1, np.int64)
+            for a, b in extended(h, found, least, width):
+                gone[a] += 1
+                gone[b] -= 1
+            gone = np.cumsum(gone)[:-1] > 0
+            out.append((cut(t.encode(), starts, ends, gone).decode() if gone.any() else t, int(gone.sum())))
+        return pd.DataFrame(out, columns=["text", "n_deleted"])
+
+    return edit
+
+
+def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, sure: int = SURE) -> DataFrame:
+    """``df`` with later repeated runs of words deleted from ``text``, and the column n_deleted (words) added.
+
+    Documents are in the order of their ids (null ids come last, rows that share an id go by their text's hash). Of a
+    run of ``sure`` words or more that occurs earlier (in a document before, or further up in the same one), all words go;
+    a repetition of fewer than ``least`` words is never touched, and those between may go or stay. White space doesn't
+    count in comparing, case does. First occurrences always stay: of a text that repeats itself without end (one word
+    over and over) ``least`` words or a little more. A run is extended against the first place of its fingerprint; if the
+    text around that place differs from the place that the run was copied from, up to sure - least words may stay
+    at each end.
+
+    Null texts stay null, empty ones empty. A text whose words all go is empty. Rows alike in id and text are one document
+    and are treated alike. A column n_deleted of ``df`` is replaced. An empty table gives an empty result.
+
+    Texts are shuffled once, as both joins with them take the same columns and Spark uses one exchange for both; so select
+    the columns to keep before, not after.
     """
     need(df, [text, doc_id])
-    runs = repeated_runs(df, text, doc_id, min_words)
-    runs = runs.select(F.col("id").alias("_id_"), F.col("hash").alias("_hash_"), _mask("runs").alias("_mask_"))
-    h = fresh(df, "_text_hash")
-    left = df.withColumn(h, F.xxhash64(text))
-    both = left.join(runs, left[doc_id].eqNullSafe(runs["_id_"]) & (left[h] == runs["_hash_"]), "left")
-    lines, mask, whole = F.split(left[text], "\n", -1), runs["_mask_"], left[text]
-    kept = F.filter(lines, lambda _, i: ~F.coalesce(F.get(mask, i), F.lit(False)))
+    if not 0 < least <= sure:
+        raise ValueError("needs 0 < least <= sure")
+    width = sure - least + 1
+    found = written(_fingerprints(df, doc_id, text, least, width), "fingerprints")
+    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
+    found = written(found.join(shared, "fingerprint").distinct(), "shared")  # rows alike count once
+    origin = found.groupBy("fingerprint").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first != last").select("fingerprint", "first")
+    origin = written(origin, "origins")
+
+    h, wanted, listed = fresh(df, "_text_hash"), "wanted", "matches"
+    inner = {c: f"_{i}" for i, c in enumerate(df.columns)}  # so that no column of ``df`` clashes
+    base = df.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), F.xxhash64(text).alias(h))
+    body, key = inner[text], inner[doc_id]
+
+    def with_docs(other: DataFrame, how: str) -> DataFrame:
+        other = other.withColumnsRenamed({"id": "id_", "hash": "hash_"})
+        return base.join(other, base[key].eqNullSafe(other["id_"]) & (base[h] == other["hash_"]), how).drop("id_", "hash_")
+
+    firsts = origin.select("fingerprint", "first.id", "first.hash", "first.pos").groupBy("id", "hash").agg(F.collect_list(F.struct("pos", "fingerprint")).alias(wanted))
+    context = _contexts(with_docs(firsts, "inner"), body, least, width).dropDuplicates(["fingerprint"])
+    known = origin.join(context, "fingerprint")
+    later = found.join(known, "fingerprint").filter(_place() != F.col("first"))
+    own = F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")), F.col("first.pos")).otherwise(-1)
+    later = later.select("id", "hash", F.struct("pos", own.alias("own"), "before", "after").alias("m"))
+    later = later.groupBy("id", "hash").agg(F.collect_list("m").alias(listed))
+    both = with_docs(later, "left")
+    edited = F.when(F.col(listed).isNotNull(), F.col(body))
+    both = both.withColumn("e", _edit(least, width)(edited, F.col(listed)))
+    hit = F.col(listed).isNotNull()
     new = {
-        text: F.when(mask.isNull(), whole).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.when(whole.isNull(), 0).otherwise(F.size(lines)),
-        "n_deleted": F.when(mask.isNull(), 0).otherwise(F.size(F.filter(mask, lambda x: x))),
+        text: F.when(hit, F.col("e.text")).otherwise(F.col(body)),
+        "n_deleted": F.when(hit, F.col("e.n_deleted")).otherwise(0).cast("long"),
     }
-    same = [left[c] for c in df.columns if c not in new]
     order = [*df.columns, *(c for c in new if c not in df.columns)]
-    return both.select(*same, *(v.alias(k) for k, v in new.items())).select(*order)
+    return both.select(*((new[c] if c in new else F.col(inner[c])).alias(c) for c in order))

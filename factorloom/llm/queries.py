@@ -39,8 +39,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("text_sha256"), "n_lines", "n_deleted")
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("text_sha256"), "n_deleted")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

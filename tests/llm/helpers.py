@@ -60,26 +60,48 @@ def near_duplicates(rows, n, percent):
     return [(d, len(sets[i]), min(ids[find(i)], default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
-def line_dedup(rows, least):
-    """{(doc_id, text): numbers of deleted lines} of (doc_id, text) rows in document order."""
-    parsed = [(k, [x.strip(b" \t\r\x0b\x0c\n") for x in (k[1] or "").encode().split(b"\n")]) for k in rows]
-    sizes = {k: [len(WORD.findall(x)) for x in lines] for k, lines in parsed}
-
-    def windows(k, lines):
-        out = set()
-        for i in range(len(lines)):
-            for step in (1, -1):
-                total, j = 0, i
-                while 0 <= j < len(lines) and sizes[k][i]:
-                    total += sizes[k][j]
-                    if total >= least:
-                        out.add((min(i, j), max(i, j)))
-                        break
-                    j += step
-        return out
-
-    first = {}
-    for k, lines in parsed:
-        for a, b in sorted(windows(k, lines)):
-            first.setdefault(tuple(lines[a : b + 1]), (k, a))
-    return {k: {i for a, b in windows(k, lines) if first[tuple(lines[a : b + 1])] != (k, a) for i in range(a, b + 1)} for k, lines in parsed}
+def repeated(rows, n):
+    """For each of (key, text) in document order, the words in runs of n words that occurred before, also in the same text."""
+    seen, out = set(), {}
+    for k, text in rows:
+        w = words(text)
+        out[k] = set()
+        for i in range(len(w) - n + 1):
+            gram = tuple(w[i : i + n])
+            if gram in seen:
+                out[k].update(range(i, i + n))
+            seen.add(gram)
+    return out
+
+
+def line_dedup(rows, least, sure, order):
+    """{key: words that go} of (key, text) rows in document order; ``order`` gives each running line the hash it is ranked by."""
+    width, docs, chosen = sure - least + 1, [words(t) for _, t in rows], []
+    for w in docs:
+        lines = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        value = [order(x) for x in lines]
+        picked = {min(range(i, i + width), key=value.__getitem__) for i in range(len(lines) - width + 1)} if len(lines) >= width else {min(range(len(lines)), key=value.__getitem__)} if lines else set()
+        own = []
+        for p in sorted(picked):
+            begin = p
+            while begin and lines[begin - 1] == lines[p]:
+                begin -= 1
+            if (p - begin) % width == 0:
+                own.append((p, lines[p]))
+        chosen.append(own)
+    first, gone = {}, {}
+    for d, (k, _) in enumerate(rows):
+        gone[k] = set()
+        for p, line in chosen[d]:
+            e, q = first.setdefault(line, (d, p))
+            if (e, q) == (d, p):
+                continue
+            a, b = 0, least
+            while a < width and p - a > 0 and q - a > 0 and docs[d][p - a - 1] == docs[e][q - a - 1]:
+                a += 1
+            while b < least + width and p + b < len(docs[d]) and q + b < len(docs[e]) and docs[d][p + b] == docs[e][q + b]:
+                b += 1
+            begin = max(p - a, q - a + least) if e == d else p - a
+            if p + b - begin >= least:
+                gone[k].update(range(begin, p + b))
+    return gone

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factorloom.llm import bpe, fingerprints, line_dedup, media, mixing, packing, quality, setsketch, textarrays, token_counts, url_filter, warc
 from factorloom.llm.components import connected_components
 
-from .helpers import ODD, clashing, docs, near_duplicates, words
+from .helpers import ODD, clashing, docs, near_duplicates, repeated, words
 from .helpers import line_dedup as plain_line_dedup
 
 
@@ -193,33 +193,77 @@ def test_components(spark):
 # line dedup
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_line_dedup_as_by_all_windows(spark, seed):
-    rng = random.Random(seed)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 30]))) for _ in range(25)]
+def line_hash(line):
+    """The hash of a running line of words, as an exact sum."""
+    data = np.frombuffer(b" ".join(line), np.uint8)
+    h = line_dedup.word_hashes(data, np.array([0, len(data)]))[2]
+    total = sum(int(x) * pow(int(line_dedup._BASE), j, 2**64) for j, x in enumerate(h)) % 2**64
+    return int(textarrays.mix(np.array([total], np.uint64))[0])
+
+
+def passages(rng, n=60):
+    """Texts that share passages of 15 to 90 words, which begin and end anywhere in a line, and lines of other lengths."""
+    pool = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([15, 25, 41, 60, 90]))] for _ in range(12)]
     rows = []
-    for i in range(60):
-        lines = [rng.choice(pool) if rng.random() < 0.6 else f"own {i} {rng.randrange(10**6)} " * rng.randrange(1, 6) for _ in range(rng.randrange(0, 30))]
-        if rows and rng.random() < 0.3:
-            lines[3:3] = rows[rng.randrange(len(rows))][1].split("\n")[2:9]
-        rows.append((i, "\n".join(lines)))
-    want = plain_line_dedup(rows, 25)
+    for i in range(n):
+        w = []
+        for _ in range(rng.randrange(0, 8)):
+            w += rng.choice(pool) if rng.random() < 0.5 else [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))]
+        rows.append((i, "".join(x + rng.choice([" ", " ", " ", "  ", "\n", "\t\n"]) for x in w)))
+    return [*rows, (n, "again " * 500), (n + 1, "again " * 90), (n + 2, "a b " * 300), (n + 3, "end\n" * 19), (n + 4, "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize(("least", "sure"), [(20, 40), (5, 5), (8, 12)])
+def test_line_dedup_as_by_plain_winnowing(spark, seed, least, sure):
+    rows = passages(random.Random(seed))
+    texts, want = dict(rows), plain_line_dedup(rows, least, sure, line_hash)
+    sound, found = repeated(rows, least), {}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for r in line_dedup.dedup_lines(df).collect():
-        gone = want[r["doc_id"], dict(rows)[r["doc_id"]]]
-        left = [x for i, x in enumerate(dict(rows)[r["doc_id"]].split("\n")) if i not in gone]
-        assert (r["n_deleted"], r["text"]) == (len(gone), "\n".join(left))
+    for r in line_dedup.dedup_lines(df, least=least, sure=sure).collect():
+        gone = found[r["doc_id"]] = want[r["doc_id"]]
+        assert (r["n_deleted"], words(r["text"])) == (len(gone), [x for i, x in enumerate(words(texts[r["doc_id"]])) if i not in gone])
+        assert gone <= sound[r["doc_id"]]
+    # every run of ``sure`` words that came before has lost words, and less than a window at each of its ends is left
+    seen = set()
+    for d, text in rows[:-5]:
+        w = words(text)
+        lines = [tuple(w[i : i + sure]) for i in range(len(w) - sure + 1)]
+        assert all(len(found[d] & set(range(i, i + sure))) >= least for i, x in enumerate(lines) if x in seen)
+        seen |= set(lines)
+
+
+def test_a_passage_goes_whole_wherever_it_begins_and_the_first_stays(spark):
+    passage = [f"p{i}" for i in range(55)]
+    first = f"Title\n\nsome words {' '.join(passage)} and more.\nlast line"
+    rows = [(1, first), (2, f"own start {' '.join(passage[:30])}\n{' '.join(passage[30:])} own end\nlast"), (3, "\n".join(["head", *passage, "", "tail"])), (4, " ".join(passage)), (5, f"x\n{' '.join(passage[5:25])}\ny"), (6, f"x\n{' '.join(passage[5:24])}\ny"), (None, f"{' '.join(passage)} rest\n")]
+    got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (first, 0) and got[2] == ("own start\nown end\nlast", 55) and got[3] == ("head\n\ntail", 55) and got[4] == ("", 55) and got[None] == ("rest\n", 55)
+    assert got[6] == (rows[5][1], 0) and got[5][1] in (0, 20)
+
+
+def test_cut_keeps_what_is_left_apart():
+    def cut(text, *gone):
+        data = np.frombuffer(text.encode(), np.uint8)
+        s, e, h, _ = line_dedup.word_hashes(data, np.array([0, len(data)]))
+        return line_dedup.cut(text.encode(), s, e, np.isin(np.arange(len(h)), gone)).decode()
+
+    assert cut("a b c", 1) == "a c" and cut("a b\nc d", 1, 2) == "a\nd" and cut("a\nb\nc", 1) == "a\nc" and cut("a\nb", 1) == "a" and cut("a\nb\n", 1) == "a\n"
+    assert cut("  a b\nc", 0) == "  b\nc" and cut("a b \n\nc", 1) == "a \n\nc" and cut("a\n\nb\n\nc", 1) == "a\n\n\nc" and cut("a", 0) == "" and cut(" a \n", 0) == "" and cut("é b ü", 1) == "é ü"
 
 
 def test_line_dedup_of_odd_rows(spark):
     passage = "\n".join(["some words in the first line of it"] * 2 + [f"and number {i} of its lines with more words" for i in range(5)])
-    rows = [*ODD, (20, f"intro\n{passage}\noutro", "en", "s", 1), (21, f"{passage}\nown end", "en", "s", 1), (22, passage, "en", "s", 1), (None, passage, "en", "s", 1)]
-    df = clashing(docs(spark, rows))
+    rows = [*ODD, (20, f"intro\n{passage}\noutro", "en", "s", 1), (21, f"{passage}\nown end", "en", "s", 1), (22, passage, "en", "s", 1), (22, passage, "en", "s", 1), (None, passage, "en", "s", 1)]
+    df = clashing(docs(spark, rows)).withColumns({c: F.lit(7) for c in ("id", "hash", "pos", "fingerprint", "matches", "wanted", "first", "m", "e", "_0", "id_")})
     got = line_dedup.dedup_lines(df)
-    assert got.columns == df.columns
+    assert got.columns == df.columns and got.schema["n_deleted"].dataType.simpleString() == "bigint"
     texts = {(r["doc_id"], r["n_deleted"]): r["text"] for r in got.collect() if r["doc_id"] in (2, 3, 20, 21, 22) or r["n_deleted"]}
-    assert texts[20, 0].startswith("intro") and texts[21, 7] == "own end" and texts[22, 7] == "" and texts[None, 7] == "" and texts[2, 0] is None and texts[3, 0] == ""
+    n = len(words(passage))
+    assert texts[20, 0].startswith("intro") and texts[21, n] == "own end" and texts[22, n] == "" and texts[None, n] == "" and texts[2, 0] is None and texts[3, 0] == ""
     assert got.count() == len(rows) and line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, least=9, sure=8)
 
 
 # quality

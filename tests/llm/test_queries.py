@@ -6,8 +6,10 @@ import pytest
 import corpus_pipeline
 from factorloom.llm import queries
 from factorloom.llm.common import read
+from factorloom.llm.line_dedup import LEAST, SURE
 
-from .helpers import ODD, docs, line_dedup, near_duplicates
+from .helpers import ODD, docs, line_dedup, near_duplicates, words
+from .test_operators import line_hash
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -41,14 +43,14 @@ def test_stages_act_on_what_the_one_before_kept(stages):
     for name in ("quality_classifier", "line_dedup", "near_dedup", "mixing"):
         assert stages[name].columns == d.columns
     before = [(r["doc_id"], r["text"]) for r in stages["quality_classifier"].orderBy("doc_id").collect()]
-    gone = line_dedup(before, 25)
+    gone = line_dedup(before, LEAST, SURE, line_hash)
     want = {}
-    for k in before:
-        left = "\n".join(x for i, x in enumerate(k[1].split("\n")) if i not in gone[k])
-        if left.strip(" \t\n\r\x0b\f") or not gone[k]:
-            want[k[0]] = left
+    for k, text in before:
+        left = [x for i, x in enumerate(words(text)) if i not in gone[k]]
+        if left or not gone[k]:
+            want[k] = left
     after = {r["doc_id"]: r["text"] for r in stages["line_dedup"].collect()}
-    assert after == want
+    assert {k: words(t) for k, t in after.items()} == want
     kept = {d for (d, _), (_, n, c) in zip(after.items(), near_duplicates(list(after.items()), 5, 80), strict=True) if c == d or not n}
     assert {r["doc_id"] for r in stages["near_dedup"].collect()} == kept
     mixed = {r["doc_id"] for r in stages["mixing"].collect()}
