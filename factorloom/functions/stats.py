@@ -18,6 +18,15 @@ def clean(x: Column | str) -> Column:
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")), None).otherwise(d)
 
 
+#: All white space that Python's strip takes off.
+BLANK = r"[\s\x1c-\x1f]"
+
+
+def strip(x: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(x, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+
+
 def over_assets() -> WindowSpec:
     """All assets of a date."""
     return Window.partitionBy(TIME)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,31 +32,39 @@ def monthly_ic(daily: DataFrame) -> DataFrame:
 
 
 def monthly_risk(daily: DataFrame, value: str, periods: int = 252, min_rows: int = 3) -> DataFrame:
-    """For each month with enough rows: annual excess return, largest additive drawdown within it, ratio and deviation."""
+    """For each month with enough rows: annual excess return, largest additive drawdown within it, mean over
+    deviation (0 where it hardly varies) and deviation."""
     tagged = daily.withColumns({"year": F.year(TIME), "month": F.month(TIME)})
     run = drawdown(tagged, value, ("year", "month"), additive=True)
     v = F.col(value)
-    out = run.groupBy("year", "month").agg((F.avg(v) * periods).alias("annual_return"), F.min("drawdown").alias("max_drawdown"), (F.try_divide(F.avg(v), F.stddev_samp(v)) * F.sqrt(F.lit(float(periods)))).alias("information_ratio"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
+    out = run.groupBy("year", "month").agg((F.avg(v) * periods).alias("annual_return"), F.min("drawdown").alias("max_drawdown"), F.when(F.stddev_samp(v) > 1e-12, F.avg(v) / F.stddev_samp(v)).otherwise(0.0).alias("information_ratio"), F.stddev_samp(v).alias("std"), F.count("*").alias("n"))
     return out.filter(F.col("n") >= min_rows)
 
 
 def score_autocorrelation(long: DataFrame, lag: int = 1) -> DataFrame:
-    """(factor, datetime, autocorrelation): of the rank of the score and the rank of the score ``lag`` rows ago."""
+    """(factor, datetime, autocorrelation): of the rank of the score and the rank of the score ``lag`` rows ago.
+
+    Each is ranked among all of the date that have it; the pairs that have both are correlated. Dates without a value go.
+    """
     w = Window.partitionBy("factor", ASSET).orderBy(TIME)
-    both = long.withColumn("old", F.lag("value", lag).over(w)).filter("value is not null and old is not null")
+    both = long.withColumn("old", F.lag("value", lag).over(w))
     both = both.withColumns({"a": rank_pct(F.col("value"), "factor", TIME), "b": rank_pct(F.col("old"), "factor", TIME)})
-    return both.groupBy("factor", TIME).agg(pair_corr(F.col("a"), F.col("b")).alias("autocorrelation"))
+    return both.groupBy("factor", TIME).agg(pair_corr(F.col("a"), F.col("b")).alias("autocorrelation")).filter("autocorrelation is not null")
 
 
 def set_turnover(long: DataFrame, lag: int = 1, share: int = 5) -> DataFrame:
-    """Share of the top and of the bottom n // ``share`` assets that weren't there by the score ``lag`` rows ago."""
+    """Share of the top and of the bottom n // ``share`` of a date's n assets that weren't there by the score ``lag`` rows ago.
+
+    All assets of the date count, also those without an earlier score, which come last in both orders; ties by asset.
+    """
     w = Window.partitionBy("factor", ASSET).orderBy(TIME)
     g = Window.partitionBy("factor", TIME)
-    both = long.withColumn("old", F.lag("value", lag).over(w)).filter("value is not null and old is not null")
-    both = both.withColumns({"n": F.floor(F.count("*").over(g) / share), **{f"{a}{b}": F.row_number().over(g.orderBy(F.desc(c) if a == "top" else F.asc(c), ASSET)) for a in ("top", "low") for b, c in (("now", "value"), ("old", "old"))}})
+    both = long.withColumn("old", F.lag("value", lag).over(w))
+    order = {"top": F.desc_nulls_last, "low": F.asc_nulls_last}
+    both = both.withColumns({"n": F.floor(F.count("*").over(g) / share), **{f"{a}{b}": F.row_number().over(g.orderBy(order[a](c), ASSET)) for a in order for b, c in (("now", "value"), ("old", "old"))}})
     kept = lambda a: F.count_if((F.col(f"{a}now") <= F.col("n")) & (F.col(f"{a}old") <= F.col("n")))
     part = lambda a: (1 - F.try_divide(kept(a).cast("double"), F.max("n").cast("double"))).alias(f"{a}_turnover")
-    return both.groupBy("factor", TIME).agg(part("top"), part("low"))
+    return both.groupBy("factor", TIME).agg(part("top"), part("low")).filter("top_turnover is not null")
 
 
 def top_scores(long: DataFrame, k: int = 50) -> DataFrame:
@@ -93,14 +103,20 @@ def portfolio_summary(report: DataFrame, periods: int = 252) -> DataFrame:
 
 
 def factor_quality(df: DataFrame, factors: list[str], size: str | None = None) -> DataFrame:
-    """Coverage, mean cross-section deviation, tail ratio and correlation with size of each factor, with warnings."""
+    """Coverage, mean cross-section deviation, tail ratio and correlation with size of each factor, with warnings.
+
+    The tail ratio is the mean distance from the median over the span of 1 to 99 % / 1.4826. Percentiles are exact.
+    """
     long = to_long(df, factors, [size] if size else [])
     daily = long.groupBy("factor", TIME).agg(F.stddev_samp("value").alias("s")).groupBy("factor").agg(F.avg("s").alias("mean_std"))
     other = pair_corr(F.col("value"), F.col(size)) if size else F.lit(None).cast("double")
     q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    out = long.groupBy("factor").agg(F.try_divide(F.count("value").cast("double"), F.count("*").cast("double")).alias("coverage"), q.alias("q"), other.alias("size_corr")).join(daily, "factor")
-    out = out.withColumn("tail_ratio", F.try_divide(F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0]))
-    notes = F.array_compact(F.array(F.when(F.col("coverage") < 0.3, "low_coverage"), F.when(F.col("mean_std") < 0.01, "low_dispersion"), F.when((F.col("tail_ratio") > 10) | (F.col("tail_ratio") < 0.1), "heavy_tail"), F.when(F.abs("size_corr") > 0.8, "size_exposure")))
+    out = long.groupBy("factor").agg(F.try_divide(F.count("value").cast("double"), F.count("*").cast("double")).alias("coverage"), q.alias("q"), other.alias("size_corr")).join(daily, "factor", "left")
+    span = out.select("factor", F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("span"))  # one row a factor
+    off = long.join(span, "factor").groupBy("factor").agg(F.avg(F.abs(F.col("value") - F.col("mid"))).alias("off"), F.first("span").alias("span"))
+    tail = F.when(F.col("span") > 0, F.col("off") / (F.col("span") / 1.4826 + 1e-12))
+    out = out.join(off.select("factor", tail.alias("tail_ratio")), "factor", "left")
+    notes = F.array_compact(F.array(F.when(F.col("coverage") < 0.3, "low_coverage"), F.when(F.coalesce("mean_std", F.lit(0.0)) < 0.01, "low_dispersion"), F.when(F.col("tail_ratio") > 10, "heavy_tail"), F.when(F.abs("size_corr") > 0.8, "size_exposure")))
     return out.select("factor", "coverage", "mean_std", "tail_ratio", "size_corr", F.array_join(notes, ",").alias("warnings"))
 
 
@@ -118,18 +134,23 @@ def correlation_penalty(df: DataFrame, factors: list[str]) -> DataFrame:
     return correlation_pairs(df, factors).agg(F.coalesce(F.avg(F.abs("corr")), F.lit(0.0)).alias("correlation"))
 
 
-def look_ahead(panel: DataFrame, expressions: dict[str, str], cuts: int = 5, tolerance: float = 1e-8) -> DataFrame:
+def look_ahead(panel: DataFrame, expressions: dict[str, str], cuts: int = 5, tolerance: float = 1e-8, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """(factor, max_diff, passed): each factor is recomputed on the panel cut off after each of the last dates before the
-    end; values that later rows change give it away. The cut-offs are a few dates, so the rounds are as few."""
+    end; values that later rows change give it away. The cut-offs are a few dates, so the rounds are as few.
+
+    ``prepare`` makes the panel's derived columns, anew for each cut-off. The panel and the whole factors are written once.
+    """
     from factorloom.operators.factors import with_factors
+    from factorloom.sources.files import written
 
-    full, failed = with_factors(panel, expressions, [TIME, ASSET])
+    panel = written(panel, "panel")
+    full, failed = with_factors(prepare(panel), expressions, [TIME, ASSET])
     names = [n for n in expressions if n not in failed]
-    whole = to_long(full, names)
+    whole = written(to_long(full, names), "factors")
     ends = [r[TIME] for r in dates(panel).orderBy(F.desc(TIME)).limit(cuts + 1).collect()][1:]
     worst = None
     for end in ends:
-        part, _ = with_factors(panel.filter(F.col(TIME) <= F.lit(end)), {n: expressions[n] for n in names}, [TIME, ASSET])
+        part, _ = with_factors(prepare(panel.filter(F.col(TIME) <= F.lit(end))), {n: expressions[n] for n in names}, [TIME, ASSET])
         both = to_long(part, names).withColumnRenamed("value", "again").join(whole, [TIME, ASSET, "factor"])
         gap = F.when(F.col("again").isNull() != F.col("value").isNull(), F.lit(float("inf"))).otherwise(F.coalesce(F.abs(F.col("again") - F.col("value")), F.lit(0.0)))
         one = both.groupBy("factor").agg(F.max(gap).alias("d"))
@@ -139,17 +160,21 @@ def look_ahead(panel: DataFrame, expressions: dict[str, str], cuts: int = 5, tol
     return worst.groupBy("factor").agg(F.max("d").alias("max_diff")).withColumn("passed", F.col("max_diff") <= tolerance)
 
 
-def overfit_check(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, decay: float = 0.7, least: float = 0.002) -> DataFrame:
-    """Mean rank IC in and out of sample; overfit where too much of it is lost or its sign turns, underfit where it is tiny."""
+def overfit_check(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, decay: float = 0.7, least: float = 0.002, judged: float = 0.01) -> DataFrame:
+    """Mean rank IC in and out of sample. Overfit where the IC in sample exceeds ``judged`` and too much of it is lost, or else
+    its sign turns; underfit where it is below ``least``; robust where neither. A date with one pair counts as an IC of 0."""
     calendar = dates(df)
     n = calendar.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n_train"))
     part = calendar.crossJoin(n).select(TIME, (F.col("date_no") < F.col("n_train")).alias("inside"))
-    ics = daily_ic(complete(long_frame(df, factors, target)), "spearman").join(part, TIME)
+    pairs = complete(long_frame(df, factors, target))
+    pairs = pairs.withColumns({c: rank_pct(F.col(c), "factor", TIME) for c in ("value", "target")})
+    ics = pairs.groupBy("factor", TIME).agg(F.when(F.count("*") < 2, 0.0).otherwise(pair_corr(F.col("value"), F.col("target"))).alias("ic")).join(part, TIME)
     out = ics.groupBy("factor").agg(F.avg(F.when(F.col("inside"), F.col("ic"))).alias("ic_in"), F.avg(F.when(~F.col("inside"), F.col("ic"))).alias("ic_out"))
     a, b = F.coalesce("ic_in", F.lit(0.0)), F.coalesce("ic_out", F.lit(0.0))
-    lost = F.when(F.abs(a) > 1e-12, 1 - F.abs(b) / F.abs(a)).otherwise(0.0)
-    out = out.withColumns({"decay": lost, "overfit": (lost > decay) | (a * b < 0), "underfit": F.abs(a) < least})
-    return out.withColumn("reason", F.when(F.col("underfit"), "underfit").when(a * b < 0, "sign_flip").when(F.col("overfit"), "decay").otherwise("ok"))
+    lost = F.when(F.abs(a) > 1e-12, (F.abs(a) - F.abs(b)) / F.abs(a)).otherwise(0.0)
+    reason = F.when((F.abs(a) > judged) & (lost > decay), "decay").when((F.abs(a) > judged) & (a * b < 0), "sign_flip").when(F.abs(a) < least, "underfit").otherwise("ok")
+    out = out.withColumns({"decay": lost, "reason": reason})
+    return out.withColumns({"overfit": F.col("reason").isin("decay", "sign_flip"), "underfit": F.abs(a) < least, "robust": F.col("reason") == "ok"})
 
 
 def diagnostic_tables(df: DataFrame, score: str, label: str, k: int = 5) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.stats import ASSET, TIME, abs_score, bounded, pair_corr, rank_pct, row_mean
+from factorloom.functions.stats import ASSET, TIME, abs_score, bounded, compound, pair_corr, rank_pct, row_mean
 from factorloom.operators.panel import dates, to_long
 
 ICIR_FLOOR = 1e-12
@@ -144,31 +144,58 @@ def quantile_long_short(long: DataFrame, q: float = 0.2, by_rank: bool = True, h
 
 def annualised(daily: DataFrame, value: str, by: tuple[str, ...] = ("factor",), periods: int = 252) -> DataFrame:
     """Mean x periods, and mean over deviation x sqrt(periods) (null where the deviation is 0)."""
-    v = F.col(value)
-    return daily.groupBy(*by).agg((F.avg(v) * periods).alias("annual_return"), (F.try_divide(F.avg(v), F.stddev_samp(v)) * F.sqrt(F.lit(float(periods)))).alias("annual_sharpe"))
+    return daily.groupBy(*by).agg(*_annual(F.col(value), "annual_return", "annual_sharpe", periods))
 
 
-def daily_metrics(long: DataFrame, calendar: DataFrame, n_layers: int = 0, min_obs: int = 2) -> DataFrame:
-    """One row for each factor and date: rows, pairs, ic, rank_ic, turnover, and the mean target of each layer.
+def _annual(v: Column, mean: str, ratio: str, periods: int = 252) -> list[Column]:
+    return [(F.avg(v) * periods).alias(mean), (F.try_divide(F.avg(v), F.stddev_samp(v)) * F.sqrt(F.lit(float(periods)))).alias(ratio)]
+
+
+def daily_metrics(long: DataFrame, calendar: DataFrame | None = None, n_layers: int = 0, min_obs: int = 2, q: float | None = None, by_rank: bool = True) -> DataFrame:
+    """One row for each factor and date: rows, pairs, ic, rank_ic; with a calendar date_no and turnover; the mean target of each
+    layer; and with ``q`` the mean target of the top, the bottom (see ``quantile_long_short``) and all.
 
     All ranks share one partitioning by factor and date, and the change of rank takes one by factor and asset: whatever is
     asked of a factor afterwards comes from this table of days, and the panel is read once.
     """
     both = F.col("value").isNotNull() & F.col("target").isNotNull()
-    out = long.join(calendar, TIME).withColumns({"v": F.when(both, F.col("value")), "t": F.when(both, F.col("target"))})
+    out = long if calendar is None else long.join(calendar, TIME)
+    out = out.withColumns({"v": F.when(both, F.col("value")), "t": F.when(both, F.col("target"))})
     new = {"r": rank_pct(F.col("value"), "factor", TIME), "rv": rank_pct(F.col("v"), "factor", TIME), "rt": rank_pct(F.col("t"), "factor", TIME)}
+    group = Window.partitionBy("factor", TIME)
+    rising = F.row_number().over(group.orderBy(F.col("v").asc_nulls_last(), ASSET))
     if n_layers:
-        group = Window.partitionBy("factor", TIME)
-        place = F.row_number().over(group.orderBy(F.col("v").asc_nulls_last(), ASSET))
-        new["bucket"] = F.when(F.col("v").isNotNull(), F.least(F.lit(n_layers), F.greatest(F.lit(1), F.ceil(place / F.count("v").over(group) * n_layers))))
+        new["bucket"] = F.when(F.col("v").isNotNull(), F.least(F.lit(n_layers), F.greatest(F.lit(1), F.ceil(rising / F.count("v").over(group) * n_layers))))
+    if q and not by_rank:
+        most = F.greatest(F.lit(1), F.floor(F.count("v").over(group) * q))
+        falling = F.row_number().over(group.orderBy(F.col("v").desc_nulls_last(), ASSET))
+        new |= {"top": F.col("v").isNotNull() & (falling <= most), "low": F.col("v").isNotNull() & (rising <= most)}
     out = out.withColumns(new)
-    w = Window.partitionBy("factor", ASSET).orderBy("date_no")
-    out = out.withColumn("d", F.when(F.lag("date_no").over(w) == F.col("date_no") - 1, F.abs(F.col("r") - F.lag("r").over(w))))
+    if q and by_rank:
+        out = out.withColumns({"top": F.col("rv") >= 1 - q, "low": F.col("rv") <= q})
     enough = F.count("v") >= min_obs
-    aggs = [F.count("*").alias("rows"), F.count("v").alias("pairs"), F.avg("d").alias("turnover")]
+    aggs = [F.count("*").alias("rows"), F.count("v").alias("pairs")]
+    keys = ["factor", TIME]
+    if calendar is not None:
+        w = Window.partitionBy("factor", ASSET).orderBy("date_no")
+        out = out.withColumn("d", F.when(F.lag("date_no").over(w) == F.col("date_no") - 1, F.abs(F.col("r") - F.lag("r").over(w))))
+        aggs.append(F.avg("d").alias("turnover"))
+        keys.append("date_no")
     aggs += [F.when(enough, pair_corr(F.col(a), F.col(b))).alias(name) for a, b, name in (("v", "t", "ic"), ("rv", "rt", "rank_ic"))]
     aggs += [F.when(enough, F.avg(F.when(F.col("bucket") == k, F.col("t")))).alias(f"layer_{k}") for k in range(1, n_layers + 1)]
-    return out.groupBy("factor", TIME, "date_no").agg(*aggs)
+    if q:
+        aggs += [F.avg(F.when(F.col("top"), F.col("t"))).alias("long_return"), F.avg(F.when(F.col("low"), F.col("t"))).alias("short_return"), F.avg("t").alias("average_return")]
+    return out.groupBy(*keys).agg(*aggs)
+
+
+def with_monotonicity(days: DataFrame, n_layers: int) -> DataFrame:
+    """Adds ``mono``, a day's correlation of its layers' numbers with their returns (null with fewer than two layers)."""
+    some = F.filter(F.array(*(F.struct(F.lit(float(k)).alias("x"), F.col(f"layer_{k}").alias("y")) for k in range(1, n_layers + 1))), lambda p: p["y"].isNotNull())
+    mean = lambda f: F.aggregate(some, F.lit(0.0), lambda a, p: a + p[f]) / F.size(some)
+    days = days.withColumns({"mx": F.when(F.size(some) > 1, mean("x")), "my": F.when(F.size(some) > 1, mean("y"))})
+    moment = lambda a, b: F.aggregate(some, F.lit(0.0), lambda t, p: t + (p[a[0]] - F.col(a[1])) * (p[b[0]] - F.col(b[1])))
+    x, y = ("x", "mx"), ("y", "my")
+    return days.withColumn("mono", F.try_divide(moment(x, y), F.sqrt(moment(x, x) * moment(y, y)))).drop("mx", "my")
 
 
 def daily_stats(c: Column, name: str) -> list[Column]:
@@ -208,23 +235,36 @@ def threshold_gate(metrics: DataFrame, min_ic: float = 0.003, min_icir: float =
     return metrics.withColumn("gate", gate).withColumns({"passed": F.col("gate").isNull(), "reason": F.coalesce(F.concat(F.lit("failed_"), F.col("gate")), F.lit("passed"))})
 
 
+def candidate_gate(candidates: DataFrame, min_fitness: float = 0.0, min_coverage: float = 0.5, min_rank_ic: float = 0.0) -> DataFrame:
+    """Adds passed: fitness, coverage and the size of the rank IC reach their thresholds; a missing metric counts as 0."""
+    there = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in candidates.columns else F.lit(0.0)
+    return candidates.withColumn("passed", (there("fitness") >= min_fitness) & (there("coverage") >= min_coverage) & (F.abs(there("rank_ic_mean")) >= min_rank_ic))
+
+
+def batch_screen(daily: DataFrame, min_ic: float = 0.02, min_icir: float = 0.5, min_dates: int = 5) -> DataFrame:
+    """(factor, ic_mean, ic_ir, n, passed) of a daily IC series: enough dates, and mean and ratio reach their thresholds in size."""
+    ic = F.col("ic")
+    out = daily.filter(ic.isNotNull()).groupBy("factor").agg(F.avg(ic).alias("ic_mean"), _ratio(F.avg(ic), F.stddev_samp(ic), "floor").alias("ic_ir"), F.count(ic).alias("n"))
+    return out.withColumn("passed", (F.col("n") >= min_dates) & (F.abs("ic_mean") >= min_ic) & (F.abs("ic_ir") >= min_icir))
+
+
 def factor_score(df: DataFrame, passed: list[str], every: list[str], name: str = "score") -> DataFrame:
     """Mean of the passed factors of a row (of all, where none passed)."""
     return df.withColumn(name, row_mean(*(F.col(c) for c in passed or every)))
 
 
 def signal_analysis(df: DataFrame, score: str, label: str, q: float = 0.2) -> DataFrame:
-    """One row: IC and rank IC with their statistics, long-short and long-average return and Sharpe, coverage."""
-    long = long_frame(df, [score], label)
-    ics = both_ics(long, 3)
-    parts = [ic_summary(ics.select("factor", F.col(c).alias("ic")).filter("ic is not null"), "null", c) for c in ("ic", "rank_ic")]
-    daily = quantile_long_short(long, q, by_rank=False, half=True)
-    for c, name in (("long_short", "long_short"), ("long_average", "long_average")):
-        parts.append(annualised(daily, c).toDF("factor", f"{name}_annual_return", f"{name}_sharpe"))
-    out = coverage(long)
-    for p in parts:
-        out = out.join(p, "factor", "left")
-    return out
+    """One row: IC and rank IC with their statistics, long-short and long-average return and Sharpe, coverage; all from one
+    table of days."""
+    days = daily_metrics(long_frame(df, [score], label), None, 0, 3, q, by_rank=False)
+    days = days.withColumns({"ls": (F.col("long_return") - F.col("short_return")) / 2, "la": F.col("long_return") - F.col("average_return")})
+    aggs = [F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage")]
+    for c in ("ic", "rank_ic"):
+        v = F.col(c)
+        aggs += [F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), _ratio(F.avg(v), F.stddev_samp(v), "null").alias(f"{c}_ir"), F.avg((v > ICIR_FLOOR).cast("double")).alias(f"{c}_positive"), F.count(v).alias(f"{c}_dates")]
+    for c, name in (("ls", "long_short"), ("la", "long_average")):
+        aggs += _annual(F.col(c), f"{name}_annual_return", f"{name}_sharpe")
+    return days.groupBy("factor").agg(*aggs)
 
 
 def train_eval_metrics(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, n_layers: int = 5) -> DataFrame:
@@ -239,13 +279,7 @@ def train_eval_metrics(df: DataFrame, factors: list[str], target: str = "returns
     held = (F.col("date_no") >= F.col("n_train")) | (F.col("n_train") >= F.col("n_all"))
     on = lambda c: F.when(held, c)
     gap = F.col(names[-1]) - F.col(names[0])
-    # per day, the correlation of the layers' numbers with their returns
-    some = F.filter(F.array(*(F.struct(F.lit(float(k)).alias("x"), F.col(c).alias("y")) for k, c in enumerate(names, 1))), lambda p: p["y"].isNotNull())
-    mean = lambda f: F.aggregate(some, F.lit(0.0), lambda a, p: a + p[f]) / F.size(some)
-    days = days.withColumns({"mx": F.when(F.size(some) > 1, mean("x")), "my": F.when(F.size(some) > 1, mean("y"))})
-    moment = lambda a, b: F.aggregate(some, F.lit(0.0), lambda t, p: t + (p[a[0]] - F.col(a[1])) * (p[b[0]] - F.col(b[1])))
-    x, y = ("x", "mx"), ("y", "my")
-    days = days.withColumn("mono", F.try_divide(moment(x, y), F.sqrt(moment(x, x) * moment(y, y))))
+    days = with_monotonicity(days, n_layers)
     ls = on(gap)
     out = days.groupBy("factor").agg(
         F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage"), *daily_stats(on(F.col("ic")), "ic"), *daily_stats(on(F.col("rank_ic")), "rank_ic"), F.avg(F.when(F.col("date_no") < F.col("n_train"), F.col("rank_ic"))).alias("train_rank_ic"),
@@ -291,21 +325,22 @@ def default_metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"coverage": bounded(share("generated")), "failure_ratio": bounded(share("failed"))}).withColumn("default_coverage", bounded(F.col("coverage") * (1 - F.col("failure_ratio"))))
 
 
-def evaluation_report(df: DataFrame, score: str, target: str = "returns_1d", n_layers: int = 5) -> DataFrame:
-    """One row for a score: coverage, turnover, IC statistics, layers, annual return and drawdown of the long-short series."""
-    from factorloom.operators.diagnostics import drawdown
-
-    long = long_frame(df, [score], target)
-    ics = both_ics(long)
-    parts = [ic_summary(ics.filter("ic is not null"), "floor", "ic"), ic_summary(ics.select("factor", TIME, F.col("rank_ic").alias("ic")).filter("ic is not null"), "floor", "rank_ic"), layer_stats(long, n_layers), turnover(long, dates(df))]
-    daily = quantile_long_short(long)
-    parts.append(annualised(daily, "long_short"))
-    parts.append(drawdown(daily, "long_short", by=("factor",)).groupBy("factor").agg(F.min("drawdown").alias("max_drawdown")))
-    out = coverage(long)
-    for p in parts:
-        out = out.join(p, "factor", "left")
+def evaluation_report(df: DataFrame, score: str, target: str = "returns_1d", n_layers: int = 5, q: float = 0.2) -> DataFrame:
+    """One row for a score: coverage, turnover, IC statistics, layers, annual return and drawdown of the long-short series; all
+    from one table of days."""
+    days = with_monotonicity(daily_metrics(long_frame(df, [score], target), dates(df), n_layers, 2, q), n_layers)
+    w = Window.partitionBy("factor").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)  # one row a date
+    days = days.withColumns({"spread": F.col("long_return") - F.col("short_return"), "ls": F.col(f"layer_{n_layers}") - F.col("layer_1")})
+    days = days.withColumn("cumulative", compound(F.col("spread"), w))
+    days = days.withColumn("drawdown", F.try_divide(F.col("cumulative"), F.max("cumulative").over(w)) - 1)
+    ls, spread = F.col("ls"), F.col("spread")
+    out = days.groupBy("factor").agg(
+        F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage"), *daily_stats(F.col("ic"), "ic"), *daily_stats(F.col("rank_ic"), "rank_ic"),
+        F.avg(ls).alias("long_short_mean"), F.avg((ls > 0).cast("double")).alias("long_short_positive"), _ratio(F.avg(ls), F.stddev_samp(ls), "zero").alias("long_short_ir"), F.avg("mono").alias("layer_monotonicity"),
+        F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"), *_annual(spread, "annual_return", "annual_sharpe"), F.min(F.when(F.col("pairs") > 0, F.col("drawdown"))).alias("max_drawdown"),
+    )
     out = derived_metrics(out)
-    return out.withColumn("status", F.when(F.coalesce("ic_dates", F.lit(0)) > 0, "evaluated").otherwise("no_valid_dates"))
+    return out.withColumn("status", F.when(F.col("ic_dates") > 0, "evaluated").otherwise("no_valid_dates"))
 
 
 def research(panel: DataFrame, expressions: dict[str, str], target: str = "returns_1d") -> dict[str, object]:

@@ -175,11 +175,14 @@ def _windowed(node: ast.Call, made: dict[str, str]) -> Column:
     return REGISTRY[call_name(node)].build(*args)
 
 
-def shape(expression: str) -> tuple[int, int, int, list[str], list[str]] | None:
-    """(nodes, depth, numbers, variables, functions) of an expression; null if it can't be read."""
+def shape(expression: str) -> tuple[int, int, int, int, int, list[str], list[str]] | None:
+    """(nodes, depth, numbers, all nodes, depth of all nodes, variables, functions) of an expression; null if it can't be read.
+
+    All nodes are those of the syntax tree from its root, with names of functions, operators and contexts.
+    """
     try:
-        tree = ast.parse(re.sub(r"\b\w*\$(\w+)|\$(\w+)", lambda m: _PREFIX + m[0].rpartition("$")[2], expression).replace("&&", "&").replace("||", "|").strip(), mode="eval").body
-    except (SyntaxError, ValueError):
+        tree = ast.parse(re.sub(r"\b\w*\$(\w+)|\$(\w+)", lambda m: _PREFIX + m[0].rpartition("$")[2], expression).replace("&&", "&").replace("||", "|").strip(), mode="eval")
+    except (SyntaxError, ValueError, RecursionError):
         return None
     names, functions, numbers = [], [], 0
 
@@ -187,7 +190,7 @@ def shape(expression: str) -> tuple[int, int, int, list[str], list[str]] | None:
         nonlocal numbers
         if isinstance(node, ast.Constant):
             numbers += 1
-        if isinstance(node, ast.Name):
+        if isinstance(node, ast.Name) and node.id.startswith(_PREFIX):
             names.append(node.id.removeprefix(_PREFIX))
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
             functions.append(node.func.id)
@@ -195,5 +198,11 @@ def shape(expression: str) -> tuple[int, int, int, list[str], list[str]] | None:
         below = [walk(c) for c in children]
         return 1 + sum(n for n, _ in below), 1 + max((d for _, d in below), default=0)
 
-    nodes, depth = walk(tree)
-    return nodes, depth, numbers, sorted(set(names)), functions
+    def deep(node: ast.AST) -> int:
+        return 1 + max((deep(c) for c in ast.iter_child_nodes(node)), default=0)
+
+    try:
+        (nodes, depth), levels = walk(tree.body), deep(tree)
+    except RecursionError:
+        return None
+    return nodes, depth, numbers, sum(1 for _ in ast.walk(tree)), levels, sorted(set(names)), functions

@@ -6,13 +6,15 @@ A library has run_id, loop_round, intra_loop_index, factor_name, factor_expressi
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from factorloom.functions.factor_functions import REGISTRY
+from factorloom.functions.stats import strip
 from factorloom.operators.factors import shape
 from factorloom.sources.files import bare, first_of
 
@@ -20,7 +22,12 @@ from factorloom.sources.files import bare, first_of
 UNSUPPORTED = ["TS_SKEW", "EMA", "SMA", "POW", "SQRT", "FILTER"]
 WINDOWED = ["DELTA", "DELAY", "TS_MEAN", "TS_SUM", "TS_RANK", "TS_ZSCORE", "TS_MEDIAN", "TS_PCTCHANGE", "TS_MIN", "TS_MAX", "TS_STD", "WMA", "TS_CORR"]
 NORMALISERS = ["ZSCORE", "RANK", "TS_RANK", "TS_ZSCORE"]
+#: Calls that count as conditions, and characters that make an expression a comparison.
+CONDITIONS = ["IIF", "IF", "IFELSE"]
+COMPARISONS = ["==", "!=", "<", ">"]
 MIN_WINDOW, MAX_WINDOW = 2, 120
+#: Limits of a candidate's tree, where every node counts.
+MAX_NODES, MAX_DEPTH = 40, 8
 PUBLIC = sorted({f for f in REGISTRY if not f.startswith("_")} | {"TS_PCTCHANGE"})
 _KEY = ["run_id", "loop_round", "intra_loop_index"]
 
@@ -35,8 +42,17 @@ def numeric_metrics(metrics: Column) -> Column:
     return F.map_filter(F.transform_values(metrics, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
 
 
-def slug(name: Column) -> Column:
-    return F.substring(F.regexp_replace(name, r"(?U)[^\p{Alnum}]+", "_"), 1, 80)
+def slug(text: Column) -> Column:
+    """Letters and digits in lower case, everything between them as one _; at most 80 characters; ``expression`` for nothing."""
+    core = F.substring(F.btrim(F.regexp_replace(text, r"(?U)[^\p{Alnum}]+", "_"), F.lit("_")), 1, 80)
+    return F.lower(F.when(core == "", "expression").otherwise(core))
+
+
+def file_name(library: DataFrame) -> Column:
+    """The name of a record's code file: run, round, index and the expression's slug; null without an expression."""
+    run, e = F.trim(F.coalesce("run_id", F.lit(""))), strip(F.coalesce("factor_expression", F.lit("")))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string") if c in library.columns else F.lit("0")
+    return F.when(e != "", F.concat(F.when(run != "", F.concat(run, F.lit("_"))).otherwise(""), number("loop_round"), F.lit("_"), number("intra_loop_index"), F.lit("_"), slug(e), F.lit(".py")))
 
 
 def factor_id(expression: Column) -> Column:
@@ -69,10 +85,37 @@ def _windows(expression: pd.Series) -> pd.Series:
     return pd.Series([[n for _, n in windows_of(x)] for x in expression])
 
 
-@F.pandas_udf(StructType([StructField("nodes", IntegerType()), StructField("depth", IntegerType()), StructField("numbers", IntegerType()), StructField("variables", ArrayType(StringType())), StructField("functions", ArrayType(StringType()))]))
+_SHAPE = ["nodes", "depth", "numbers", "all_nodes", "all_depth", "variables", "functions"]
+
+
+@F.pandas_udf(StructType([*(StructField(c, IntegerType()) for c in _SHAPE[:5]), *(StructField(c, ArrayType(StringType())) for c in _SHAPE[5:])]))
 def expression_shape(expression: pd.Series) -> pd.DataFrame:
-    """Nodes, depth, numbers, variables and functions of an expression; all null where it can't be read."""
-    return pd.DataFrame([shape(x) or (None,) * 5 if x else (None,) * 5 for x in expression], columns=["nodes", "depth", "numbers", "variables", "functions"]).astype({"nodes": "Int32", "depth": "Int32", "numbers": "Int32"})
+    """Nodes, depth, numbers, variables and functions of an expression; all null where it can't be read.
+
+    ``all_nodes`` and ``all_depth`` also count the nodes for names of functions, for operators and for reading a name.
+    """
+    none = (None,) * len(_SHAPE)
+    return pd.DataFrame([shape(x) or none if x else none for x in expression], columns=_SHAPE).astype(dict.fromkeys(_SHAPE[:5], "Int32"))
+
+
+def _cancels(tokens: list[str]) -> bool:
+    """Whether a column is divided by itself, or subtracted from itself alone in brackets (a number may follow)."""
+    for i, t in enumerate(tokens):
+        if not t.startswith("$") or tokens[i + 2 : i + 3] != [t]:
+            continue
+        if tokens[i + 1] == "/":
+            return True
+        if tokens[i + 1] == "-" and tokens[i - 1 : i] == ["("]:
+            rest = tokens[i + 3 : i + 6]
+            if rest[:1] == [")"] or len(rest) == 3 and rest[0] in "+-" and rest[1][0] in ".0123456789" and rest[2] == ")":
+                return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def self_cancelling(expression: pd.Series) -> pd.Series:
+    token = re.compile(r"\$\w+|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|\w+|\S")
+    return expression.map(lambda x: _cancels(token.findall((x or "").lower())))
 
 
 @F.pandas_udf(StringType())
@@ -114,18 +157,32 @@ def _first_reason(rules: list[tuple[str | Column, Column]]) -> Column:
     return out
 
 
+def words(values) -> Column:
+    return F.array(*(F.lit(v) for v in values)).cast("array<string>")
+
+
+def variables_of(e: Column) -> Column:
+    """The distinct columns ($name) of an expression, in order."""
+    return F.array_distinct(F.regexp_extract_all(e, F.lit(r"\$([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
+
+
+def calls_of(e: Column) -> Column:
+    """The distinct names that are called in an expression, in upper case and in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(e, F.lit(r"(?<![\w$])([A-Za-z_]\w*)\s*\("), F.lit(1)), F.upper))
+
+
 def rule_check(library: DataFrame, columns: list[str], expression: str = "factor_expression", least: int = MIN_WINDOW, most: int = MAX_WINDOW) -> DataFrame:
     """Adds ``rejected``: the first rule that an expression breaks (null: none), in this order: empty, unsupported function,
     condition, comparison, unknown column, window too small or too large."""
     e = F.col(expression)
-    variables = F.array_distinct(F.regexp_extract_all(e, F.lit(r"\$([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
-    unknown = F.array_except(variables, F.array(*(F.lit(c.lstrip("$")) for c in columns)).cast("array<string>")) if columns else F.array().cast("array<string>")
+    unknown = F.array_except(variables_of(e), words(c.lstrip("$") for c in columns)) if columns else words(())
+    unsupported = F.array_intersect(calls_of(e), words(UNSUPPORTED))
     found = library.withColumn("_w", _windows(F.coalesce(e, F.lit(""))))
     rules = [
         ("empty", F.trim(F.coalesce(e, F.lit(""))) == ""),
-        (F.concat(F.lit("unsupported_function:"), F.upper(F.regexp_extract(e, rf"(?i)\b({'|'.join(sorted(UNSUPPORTED))})\s*\(", 1))), e.rlike(rf"(?i)\b({'|'.join(UNSUPPORTED)})\s*\(")),
-        ("condition", e.rlike(r"(?i)\b(IIF|IF|IFELSE)\s*\(")),
-        ("comparison", e.rlike(r"==|<=|>=|<|>|!=")),
+        (F.concat(F.lit("unsupported_function:"), F.get(unsupported, F.lit(0))), F.size(unsupported) > 0),
+        ("condition", F.arrays_overlap(calls_of(e), words(CONDITIONS))),
+        ("comparison", reduce(lambda a, c: a | F.contains(e, F.lit(c)), COMPARISONS, F.lit(False))),
         (F.concat(F.lit("unknown_column:"), F.get(unknown, F.lit(0))), F.size(unknown) > 0),
         ("window_too_small", F.exists("_w", lambda n: n < least)),
         ("window_too_large", F.exists("_w", lambda n: n > most)),
@@ -133,43 +190,46 @@ def rule_check(library: DataFrame, columns: list[str], expression: str = "factor
     return found.withColumn("rejected", _first_reason(rules)).drop("_w")
 
 
-def candidate_check(library: DataFrame, columns: list[str], expression: str = "factor_expression", max_nodes: int = 60, max_depth: int = 12) -> DataFrame:
-    """Adds ``invalid``: unknown column, nested normaliser, self difference or quotient, unreadable, too many nodes, too deep,
-    unknown function; null where none applies."""
+def candidate_check(library: DataFrame, columns: list[str], expression: str = "factor_expression", max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Adds ``invalid``: empty, unknown column, nested normaliser, column that cancels itself, unreadable, too many nodes, too
+    deep, unknown function; null where none applies. Every node of the tree counts, also those that name functions or
+    operators."""
     e = F.col(expression)
-    variables = F.array_distinct(F.regexp_extract_all(e, F.lit(r"\$([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
-    unknown = F.array_except(variables, F.array(*(F.lit(c) for c in columns)).cast("array<string>"))
-    nested = F.lit(False)
-    for n in NORMALISERS:
-        nested |= e.rlike(rf"(?i)\b{n}\s*\(\s*{n}\s*\(")
-    itself = e.rlike(r"(?i)\(\s*\$([A-Za-z_][A-Za-z0-9_]*)\s*-\s*\$\1\s*(?:[+-]\s*(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?)?\s*\)") | e.rlike(r"(?i)\$([A-Za-z_][A-Za-z0-9_]*)\s*/\s*\$\1(?![A-Za-z0-9_])")
-    found = library.withColumn("_s", expression_shape(F.coalesce(e, F.lit(""))))
-    known = F.array(*(F.lit(f) for f in PUBLIC))
-    odd = F.array_except(F.transform("_s.functions", F.upper), F.transform(known, F.upper))
+    unknown = F.array_except(variables_of(e), words(c.lstrip("$") for c in columns))
+    nested = reduce(lambda a, n: a | e.rlike(rf"(?i)\b{n}\s*\(\s*{n}\s*\("), NORMALISERS, F.lit(False))
+    found = library.withColumns({"_s": expression_shape(F.coalesce(e, F.lit(""))), "_c": self_cancelling(e)})
+    odd = F.filter(F.col("_s.functions"), lambda f: ~F.array_contains(words(f.upper() for f in PUBLIC), F.upper(f)))
     rules = [
-        ("empty", F.trim(F.coalesce(e, F.lit(""))) == ""), (F.concat(F.lit("unknown_column:"), F.get(unknown, F.lit(0))), F.size(unknown) > 0), ("recursive_normalization", nested), ("degenerate_self_operation", itself),
-        ("syntax_error", F.col("_s.nodes").isNull()), ("too_many_nodes", F.col("_s.nodes") > max_nodes), ("too_deep", F.col("_s.depth") > max_depth), (F.concat(F.lit("unknown_function:"), F.get(odd, F.lit(0))), F.size(odd) > 0),
+        ("empty_expression", strip(F.coalesce(e, F.lit(""))) == ""), (F.concat(F.lit("unknown_column:$"), F.get(unknown, F.lit(0))), F.size(unknown) > 0), ("recursive_normalization", nested), ("degenerate_self_operation", F.col("_c")),
+        ("syntax_error", F.col("_s.nodes").isNull()), ("expression_too_many_nodes", F.col("_s.all_nodes") > max_nodes), ("expression_too_deep", F.col("_s.all_depth") > max_depth), (F.concat(F.lit("unknown_function:"), F.get(odd, F.lit(0))), F.size(odd) > 0),
     ]
-    return found.withColumn("invalid", _first_reason(rules)).drop("_s")
+    return found.withColumn("invalid", _first_reason(rules)).drop("_s", "_c")
 
 
 def lexical_check(library: DataFrame, columns: list[str], expression: str = "factor_expression") -> DataFrame:
     """Adds ``lexical``: unbalanced parentheses, runs of operators, unknown characters, functions or variables, no variable."""
     e = F.col(expression)
     count = lambda c: F.length(e) - F.length(F.replace(e, F.lit(c), F.lit("")))
-    calls = F.array_distinct(F.transform(F.regexp_extract_all(e, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)), F.upper))
-    variables = F.array_distinct(F.regexp_extract_all(e, F.lit(r"\$([A-Za-z_]\w*)"), F.lit(1)))
+    calls, variables = calls_of(e), variables_of(e)
     rules = [
         ("unbalanced_parentheses", count("(") != count(")")), ("operator_run", e.rlike(r"[*/]\s*[*/]|[+*/-]\s*[*/)]|[+*/(-]\s*$")), ("illegal_character", e.rlike(r"[^\w\s$+\-*/(),.&|<>=!]")),
-        ("unknown_function", F.size(F.array_except(calls, F.array(*(F.upper(F.lit(f)) for f in PUBLIC)))) > 0), ("unknown_variable", F.size(F.array_except(variables, F.array(*(F.lit(c) for c in columns)).cast("array<string>"))) > 0), ("no_variable", F.size(variables) == 0),
+        ("unknown_function", F.size(F.array_except(calls, words(f.upper() for f in PUBLIC))) > 0), ("unknown_variable", F.size(F.array_except(variables, words(columns))) > 0), ("no_variable", F.size(variables) == 0),
     ]
     return library.withColumn("lexical", _first_reason(rules))
 
 
-def acceptable_shape(library: DataFrame, expression: str = "factor_expression", max_length: int = 250, max_features: int = 6, max_number_share: float = 0.5) -> DataFrame:
-    """Adds the shape of each expression and whether it is acceptable: readable, short, of few variables, not mostly numbers."""
+def acceptable_shape(library: DataFrame, expression: str = "factor_expression", references: DataFrame | None = None, max_length: int = 250, max_features: int = 6, max_number_share: float = 0.5, max_variable_share: float = 0.5, max_common: int = 8) -> DataFrame:
+    """Adds the shape of each expression, the size of its largest sub-expression in common with ``references`` (0 without any) and
+    whether it is acceptable: readable, short, of few variables, less than half of it numbers, less than half of it different
+    variables, and no large part in common."""
     out = library.withColumn("shape", expression_shape(F.coalesce(F.col(expression), F.lit(""))))
-    good = F.col("shape.nodes").isNotNull() & (F.length(expression) <= max_length) & (F.size("shape.variables") <= max_features) & (F.col("shape.numbers") <= max_number_share * F.col("shape.nodes"))
+    if references is None:
+        out = out.withColumn("common_size", F.lit(0))
+    else:
+        common = largest_common_subtree(library, references, expression).select(F.col("new").alias("_new"), F.col("size").alias("_size"))
+        out = out.join(common, F.col(expression) == F.col("_new"), "left").withColumn("common_size", F.coalesce("_size", F.lit(0))).drop("_new", "_size")
+    n, features = F.col("shape.nodes"), F.size("shape.variables")
+    good = n.isNotNull() & (F.length(strip(F.col(expression))) <= max_length) & (features <= max_features) & (F.col("shape.numbers") < max_number_share * n) & (features < max_variable_share * n) & (F.col("common_size") <= max_common)
     return out.withColumn("acceptable", good)
 
 
@@ -244,16 +304,18 @@ def largest_common_subtree(new: DataFrame, library: DataFrame, expression: str =
     return a.join(b, "form").groupBy("new").agg(F.max_by(F.struct("old", "size", "form"), F.struct("size", "form")).alias("m")).select("new", "m.*")
 
 
-def quality_gate(new: DataFrame, library: DataFrame, columns: list[str], min_ic: float = 0.003, min_icir: float = 0.02, max_turnover: float = 1.0, min_coverage: float = 0.3, threshold: float = 0.9) -> DataFrame:
-    """Adds gate (the first that a record fails) and passed: error, metrics, rules, name, expression similarity."""
-    ic, icir = metric("metrics", "IC", "ic", "Rank IC"), metric("metrics", "ICIR", "icir", "Rank ICIR")
+def quality_gate(new: DataFrame, library: DataFrame, columns: list[str], min_ic: float = 0.003, min_icir: float = 0.005, max_turnover: float = 0.5, min_coverage: float = 0.8, threshold: float = 0.9) -> DataFrame:
+    """Adds gate (the first that a record fails) and passed: error, IC, its ratio, turnover, coverage, rules, name, expression
+    similarity. A missing IC, ratio or coverage counts as 0, a missing turnover (or one of 0) as 1."""
+    ic, icir = (F.coalesce(metric("metrics", *n), F.lit(0.0)) for n in (("IC", "ic", "Rank IC", "rank_ic"), ("ICIR", "icir", "Rank ICIR", "rank_icir")))
+    moved, share = metric("metrics", "turnover"), F.coalesce(metric("metrics", "coverage"), F.lit(0.0))
+    moved = F.when(moved.isNull() | (moved == 0), 1.0).otherwise(moved)
     out = rule_check(new, columns)
     names = library.select(F.lower("factor_name").alias("_n"), F.lit(True).alias("_known")).distinct()
     out = out.withColumn("_n", F.lower("factor_name")).join(names, "_n", "left")
     near = similar_expressions(new, library, threshold).select(F.col("new_form").alias("_form"), F.lit(True).alias("_near")).distinct()
     out = out.withColumn("_form", normal_form(F.col("factor_expression"))).join(near, "_form", "left")
-    low = (F.abs(ic) < min_ic) | (F.abs(icir) < min_icir) | (metric("metrics", "turnover") > max_turnover) | (metric("metrics", "coverage") < min_coverage)
-    gate = _first_reason([("error", F.col("factor_expression").isNull()), ("metrics", F.coalesce(low, F.lit(False)) | ic.isNull()), ("rules", F.col("rejected").isNotNull()), ("name", F.col("_known").isNotNull()), ("similarity", F.col("_near").isNotNull())])
+    gate = _first_reason([("error", F.col("factor_expression").isNull()), ("ic", F.abs(ic) < min_ic), ("icir", F.abs(icir) < min_icir), ("turnover", moved > max_turnover), ("coverage", share < min_coverage), ("rules", F.col("rejected").isNotNull()), ("name", F.col("_known").isNotNull()), ("similarity", F.col("_near").isNotNull())])
     return out.withColumn("gate", gate).withColumn("passed", F.col("gate").isNull()).drop("_n", "_form", "_known", "_near", "rejected")
 
 
@@ -262,17 +324,18 @@ def gate_summary(judged: DataFrame) -> DataFrame:
 
 
 def join_metrics(implementations: DataFrame, metrics: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Implementations with their metrics by name without case; those of the round where there are none."""
-    own = metrics.select(F.lower("factor_name").alias("_n"), F.col("metrics").alias("_own")).dropDuplicates(["_n"])
-    per_round = rounds.select("loop_round", F.col("metrics").alias("_round")).dropDuplicates(["loop_round"])
+    """Implementations with their metrics by name without case; those of the round where there are none. Of several metrics
+    of a name or round the greatest as JSON counts, so that equal tables give equal results."""
+    one = lambda name: F.max_by("metrics", F.to_json("metrics")).alias(name)
+    own, per_round = metrics.groupBy(F.lower("factor_name").alias("_n")).agg(one("_own")), rounds.groupBy("loop_round").agg(one("_round"))
     out = implementations.withColumn("_n", F.lower("factor_name")).join(own, "_n", "left").join(per_round, "loop_round", "left")
     return out.withColumn("metrics", F.coalesce("_own", "_round")).drop("_n", "_own", "_round")
 
 
 def orphans(files: DataFrame, library: DataFrame) -> DataFrame:
-    """Files that no record expects: neither its own file name nor that of its run, round and name."""
-    made = F.concat_ws("_", "run_id", "loop_round", slug(F.col("factor_name")))
-    expected = library.select(F.explode(F.array_compact(F.array("factor_file", F.concat(made, F.lit(".py"))))).alias("file")).distinct()
+    """Files that no record expects: neither its own file name nor that of its run, round, index and expression."""
+    own = F.trim("factor_file")
+    expected = library.select(F.explode(F.array_compact(F.array(F.when(own != "", own), file_name(library)))).alias("file")).distinct()
     return files.join(expected, "file", "left_anti")
 
 
@@ -292,38 +355,74 @@ def union_libraries(*libraries: DataFrame) -> DataFrame:
     return first_of(both, bare("factor_expression"), ["_p", "factor_name"]).drop("_p")
 
 
-def recover(library: DataFrame, legacy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(library with the legacy's records and file names filled in, counts by action) by run, round and index."""
-    old = legacy.dropDuplicates(_KEY)
-    names = [c for c in library.columns if c not in _KEY and c in old.columns]
-    joined = library.withColumn("_here", F.lit(True)).join(old.select(*_KEY, *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_there")), _KEY, "full_outer")
-    action = F.when(F.col("_here").isNull(), "inserted").when(F.col("_there").isNull(), "kept").when(F.col("factor_file").isNull() & F.col("_factor_file").isNotNull(), "filled").otherwise("skipped_existing")
-    joined = joined.withColumn("action", action)
-    out = joined.select(*_KEY, *((F.coalesce(c, f"_{c}") if c in names else F.col(c)).alias(c) for c in library.columns if c not in _KEY))
-    return out, joined.groupBy("action").agg(F.count("*").alias("n"))
-
+def recover(library: DataFrame, legacy: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(library with the legacy's missing records and file names, counts by action) by run, round and index.
 
-def upsert_failures(*logs: DataFrame) -> DataFrame:
-    """One row for each name and run over several logs (name, run_id, timestamp, reason, expression): of each field the
-    last value that isn't null, later logs after earlier ones at equal times."""
-    both = None
-    for i, d in enumerate(logs):
-        d = d.select("name", "run_id", "timestamp", "reason", "expression", F.lit(i).alias("src"))
-        both = d if both is None else both.unionByName(d)
-    order = F.struct("timestamp", "src")
+    Actions of legacy records: recovered, updated_existing (a stored record gets its file name), already_present,
+    unparseable_record (no run or expression), code_missing (its file isn't among ``files``). Of legacy records with the
+    same key the first by name and expression counts.
+    """
+    made = F.when(F.trim(F.coalesce("run_id", F.lit(""))) != "", file_name(legacy))
+    old = legacy.withColumn("_file", made)
+    there = F.lit(True)
+    if files is not None:
+        old = old.join(files.select(F.col("file").alias("_file"), F.lit(True).alias("_there")).distinct(), "_file", "left")
+        there = F.col("_there").isNotNull()
+    skip = F.when(F.col("_file").isNull(), "unparseable_record").when(~there, "code_missing")
+    old = old.withColumn("_skip", skip)
+    usable = first_of(old.filter("_skip is null"), F.struct(*_KEY), ["factor_name", "factor_expression"])
+    more = old.filter("_skip is null").agg((F.count("*") - F.count_distinct(F.struct(*_KEY))).alias("n"))
+    stored = library.select(*_KEY, F.coalesce(F.trim("factor_file") == "", F.lit(True)).alias("_open"), F.lit(True).alias("_here")).groupBy(*_KEY).agg(F.max("_open").alias("_open"), F.max("_here").alias("_here"))
+    judged = usable.join(stored, _KEY, "left").withColumn("action", F.when(F.col("_here").isNull(), "recovered").when(F.col("_open"), "updated_existing").otherwise("already_present"))
+    names = judged.filter("action = 'updated_existing'").select(*_KEY, "_file")
+    kept = library.join(names, _KEY, "left").withColumn("factor_file", F.when(F.coalesce(F.trim("factor_file") == "", F.lit(True)), F.coalesce("_file", "factor_file")).otherwise(F.col("factor_file")))
+    new = judged.filter("action = 'recovered'").withColumn("factor_file", F.col("_file"))
+    if "source" in library.columns:
+        new = new.withColumn("source", F.lit("legacy_old_json_recovery"))
+    new = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(library.schema[c].dataType).alias(c) for c in library.columns))
+    counts = judged.groupBy("action").agg(F.count("*").alias("n"))
+    counts = counts.union(old.filter("_skip is not null").groupBy(F.col("_skip")).agg(F.count("*"))).union(more.select(F.lit("already_present"), "n"))
+    return kept.select(*library.columns).unionByName(new), counts.groupBy("action").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+_EVENT = {"name": "string", "run_id": "string", "timestamp": None, "reason": "string", "expression": "string", "type": "string", "metrics": "map<string,string>"}
+
+
+def upsert_failures(*logs: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
+    """One row for each name and run over several logs (name, run_id, timestamp, reason, expression, and type and metrics where
+    they have them): of each field the last value that isn't null, later logs after earlier ones at equal times.
+
+    ``proposals`` (same columns) count only for names and runs that no log has: the first one of each.
+    """
+    some = [c for c in _EVENT if any(c in d.columns for d in (*logs, *([proposals] if proposals is not None else [])))]
+    take = lambda d: d.select(*(F.col(c) if c in d.columns else F.lit(None).cast(_EVENT[c] or "timestamp").alias(c) for c in some))
+    both = reduce(DataFrame.unionByName, (take(d).withColumn("src", F.lit(i)) for i, d in enumerate(logs)))
+    order = F.struct("timestamp", "src", *(F.to_json(c) if c == "metrics" else F.col(c) for c in some if c not in ("name", "run_id", "timestamp")))
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    return both.groupBy("name", "run_id").agg(F.max("timestamp").alias("timestamp"), latest("reason"), latest("expression"))
+    rest = [c for c in some if c not in ("name", "run_id")]
+    out = both.groupBy("name", "run_id").agg(*(F.max(c).alias(c) if c == "timestamp" else latest(c) for c in rest))
+    if proposals is None:
+        return out
+    fresh = first_of(take(proposals), F.struct("name", "run_id"), ["timestamp", "expression"]).join(out.select("name", "run_id"), ["name", "run_id"], "left_anti")
+    fresh = fresh.withColumn("reason", F.coalesce("reason", F.lit("Proposed but results pending or rejected.")))
+    return out.unionByName(fresh.withColumn("type", F.coalesce("type", F.lit("unsuccessful_attempt"))) if "type" in some else fresh)
 
 
 def duplicate_expressions(library: DataFrame) -> DataFrame:
-    e = bare("factor_expression")
-    return library.groupBy(e.alias("expression")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("factor_name")).alias("members")).filter("n > 1").orderBy(F.desc("n"), "expression")
+    """(expression, factor_name, n): the members of each expression that n > 1 records share, one row each."""
+    return _members(library, bare("factor_expression"), "expression")
+
+
+def _members(library: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows of groups of two or more, with the group's size; no group is gathered in one cell."""
+    keyed = library.select(key.alias(name), "factor_name")
+    shared = keyed.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(shared, name)
 
 
 def duplicate_names(library: DataFrame) -> DataFrame:
-    """Names that differ in a number at their end only."""
-    base = F.regexp_replace("factor_name", r"\s+\d+$", "")
-    return library.groupBy(base.alias("base_name")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("factor_name")).alias("members")).filter("n > 1")
+    """(base_name, factor_name, n): names that differ in a number at their end only, one row each."""
+    return _members(library, F.regexp_replace("factor_name", r"\s+\d+$", ""), "base_name")
 
 
 def library_summary(library: DataFrame) -> DataFrame:
@@ -334,11 +433,19 @@ def recent(events: DataFrame, n: int, time: str = "timestamp", tie: str = "name"
     return events.orderBy(F.desc(time), tie).limit(n)
 
 
+def recent_rejected(events: DataFrame, n: int = 50) -> DataFrame:
+    """The latest ``n`` rejected factors, one row (the last) for each name."""
+    return first_of(events, F.col("name"), [F.desc("timestamp"), F.desc("reason")]).orderBy(F.desc("timestamp"), "name").limit(n)
+
+
 def failure_summary(events: DataFrame, last: int = 30, reasons: int = 8, names: int = 12, samples: int = 5) -> DataFrame:
-    """(kind, value, n) over the most recent events: their commonest reasons and names, and some expressions."""
+    """(kind, value, n) over the most recent events: their commonest reasons and names (missing ones count as unknown), and the
+    first distinct expressions among them."""
     tail = recent(events, last)
-    top = lambda c, k: tail.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k).select(F.lit(c).alias("kind"), "value", "n")
-    return top("reason", reasons).union(top("name", names)).union(top("expression", samples))
+    text = lambda c: F.coalesce(F.when(strip(F.col(c)) != "", strip(F.col(c))), F.lit("unknown"))
+    top = lambda c, k: tail.groupBy(text(c).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k).select(F.lit(c).alias("kind"), "value", "n")
+    shown = tail.filter(strip(F.col("expression")) != "").groupBy(strip(F.col("expression")).alias("value")).agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "name")).alias("_at"))
+    return top("reason", reasons).union(top("name", names)).union(shown.orderBy("_at", "value").limit(samples).select(F.lit("expression"), "value", "n"))
 
 
 def phase_counts(trajectories: DataFrame) -> DataFrame:
@@ -357,8 +464,9 @@ def search_summary(history: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def by_hypothesis(library: DataFrame, sharpe: float = 2.0) -> DataFrame:
+    """(hypothesis, n, has_strong); the factors of each are the library's own rows."""
     s = metric("metrics", "Sharpe", "sharpe")
-    return library.groupBy("hypothesis").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(s > sharpe), F.lit(False)).alias("has_strong"), F.sort_array(F.collect_list("factor_name")).alias("factors"))
+    return library.groupBy("hypothesis").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(s > sharpe), F.lit(False)).alias("has_strong"))
 
 
 def top_factors(library: DataFrame, k: int = 10, names: tuple[str, ...] = ("Sharpe", "sharpe")) -> DataFrame:
@@ -371,7 +479,7 @@ def candidate_pool(candidates: DataFrame, n: int = 50) -> DataFrame:
 
 
 def rank_seeds(seeds: DataFrame, priority: DataFrame, penalty: DataFrame, memory_words: DataFrame) -> DataFrame:
-    """Seeds by memory score: 100 less its rank (50 at most) in the priority list, less 50 less its rank (25 at most) in the
+    """Seeds by memory score (its numbers and words are fixed values): 100 less its rank (50 at most) in the priority list, less 50 less its rank (25 at most) in the
     penalty list, three for each of up to eight words in common with memory, and small bonuses for words in its name.
 
     priority and penalty: (name, place from 0); memory_words: (word).
@@ -404,7 +512,7 @@ def audit(library: DataFrame, files: DataFrame) -> DataFrame:
     s = library_summary(library)
     row = lambda d, check, advice: d.agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), "n", F.lit(advice).alias("advice"))
     out = s.select(F.lit("records").alias("check"), F.col("records").alias("n"), F.lit("").alias("advice")).union(s.select(F.lit("distinct_expressions"), "distinct_expressions", F.lit("")))
-    return out.union(row(duplicate_expressions(library), "duplicate_expressions", "keep the first of each")).union(row(duplicate_names(library), "duplicate_names", "merge or rename")).union(row(orphans(files, library), "orphan_files", "archive"))
+    return out.union(row(duplicate_expressions(library).select("expression").distinct(), "duplicate_expressions", "keep the first of each")).union(row(duplicate_names(library).select("base_name").distinct(), "duplicate_names", "merge or rename")).union(row(orphans(files, library), "orphan_files", "archive"))
 
 
 def knowledge_snapshot(library: DataFrame, events: DataFrame) -> dict[str, DataFrame]:

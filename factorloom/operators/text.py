@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from factorloom.functions.stats import ASSET, TIME
+from factorloom.functions.stats import ASSET, TIME, strip
 
 #: Words of the default lexicons.
 LEXICON = {
@@ -18,10 +21,14 @@ LEXICON = {
     "liquidity": ["funding", "inflow", "liquidity", "open interest", "outflow", "volume"],
 }
 FEATURES = ["news_count", "news_sentiment_score", "risk_event_count", "policy_event_flag", "liquidity_event_score"]
-#: Endings of a quote currency, and roles of mentions that make no event.
-QUOTES = ["USDT", "USDC", "BUSD", "USD"]
-SILENT_ROLES = ["example", "illustration", "incidental_reference"]
+#: Endings of a quote currency (the first that fits is taken off), and roles of mentions that make no event.
+QUOTES = ["USDT", "USD", "USDC", "BUSD"]
+SILENT_ROLES = ["backtest_example", "illustration", "incidental_reference"]
 TITLE_CHARS, BODY_CHARS, CHUNK_CHARS, CHUNKS = 240, 4000, 2500, 12
+#: Marks that don't begin a title.
+MARKS = "#*-"
+#: Parts of the symbols that a record of the whole market is sent to.
+PARTS = 64
 
 
 def _escaped(word: str) -> str:
@@ -72,9 +79,10 @@ def fan_out(records: DataFrame, symbols: DataFrame) -> DataFrame:
     """Records of known symbols, and those of the whole market (``*``) once for every symbol of the panel."""
     own = symbols.select(F.upper(ASSET).alias(ASSET)).distinct()
     exact = records.join(own, ASSET, "left_semi")
-    wide = records.filter(F.col(ASSET) == "*").drop(ASSET)
-    listed = own.agg(F.sort_array(F.collect_set(ASSET)).alias("_s"))  # the panel's symbols, one row
-    return exact.unionByName(wide.join(listed).withColumn(ASSET, F.explode("_s")).drop("_s"))
+    # each record goes to every part of the symbols and meets those of the part: no row holds all symbols
+    wide = records.filter(F.col(ASSET) == "*").drop(ASSET).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parts = own.withColumn("_part", F.pmod(F.xxhash64(ASSET), F.lit(PARTS)).cast("int"))
+    return exact.unionByName(wide.join(parts, "_part").drop("_part"))
 
 
 def unknown_symbols(records: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -103,48 +111,58 @@ def unified_panel(panel: DataFrame, records: DataFrame, lexicon: dict[str, list[
     return joined.fillna(0.0, FEATURES)
 
 
-def html_to_text(html: Column) -> Column:
-    """Text of HTML: scripts, styles, comments and tags go, block tags break lines, common entities are resolved."""
-    x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
+def html_to_text(markup: Column) -> Column:
+    """Text of HTML: scripts, styles, comments and tags go, block tags break lines, entities are resolved."""
+    x = F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/title)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
-    return F.regexp_replace(x, r"[ \t]+", " ")
+    coded = F.contains(x, F.lit("&"))  # only texts with an entity go to Python
+    x = F.when(coded, _unescape(F.when(coded, x))).otherwise(x)
+    return F.regexp_replace(x, r"[ \t\xa0]+", " ")
+
+
+@F.pandas_udf(StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    """Named and numeric entities as characters."""
+    return text.map(html.unescape, na_action="ignore")
 
 
 def tidy_lines(text: Column) -> Column:
     """Lines without white space at their ends; blank lines go."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n")
 
 
 def title_of(text: Column, fallback: Column) -> Column:
     """The first line that isn't empty without its leading marks."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[#*\-\s]+", ""))), lambda x: x != "")
+    bare = lambda x: strip(F.ltrim(strip(x), F.lit(MARKS + " \t")))
+    lines = F.filter(F.transform(F.split(text, "\n"), bare), lambda x: x != "")
     return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, TITLE_CHARS), fallback)
 
 
 def body_of(text: Column, title: Column) -> Column:
-    body = F.trim(text)
-    body = F.when(F.startswith(body, title), F.trim(F.substring(body, F.length(title) + 1, F.length(body)))).otherwise(body)
+    body = strip(text)
+    body = F.when(F.startswith(body, title), strip(F.substring(body, F.length(title) + 1, F.length(body)))).otherwise(body)
     return F.when(body == "", title).otherwise(F.substring(body, 1, BODY_CHARS))
 
 
 def date_of(text: Column, file: Column, modified: Column) -> Column:
-    """First date in the text, else in the file's name, else when the file was changed."""
-    iso = F.regexp_extract(text, r"\b(20\d{2}[-/]\d{1,2}[-/]\d{1,2})(?:[ T](\d{1,2}:\d{2}(?::\d{2})?))?\b", 1)
-    clock = F.regexp_extract(text, r"\b20\d{2}[-/]\d{1,2}[-/]\d{1,2}[ T](\d{1,2}:\d{2}(?::\d{2})?)\b", 1)
-    iso = F.regexp_replace(iso, "/", "-")
-    plain, named = F.regexp_extract(text, r"\b(20\d{6})\b", 1), F.regexp_extract(F.element_at(F.split(file, "/"), -1), r"(20\d{2}\d{2}\d{2})", 1)
-    some = lambda x, fmt: F.when(x != "", F.try_to_timestamp(x, F.lit(fmt)))
-    both = F.concat_ws(" ", iso, F.when(F.length(clock) > 5, clock).otherwise(F.concat(clock, F.lit(":00"))))
-    return F.coalesce(F.when(clock != "", some(both, "yyyy-M-d H:mm:ss")), some(iso, "yyyy-M-d"), some(plain, "yyyyMMdd"), some(named, "yyyyMMdd"), modified)
+    """First date in the text (year, month, day between - or /, with a time of day where one follows), else the first of eight
+    digits, else that in the file's name, else when the file was changed. A date that doesn't exist gives way to the next kind."""
+    number = lambda x, pattern, i: F.regexp_extract(x, pattern, i).try_cast("int")
+    spelled = r"(?<!\w)(20[0-9]{2})[/-]([0-9]{1,2})[/-]([0-9]{1,2})(?:[T ]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?(?!\w)"
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    full = F.try_make_timestamp(*(number(text, spelled, i) for i in (1, 2, 3)), *(zero(number(text, spelled, i)) for i in (4, 5)), zero(number(text, spelled, 6)).cast("decimal(8,6)"))
+    digits = lambda x, pattern: F.try_make_timestamp(*(F.substring(F.regexp_extract(x, pattern, 1), a, n).try_cast("int") for a, n in ((1, 4), (5, 2), (7, 2))), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+    return F.coalesce(full, digits(text, r"(?<!\w)(20[0-9]{6})(?!\w)"), digits(F.element_at(F.split(file, "/"), -1), r"(20[0-9]{6})"), modified)
 
 
 def base_symbol(symbol: Column) -> Column:
-    """A symbol without its quote currency."""
-    return F.regexp_replace(symbol, f"(?<=.)(?:{'|'.join(QUOTES)})$", "")
+    """A symbol without its quote currency: the first of ``QUOTES`` that it ends in, and that isn't all of it."""
+    out = F.lit(None).cast("string")
+    for q in reversed(QUOTES):
+        out = F.when(F.endswith(symbol, F.lit(q)) & (F.length(symbol) > len(q)), F.left(symbol, F.length(symbol) - len(q))).otherwise(out)
+    return F.coalesce(out, symbol)
 
 
 def chunks_of(text: Column, most: int = CHUNK_CHARS, count: int | None = CHUNKS) -> Column:
@@ -267,7 +285,7 @@ def summary_events(docs: DataFrame, aliases: DataFrame, symbols: DataFrame, summ
     role = or_else("e.asset_role", F.when(F.col(ASSET) == "*", "market_wide_or_non_panel_primary").otherwise("panel_primary"))
     when = F.coalesce(parse_time(F.col("e.timestamp")), parse_time(F.col("_date")), F.col("_ts"))
     body = F.trim(F.coalesce("e.body", F.lit("")))
-    confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("e.confidence", F.lit(0.5)))), 4)
+    confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("e.confidence", F.lit(0.6)))), 4)
     out = e.filter(body != "").select(key, "event_no", ASSET, role.alias("asset_role"), F.substring(or_else("e.title", or_else("_doc_title", F.col("_title"))), 1, TITLE_CHARS).alias("title"), F.substring(body, 1, BODY_CHARS).alias("body"), or_else("e.event_type", F.lit("report_event")).alias("event_type"), or_else("e.direction", F.lit("neutral")).alias("direction"), confidence.alias("confidence"), F.when(F.size("e.evidence") > 0, F.col("e.evidence")).otherwise(F.col("_ev")).alias("evidence"), when.alias("timestamp"))
     return out.withColumn("emitted", ~F.lower("asset_role").isin(SILENT_ROLES))
 

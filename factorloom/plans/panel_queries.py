@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.functions.stats import rounded
+from factorloom.functions.stats import over_assets, rounded
 from factorloom.operators import diagnostics, evaluate, model, panel, preprocess
 from factorloom.operators.factors import with_factors
 
@@ -222,7 +222,12 @@ def factors_nested(spark, sf_dir):
 TWENTY = {f"f{i}": e for i, e in enumerate([*ASSET_FACTORS.values(), "RANK(TS_MEAN($close, 3))", "ZSCORE(TS_STD($close, 5))", "RANK(DELTA($close, 1)) - RANK($volume)", "TS_MEAN(RANK($close), 5)", "SCALE(TS_SUM($volume, 3))", "TS_RANK($close, 8)", "$close / DELAY($close, 5) - 1", "ZSCORE($close) * RANK($volume)"])}
 
 
-@query(None)
+@query(f"""WITH {P1}, a AS (SELECT *, row_number() {W}) AS rn, avg(close) {rows(3)} AS m3, stddev_samp(close) {rows(5)} AS s5, close - lag(close, 1) {W}) AS d1, sum(volume) {rows(3)} AS v3, list(close) {rows(8)} AS l8, close / nullif(lag(close, 5) {W}), 0) - 1 AS f18 FROM panel),
+b AS (SELECT *, {sql_rank('m3')} AS r3, {sql_rank('d1')} AS rd, {sql_rank('volume')} AS rv, {sql_rank('close')} AS rc, (s5 - avg(s5) {D}) / nullif(stddev_samp(s5) {D}, 0) AS f13, v3 / nullif(sum(abs(v3)) {D}, 0) AS f16, (close - avg(close) {D}) / nullif(stddev_samp(close) {D}, 0) AS zc FROM a)
+SELECT datetime, symbol, round(lag(close, 2) {W}), 6) AS f0, round(close - lag(close, 3) {W}), 6) AS f1, round(avg(close) {rows(5)}, 6) AS f2, round(sum(volume) {rows(4)}, 6) AS f3, round(min(low) {rows(6)}, 6) AS f4, round(max(high) {rows(6)}, 6) AS f5, round(stddev_samp(close) {rows(5)}, 6) AS f6, round(median(close) {rows(5)}, 6) AS f7,
+  round((close - avg(close) {rows(7)}) / nullif(stddev_samp(close) {rows(7)}, 0), 6) AS f8, round(close / nullif(lag(close, 2) {W}), 0) - 1, 6) AS f9, round(close * 3 / 6 + CASE WHEN rn > 1 THEN lag(close, 1) {W}) ELSE 0 END * 2 / 6 + CASE WHEN rn > 2 THEN lag(close, 2) {W}) ELSE 0 END / 6, 6) AS f10,
+  round(CASE WHEN count(close) {rows(6)} >= 2 THEN covar_samp(close, vwap) {rows(6)} / nullif(stddev_samp(close) {rows(6)} * stddev_samp(vwap) {rows(6)}, 0) END, 6) AS f11, round(r3, 6) AS f12, round(f13, 6) AS f13, round(rd - rv, 6) AS f14, round(avg(rc) {rows(5)}, 6) AS f15, round(f16, 6) AS f16,
+  round((len(list_filter(l8, lambda x: x < close)) + (len(list_filter(l8, lambda x: x = close)) + 1) / 2.0) / len(l8), 6) AS f17, round(f18, 6) AS f18, round(zc * rv, 6) AS f19 FROM b""")
 def factors_twenty(spark, sf_dir):
     return with_factors(daily(spark, sf_dir), TWENTY, ["datetime", "symbol"])[0]
 
@@ -238,9 +243,24 @@ def preprocess_neutralise(spark, sf_dir):
     return preprocess.neutralise(weekly(spark, sf_dir), ["close"], "volume").select("datetime", "symbol", "close")
 
 
-@query(None)
+#: Ordinary least squares on two variables from a date's centred moments; the second one in units of 1e12.
+TWO_SQL = f"""{P2}, m AS (SELECT *, amount * 1e9 AS cap, count(*) {D} AS n, avg(close) {D} AS my, avg(volume) {D} AS m1, avg(amount * 1e9) {D} AS m2 FROM panel),
+c AS (SELECT *, sum((volume - m1) * (volume - m1)) {D} AS s11, sum((volume - m1) * (cap - m2) / 1e12) {D} AS s12, sum((cap - m2) / 1e12 * (cap - m2) / 1e12) {D} AS s22, sum((volume - m1) * (close - my)) {D} AS sy1, sum((cap - m2) / 1e12 * (close - my)) {D} AS sy2 FROM m),
+o AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM c)"""
+
+
+@query(f"""WITH {TWO_SQL} SELECT datetime, symbol, round(CASE WHEN n < 4 THEN close WHEN det > 1e-9 * s11 * s22 THEN close - my - (s22 * sy1 - s12 * sy2) / det * (volume - m1) - (s11 * sy2 - s12 * sy1) / det * (cap - m2) / 1e12 END, 4) + 0.0 AS close,
+  round(CASE WHEN n < 4 THEN discount WHEN det > 1e-9 * s11 * s22 THEN 0 END, 6) AS planted FROM o WHERE n < 4 OR det > 1e-9 * s11 * s22""")
 def preprocess_neutralise_many(spark, sf_dir):
-    return preprocess.neutralise_many(weekly(spark, sf_dir), ["close"], ["volume", "discount"]).select("datetime", "symbol", "close")
+    """Two factors on two variables, one in units of a market capitalisation; one of the factors is a sum of the variables."""
+    df = weekly(spark, sf_dir).withColumns({"cap": F.col("amount") * 1e9, "planted": F.col("discount")})
+    n = F.count("*").over(over_assets())
+    df = df.withColumn("planted", F.when(n >= 4, F.col("volume") * 2 + F.col("cap") / 1e12).otherwise(F.col("discount")))
+    out = preprocess.neutralise_many(df, ["close", "planted"], ["volume", "cap"])
+    x, y, w = F.col("volume"), F.col("cap") / 1e12, over_assets()
+    s = [F.var_samp(x).over(w), F.covar_samp(x, y).over(w), F.var_samp(y).over(w)]
+    fine = out.withColumn("fine", (F.count("*").over(w) < 4) | (s[0] * s[2] - s[1] * s[1] > 1e-9 * s[0] * s[2]))
+    return fine.filter("fine").select("datetime", "symbol", F.round("close", 4).alias("close"), "planted")
 
 
 @query(f"""WITH {P2}, f AS (SELECT datetime, symbol, coalesce(returns_1d, avg(returns_1d) {D}, 0) AS returns_1d, close FROM panel)
@@ -257,7 +277,13 @@ def preprocess_training_frame(spark, sf_dir):
     return preprocess.training_frame(weekly(spark, sf_dir), ["close"], "returns_1d").select("datetime", "symbol", "close", "returns_1d")
 
 
-@query(None)
+def _cleaned(c: str) -> str:
+    """Steps of the preprocessing of one column, as common table expressions."""
+    return f"""m_{c} AS (SELECT datetime, symbol, {c} AS v, discount AS x, median({c}) {D} AS m FROM panel), d_{c} AS (SELECT *, median(abs(v - m)) {D} * 1.4826 AS d FROM m_{c}), w_{c} AS (SELECT datetime, symbol, x, CASE WHEN d > 0 THEN greatest(m - 3 * d, least(m + 3 * d, v)) ELSE v END AS v FROM d_{c}),
+n_{c} AS (SELECT datetime, symbol, CASE WHEN count(*) {D} >= 3 THEN v - avg(v) {D} - coalesce(covar_samp(v, x) {D} / nullif(var_samp(x) {D}, 0), 0) * (x - avg(x) {D}) ELSE v END AS v FROM w_{c}), z_{c} AS (SELECT datetime, symbol, (v - avg(v) {D}) / nullif(stddev_samp(v) {D}, 0) AS v FROM n_{c})"""
+
+
+@query(f"WITH {P2}, {_cleaned('close')}, {_cleaned('volume')} SELECT panel.datetime, panel.symbol, round(z_close.v, 6) AS close, round(z_volume.v, 6) AS volume, {r6('amount', 'discount', 'returns_1d')} FROM panel JOIN z_close USING (datetime, symbol) JOIN z_volume USING (datetime, symbol)")
 def preprocess_pipeline(spark, sf_dir):
     return preprocess.preprocess(weekly(spark, sf_dir), ["close", "volume"], neutralise_by=["discount"])[0]
 
@@ -266,8 +292,9 @@ FACTORS = {"reversal": "0 - $close / DELAY($close, 1) + 1", "volume": "TS_MEAN($
 LONG_SQL = f"""{P2}, w AS (SELECT *, 0 - close / nullif(lag(close) {W}), 0) + 1 AS reversal, avg(volume) {rows(4)} AS vol, (discount - avg(discount) {D}) / nullif(stddev_samp(discount) {D}, 0) AS cheap FROM panel),
 long AS (SELECT datetime, symbol, returns_1d AS target, 'reversal' AS factor, reversal AS value FROM w UNION ALL SELECT datetime, symbol, returns_1d, 'volume', vol FROM w UNION ALL SELECT datetime, symbol, returns_1d, 'cheap', cheap FROM w),
 pairs AS (SELECT * FROM long WHERE value IS NOT NULL AND target IS NOT NULL)"""
-IC_SQL = f"""{LONG_SQL}, ranked AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('target', 'factor, datetime')} AS rt FROM pairs),
+IC_T = f"""ranked AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('target', 'factor, datetime')} AS rt FROM pairs),
 ics AS (SELECT factor, datetime, covar_samp(value, target) / nullif(stddev_samp(value) * stddev_samp(target), 0) AS ic, covar_samp(rv, rt) / nullif(stddev_samp(rv) * stddev_samp(rt), 0) AS rank_ic FROM ranked GROUP BY 1, 2 HAVING count(*) >= 2)"""
+IC_SQL = f"{LONG_SQL}, {IC_T}"
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -304,8 +331,9 @@ def factor_turnover(spark, sf_dir):
     return evaluate.turnover(long(spark, sf_dir), panel.dates(weekly(spark, sf_dir)))
 
 
-LAYER_SQL = f"""{LONG_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY factor, datetime ORDER BY value, symbol) AS rn, count(*) OVER (PARTITION BY factor, datetime) AS cnt FROM pairs),
+LAYER_T = f"""b AS (SELECT *, row_number() OVER (PARTITION BY factor, datetime ORDER BY value, symbol) AS rn, count(*) OVER (PARTITION BY factor, datetime) AS cnt FROM pairs),
 l AS (SELECT *, least(5, greatest(1, ceil(rn / cnt::DOUBLE * 5)))::INT AS bucket FROM b WHERE cnt >= 2)"""
+LAYER_SQL = f"{LONG_SQL}, {LAYER_T}"
 
 
 @query(f"WITH {LAYER_SQL} SELECT factor, bucket, round(avg(target), 6) AS mean_return, count(*) AS n FROM l GROUP BY 1, 2")
@@ -343,8 +371,9 @@ def long_short_by_rank(spark, sf_dir):
     return evaluate.quantile_long_short(long(spark, sf_dir))
 
 
-HALF_SQL = f"""{LONG_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY factor, datetime ORDER BY value DESC, symbol) AS hi, row_number() OVER (PARTITION BY factor, datetime ORDER BY value, symbol) AS lo, greatest(1, floor(count(*) OVER (PARTITION BY factor, datetime) * 0.2)) AS n FROM pairs),
+HALF_T = f"""k AS (SELECT *, row_number() OVER (PARTITION BY factor, datetime ORDER BY value DESC, symbol) AS hi, row_number() OVER (PARTITION BY factor, datetime ORDER BY value, symbol) AS lo, greatest(1, floor(count(*) OVER (PARTITION BY factor, datetime) * 0.2)) AS n FROM pairs),
 q AS (SELECT factor, datetime, avg(CASE WHEN hi <= n THEN target END) AS long_return, avg(CASE WHEN lo <= n THEN target END) AS short_return, avg(target) AS average_return FROM k GROUP BY 1, 2)"""
+HALF_SQL = f"{LONG_SQL}, {HALF_T}"
 
 
 @query(f"""WITH {HALF_SQL} SELECT factor, datetime, {r6('long_return', 'short_return', 'average_return')}, round((long_return - short_return) / 2, 6) AS long_short, round(long_return - average_return, 6) AS long_average FROM q""")
@@ -357,42 +386,94 @@ def annualised_return(spark, sf_dir):
     return evaluate.annualised(evaluate.quantile_long_short(long(spark, sf_dir), by_rank=False, half=True), "long_short")
 
 
-@query(f"""WITH {LONG_SQL}, {TURNOVER_SQL}, n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n FROM c),
+SCREEN_SQL = f"""{LONG_SQL}, {TURNOVER_SQL}, n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n FROM c),
 t AS (SELECT long.* FROM long JOIN c ON c.datetime = long.datetime, n WHERE k < n), tp AS (SELECT * FROM t WHERE value IS NOT NULL AND target IS NOT NULL),
 rk AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('target', 'factor, datetime')} AS rt FROM tp),
 i AS (SELECT factor, datetime, covar_samp(rv, rt) / nullif(stddev_samp(rv) * stddev_samp(rt), 0) AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= 2),
 st AS (SELECT factor, avg(ic) AS m, avg(ic) / greatest(abs(coalesce(stddev_samp(ic), 0)), 1e-12) AS ir, avg((ic > 1e-12)::INT::DOUBLE) AS pos, count(ic) AS n FROM i WHERE ic IS NOT NULL GROUP BY 1),
-cv AS (SELECT factor, count(CASE WHEN value IS NOT NULL AND target IS NOT NULL THEN 1 END) / count(*)::DOUBLE AS cov FROM t GROUP BY 1)
-SELECT cv.factor, round(m, 6) AS ic_mean, round(m, 6) AS rank_ic_mean, round(ir, 6) AS ic_ir, round(ir, 6) AS rank_ic_ir, round(cov, 6) AS coverage, round(turnover, 6) AS turnover, round(pos, 6) AS ic_positive, coalesce(st.n, 0) AS n_valid_dates,
+cv AS (SELECT factor, count(CASE WHEN value IS NOT NULL AND target IS NOT NULL THEN 1 END) / count(*)::DOUBLE AS cov FROM t GROUP BY 1),
+screened AS (SELECT cv.factor, round(m, 6) AS ic_mean, round(m, 6) AS rank_ic_mean, round(ir, 6) AS ic_ir, round(ir, 6) AS rank_ic_ir, round(cov, 6) AS coverage, round(turnover, 6) AS turnover, round(pos, 6) AS ic_positive, coalesce(st.n, 0) AS n_valid_dates,
   coalesce(abs(m) >= 0.01 AND abs(ir) >= 0.1 AND cov >= 0.3, false) AS passed, CASE WHEN coalesce(st.n, 0) < 2 THEN 'too_few_valid_dates' WHEN abs(m) >= 0.01 AND abs(ir) >= 0.1 AND cov >= 0.3 THEN 'passed' ELSE 'below_threshold' END AS reason
-FROM cv LEFT JOIN st ON st.factor = cv.factor LEFT JOIN tv ON tv.factor = cv.factor""")
+FROM cv LEFT JOIN st ON st.factor = cv.factor LEFT JOIN tv ON tv.factor = cv.factor)"""
+
+
+@query(f"WITH {SCREEN_SQL} SELECT * FROM screened")
 def factor_screen(spark, sf_dir):
     return evaluate.screen(scored(spark, sf_dir), list(FACTORS))
 
 
-@query(None)
+@query(f"""WITH {SCREEN_SQL}, g AS (SELECT * EXCLUDE (passed, reason), CASE WHEN ic_mean IS NULL THEN 'metrics' WHEN abs(ic_mean) < 0.003 THEN 'ic' WHEN abs(ic_ir) < 0.02 THEN 'icir' WHEN turnover > 1 THEN 'turnover' WHEN coverage < 0.3 THEN 'coverage' END AS gate FROM screened)
+SELECT *, gate IS NULL AS passed, coalesce('failed_' || gate, 'passed') AS reason FROM g""")
 def factor_gate(spark, sf_dir):
     return evaluate.threshold_gate(evaluate.screen(scored(spark, sf_dir), list(FACTORS)))
 
 
+@query(f"WITH {IC_SQL}, g AS (SELECT factor, avg(ic) AS m, avg(ic) / greatest(abs(coalesce(stddev_samp(ic), 0)), 1e-12) AS r, count(ic) AS n FROM ics WHERE ic IS NOT NULL GROUP BY 1) SELECT factor, round(m, 6) AS ic_mean, round(r, 6) AS ic_ir, n, n >= 5 AND abs(m) >= 0.02 AND abs(r) >= 0.1 AS passed FROM g")
+def factor_batch_screen(spark, sf_dir):
+    return evaluate.batch_screen(evaluate.daily_ic(long(spark, sf_dir)), min_icir=0.1)
+
+
 @query(f"""WITH {LONG_SQL} SELECT datetime, symbol, round((coalesce(reversal, 0) + coalesce(cheap, 0)) / nullif((reversal IS NOT NULL)::INT + (cheap IS NOT NULL)::INT, 0), 6) AS score FROM w""")
 def factor_score(spark, sf_dir):
     return evaluate.factor_score(scored(spark, sf_dir), ["reversal", "cheap"], list(FACTORS)).select("datetime", "symbol", "score")
 
 
-@query(None)
+def sql_stats(v: str, name: str, floor: bool) -> str:
+    """Mean, deviation, ratio, positive share and number of a daily value, as aggregates."""
+    ratio = f"avg({v}) / greatest(coalesce(stddev_samp({v}), 0), 1e-12)" if floor else f"CASE WHEN stddev_samp({v}) > 1e-12 THEN avg({v}) / stddev_samp({v}) END"
+    return f"round(avg({v}), 6) AS {name}_mean, round(stddev_samp({v}), 6) AS {name}_std, round({ratio}, 6) AS {name}_ir, round(avg(({v} > 1e-12)::INT::DOUBLE), 6) AS {name}_positive, count({v}) AS {name}_dates"
+
+
+def sql_annual(v: str, mean: str, ratio: str) -> str:
+    return f"round(avg({v}) * 252, 6) AS {mean}, round(avg({v}) / nullif(stddev_samp({v}), 0) * sqrt(252.0), 6) AS {ratio}"
+
+
+COVER = "round(sum((value IS NOT NULL AND target IS NOT NULL)::INT) / count(*)::DOUBLE, 6) AS coverage"
+
+
+@query(f"""WITH {LONG_SQL}, {HALF_T}, {IC_T}, big AS (SELECT factor, datetime FROM pairs GROUP BY 1, 2 HAVING count(*) >= 3), h AS (SELECT q.*, (long_return - short_return) / 2 AS ls, long_return - average_return AS la FROM q),
+i AS (SELECT factor, {sql_stats('ic', 'ic', False)}, {sql_stats('rank_ic', 'rank_ic', False)} FROM ics JOIN big USING (factor, datetime) GROUP BY 1), a AS (SELECT factor, {sql_annual('ls', 'long_short_annual_return', 'long_short_sharpe')}, {sql_annual('la', 'long_average_annual_return', 'long_average_sharpe')} FROM h GROUP BY 1),
+cv AS (SELECT factor, {COVER} FROM long GROUP BY 1) SELECT * FROM cv JOIN i USING (factor) JOIN a USING (factor) WHERE factor = 'reversal'""")
 def signal_analysis(spark, sf_dir):
     return evaluate.signal_analysis(scored(spark, sf_dir), "reversal", "returns_1d")
 
 
-@query(None)
+#: Held dates, layers and their order by day, and the metrics of train_eval_metrics with the fitness.
+DAYS_T = f"""n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n, count(*) AS every FROM c), lt AS (SELECT factor, datetime, {LAYERS} FROM l GROUP BY 1, 2),
+mono AS (SELECT factor, datetime, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS mono FROM (SELECT factor, datetime, bucket::DOUBLE AS x, avg(target) AS y FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2),
+days AS (SELECT f.factor, f.datetime, c.k, c.k >= n.n OR n.n >= n.every AS held, c.k < n.n AS train, ic, rank_ic, layer_5 - layer_1 AS ls, mono FROM (SELECT DISTINCT factor, datetime FROM long) f JOIN c ON c.datetime = f.datetime CROSS JOIN n LEFT JOIN ics ON ics.factor = f.factor AND ics.datetime = f.datetime LEFT JOIN lt ON lt.factor = f.factor AND lt.datetime = f.datetime LEFT JOIN mono ON mono.factor = f.factor AND mono.datetime = f.datetime)"""
+_HELD = lambda v: f"CASE WHEN held THEN {v} END"
+TEF_T = f"""te AS (SELECT factor, {sql_stats(_HELD('ic'), 'ic', True)}, {sql_stats(_HELD('rank_ic'), 'rank_ic', True)}, avg(CASE WHEN train THEN rank_ic END) AS train_rank_ic, avg({_HELD('ls')}) AS long_short_mean, avg(({_HELD('ls')} > 0)::INT::DOUBLE) AS long_short_positive,
+  CASE WHEN stddev_samp({_HELD('ls')}) > 1e-12 THEN avg({_HELD('ls')}) / stddev_samp({_HELD('ls')}) ELSE 0 END AS long_short_ir, avg({_HELD('mono')}) AS layer_monotonicity FROM days GROUP BY 1),
+cv AS (SELECT factor, {COVER} FROM long GROUP BY 1), ov AS (SELECT *, coalesce(train_rank_ic, 0) AS a, coalesce(rank_ic_mean, 0) AS b FROM te JOIN cv USING (factor) JOIN tv USING (factor)),
+ot AS (SELECT *, CASE WHEN abs(a) > 1e-12 THEN CASE WHEN a * b < 0 THEN greatest(1, (abs(a) - abs(b)) / abs(a)) ELSE greatest(0, (abs(a) - abs(b)) / abs(a)) END ELSE 0 END AS overfit FROM ov)"""
+
+
+def sql_fitness(**parts: str) -> str:
+    """The fitness of columns that are named as its parts; absent ones count as 0."""
+    one = {"rank_ic": "abs(rank_ic_mean) / 0.05", "icir": "abs(rank_ic_ir) / 1.5", "coverage": "coverage", "positive": "rank_ic_positive", "turnover": "turnover"} | parts
+    return " + ".join(f"({evaluate.FITNESS_WEIGHTS[k]}) * coalesce(greatest(0, least(1, {v})), 0)" for k, v in one.items())
+
+
+FITNESS = sql_fitness(long_short_ir="abs(long_short_ir)", overfit="overfit")
+TEF_COLUMNS = f"ic_mean, ic_std, ic_ir, ic_positive, ic_dates, rank_ic_mean, rank_ic_std, rank_ic_ir, rank_ic_positive, rank_ic_dates, {r6('train_rank_ic', 'long_short_mean', 'long_short_positive', 'long_short_ir', 'layer_monotonicity', 'coverage', 'turnover')}, round(overfit, 4) AS overfit, round({FITNESS}, 4) AS fitness"
+TEF_SQL = f"{LONG_SQL}, {IC_T}, {LAYER_T}, {TURNOVER_SQL}, {DAYS_T}, {TEF_T}"
+
+
+@query(f"WITH {TEF_SQL} SELECT factor, {TEF_COLUMNS} FROM ot")
 def train_eval_fitness(spark, sf_dir):
-    return evaluate.fitness(evaluate.train_eval_metrics(scored(spark, sf_dir), list(FACTORS)))
+    out = evaluate.fitness(evaluate.train_eval_metrics(scored(spark, sf_dir), list(FACTORS)))
+    return out.withColumns({c: F.round(c, 4) for c in ("overfit", "fitness")})  # sums of many roundings
 
 
-@query(None)
+@query(f"""WITH {LONG_SQL}, {IC_T}, {LAYER_T}, {TURNOVER_SQL}, {DAYS_T}, sp AS (SELECT factor, datetime, avg(CASE WHEN rv >= 0.8 THEN target END) - avg(CASE WHEN rv <= 0.2 THEN target END) AS spread FROM ranked GROUP BY 1, 2),
+cu AS (SELECT *, product(1 + coalesce(spread, 0)) OVER (PARTITION BY factor ORDER BY datetime) AS cum FROM sp), dd AS (SELECT factor, {sql_annual('spread', 'annual_return', 'annual_sharpe')}, min(f) AS max_drawdown FROM (SELECT *, cum / nullif(max(cum) OVER (PARTITION BY factor ORDER BY datetime), 0) - 1 AS f FROM cu) GROUP BY 1),
+g AS (SELECT factor, {sql_stats('ic', 'ic', True)}, {sql_stats('rank_ic', 'rank_ic', True)}, round(avg(ls), 6) AS long_short_mean, round(avg((ls > 0)::INT::DOUBLE), 6) AS long_short_positive, round(CASE WHEN stddev_samp(ls) > 1e-12 THEN avg(ls) / stddev_samp(ls) ELSE 0 END, 6) AS long_short_ir, round(avg(mono), 6) AS layer_monotonicity FROM days GROUP BY 1),
+cv AS (SELECT factor, {COVER} FROM long GROUP BY 1), e AS (SELECT * FROM cv JOIN g USING (factor) JOIN tv USING (factor) JOIN dd USING (factor) WHERE factor = 'reversal')
+SELECT * REPLACE (round(turnover, 6) AS turnover, round(ln(1 - max_drawdown), 6) AS max_drawdown), abs(ic_mean) AS ic_mean_abs, sign(ic_mean)::DOUBLE AS ic_mean_sign, abs(rank_ic_mean) AS rank_ic_mean_abs, sign(rank_ic_mean)::DOUBLE AS rank_ic_mean_sign, abs(rank_ic_ir) AS rank_ic_ir_abs, sign(rank_ic_ir)::DOUBLE AS rank_ic_ir_sign,
+  round(annual_return / abs(nullif(max_drawdown, 0)), 2) AS calmar, 'evaluated' AS status FROM e""")
 def evaluation_report(spark, sf_dir):
-    return evaluate.evaluation_report(scored(spark, sf_dir), "reversal")
+    return evaluate.evaluation_report(scored(spark, sf_dir), "reversal").withColumns({"calmar": F.round("calmar", 2), "max_drawdown": F.log(1 - F.col("max_drawdown"))})  # a spread of means can lose many times itself
 
 
 @query(None)
@@ -409,7 +490,7 @@ def monthly_ic(spark, sf_dir):
 
 @query(f"""WITH {HALF_SQL}, sr AS (SELECT datetime, (long_return - short_return) / 2 AS v, year(datetime) AS y, month(datetime) AS m FROM q WHERE factor = 'reversal'),
 c AS (SELECT *, sum(coalesce(v, 0)) OVER (PARTITION BY y, m ORDER BY datetime) AS cum FROM sr), d AS (SELECT *, cum - max(cum) OVER (PARTITION BY y, m ORDER BY datetime) AS dd FROM c)
-SELECT y::INT AS year, m::INT AS month, round(avg(v) * 252, 6) AS annual_return, round(min(dd), 6) AS max_drawdown, round(avg(v) / nullif(stddev_samp(v), 0) * sqrt(252.0), 6) AS information_ratio, round(stddev_samp(v), 6) AS std, count(v) AS n FROM d GROUP BY 1, 2 HAVING count(v) >= 3""")
+SELECT y::INT AS year, m::INT AS month, round(avg(v) * 252, 6) AS annual_return, round(min(dd), 6) AS max_drawdown, round(CASE WHEN stddev_samp(v) > 1e-12 THEN avg(v) / stddev_samp(v) ELSE 0 END, 6) AS information_ratio, round(stddev_samp(v), 6) AS std, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) >= 3""")
 def monthly_risk(spark, sf_dir):
     series = evaluate.quantile_long_short(long(spark, sf_dir), by_rank=False, half=True).filter("factor = 'reversal'")
     return diagnostics.monthly_risk(series, "long_short")
@@ -422,16 +503,16 @@ def drawdown(spark, sf_dir):
     return diagnostics.drawdown(series, "r", ("factor",)).select("factor", "datetime", "cumulative", "drawdown")
 
 
-LAG_SQL = f"{LONG_SQL}, o AS (SELECT *, lag(value) OVER (PARTITION BY factor, symbol ORDER BY datetime) AS old FROM long), z AS (SELECT * FROM o WHERE value IS NOT NULL AND old IS NOT NULL)"
+LAG_SQL = f"{LONG_SQL}, o AS (SELECT *, lag(value) OVER (PARTITION BY factor, symbol ORDER BY datetime) AS old FROM long)"
 
 
-@query(f"""WITH {LAG_SQL}, r AS (SELECT factor, datetime, {sql_rank('value', 'factor, datetime')} AS a, {sql_rank('old', 'factor, datetime')} AS b FROM z) SELECT factor, datetime, round(covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0), 6) AS autocorrelation FROM r GROUP BY 1, 2""")
+@query(f"""WITH {LAG_SQL}, r AS (SELECT factor, datetime, {sql_rank('value', 'factor, datetime')} AS a, {sql_rank('old', 'factor, datetime')} AS b FROM o), p2 AS (SELECT factor, datetime, CASE WHEN b IS NOT NULL THEN a END AS a, CASE WHEN a IS NOT NULL THEN b END AS b FROM r), ac AS (SELECT factor, datetime, round(covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0), 6) AS autocorrelation FROM p2 GROUP BY 1, 2) SELECT * FROM ac WHERE autocorrelation IS NOT NULL""")
 def score_autocorrelation(spark, sf_dir):
     return diagnostics.score_autocorrelation(long(spark, sf_dir))
 
 
-@query(f"""WITH {LAG_SQL}, r AS (SELECT *, count(*) OVER (PARTITION BY factor, datetime) // 5 AS n, {', '.join(f'row_number() OVER (PARTITION BY factor, datetime ORDER BY {c} {o}, symbol) AS {t}' for c, o, t in (('value', 'DESC', 'tn'), ('old', 'DESC', 'tp'), ('value', 'ASC', 'bn'), ('old', 'ASC', 'bp')))} FROM z)
-SELECT factor, datetime, round(1 - count(CASE WHEN tn <= n AND tp <= n THEN 1 END) / nullif(max(n), 0)::DOUBLE, 6) AS top_turnover, round(1 - count(CASE WHEN bn <= n AND bp <= n THEN 1 END) / nullif(max(n), 0)::DOUBLE, 6) AS low_turnover FROM r GROUP BY 1, 2""")
+@query(f"""WITH {LAG_SQL}, r AS (SELECT *, count(*) OVER (PARTITION BY factor, datetime) // 5 AS n, {', '.join(f'row_number() OVER (PARTITION BY factor, datetime ORDER BY {c} {o} NULLS LAST, symbol) AS {t}' for c, o, t in (('value', 'DESC', 'tn'), ('old', 'DESC', 'tp'), ('value', 'ASC', 'bn'), ('old', 'ASC', 'bp')))} FROM o)
+SELECT factor, datetime, round(1 - count(CASE WHEN tn <= n AND tp <= n THEN 1 END) / nullif(max(n), 0)::DOUBLE, 6) AS top_turnover, round(1 - count(CASE WHEN bn <= n AND bp <= n THEN 1 END) / nullif(max(n), 0)::DOUBLE, 6) AS low_turnover FROM r GROUP BY 1, 2 HAVING max(n) > 0""")
 def set_turnover(spark, sf_dir):
     return diagnostics.set_turnover(long(spark, sf_dir))
 
@@ -463,15 +544,16 @@ def portfolio_report(spark, sf_dir):
     return portfolio(spark, sf_dir).select("datetime", "excess_net", "cum_excess_net", "drawdown_excess_net")
 
 
-@query(None)
+@query(f"""WITH {PORTFOLIO_SQL}, e AS (SELECT datetime, ret - bench - cost AS x FROM b), c AS (SELECT *, sum(x) OVER (ORDER BY datetime) AS cum FROM e), d AS (SELECT *, cum - max(cum) OVER (ORDER BY datetime) AS dd FROM c), f AS (SELECT datetime AS last FROM d WHERE dd IS NOT NULL ORDER BY dd, datetime LIMIT 1)
+SELECT round(avg(x) * 252, 6) AS annual_excess, round(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252.0), 6) AS information_ratio, round(min(dd), 6) AS max_drawdown, (SELECT last FROM f) AS drawdown_end, (SELECT datetime FROM d WHERE datetime <= (SELECT last FROM f) AND cum IS NOT NULL ORDER BY cum DESC, datetime DESC LIMIT 1) AS drawdown_start FROM d""")
 def portfolio_summary(spark, sf_dir):
     return diagnostics.portfolio_summary(portfolio(spark, sf_dir))
 
 
 @query(f"""WITH {LONG_SQL}, v AS (SELECT long.*, panel.volume AS v FROM long JOIN panel ON panel.datetime = long.datetime AND panel.symbol = long.symbol), sd AS (SELECT factor, avg(s) AS mean_std FROM (SELECT factor, datetime, stddev_samp(value) AS s FROM long GROUP BY 1, 2) GROUP BY 1),
 a AS (SELECT factor, count(value) / count(*)::DOUBLE AS coverage, quantile_cont(value, 0.01) AS q1, quantile_cont(value, 0.5) AS q5, quantile_cont(value, 0.99) AS q9, covar_samp(value, CASE WHEN value IS NOT NULL THEN v END) / nullif(stddev_samp(CASE WHEN v IS NOT NULL THEN value END) * stddev_samp(CASE WHEN value IS NOT NULL THEN v END), 0) AS size_corr FROM v GROUP BY 1),
-r AS (SELECT a.factor, coverage, mean_std, (q9 - q5) / nullif(q5 - q1, 0) AS tail_ratio, size_corr FROM a JOIN sd ON sd.factor = a.factor)
-SELECT factor, {r6('coverage', 'mean_std', 'tail_ratio', 'size_corr')}, concat_ws(',', CASE WHEN coverage < 0.3 THEN 'low_coverage' END, CASE WHEN mean_std < 0.01 THEN 'low_dispersion' END, CASE WHEN tail_ratio > 10 OR tail_ratio < 0.1 THEN 'heavy_tail' END, CASE WHEN abs(size_corr) > 0.8 THEN 'size_exposure' END) AS warnings FROM r""")
+off AS (SELECT factor, avg(abs(value - q5)) AS off FROM v JOIN a USING (factor) GROUP BY 1), r AS (SELECT a.factor, coverage, mean_std, CASE WHEN q9 > q1 THEN off / ((q9 - q1) / 1.4826 + 1e-12) END AS tail_ratio, size_corr FROM a JOIN sd ON sd.factor = a.factor JOIN off ON off.factor = a.factor)
+SELECT factor, {r6('coverage', 'mean_std', 'tail_ratio', 'size_corr')}, concat_ws(',', CASE WHEN coverage < 0.3 THEN 'low_coverage' END, CASE WHEN mean_std < 0.01 THEN 'low_dispersion' END, CASE WHEN tail_ratio > 10 THEN 'heavy_tail' END, CASE WHEN abs(size_corr) > 0.8 THEN 'size_exposure' END) AS warnings FROM r""")
 def factor_quality(spark, sf_dir):
     df, _ = with_factors(weekly(spark, sf_dir).withColumn("units", F.col("volume")), FACTORS)
     return diagnostics.factor_quality(df, list(FACTORS), "units")
@@ -484,30 +566,52 @@ def factor_correlations(spark, sf_dir):
 
 
 @query(f"""WITH {LONG_SQL}, c AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS k FROM (SELECT DISTINCT datetime FROM panel)), n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n FROM c),
-rk AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('target', 'factor, datetime')} AS rt FROM pairs), i AS (SELECT factor, datetime, covar_samp(rv, rt) / nullif(stddev_samp(rv) * stddev_samp(rt), 0) AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= 2),
-j AS (SELECT factor, avg(CASE WHEN k < n THEN ic END) AS ic_in, avg(CASE WHEN k >= n THEN ic END) AS ic_out FROM i JOIN c ON c.datetime = i.datetime, n WHERE ic IS NOT NULL GROUP BY 1),
-d AS (SELECT *, coalesce(ic_in, 0) AS a, coalesce(ic_out, 0) AS b, CASE WHEN abs(coalesce(ic_in, 0)) > 1e-12 THEN 1 - abs(coalesce(ic_out, 0)) / abs(coalesce(ic_in, 0)) ELSE 0 END AS decay FROM j)
-SELECT factor, round(ic_in, 6) AS ic_in, round(ic_out, 6) AS ic_out, round(decay, 6) AS decay, (decay > 0.7 OR a * b < 0) AS overfit, abs(a) < 0.002 AS underfit, CASE WHEN abs(a) < 0.002 THEN 'underfit' WHEN a * b < 0 THEN 'sign_flip' WHEN decay > 0.7 THEN 'decay' ELSE 'ok' END AS reason FROM d""")
+rk AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('target', 'factor, datetime')} AS rt FROM pairs), i AS (SELECT factor, datetime, CASE WHEN count(*) < 2 THEN 0 ELSE covar_samp(rv, rt) / nullif(stddev_samp(rv) * stddev_samp(rt), 0) END AS ic FROM rk GROUP BY 1, 2),
+j AS (SELECT factor, avg(CASE WHEN k < n THEN ic END) AS ic_in, avg(CASE WHEN k >= n THEN ic END) AS ic_out FROM i JOIN c ON c.datetime = i.datetime, n GROUP BY 1),
+d AS (SELECT *, coalesce(ic_in, 0) AS a, coalesce(ic_out, 0) AS b, CASE WHEN abs(coalesce(ic_in, 0)) > 1e-12 THEN (abs(ic_in) - abs(coalesce(ic_out, 0))) / abs(ic_in) ELSE 0 END AS decay FROM j),
+x AS (SELECT *, CASE WHEN abs(a) > 0.01 AND decay > 0.7 THEN 'decay' WHEN abs(a) > 0.01 AND a * b < 0 THEN 'sign_flip' WHEN abs(a) < 0.002 THEN 'underfit' ELSE 'ok' END AS reason FROM d)
+SELECT factor, round(ic_in, 6) AS ic_in, round(ic_out, 6) AS ic_out, round(decay, 4) AS decay, reason, reason IN ('decay', 'sign_flip') AS overfit, abs(a) < 0.002 AS underfit, reason = 'ok' AS robust FROM x""")
 def overfit_check(spark, sf_dir):
-    return diagnostics.overfit_check(scored(spark, sf_dir), list(FACTORS))
+    return diagnostics.overfit_check(scored(spark, sf_dir), list(FACTORS)).withColumn("decay", F.round("decay", 4))
 
 
-@query(None)
+#: A factor that reads the next date's price through a column made beforehand.
+LEAK = {"leak": "DELTA($returns_1d, 1)"}
+
+
+@query(f"""WITH {P2}, ends AS (SELECT datetime AS e FROM (SELECT DISTINCT datetime FROM panel) ORDER BY 1 DESC LIMIT 5 OFFSET 1), cut AS (SELECT e, datetime, symbol, lead(close) OVER (PARTITION BY e, symbol ORDER BY datetime) / nullif(close, 0) - 1 AS r FROM p JOIN ends ON datetime <= e),
+a AS (SELECT e, datetime, symbol, r - lag(r) OVER (PARTITION BY e, symbol ORDER BY datetime) AS x FROM cut), b AS (SELECT datetime, symbol, returns_1d - lag(returns_1d) OVER (PARTITION BY symbol ORDER BY datetime) AS y FROM panel),
+g AS (SELECT max(CASE WHEN (x IS NULL) <> (y IS NULL) THEN 'infinity'::DOUBLE ELSE coalesce(abs(x - y), 0) END) AS d FROM a JOIN b USING (datetime, symbol))
+SELECT unnest(['reversal', 'volume', 'cheap']) AS factor, 0.0::DOUBLE AS max_diff, true AS passed UNION ALL SELECT 'leak', d, d <= 1e-8 FROM g""")
 def look_ahead_check(spark, sf_dir):
-    return diagnostics.look_ahead(weekly(spark, sf_dir), FACTORS)
+    """The panel's label is derived again for each cut-off, so that a factor of it gives itself away."""
+    return diagnostics.look_ahead(weekly(spark, sf_dir).drop("returns_1d"), FACTORS | LEAK, prepare=panel.with_label)
 
 
-@query(None)
+@query(f"WITH {TEF_SQL} SELECT factor AS factor_name, 'evaluated' AS status, rank_ic_mean, rank_ic_ir, round(coverage, 6) AS coverage, round(turnover, 6) AS turnover, round({FITNESS}, 4) AS fitness FROM ot UNION ALL SELECT 'broken', 'failed', NULL, NULL, NULL, NULL, NULL")
 def population_scores(spark, sf_dir):
     candidates = spark.createDataFrame([*FACTORS.items(), ("broken", "RANK($nothing)")], "factor_name string, factor_expression string")
-    return model.score_population(weekly(spark, sf_dir), candidates)
+    return model.score_population(weekly(spark, sf_dir), candidates).select("factor_name", "status", "rank_ic_mean", "rank_ic_ir", "coverage", "turnover", F.round("fitness", 4).alias("fitness"))
 
 
-@query(None)
+_SUBSETS = {k: sorted(f for i, f in enumerate(FACTORS) if k >> i & 1) for k in range(1, 8)}
+_MEAN = lambda own: f"({' + '.join(f'coalesce(r_{f}, 0)' for f in own)}) / nullif({' + '.join(f'(r_{f} IS NOT NULL)::INT' for f in own)}, 0)"
+_PAIRS = {frozenset(("reversal", "volume")): "c0", frozenset(("reversal", "cheap")): "c1", frozenset(("volume", "cheap")): "c2"}
+_CORR = lambda own: next(iter([f"({' + '.join(f'abs({c})' for c in used)}) / {len(used)}"] if (used := [c for p, c in _PAIRS.items() if p <= set(own)]) else ["0"]))
+SUBSET_SQL = f"""{P2}, w AS (SELECT *, 0 - close / nullif(lag(close) {W}), 0) + 1 AS reversal, avg(volume) {rows(4)} AS vol, (discount - avg(discount) {D}) / nullif(stddev_samp(discount) {D}, 0) AS cheap FROM panel),
+cr AS (SELECT {', '.join(f"covar_samp(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END) / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END), 0) AS c{i}" for i, (a, b) in enumerate((('reversal', 'vol'), ('reversal', 'cheap'), ('vol', 'cheap'))))} FROM w),
+rr AS (SELECT *, {sql_rank('reversal')} AS r_reversal, {sql_rank('vol')} AS r_volume, {sql_rank('cheap')} AS r_cheap FROM w),
+long AS ({' UNION ALL '.join(f"SELECT datetime, symbol, returns_1d AS target, '{k}' AS factor, {_MEAN(own)} AS value FROM rr" for k, own in _SUBSETS.items())}), pairs AS (SELECT * FROM long WHERE value IS NOT NULL AND target IS NOT NULL), {IC_T}, {TURNOVER_SQL},
+n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n, count(*) AS every FROM c), hd AS (SELECT factor, {sql_stats("CASE WHEN k >= n OR n >= every THEN rank_ic END", 'rank_ic', True)} FROM ics JOIN c ON c.datetime = ics.datetime CROSS JOIN n GROUP BY 1), cv AS (SELECT factor, {COVER} FROM long GROUP BY 1),
+sz(factor, size, correlation) AS ({' UNION ALL '.join(f"SELECT '{k}', {len(own)}, {_CORR(own)} FROM cr" for k, own in _SUBSETS.items())}), al AS (SELECT * FROM hd JOIN cv USING (factor) JOIN tv USING (factor) JOIN sz USING (factor)), fi AS (SELECT *, {sql_fitness(complexity='size / 10.0', correlation='correlation')} AS fitness FROM al)"""
+
+
+@query(f"WITH {SUBSET_SQL} SELECT factor AS subset_id, size::BIGINT AS size, rank_ic_mean, rank_ic_dates, coverage, round(turnover, 6) AS turnover, round(correlation, 6) AS correlation, round(fitness, 4) AS fitness, row_number() OVER (ORDER BY fitness DESC, factor) AS place FROM fi")
 def subset_scores(spark, sf_dir):
     names = list(FACTORS)
     masks = spark.createDataFrame([(k, f) for k in range(1, 8) for i, f in enumerate(names) if k >> i & 1], "subset_id int, factor string")
-    return model.score_subsets(scored(spark, sf_dir), names, masks)
+    out = model.score_subsets(scored(spark, sf_dir), names, masks)
+    return out.select("subset_id", "size", "rank_ic_mean", "rank_ic_dates", "coverage", "turnover", "correlation", F.round("fitness", 4).alias("fitness"), "place")
 
 
 @query(None)

@@ -39,11 +39,11 @@ def records(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     symbol = F.when(i % 10 == 0, "*").when(i % 17 == 0, "nobody").otherwise((i % 150).cast("string"))
-    return d.select(i, F.timestamp_seconds(F.lit(1704060000) + i * 360).alias("timestamp"), symbol.alias("symbol"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.concat(F.lit("doc"), (i % 40).cast("string")).alias("source_file"), F.lit(None).cast("string").alias("url"), (i % 3).cast("int").alias("chunk_id"))
+    return d.select(i, F.timestamp_seconds(F.lit(1704060000) + i * 360).alias("timestamp"), symbol.alias("symbol"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"), F.concat(F.lit("doc"), (i % 41).cast("string")).alias("source_file"), F.lit(None).cast("string").alias("url"), (i % 3).cast("int").alias("chunk_id"))
 
 
 R1 = """rec AS (SELECT doc_id, TIMESTAMP '2023-12-31 22:00:00' + INTERVAL 6 MINUTE * doc_id AS ts, CASE WHEN doc_id % 10 = 0 THEN '*' WHEN doc_id % 17 = 0 THEN 'NOBODY' ELSE (doc_id % 150)::VARCHAR END AS symbol,
-  lower(left(text, 60) || ' ' || text) AS t, left(text, 60) AS title, 'doc' || (doc_id % 40) AS source_file, doc_id % 3 AS chunk_id FROM documents)"""
+  lower(left(text, 60) || ' ' || text) AS t, left(text, 60) AS title, 'doc' || (doc_id % 41) AS source_file, doc_id % 3 AS chunk_id FROM documents)"""
 
 
 def _any(words) -> str:
@@ -91,7 +91,12 @@ def report_records(spark, sf_dir):
     return text.report_records(reports, names)
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS n_lines, sha256(list_aggregate(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), 'string_agg', chr(10))) AS tidy_sha256 FROM documents WHERE text NOT LIKE '%' || chr(13) || '%' AND length(trim(text)) > 0")
+#: White space of any kind, as SQL's regular expressions name it.
+SQL_BLANK = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')), lambda x: x <> '') AS k FROM documents)
+SELECT doc_id, len(k) AS n_lines, sha256(array_to_string(k, chr(10))) AS tidy_sha256 FROM l""")
 def text_tidy_lines(spark, sf_dir):
     tidy = text.tidy_lines(F.coalesce("text", F.lit("")))
     n_lines = F.when(tidy == "", 0).otherwise(F.size(F.split(tidy, "\n")))
@@ -104,23 +109,28 @@ def text_chunks(spark, sf_dir):
     return d.select("doc_id", "chunk_id", F.length("chunk").alias("n_chars"))
 
 
-MERGE_SQL = f"""WITH {R1}, st AS (SELECT *, 0 AS o FROM rec WHERE doc_id % 4 <> 0 AND doc_id % 40 NOT IN (SELECT doc_id % 40 FROM documents WHERE doc_id % 8 = 4)), nw AS (SELECT *, 1 AS o FROM rec WHERE doc_id % 8 = 4),
+MERGE_SQL = f"""WITH {R1}, st AS (SELECT *, 0 AS o FROM rec WHERE doc_id % 4 <> 0 AND doc_id % 41 NOT IN (SELECT doc_id % 41 FROM documents WHERE doc_id % 4 = 0 AND doc_id % 41 < 30)), nw AS (SELECT *, 1 AS o FROM rec WHERE doc_id % 4 = 0 AND doc_id % 41 < 30 UNION ALL SELECT * REPLACE ('' AS source_file), 1 FROM rec WHERE doc_id % 4 = 0 AND doc_id % 41 >= 30),
 b AS (SELECT * FROM st UNION ALL SELECT * FROM nw), k AS (SELECT *, row_number() OVER (PARTITION BY source_file, chunk_id, ts, symbol, title ORDER BY o) AS n FROM b)"""
 
 
+def merged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A quarter of the records merged into the rest: those of most sources replace what is stored of them, others name none."""
+    r = records(spark, sf_dir)
+    new = r.filter("doc_id % 4 = 0").withColumn("source_file", F.when(F.col("doc_id") % 41 < 30, F.col("source_file")).otherwise(""))
+    return text.merge_records(r.filter("doc_id % 4 != 0"), new)
+
+
 @query(f"{MERGE_SQL} SELECT doc_id, source_file FROM k WHERE n = 1")
 def text_replace_by_source(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return text.merge_records(r.filter("doc_id % 4 != 0"), r.filter("doc_id % 8 = 4"))[0].select("doc_id", "source_file")
+    return merged(spark, sf_dir)[0].select("doc_id", "source_file")
 
 
 @query(f"{MERGE_SQL} SELECT count(CASE WHEN n = 1 THEN 1 END) AS records, count(CASE WHEN n = 1 AND o = 1 THEN 1 END) AS \"new\", count(CASE WHEN n > 1 THEN 1 END) AS duplicates FROM k")
 def text_merge_counts(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return text.merge_records(r.filter("doc_id % 4 != 0"), r.filter("doc_id % 8 = 4"))[1]
+    return merged(spark, sf_dir)[1]
 
 
-@query("SELECT source_file, count(*) AS records, 'ingested' AS status, NULL::VARCHAR AS reason FROM (SELECT 'doc' || (doc_id % 40) AS source_file FROM documents) GROUP BY 1")
+@query("SELECT source_file, count(*) AS records, 'ingested' AS status, NULL::VARCHAR AS reason FROM (SELECT 'doc' || (doc_id % 41) AS source_file FROM documents) GROUP BY 1")
 def text_manifest(spark, sf_dir):
     r = records(spark, sf_dir)
     return text.manifest(r, r).select("source_file", "records", "status", "reason")
@@ -136,13 +146,17 @@ def symbol_mapping(spark, sf_dir):
     return text.map_symbols(table(spark, sf_dir, "documents").select(i, raw.alias("raw")), text.default_aliases(symbols), symbols).select("doc_id", "symbol")
 
 
-@query(None)
+@query(f"""WITH {P1}, {R1}, u AS (SELECT DISTINCT symbol FROM panel), e AS (SELECT *, (SELECT body FROM (SELECT doc_id AS d, left(regexp_replace(coalesce(text, ''), '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g'), 4000) AS body FROM documents) x WHERE x.d = rec.doc_id) AS body, CASE doc_id % 6 WHEN 0 THEN 'backtest_example' WHEN 1 THEN 'Illustration' WHEN 2 THEN 'example' END AS role FROM rec),
+m AS (SELECT *, CASE WHEN symbol IN (SELECT symbol FROM u) THEN symbol ELSE '*' END AS mapped FROM e WHERE body <> '')
+SELECT doc_id, source_file, mapped AS symbol, coalesce(role, CASE WHEN mapped = '*' THEN 'market_wide_or_non_panel_primary' ELSE 'panel_primary' END) AS asset_role, sha256(body) AS body_sha256, CASE WHEN doc_id % 4 = 0 THEN 0.6 ELSE round(least(1.0, doc_id / 500.0), 4) END AS confidence, ts AS "timestamp", coalesce(lower(role) NOT IN ('backtest_example', 'illustration'), true) AS emitted FROM m""")
 def document_summaries(spark, sf_dir):
-    d = records(spark, sf_dir)
-    event = F.struct(F.col("symbol"), F.when(F.col("doc_id") % 6 == 0, "example").alias("asset_role"), F.col("title"), F.col("body"), (F.col("doc_id") / 500).alias("confidence"))
-    docs = d.select("source_file", "title", "timestamp", F.to_json(F.struct(F.array(event).alias("events"))).alias("summary_json"))
+    d, i = records(spark, sf_dir), F.col("doc_id")
+    role = F.when(i % 6 == 0, "backtest_example").when(i % 6 == 1, "Illustration").when(i % 6 == 2, "example")
+    event = F.struct(F.col("symbol"), role.alias("asset_role"), F.col("title"), F.col("body"), F.when(i % 4 != 0, i / 500).alias("confidence"))
+    docs = d.select(F.concat_ws(":", "source_file", "doc_id").alias("source_file"), "title", "timestamp", F.to_json(F.struct(F.array(event).alias("events"))).alias("summary_json"))
     symbols = daily(spark, sf_dir).select("symbol").distinct()
-    return text.summary_events(docs, text.default_aliases(symbols), symbols).select("source_file", "symbol", "asset_role", "title", "confidence", "timestamp", "emitted")
+    found = text.summary_events(docs, text.default_aliases(symbols), symbols)
+    return found.select(F.substring_index("source_file", ":", -1).cast("long").alias("doc_id"), F.substring_index("source_file", ":", 1).alias("source_file"), "symbol", "asset_role", F.sha2("body", 256).alias("body_sha256"), "confidence", "timestamp", "emitted")
 
 
 @query("SELECT event_id, regexp_extract(props, '\"k\": (\\d+)', 1)::DOUBLE AS k, (event_id::VARCHAR || props) AS \"key\", left(md5(props), 16) AS factor_id, left(sha1(props), 16) AS document_id FROM events")
@@ -152,64 +166,87 @@ def map_and_hash_scalars(spark, sf_dir):
     return e.select("event_id", F.coalesce(numbers["K"], numbers["k"]).alias("k"), F.concat(F.col("event_id").cast("string"), "props").alias("key"), library.factor_id(F.col("props")).alias("factor_id"), library.document_id(F.col("props")).alias("document_id"))
 
 
+#: Expressions of the library, by the part's number: plain, nested, deep, malformed, unknown, cancelling; {n} is a window of the part.
+KINDS = [
+    "TS_MEAN($close, {n})", "RANK( TS_STD($volume,{n}) )", "EMA($close, {n})", "$close / DELAY($missing, {n})", "ZSCORE($close) * TS_MAX($high, {n})", "RANK(TS_STD($volume, {n}))", "ZSCORE(ZSCORE($close)) + {n}", "($close - $close + {n}) * $volume",
+    "TS_MEAN($close / $close, {n})", "RANK(TS_MEAN(DELTA(ABS($close - $open), {n}), 5)) + TS_MAX(TS_MIN($low, {n}), 3) * SIGN($volume) - $vwap", "RANK(TS_MEAN($close, {n})", "IIF($close > $open, {n}, 0)", "{n} + 2 * 3",
+]
+#: Kinds in which a window is the part's.
+WINDOWED = "(0, 1, 4, 5, 8, 9)"
+METRICS = {"IC": "(i % 21 - 10) / 1000", "ICIR": "(i % 11 - 5) / 50", "Sharpe": "(i % 301 - 150) / 50", "turnover": "(i % 13) / 20", "coverage": "(60 + i % 45) / 100"}
+
+
 def factors(spark, sf_dir) -> DataFrame:
-    """A factor library of the parts: names, expressions with windows of the part's size, metrics of its price."""
-    i, n = F.col("p_partkey"), F.col("p_size").cast("string")
-    expression = (
-        F.when(i % 6 == 0, F.concat(F.lit("TS_MEAN($close, "), n, F.lit(")"))).when(i % 6 == 1, F.concat(F.lit("RANK( TS_STD($volume,"), n, F.lit(") )"))).when(i % 6 == 2, F.concat(F.lit("EMA($close, "), n, F.lit(")")))
-        .when(i % 6 == 3, F.concat(F.lit("$close / DELAY($missing, "), n, F.lit(")"))).when(i % 6 == 4, F.concat(F.lit("ZSCORE($close) * TS_MAX($high, "), n, F.lit(")"))).otherwise(F.concat(F.lit("RANK(TS_STD($volume, "), n, F.lit("))")))
+    """A factor library of the parts: names, expressions with windows of the part, metrics of its number; some lack some."""
+    i = F.col("p_partkey")
+    n = F.when(i % 5 == 0, 1).otherwise(F.col("p_size") * 3).cast("string")
+    expression = F.replace(F.element_at(F.array(*(F.lit(k) for k in KINDS)), (i % len(KINDS) + 1).cast("int")), F.lit("{n}"), n)
+    value = {k: F.expr(v.replace("i", "p_partkey")).cast("string") for k, v in METRICS.items()}
+    value["turnover"] = F.when(i % 17 != 0, value["turnover"])
+    value["coverage"] = F.when(i % 19 != 0, value["coverage"])
+    metrics = F.create_map(*(x for k, v in value.items() for x in (F.lit(k), v)))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("run"), (i % 9).cast("string")).alias("run_id"), (i % 5).cast("int").alias("loop_round"), i.cast("int").alias("intra_loop_index"), F.concat(F.col("p_name"), F.lit(" "), (i % 40).cast("string")).alias("factor_name"), expression.alias("factor_expression"),
+        F.when(i % 3 == 0, F.concat(F.lit("f"), i.cast("string"), F.lit(".py"))).alias("factor_file"), metrics.alias("metrics"), F.col("p_brand").alias("hypothesis"), F.col("p_type").alias("source"), ((i % 97) / 10).alias("fitness"), (i % 4).cast("int").alias("generation"),
+        F.when(i % 7 == 0, "failed").when(i % 7 == 1, "rejected").otherwise("evaluated").alias("status"), F.when(i % 2 == 0, "expression").otherwise("subset").alias("phase"),
     )
-    metrics = F.create_map(F.lit("IC"), ((i % 21 - 10) / 1000).cast("string"), F.lit("ICIR"), ((i % 11 - 5) / 50).cast("string"), F.lit("Sharpe"), ((i % 301 - 150) / 50).cast("string"), F.lit("coverage"), F.lit("0.9"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("run"), (i % 9).cast("string")).alias("run_id"), (i % 5).cast("int").alias("loop_round"), i.cast("int").alias("intra_loop_index"), F.concat(F.col("p_name"), F.lit(" "), (i % 40).cast("string")).alias("factor_name"), expression.alias("factor_expression"), F.when(i % 3 == 0, F.concat(F.lit("f"), i.cast("string"), F.lit(".py"))).alias("factor_file"), metrics.alias("metrics"), F.col("p_brand").alias("hypothesis"), F.col("p_type").alias("source"), ((i % 97) / 10).alias("fitness"), (i % 4).cast("int").alias("generation"), F.when(i % 7 == 0, "failed").when(i % 7 == 1, "rejected").otherwise("evaluated").alias("status"), F.when(i % 2 == 0, "expression").otherwise("subset").alias("phase"))
 
 
-L1 = """lib AS (SELECT 'run' || (p_partkey % 9) AS run_id, (p_partkey % 5)::INT AS loop_round, p_partkey::INT AS idx, p_name || ' ' || (p_partkey % 40) AS factor_name,
-  CASE p_partkey % 6 WHEN 0 THEN 'TS_MEAN($close, ' || p_size || ')' WHEN 1 THEN 'RANK( TS_STD($volume,' || p_size || ') )' WHEN 2 THEN 'EMA($close, ' || p_size || ')' WHEN 3 THEN '$close / DELAY($missing, ' || p_size || ')'
-    WHEN 4 THEN 'ZSCORE($close) * TS_MAX($high, ' || p_size || ')' ELSE 'RANK(TS_STD($volume, ' || p_size || '))' END AS factor_expression, p_partkey % 6 AS kind, p_size,
-  CASE WHEN p_partkey % 3 = 0 THEN 'f' || p_partkey || '.py' END AS factor_file, (p_partkey % 21 - 10) / 1000.0 AS ic, (p_partkey % 11 - 5) / 50.0 AS icir, (p_partkey % 301 - 150) / 50.0 AS sharpe, p_brand AS hypothesis, p_type AS source,
-  (p_partkey % 97) / 10.0 AS fitness, (p_partkey % 4)::INT AS generation, CASE p_partkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'rejected' ELSE 'evaluated' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'expression' ELSE 'subset' END AS phase FROM part)"""
+_KIND_LIST = ", ".join(f"'{k}'" for k in KINDS)
+L1 = f"""lib AS (SELECT *, replace([{_KIND_LIST}][kind + 1], '{{n}}', n::VARCHAR) AS factor_expression FROM (SELECT 'run' || (p_partkey % 9) AS run_id, (p_partkey % 5)::INT AS loop_round, p_partkey::INT AS idx, p_name || ' ' || (p_partkey % 40) AS factor_name, (p_partkey % {len(KINDS)})::INT AS kind,
+  CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE p_size * 3 END AS n, CASE WHEN p_partkey % 3 = 0 THEN 'f' || p_partkey || '.py' END AS factor_file, (p_partkey % 21 - 10) / 1000.0 AS ic, (p_partkey % 11 - 5) / 50.0 AS icir, (p_partkey % 301 - 150) / 50.0 AS sharpe,
+  CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey % 13) / 20.0 END AS turnover, CASE WHEN p_partkey % 19 <> 0 THEN (60 + p_partkey % 45) / 100.0 END AS coverage, p_brand AS hypothesis, p_type AS source,
+  (p_partkey % 97) / 10.0 AS fitness, (p_partkey % 4)::INT AS generation, CASE p_partkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'rejected' ELSE 'evaluated' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'expression' ELSE 'subset' END AS phase FROM part))"""
+REJECTED = f"CASE WHEN kind = 2 THEN 'unsupported_function:EMA' WHEN kind = 3 THEN 'unknown_column:missing' WHEN kind = 11 THEN 'condition' WHEN kind IN {WINDOWED} AND n < 2 THEN 'window_too_small' WHEN kind IN {WINDOWED} AND n > 120 THEN 'window_too_large' END"
+#: The name of a record's code file, in SQL.
+FILE = "run_id || '_' || loop_round || '_' || idx || '_' || lower(left(trim(regexp_replace(factor_expression, '[^\\p{L}\\p{N}]+', '_', 'g'), '_'), 80)) || '.py'"
 BARE = "regexp_replace(factor_expression, '\\s+', '', 'g')"
 COLUMNS = ["open", "high", "low", "close", "volume", "vwap"]
 
 
-@query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE kind WHEN 2 THEN 'unsupported_function:EMA' WHEN 3 THEN 'unknown_column:missing' ELSE CASE WHEN p_size < 2 THEN 'window_too_small' WHEN p_size > 120 THEN 'window_too_large' END END AS rejected FROM lib")
+@query(f"WITH {L1} SELECT idx AS intra_loop_index, {REJECTED} AS rejected FROM lib")
 def library_rule_check(spark, sf_dir):
     return library.rule_check(factors(spark, sf_dir), COLUMNS).select("intra_loop_index", "rejected")
 
 
-@query(f"WITH {L1} SELECT count(*) AS n FROM lib WHERE kind NOT IN (2, 3) AND p_size BETWEEN 2 AND 120")
+@query(f"WITH {L1} SELECT idx AS intra_loop_index, factor_name FROM lib WHERE {REJECTED} IS NULL")
 def library_purge(spark, sf_dir):
-    return library.purge(factors(spark, sf_dir), COLUMNS).agg(F.count("*").alias("n"))
+    return library.purge(factors(spark, sf_dir), COLUMNS).select("intra_loop_index", "factor_name")
 
 
-@query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE kind WHEN 2 THEN 'unknown_function:EMA' WHEN 3 THEN 'unknown_column:missing' END AS invalid FROM lib")
+@query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE kind WHEN 2 THEN 'unknown_function:EMA' WHEN 3 THEN 'unknown_column:$missing' WHEN 6 THEN 'recursive_normalization' WHEN 7 THEN 'degenerate_self_operation' WHEN 8 THEN 'degenerate_self_operation' WHEN 9 THEN 'expression_too_many_nodes' WHEN 10 THEN 'syntax_error' WHEN 11 THEN 'unknown_function:IIF' END AS invalid FROM lib")
 def library_candidate_check(spark, sf_dir):
     return library.candidate_check(factors(spark, sf_dir), COLUMNS).select("intra_loop_index", "invalid")
 
 
-@query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE kind WHEN 2 THEN 'unknown_function' WHEN 3 THEN 'unknown_variable' END AS lexical FROM lib")
+@query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE kind WHEN 2 THEN 'unknown_function' WHEN 3 THEN 'unknown_variable' WHEN 10 THEN 'unbalanced_parentheses' WHEN 11 THEN 'unknown_function' WHEN 12 THEN 'no_variable' END AS lexical FROM lib")
 def library_lexical_check(spark, sf_dir):
     return library.lexical_check(factors(spark, sf_dir), COLUMNS).select("intra_loop_index", "lexical")
 
 
-@query(f"WITH {L1} SELECT idx AS intra_loop_index, replace(factor_expression, p_size || ')', greatest(2, least(120, p_size)) || ')') AS repaired FROM lib WHERE kind <> 2")
+@query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE WHEN kind IN (0, 1, 3, 4, 5, 8, 9, 10) THEN replace(factor_expression, n || ')', greatest(2, least(120, n)) || ')') ELSE factor_expression END AS repaired FROM lib")
 def library_repair(spark, sf_dir):
-    return factors(spark, sf_dir).filter("intra_loop_index % 6 != 2").select("intra_loop_index", library.repair_windows("factor_expression").alias("repaired"))
+    return factors(spark, sf_dir).select("intra_loop_index", library.repair_windows("factor_expression").alias("repaired"))
 
 
-@query(None)
+#: Of each kind: nodes, depth, numbers, and whether its shape is acceptable (null where it can't be read).
+SHAPES = [(3, 2, 1, True), (4, 3, 1, True), (3, 2, 1, True), (5, 3, 1, True), (6, 3, 1, True), (4, 3, 1, True), (5, 4, 1, True), (7, 4, 1, True), (5, 3, 1, True), (20, 8, 4, True), (None, None, None, False), (6, 3, 2, True), (5, 3, 3, False)]
+_SHAPE_SQL = ", ".join(f"({k}, {', '.join('NULL' if v is None else str(v).lower() for v in row)})" for k, row in enumerate(SHAPES))
+
+
+@query(f"WITH {L1}, sh(k, nodes, depth, numbers, fine) AS (VALUES {_SHAPE_SQL}) SELECT idx AS intra_loop_index, nodes, depth, numbers, coalesce(fine, false) AS acceptable FROM lib JOIN sh ON k = kind")
 def library_shapes(spark, sf_dir):
     return library.acceptable_shape(factors(spark, sf_dir)).select("intra_loop_index", "shape.nodes", "shape.depth", "shape.numbers", "acceptable")
 
 
-@query(f"WITH {L1} SELECT {BARE} AS expression, count(*) AS n, string_agg(factor_name, ';' ORDER BY factor_name) AS members FROM lib GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {L1}, e AS (SELECT {BARE} AS expression, factor_name FROM lib) SELECT expression, factor_name, count(*) OVER (PARTITION BY expression) AS n FROM e QUALIFY n > 1")
 def library_duplicates(spark, sf_dir):
-    return library.duplicate_expressions(factors(spark, sf_dir)).select("expression", "n", F.array_join("members", ";").alias("members"))
+    return library.duplicate_expressions(factors(spark, sf_dir)).select("expression", "factor_name", "n")
 
 
-@query(f"WITH {L1} SELECT regexp_replace(factor_name, '\\s+\\d+$', '') AS base_name, count(*) AS n FROM lib GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {L1}, e AS (SELECT regexp_replace(factor_name, '\\s+\\d+$', '') AS base_name, factor_name FROM lib) SELECT base_name, factor_name, count(*) OVER (PARTITION BY base_name) AS n FROM e QUALIFY n > 1")
 def library_name_groups(spark, sf_dir):
-    return library.duplicate_names(factors(spark, sf_dir)).select("base_name", "n")
+    return library.duplicate_names(factors(spark, sf_dir)).select("base_name", "factor_name", "n")
 
 
 @query(f"WITH {L1} SELECT count(*) AS records, count(DISTINCT {BARE}) AS distinct_expressions FROM lib")
@@ -217,7 +254,7 @@ def library_summary(spark, sf_dir):
     return library.library_summary(factors(spark, sf_dir))
 
 
-@query(f"WITH {L1}, k AS (SELECT *, row_number() OVER (PARTITION BY {BARE} ORDER BY idx % 2, factor_name) AS n FROM lib) SELECT {BARE} AS expression, factor_name FROM k WHERE n = 1")
+@query(f"WITH {L1}, k AS (SELECT *, row_number() OVER (PARTITION BY {BARE} ORDER BY idx % 2, factor_name) AS k FROM lib) SELECT {BARE} AS expression, factor_name FROM k WHERE k = 1")
 def library_union(spark, sf_dir):
     f = factors(spark, sf_dir)
     out = library.union_libraries(f.filter("intra_loop_index % 2 = 0"), f.filter("intra_loop_index % 2 = 1"))
@@ -230,11 +267,14 @@ def library_accept_unseen(spark, sf_dir):
     return library.accept_unseen(f.filter("intra_loop_index % 2 = 1"), f.filter("intra_loop_index % 2 = 0")).select(files.bare("factor_expression").alias("expression"), "factor_name")
 
 
-@query(f"""WITH {L1}, a AS (SELECT factor_expression AS e, regexp_replace(upper({BARE}), '\\b\\d+(\\.\\d+)?(E[+-]?\\d+)?\\b', 'N', 'g') AS f FROM lib WHERE idx % 7 < 3), b AS (SELECT factor_expression AS e, regexp_replace(upper({BARE}), '\\b\\d+(\\.\\d+)?(E[+-]?\\d+)?\\b', 'N', 'g') AS f FROM lib WHERE idx % 7 >= 3),
-ga AS (SELECT DISTINCT f, unnest(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3))) AS g FROM a), gb AS (SELECT DISTINCT f, unnest(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3))) AS g FROM b),
+_FORM = f"regexp_replace(upper({BARE}), '\\b\\d+(\\.\\d+)?(E[+-]?\\d+)?\\b', 'N', 'g')"
+_GRAMS = "unnest(CASE WHEN length(f) < 3 THEN [f] ELSE list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3)) END)"
+SIMILAR = f"""a AS (SELECT {_FORM} AS f FROM lib WHERE idx % 7 < 3), b AS (SELECT {_FORM} AS f FROM lib WHERE idx % 7 >= 3), ga AS (SELECT DISTINCT f, {_GRAMS} AS g FROM (SELECT DISTINCT f FROM a)), gb AS (SELECT DISTINCT f, {_GRAMS} AS g FROM (SELECT DISTINCT f FROM b)),
 na AS (SELECT f, count(*) AS n FROM ga GROUP BY 1), nb AS (SELECT f, count(*) AS n FROM gb GROUP BY 1), s AS (SELECT ga.f AS fa, gb.f AS fb, count(*) AS k FROM ga JOIN gb ON ga.g = gb.g GROUP BY 1, 2),
-j AS (SELECT fa, fb, k / (na.n + nb.n - k)::DOUBLE AS similarity FROM s JOIN na ON na.f = fa JOIN nb ON nb.f = fb)
-SELECT fa AS new_form, fb AS old_form, round(similarity, 6) AS similarity, (SELECT count(*) FROM a WHERE a.f = fa) AS n_new, (SELECT count(*) FROM b WHERE b.f = fb) AS n_old FROM j WHERE similarity >= 0.5""")
+j AS (SELECT fa, fb, k / (na.n + nb.n - k)::DOUBLE AS similarity FROM s JOIN na ON na.f = fa JOIN nb ON nb.f = fb)"""
+
+
+@query(f"WITH {L1}, {SIMILAR} SELECT fa AS new_form, fb AS old_form, round(similarity, 6) AS similarity, (SELECT count(*) FROM a WHERE a.f = fa) AS n_new, (SELECT count(*) FROM b WHERE b.f = fb) AS n_old FROM j WHERE similarity >= 0.5")
 def library_similar(spark, sf_dir):
     f = factors(spark, sf_dir)
     return library.similar_expressions(f.filter("intra_loop_index % 7 < 3"), f.filter("intra_loop_index % 7 >= 3"), 0.5)
@@ -243,10 +283,11 @@ def library_similar(spark, sf_dir):
 @query(None)
 def library_common_subtrees(spark, sf_dir):
     f = factors(spark, sf_dir)
-    return library.largest_common_subtree(f.filter("intra_loop_index % 2 = 1"), f.filter("intra_loop_index % 2 = 0")).select("new", "size", "form")
+    return library.largest_common_subtree(f.filter("intra_loop_index % 2 = 1"), f.filter("intra_loop_index % 2 = 0"))
 
 
-@query(None)
+@query(f"""WITH {L1}, {SIMILAR}, g AS (SELECT idx AS intra_loop_index, CASE WHEN abs(ic) < 0.003 THEN 'ic' WHEN abs(icir) < 0.005 THEN 'icir' WHEN coalesce(nullif(turnover, 0), 1) > 0.5 THEN 'turnover' WHEN coalesce(coverage, 0) < 0.8 THEN 'coverage' WHEN {REJECTED} IS NOT NULL THEN 'rules'
+  WHEN lower(factor_name) IN (SELECT lower(factor_name) FROM lib WHERE idx % 7 >= 3) THEN 'name' WHEN {_FORM} IN (SELECT fa FROM j WHERE similarity >= 0.9) THEN 'similarity' END AS gate FROM lib WHERE idx % 7 < 3) SELECT *, gate IS NULL AS passed FROM g""")
 def library_quality_gate(spark, sf_dir):
     f = factors(spark, sf_dir)
     return library.quality_gate(f.filter("intra_loop_index % 7 < 3"), f.filter("intra_loop_index % 7 >= 3"), COLUMNS).select("intra_loop_index", "gate", "passed")
@@ -262,7 +303,7 @@ def library_top_factors(spark, sf_dir):
     return library.top_factors(factors(spark, sf_dir))
 
 
-@query(f"WITH {L1}, k AS (SELECT *, row_number() OVER (PARTITION BY {BARE} ORDER BY fitness DESC, factor_name) AS n FROM lib) SELECT factor_name, round(fitness, 6) AS fitness FROM k WHERE n = 1 ORDER BY fitness DESC, factor_name LIMIT 50")
+@query(f"WITH {L1}, k AS (SELECT *, row_number() OVER (PARTITION BY {BARE} ORDER BY fitness DESC, factor_name) AS k FROM lib) SELECT factor_name, round(fitness, 6) AS fitness FROM k WHERE k = 1 ORDER BY fitness DESC, factor_name LIMIT 50")
 def library_candidate_pool(spark, sf_dir):
     return library.candidate_pool(factors(spark, sf_dir)).select("factor_name", "fitness")
 
@@ -272,9 +313,9 @@ def search_counts(spark, sf_dir):
     return library.search_summary(factors(spark, sf_dir).withColumnRenamed("factor_name", "name"))[0]
 
 
-@query(f"WITH {L1} SELECT phase, generation, round(max(fitness), 6) AS fitness FROM lib GROUP BY 1, 2")
+@query(f"WITH {L1} SELECT phase, generation, round(max(fitness), 6) AS fitness, max_by(factor_name, {{'a': fitness, 'b': factor_name}}) AS name FROM lib GROUP BY 1, 2")
 def search_best(spark, sf_dir):
-    return library.search_summary(factors(spark, sf_dir).withColumnRenamed("factor_name", "name"))[1].select("phase", "generation", "fitness")
+    return library.search_summary(factors(spark, sf_dir).withColumnRenamed("factor_name", "name"))[1]
 
 
 @query(f"WITH {L1} SELECT phase, count(*) AS n FROM lib GROUP BY 1")
@@ -282,17 +323,39 @@ def phase_counts(spark, sf_dir):
     return library.phase_counts(factors(spark, sf_dir))
 
 
-@query(f"WITH {L1}, f AS (SELECT 'f' || generate_series || '.py' AS file FROM generate_series(0, 99)) SELECT file FROM f WHERE file NOT IN (SELECT factor_file FROM lib WHERE factor_file IS NOT NULL)")
+#: Code files: what records name or are expected to have, of two in three, and some that nobody expects.
+FILES_SQL = f"code AS (SELECT factor_file AS file FROM lib WHERE idx % 2 = 0 AND factor_file IS NOT NULL UNION SELECT {FILE} FROM lib WHERE idx % 3 <> 1 UNION SELECT upper({FILE}) FROM lib WHERE idx % 8 = 1), known AS (SELECT factor_file AS file FROM lib UNION SELECT {FILE} FROM lib)"
+
+
+def code_files(spark, sf_dir) -> DataFrame:
+    f = factors(spark, sf_dir).withColumn("made", F.expr("concat(run_id, '_', loop_round, '_', intra_loop_index, '_', lower(left(trim(BOTH '_' FROM regexp_replace(factor_expression, '[^a-zA-Z0-9]+', '_')), 80)), '.py')"))
+    some = f.filter("intra_loop_index % 2 = 0 and factor_file is not null").select(F.col("factor_file").alias("file"))
+    return some.union(f.filter("intra_loop_index % 3 != 1").select("made")).union(f.filter("intra_loop_index % 8 = 1").select(F.upper("made"))).distinct()
+
+
+@query(f"WITH {L1}, {FILES_SQL} SELECT file FROM code WHERE file NOT IN (SELECT file FROM known WHERE file IS NOT NULL)")
 def library_orphans(spark, sf_dir):
-    names = spark.range(100).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("file"))
-    return library.orphans(names, factors(spark, sf_dir))
+    return library.orphans(code_files(spark, sf_dir), factors(spark, sf_dir))
 
 
-@query(f"WITH {L1} SELECT CASE WHEN idx % 3 = 0 THEN 'inserted' WHEN idx % 3 = 1 THEN 'filled' ELSE 'kept' END AS action, count(*) AS n FROM lib GROUP BY 1")
-def library_recovery(spark, sf_dir):
+RECOVERY_SQL = f"""{L1}, {FILES_SQL}, act AS (SELECT idx, CASE WHEN idx % 11 = 5 THEN 'unparseable_record' WHEN {FILE} NOT IN (SELECT file FROM code) THEN 'code_missing' WHEN idx % 4 = 0 THEN 'recovered' WHEN factor_file IS NULL THEN 'updated_existing' ELSE 'already_present' END AS action FROM lib)"""
+
+
+def recovered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Three quarters of the library are stored; all of it is legacy, some without a run."""
     f = factors(spark, sf_dir)
-    old = f.filter("intra_loop_index % 3 != 2").withColumn("factor_file", F.lit("old.py"))
-    return library.recover(f.filter("intra_loop_index % 3 != 0").withColumn("factor_file", F.lit(None).cast("string")), old)[1]
+    legacy = f.withColumn("run_id", F.when(F.col("intra_loop_index") % 11 == 5, "").otherwise(F.col("run_id")))
+    return library.recover(f.filter("intra_loop_index % 4 != 0"), legacy, code_files(spark, sf_dir))
+
+
+@query(f"WITH {RECOVERY_SQL} SELECT action, count(*) AS n FROM act GROUP BY 1")
+def library_recovery(spark, sf_dir):
+    return recovered(spark, sf_dir)[1]
+
+
+@query(f"WITH {RECOVERY_SQL} SELECT idx AS intra_loop_index, factor_name, CASE WHEN action IN ('recovered', 'updated_existing') THEN {FILE} ELSE factor_file END AS factor_file, CASE WHEN action = 'recovered' THEN 'legacy_old_json_recovery' ELSE source END AS source FROM lib JOIN act USING (idx) WHERE idx % 4 <> 0 OR action = 'recovered'")
+def library_recovered(spark, sf_dir):
+    return recovered(spark, sf_dir)[0].select("intra_loop_index", "factor_name", "factor_file", "source")
 
 
 EVENTS_SQL = "ev AS (SELECT event_type || (event_id % 50) AS name, 'run' || (user_id % 3) AS run_id, ts, CASE WHEN event_id % 4 > 0 THEN 'r' || (event_id % 11) END AS reason, props AS expression, event_id % 3 AS src FROM events)"
@@ -310,30 +373,52 @@ def failure_upsert(spark, sf_dir):
     return library.upsert_failures(*(f.filter(F.col("event_id") % 3 == k) for k in range(3)))
 
 
-@query(f"WITH {EVENTS_SQL}, t AS (SELECT * FROM ev ORDER BY ts DESC, name LIMIT 30) SELECT * FROM (SELECT 'reason' AS kind, reason AS value, count(*) AS n FROM t WHERE reason IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8) UNION ALL SELECT * FROM (SELECT 'name', name, count(*) FROM t GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12) UNION ALL SELECT * FROM (SELECT 'expression', expression, count(*) FROM t GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)")
+@query(f"""WITH {EVENTS_SQL}, t AS (SELECT * FROM ev ORDER BY ts DESC, name LIMIT 30) SELECT * FROM (SELECT 'reason' AS kind, coalesce(reason, 'unknown') AS value, count(*) AS n FROM t GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'name', name, count(*) FROM t GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12) UNION ALL SELECT 'expression', expression, n FROM (SELECT expression, count(*) AS n, min(ts) AS at, arg_min(name, ts) AS m FROM t GROUP BY 1 ORDER BY 3, 4, 1 LIMIT 5)""")
 def failure_summary(spark, sf_dir):
     return library.failure_summary(failures(spark, sf_dir))
 
 
-@query(f"WITH {L1}, f AS (SELECT 'f' || generate_series || '.py' AS file FROM generate_series(0, 99)) SELECT 'records' AS \"check\", count(*) AS n FROM lib UNION ALL SELECT 'distinct_expressions', count(DISTINCT {BARE}) FROM lib UNION ALL SELECT 'duplicate_expressions', count(*) FROM (SELECT 1 FROM lib GROUP BY {BARE} HAVING count(*) > 1) UNION ALL SELECT 'duplicate_names', count(*) FROM (SELECT 1 FROM lib GROUP BY regexp_replace(factor_name, '\\s+\\d+$', '') HAVING count(*) > 1) UNION ALL SELECT 'orphan_files', count(*) FROM f WHERE file NOT IN (SELECT factor_file FROM lib WHERE factor_file IS NOT NULL)")
+@query(f"WITH {EVENTS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, reason DESC) AS n FROM ev) SELECT name, ts AS \"timestamp\", reason FROM k WHERE n = 1 ORDER BY ts DESC, name LIMIT 50")
+def recent_rejected(spark, sf_dir):
+    return library.recent_rejected(failures(spark, sf_dir)).select("name", "timestamp", "reason")
+
+
+@query(f"""WITH {EVENTS_SQL}, done AS (SELECT DISTINCT name, run_id FROM ev WHERE src = 0), p AS (SELECT *, row_number() OVER (PARTITION BY name, run_id ORDER BY ts, expression) AS n FROM ev WHERE src = 1),
+u AS (SELECT name, run_id, max(ts) AS "timestamp", arg_max(reason, ts) FILTER (WHERE reason IS NOT NULL) AS reason, arg_max(expression, ts) AS expression, 'low_metric' AS "type" FROM ev WHERE src = 0 GROUP BY 1, 2)
+SELECT * FROM u UNION ALL SELECT name, run_id, ts, coalesce(reason, 'Proposed but results pending or rejected.'), expression, 'unsuccessful_attempt' FROM p ANTI JOIN done USING (name, run_id) WHERE n = 1""")
+def failure_proposals(spark, sf_dir):
+    f = failures(spark, sf_dir)
+    logs = f.filter("event_id % 3 = 0").withColumn("type", F.lit("low_metric"))
+    return library.upsert_failures(logs, proposals=f.filter("event_id % 3 = 1"))
+
+
+@query(f"WITH {L1}, {FILES_SQL} SELECT 'records' AS \"check\", count(*) AS n FROM lib UNION ALL SELECT 'distinct_expressions', count(DISTINCT {BARE}) FROM lib UNION ALL SELECT 'duplicate_expressions', count(*) FROM (SELECT 1 FROM lib GROUP BY {BARE} HAVING count(*) > 1) UNION ALL SELECT 'duplicate_names', count(*) FROM (SELECT 1 FROM lib GROUP BY regexp_replace(factor_name, '\\s+\\d+$', '') HAVING count(*) > 1) UNION ALL SELECT 'orphan_files', count(*) FROM code WHERE file NOT IN (SELECT file FROM known WHERE file IS NOT NULL)")
 def library_audit(spark, sf_dir):
-    names = spark.range(100).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("file"))
-    return library.audit(factors(spark, sf_dir), names).select("check", "n")
+    return library.audit(factors(spark, sf_dir), code_files(spark, sf_dir)).select("check", "n")
 
 
-@query(None)
+#: Records of one written library document.
+PER_FILE = 500
+
+
+@query(f"WITH {L1} SELECT run_id || '-' || (idx // {PER_FILE}) AS library, factor_name, factor_expression FROM lib UNION ALL SELECT DISTINCT 'old_' || run_id || '-' || (idx // {PER_FILE}), factor_name, max_by(factor_expression, idx) OVER (PARTITION BY run_id, idx // {PER_FILE}, factor_name) FROM lib")
 def library_layouts(spark, sf_dir):
-    """Records written as JSON in two layouts and read back."""
-    f = factors(spark, sf_dir).select("factor_name", "factor_expression", "run_id", "metrics")
-    listed = f.groupBy(F.col("run_id").alias("library")).agg(F.to_json(F.struct(F.collect_list(F.struct("factor_name", "factor_expression", "metrics")).alias("records"))).alias("value"))
-    mapped = f.dropDuplicates(["run_id", "factor_name"]).groupBy(F.concat(F.lit("old_"), "run_id").alias("library")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("factor_name", F.struct(F.col("factor_expression").alias("expression"))))).alias("factors"))).alias("value"))
+    """Records written as JSON documents of bounded size, in two layouts, and read back."""
+    f = factors(spark, sf_dir).withColumn("library", F.concat_ws("-", "run_id", F.floor(F.col("intra_loop_index") / PER_FILE).cast("string")))
+    listed = f.groupBy("library").agg(F.to_json(F.struct(F.collect_list(F.struct("factor_name", "factor_expression", "metrics")).alias("records"))).alias("value"))
+    last = f.groupBy("library", "factor_name").agg(F.max_by("factor_expression", "intra_loop_index").alias("expression"))
+    mapped = last.groupBy(F.concat(F.lit("old_"), "library").alias("library")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("factor_name", F.struct("expression")))).alias("factors"))).alias("value"))
     return files.records_of(listed.union(mapped)).select("library", "factor_name", "factor_expression")
 
 
-@query(None)
+@query(f"""WITH {L1}, listed AS (SELECT factor_name AS name, min(idx // 50) AS place FROM lib WHERE idx % 50 = 7 GROUP BY 1), pen AS (SELECT factor_name AS name, min(idx // 50) AS place FROM lib WHERE idx % 50 = 7 AND (idx // 50) % 2 = 0 GROUP BY 1),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(factor_name || ' ' || factor_expression), '[a-z_]{{3,}}')) AS ws FROM lib)
+SELECT factor_name, factor_expression, (coalesce(100 - least(listed.place, 50), 0) - coalesce(50 - least(pen.place, 25), 0) + 3 * least(8, list_contains(ws, 'close')::INT + list_contains(ws, 'volume')::INT + list_contains(ws, 'rank')::INT)
+  + 2 * contains(lower(factor_name), 'evo')::INT + regexp_matches(lower(factor_name), 'funding|vwap|volume')::INT + regexp_matches(lower(factor_name), 'reversal|momentum')::INT)::INT AS memory_score FROM w LEFT JOIN listed ON listed.name = trim(factor_name) LEFT JOIN pen ON pen.name = trim(factor_name)""")
 def seed_ranking(spark, sf_dir):
     f = factors(spark, sf_dir)
-    listed = f.filter("intra_loop_index % 50 = 7").select(F.col("factor_name").alias("name"), (F.col("intra_loop_index") / 50).cast("int").alias("place"))
+    listed = f.filter("intra_loop_index % 50 = 7").select(F.col("factor_name").alias("name"), F.floor(F.col("intra_loop_index") / 50).cast("int").alias("place"))
     words = spark.createDataFrame([("close",), ("volume",), ("rank",)], "word string")
     return library.rank_seeds(f, listed, listed.filter("place % 2 = 0"), words).select("factor_name", "factor_expression", "memory_score")
 

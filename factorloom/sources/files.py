@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TEXT_SCHEMA = "timestamp string, symbol string, source string, title string, body string, url string, source_file string, event_type string, confidence double, chunk_id int, direction string, asset_role string, primary_assets array<string>, ignored_mentions array<struct<mention:string,reason:string>>, evidence array<string>"
 RECORD_SCHEMA = "run_id string, hypothesis string, loop_round int, intra_loop_index int, factor_name string, factor_expression string, factor_file string, metrics map<string,string>, generation int, parent_1 string, parent_2 string, source string, fitness double"
@@ -23,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that later steps don't compute it again."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_market_text(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Text records from .jsonl, .json (one array) or .csv."""
     kind = kind or path.rpartition(".")[2].lower()
@@ -31,7 +40,9 @@ def read_market_text(spark: SparkSession, path: str, kind: str | None = None) ->
     if kind == "json":
         return spark.read.schema(TEXT_SCHEMA).option("multiLine", True).json(path)
     if kind == "csv":
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(TEXT_SCHEMA)}
+        return text.select(*(F.from_json(c, kinds[c]).alias(c) if kinds.get(c, "").startswith("array") else F.col(c).try_cast(kinds.get(c, "string")).alias(c) for c in text.columns))
     raise ValueError(f"unsupported_text_format:.{kind}")
 
 

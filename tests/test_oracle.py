@@ -8,7 +8,6 @@ from factorloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"research_pipeline", "parameter_scores", "population_scores", "subset_scores", "evaluation_report"}
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +27,12 @@ def plain(x):
     return str(x)
 
 
+def near(x, y):
+    """Rows alike but for a last digit of a number that is rounded the other way."""
+    number = lambda v: float(v) if v.replace(".", "").replace("-", "").replace("e", "").replace("+", "").isdigit() else None
+    return all(a == b or (number(a) is not None and number(b) is not None and abs(float(a) - float(b)) <= 2e-5 * max(1, abs(float(a)))) for a, b in zip(x, y, strict=True))
+
+
 def rows(df, columns):
     return sorted(tuple(plain(x) for x in r) for r in df[columns].astype(object).itertuples(index=False, name=None))
 
@@ -39,11 +44,11 @@ def test_same_as_sql(spark, sf, con, name):
     columns = sorted(ours.columns)
     a, b = rows(ours, columns), rows(theirs, columns)
     assert len(a) == len(b)
-    different = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-    assert len(different) <= len(a) // 500, different[:3]  # a last digit may be rounded the other way
+    different = [(x, y) for x, y in zip(a, b, strict=True) if x != y and not near(x, y)]
+    assert not different, different[:3]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.columns and df.count() > 0

@@ -82,8 +82,8 @@ def test_text_stream_replaces_by_source(spark, tmp_path):
 
 
 def test_summaries(spark):
-    doc = {"primary_assets": ["BTC"], "evidence": ["e"], "events": [{"symbol": "", "body": "up", "confidence": 7}, {"symbol": "ETH", "body": ""}, {"symbol": "zzz", "body": "x", "asset_role": "Example", "timestamp": "2024-02-03"}]}
+    doc = {"primary_assets": ["BTC"], "evidence": ["e"], "events": [{"symbol": "", "body": "up", "confidence": 7}, {"symbol": "ETH", "body": ""}, {"symbol": "zzz", "body": "x", "asset_role": "Backtest_Example", "timestamp": "2024-02-03"}]}
     docs = spark.createDataFrame([("f", "title", "2024-01-01", json.dumps(doc))], "source_file string, title string, timestamp string, summary_json string").withColumn("timestamp", F.to_timestamp("timestamp"))
     names = spark.createDataFrame([("BTCUSDT",)], "symbol string")
     got = sorted((r["event_no"], r["symbol"], r["confidence"], r["emitted"], str(r["timestamp"])[:10]) for r in text.summary_events(docs, text.default_aliases(names), names).collect())
-    assert got == [(0, "BTCUSDT", 1.0, True, "2024-01-01"), (2, "*", 0.5, False, "2024-02-03")]
+    assert got == [(0, "BTCUSDT", 1.0, True, "2024-01-01"), (2, "*", 0.6, False, "2024-02-03")]
