@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, need, written
+from .common import need, written
 from .textarrays import U64, chunks, hash_spans, mix, utf8, words
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _LAST = U64(2**64 - 1)
 #: No shorter repetition is touched, and every longer one than this is found.
 LEAST, SURE = 20, 40
+#: A fingerprint is hot if it has more positions than this, and than this part of all positions.
+HOT, HOT_SHARE = 1000, 10_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +97,11 @@ def _fingerprints(df: DataFrame, doc_id: str, text: str, least: int, width: int)
     return source.mapInArrow(run, f"id {kind}, hash long, pos int, fingerprint long")
 
 
+def _document(doc_id: Column) -> Column:
+    """With the text's hash what tells documents apart, never null."""
+    return F.xxhash64(doc_id.isNull(), doc_id)
+
+
 def _place() -> Column:
     """Document order: known ids ascending, then the text's hash, then the word."""
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "pos")
@@ -213,28 +220,33 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
         raise ValueError("needs 0 < least <= sure")
     width = sure - least + 1
     found = written(_fingerprints(df, doc_id, text, least, width), "fingerprints")
-    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    found = written(found.join(shared, "fingerprint").distinct(), "shared")  # rows alike count once
-    origin = found.groupBy("fingerprint").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first != last").select("fingerprint", "first")
+    counts = written(found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    # fingerprints that a ten-thousandth of all positions or more share are fewer than that: they are joined by broadcast
+    most = max(HOT, found.count() // HOT_SHARE)
+    hot = F.broadcast(counts.filter(F.col("n") > most).select("fingerprint"))
+    rest = counts.filter(F.col("n") <= most).select("fingerprint")
+    place = ["fingerprint", "id", "hash", "pos"]  # rows alike count once
+    found = found.join(rest, "fingerprint").select(*place, F.lit(False).alias("hot")).distinct().union(found.join(hot, "fingerprint").select(*place, F.lit(True)).distinct())
+    found = written(found, "shared")
+    origin = found.groupBy("fingerprint", "hot").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first != last").drop("last")
     origin = written(origin, "origins")
 
-    h, wanted, listed = fresh(df, "_text_hash"), "wanted", "matches"
+    wanted, listed = "wanted", "matches"
     inner = {c: f"_{i}" for i, c in enumerate(df.columns)}  # so that no column of ``df`` clashes
-    base = df.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), F.xxhash64(text).alias(h))
-    body, key = inner[text], inner[doc_id]
+    base = df.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), _document(F.col(doc_id)).alias("_document"), F.xxhash64(text).alias("_hash"))
+    body = inner[text]
 
-    def with_docs(other: DataFrame, how: str) -> DataFrame:
-        other = other.withColumnsRenamed({"id": "id_", "hash": "hash_"})
-        return base.join(other, base[key].eqNullSafe(other["id_"]) & (base[h] == other["hash_"]), how).drop("id_", "hash_")
+    def by_document(d: DataFrame, item: Column, name: str) -> DataFrame:
+        return d.groupBy(_document(F.col("id")).alias("_document"), F.col("hash").alias("_hash")).agg(F.collect_list(item).alias(name))
 
-    firsts = origin.select("fingerprint", "first.id", "first.hash", "first.pos").groupBy("id", "hash").agg(F.collect_list(F.struct("pos", "fingerprint")).alias(wanted))
-    context = _contexts(with_docs(firsts, "inner"), body, least, width).dropDuplicates(["fingerprint"])
+    firsts = by_document(origin.select("fingerprint", "first.id", "first.hash", "first.pos"), F.struct("pos", "fingerprint"), wanted)
+    context = _contexts(base.join(firsts, ["_document", "_hash"]), body, least, width).dropDuplicates(["fingerprint"])
     known = origin.join(context, "fingerprint")
-    later = found.join(known, "fingerprint").filter(_place() != F.col("first"))
+    spread = found.filter("not hot").join(known.filter("not hot").drop("hot"), "fingerprint")
+    later = spread.unionByName(found.filter("hot").join(F.broadcast(known.filter("hot").drop("hot")), "fingerprint")).filter(_place() != F.col("first"))
     own = F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")), F.col("first.pos")).otherwise(-1)
-    later = later.select("id", "hash", F.struct("pos", own.alias("own"), "before", "after").alias("m"))
-    later = later.groupBy("id", "hash").agg(F.collect_list("m").alias(listed))
-    both = with_docs(later, "left")
+    later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), listed)
+    both = base.join(later, ["_document", "_hash"], "left")
     edited = F.when(F.col(listed).isNotNull(), F.col(body))
     both = both.withColumn("e", _edit(least, width)(edited, F.col(listed)))
     hit = F.col(listed).isNotNull()
