@@ -1,7 +1,7 @@
 """Similarity digests from improbable features.
 
-Every window of ``WINDOW`` bytes gets an entropy level, counted over ``CLASSES`` classes of bytes; the further a level
-lies from that of ordinary text, the rarer it is and the higher it ranks. Of each ``SPAN`` neighbouring windows the
+Every window of ``WINDOW`` bytes gets an entropy level, counted over ``CLASSES`` classes of bytes. How often each level
+occurs is counted over the whole corpus (``measure_rarity``); the rarer a window's level, the higher it ranks. Of each ``SPAN`` neighbouring windows the
 highest-ranked (of equals the first) wins; windows that win ``WINS`` times are the document's features. Features are
 hashed into Bloom filters of 2048 bits, at most ``FILL`` in one; further ones chain another filter to the digest. Two
 digests are compared filter by filter: bits in common beyond what chance gives, as a share of the most possible.
@@ -10,45 +10,90 @@ digests are compared filter by filter: bits in common beyond what chance gives,
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .common import ddl, need
-from .textarrays import U64, hash_spans, mix
+from .textarrays import U64, chunks, hash_spans, mix
 
 WINDOW, SPAN, WINS, CLASSES = 24, 16, 4, 16
 SHORT = 6
 BITS, HASHES, FILL = 2048, 5, 160
 #: Share of the span between chance and identity that counts as nothing.
 SLACK = 0.3
-#: Entropy level of ordinary text (levels of 1/16 bit).
-USUAL = 48
+#: Entropy levels (in steps of 1/16 bit).
+LEVELS = 80
 _CLASS = ((np.arange(256) * 7) ^ (np.arange(256) >> 4)).astype(np.uint8) & (CLASSES - 1)
 _COUNTS = np.arange(WINDOW + 1)
-_PARTS = np.round(np.where(_COUNTS > 0, _COUNTS * np.log2(np.maximum(_COUNTS, 1)), 0) * 64).astype(np.int16)
+_PARTS = np.round(np.where(_COUNTS > 0, _COUNTS * np.log2(np.maximum(_COUNTS, 1)), 0) * 64).astype(np.int32)
+_STEP = (_PARTS[1:] - _PARTS[:-1]).astype(np.int16)
+_LEVEL = np.rint((np.log2(WINDOW) - np.arange(_PARTS[-1] + 1) / (64 * WINDOW)) * 16).astype(np.uint8)
 
 
-def entropy_ranks(data: np.ndarray) -> np.ndarray:
-    """For each window's first byte, how far its entropy lies from the usual (0 to 63)."""
+def entropy_levels(data: np.ndarray) -> np.ndarray:
+    """The entropy level of each window, by its first byte.
+
+    From one window to the next, the sum over classes of count x log(count) changes by what the byte that comes and the byte
+    that goes do, which depends on how many of their class are in the bytes between.
+    """
     n = len(data) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.uint8)
     kinds = _CLASS[data]
-    total = np.zeros(n, np.int16)
-    for k in range(CLASSES):
-        upto = np.zeros(len(data) + 1, np.uint8)
-        np.cumsum(kinds == k, dtype=np.uint8, out=upto[1:])
-        total += _PARTS[upto[WINDOW:] - upto[:-WINDOW]]
-    level = (np.log2(WINDOW) - total / (64 * WINDOW)) * 16
-    return np.minimum(np.abs(np.rint(level).astype(np.int32) - USUAL), 63)
+    before, behind = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    for lag in range(1, WINDOW):
+        same = (kinds[lag:] == kinds[:-lag]).view(np.uint8)
+        before[lag:] += same
+        behind[:-lag] += same
+    total = np.empty(n, np.int32)
+    total[0] = _PARTS[np.bincount(kinds[:WINDOW], minlength=CLASSES)].sum()
+    np.subtract(_STEP[before[WINDOW:]], _STEP[behind[: n - 1]], out=total[1:], dtype=np.int32)
+    return _LEVEL[np.cumsum(total, out=total)]
+
+
+def _inside(n: int, off: np.ndarray, reach: int = WINDOW - 1) -> np.ndarray:
+    """Of ``n`` windows that go ``reach`` bytes beyond their first, those that don't cross into another text."""
+    crossing = np.zeros(n + 1, np.int32)
+    edge = off[1:-1]
+    np.add.at(crossing, np.clip(edge - reach, 0, n), 1)
+    np.add.at(crossing, np.clip(edge, 0, n), -1)
+    return np.cumsum(crossing)[:-1] == 0
+
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Rank of each level by how often it occurs (0: the rarest, of equals the lower level), from counts of all levels."""
+    rank = np.empty(LEVELS, np.uint8)
+    rank[np.argsort(counts, kind="stable")] = np.arange(LEVELS)
+    return rank
+
+
+def measure_rarity(df: DataFrame, text: str = "text") -> np.ndarray:
+    """Rarity ranks of the entropy levels of all windows of all texts: one narrow pass, ``LEVELS`` sums to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(LEVELS, np.int64)
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column(0)):
+                level = entropy_levels(data)
+                seen += np.bincount(level[_inside(len(level), off)], minlength=LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS), pa.int32()), pa.array(seen)], names=["level", "n"])
 
-def feature_positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = df.select(F.col(text).alias("t")).mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n"))
+    counts = np.zeros(LEVELS, np.int64)
+    for r in found.collect():
+        counts[r["level"]] = r["n"]
+    return rarity(counts)
+
+
+def feature_positions(data: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the selected windows in flat texts, and the texts' bounds in that list.
 
     A text with fewer windows than a span has all its windows of ``SHORT`` bytes as features (a shorter one itself); one
@@ -57,21 +102,13 @@ def feature_positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     size = np.diff(off)
     picked = [np.zeros(0, np.int64)]
     if len(data) >= WINDOW + SPAN - 1:
-        kind, shift = (np.int32, 25) if len(data) < 1 << 25 else (np.int64, 50)
-        key = ((63 - entropy_ranks(data)).astype(kind) << shift) | np.arange(len(data) - WINDOW + 1, dtype=kind)
+        kind, shift = (np.int32, 24) if len(data) < 1 << 24 else (np.int64, 48)
+        key = (rank[entropy_levels(data)].astype(kind) << shift) | np.arange(len(data) - WINDOW + 1, dtype=kind)
         step = 1
         while step < SPAN:
             key = np.minimum(key[:-step], key[step:])
             step *= 2
-        # spans that cross texts don't count
-        ok = np.ones(len(key), bool)
-        reach = WINDOW + SPAN - 2
-        edge = off[1:-1]
-        if len(edge):
-            bad = np.zeros(len(key) + 1, np.int32)
-            np.add.at(bad, np.clip(edge - reach, 0, len(key)), 1)
-            np.add.at(bad, np.clip(edge, 0, len(key)), -1)
-            ok = np.cumsum(bad)[:-1] == 0
+        ok = _inside(len(key), off, WINDOW + SPAN - 2)
         wins = np.bincount(key[ok] & ((1 << shift) - 1), minlength=1)
         picked.append(np.flatnonzero(wins >= WINS))
     width = [np.full(len(picked[-1]), WINDOW)]
@@ -81,7 +118,7 @@ def feature_positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
         if b - a < WINDOW + SPAN - 1:
             own = np.arange(a, max(a + 1, b - SHORT + 1))
         else:
-            own = np.array([a + int(np.argmax(entropy_ranks(data[a:b])))])
+            own = np.array([a + int(np.argmin(rank[entropy_levels(data[a:b])]))])
         picked.append(own)
         width.append(np.full(len(own), WINDOW if b - a >= WINDOW + SPAN - 1 else min(SHORT, b - a)))
     every, width = np.concatenate(picked), np.concatenate(width)
@@ -90,11 +127,11 @@ def feature_positions(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     return every, every + width, np.searchsorted(every, off)
 
 
-def digests(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def digests(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text, its chained filters (k x 32 of uint64) and how many features each holds."""
     off = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
     data = np.frombuffer(b"".join(texts), np.uint8)
-    at, end, bounds = feature_positions(data, off)
+    at, end, bounds = feature_positions(data, off, rank)
     h = hash_spans(data, at, end, seed=31)
     more = mix(h)
     bits = np.stack([(h >> U64(11 * k)) & U64(BITS - 1) for k in range(HASHES)], 1).astype(np.int64)
@@ -160,10 +197,10 @@ def _pieces(n_bytes: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int
         i = j
 
 
-def _compared(pairs: list[tuple[tuple, tuple]], doc_id: str) -> pa.RecordBatch:
+def _compared(pairs: list[tuple[tuple, tuple]], doc_id: str, rank: np.ndarray) -> pa.RecordBatch:
     """The result's rows for documents and their next ones, each (bucket, guest, id, text, digest)."""
     edited = [edit(x[3], y[3]).encode() for x, y in pairs]
-    changed = digests(edited)
+    changed = digests(edited, rank)
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([x[2] for x, _ in pairs]),
@@ -178,46 +215,69 @@ def _compared(pairs: list[tuple[tuple, tuple]], doc_id: str) -> pa.RecordBatch:
     )
 
 
-def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_docs: int = 1000, most_buckets: int = 16384) -> DataFrame:
+def _sortable(df: DataFrame, doc_id: str) -> Column:
+    """The id in a form that Python orders as Spark does; nulls are told apart elsewhere."""
+    kind, c = df.schema[doc_id].dataType.simpleString(), F.col(doc_id)
+    if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        return F.coalesce(c.cast("long"), F.lit(0))
+    if kind in ("float", "double"):
+        return F.coalesce(c.cast("double"), F.lit(0.0))
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.coalesce(F.unix_micros(c.cast("timestamp")), F.lit(0))
+    return F.coalesce(F.encode(c.cast("string"), "UTF-8"), F.lit(b""))
+
+
+def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_docs: int = 1000, most_buckets: int = 16384, rank: np.ndarray | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one with the next smaller doc_id (rows that share an id go by their text's hash; null ids
-    come last, by hash; after the last comes the first). Documents are dealt to buckets of neighbouring ids by
-    quantiles of all ids, which bounds what a task sorts; the first document of each bucket goes to the bucket before
-    as well, so that every text moves once and the bucket's last document meets its next.
+    come last, by hash; after the last comes the first). Ids may be numbers, texts, dates or times; numbers of decimal type
+    are ordered as their text is. ``rank`` is a table of rarities (see ``measure_rarity``); without one it is measured over
+    ``df``, so digests are comparable within one corpus, or wherever the same table is given.
+
+    Documents are dealt to buckets of neighbours of about ``bucket_docs`` each, whose first rows are found by a range
+    partitioning of ids and hashes alone, so that rows of one id may lie in many buckets. These first rows, one for each
+    bucket and at most ``most_buckets``, go to the driver. Beyond bucket_docs x most_buckets documents buckets grow; Spark
+    sorts them (with spilling) and they are streamed, so that memory doesn't. A bucket's first document goes to the bucket
+    before as well: every text moves once and the bucket's last document meets its next.
 
     Null texts count as empty; an empty text has the fingerprint ":". Texts are used whole. Repeated rows stay, each with
     a next of its own. A single row is its own next; an empty table gives an empty result; other columns are ignored.
     """
     need(df, [text, doc_id])
+    if rank is None:
+        rank = measure_rarity(df, text)
     buckets = int(min(most_buckets, max(1, df.count() // bucket_docs)))
-    ids = df.select(F.col(doc_id).cast("long").alias("i"))
-    splits = np.unique(np.array(ids.approxQuantile("i", [k / buckets for k in range(1, buckets)], max(1e-5, 0.25 / buckets)) if buckets > 1 else [], dtype=np.float64)).astype(np.int64)
-    # known ids descend from bucket 0 on; null ids fill 64 buckets after them
-    last = len(splits)
-
-    @F.pandas_udf(LongType())
-    def bucket(i: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
-        own = last - np.searchsorted(splits, i.to_numpy(np.int64), "right")
-        return pd.Series(np.where(null.to_numpy(bool), last + 1 + ((h.to_numpy(np.int64) >> 58) + 32), own))
-
-    rows = df.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select(doc_id, "t", F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("i"), F.col(doc_id).isNull().alias("null"), F.xxhash64("t").alias("h"))
-    rows = rows.withColumn("b", bucket("i", "null", "h"))
-    order = F.struct(-F.col("i"), F.col("h"))
-    heads = rows.select("b", "i", "h").groupBy("b").agg(F.min(order).alias("head")).orderBy("b").collect()  # one row for each bucket
+    rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), _sortable(df, doc_id).alias("i"), F.col(doc_id).isNull().alias("none")).withColumn("h", F.xxhash64("t"))
+    order = [F.asc("none"), F.desc("i"), F.asc("h")]
+    keys = rows.select("i", "none", "h").repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+    kind = dict(rows.dtypes)["i"]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield batch.slice(0, 1)
+                return
+
+    heads = keys.mapInArrow(first, f"i {kind}, none boolean, h long").collect()  # one row for each bucket
     if not heads:
         return df.sparkSession.createDataFrame([], ddl(df, [doc_id], _OUT))
-    firsts = [(r["b"], -r["head"][0], r["head"][1]) for r in heads]
-    also = {(b, i, h): firsts[k - 1][0] for k, (b, i, h) in enumerate(firsts)}  # the one before; of the first, the last
+    # ascending: nulls first, then ids, then hashes from the greatest down; buckets are numbered from the end
+    edges = sorted((not r["none"], bytes(r["i"]) if kind == "binary" else r["i"], -r["h"]) for r in heads)
+    last = len(edges) - 1
 
     @F.pandas_udf(ArrayType(LongType()))
-    def places(b: pd.Series, i: pd.Series, h: pd.Series) -> pd.Series:
-        rows = zip(b.tolist(), i.tolist(), h.tolist(), strict=True)
-        return pd.Series([[b, also[b, i, h]] if (b, i, h) in also else [b] for b, i, h in rows])
-
-    moved = rows.select(doc_id, "t", "i", "h", F.posexplode(places("b", "i", "h")).alias("guest", "bucket"))
-    moved = moved.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("i"), "h").select(doc_id, "t", "bucket", "guest")
+    def places(i: pd.Series, none: pd.Series, h: pd.Series) -> pd.Series:
+        """The row's bucket; for a bucket's first row also the one before (of the first bucket, the last)."""
+        out = []
+        for key in zip((~none).tolist(), i.tolist(), (-h).tolist(), strict=True):
+            at = bisect.bisect_left(edges, key)
+            own = last - at
+            out.append([own, own - 1 if own else last] if edges[at] == key else [own])
+        return pd.Series(out)
+
+    moved = rows.select("id", "t", "i", "none", "h", F.posexplode(places("i", "none", "h")).alias("guest", "bucket"))
+    moved = moved.repartition("bucket").sortWithinPartitions("bucket", "guest", *order).select("id", "t", "bucket", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the row that waits for its next
@@ -226,14 +286,14 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
             for i, j in _pieces(sizes):
                 keys = batch.column(0).slice(i, j - i)
                 texts = batch.column(1).slice(i, j - i).to_pylist()
-                own = digests([t.encode() for t in texts])
+                own = digests([t.encode() for t in texts], rank)
                 now = list(zip(batch.column(2).slice(i, j - i).to_pylist(), batch.column(3).slice(i, j - i).to_pylist(), (keys.slice(k, 1) for k in range(len(keys))), texts, own, strict=True))
                 seen = held + now
                 held = seen[-1:]
                 # of a bucket's guests only the first counts, and none is a row of the result
                 pairs = [(x, y) for x, y in zip(seen, seen[1:], strict=False) if x[0] == y[0] and not x[1]]
                 if pairs:
-                    yield _compared(pairs, doc_id)
+                    yield _compared(pairs, doc_id, rank)
 
     return moved.mapInArrow(run, ddl(df, [doc_id], _OUT))
 

@@ -458,12 +458,109 @@ def test_fingerprints(spark, sf):
     assert one["near_next"] == 1.0
 
 
+def plain_features(t, rank):
+    """Selected windows of a text, by loops."""
+    w, span = fingerprints.WINDOW, fingerprints.SPAN
+    n = len(t) - w + 1
+    if n < span:
+        return [t[a : a + fingerprints.SHORT] for a in range(max(1, len(t) - fingerprints.SHORT + 1))] if t else []
+    level = []
+    for a in range(n):
+        counts = np.bincount([fingerprints._CLASS[b] for b in t[a : a + w]])
+        total = sum(round(c * np.log2(c) * 64) for c in counts if c)
+        level.append(round((np.log2(w) - total / (64 * w)) * 16))
+    key = [(int(rank[x]), a) for a, x in enumerate(level)]
+    wins = [0] * n
+    for a in range(n - span + 1):
+        wins[min(key[a : a + span])[1]] += 1
+    picked = [a for a in range(n) if wins[a] >= fingerprints.WINS] or [min(key)[1]]
+    return [t[a : a + w] for a in picked]
+
+
+def plain_digest(t, rank):
+    """Filters as sets of bits, and how many features each holds."""
+    distinct = list(dict.fromkeys(plain_features(t, rank)))
+    out = []
+    for k in range(0, len(distinct), fingerprints.FILL):
+        bits = set()
+        for f in distinct[k : k + fingerprints.FILL]:
+            data = np.frombuffer(f, np.uint8)
+            h = textarrays.hash_spans(data, np.array([0]), np.array([len(f)]), seed=31)
+            more = int(textarrays.mix(h)[0])
+            bits |= {((int(h[0]) >> (11 * i)) ^ more) % fingerprints.BITS for i in range(fingerprints.HASHES)}
+        out.append((bits, len(distinct[k : k + fingerprints.FILL])))
+    return out
+
+
+def plain_likeness(a, b):
+    if (len(a), sum(n for _, n in a)) > (len(b), sum(n for _, n in b)):
+        a, b = b, a
+    if not a or not b:
+        return float(len(a) == len(b))
+    score = 0
+    for bits, n in a:
+        best = 0
+        for other, _ in b:
+            chance = len(bits) * len(other) / fingerprints.BITS
+            most = min(len(bits), len(other))
+            low = chance + fingerprints.SLACK * (most - chance)
+            best = max(best, min(1, max(0, (len(bits & other) - low) / max(most - low, 1e-9))))
+        score += best * n
+    return score / sum(n for _, n in a)
+
+
+def test_digests_as_by_plain_loops():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdef ghij.\n0é") for _ in range(rng.choice([0, 1, 3, 7, 23, 38, 39, 60, 400, 3000]))).encode() for _ in range(40)] + [b"a" * 50, b"word " * 40]
+    texts += [texts[-3][: len(texts[-3]) // 2] + b"another end of this text", bytes(range(256)) * 3]
+    rank = fingerprints.rarity(np.array([rng.randrange(50) for _ in range(fingerprints.LEVELS)]))
+    got, want = fingerprints.digests(texts, rank), [plain_digest(t, rank) for t in texts]
+    for (filters, counts), own in zip(got, want, strict=True):
+        assert counts.tolist() == [n for _, n in own]
+        assert [set(np.flatnonzero(np.unpackbits(f.view(np.uint8))).tolist()) for f in filters] == [b for b, _ in own]
+    for i in range(0, len(texts), 3):
+        for j in range(len(texts)):
+            assert fingerprints.likeness(got[i], got[j]) == pytest.approx(plain_likeness(want[i], want[j]), abs=1e-9)
+
+
+def test_rarity_is_measured_over_all_windows(spark, sf):
+    df = docs(spark, ODD).select("text").union(real(spark, sf).select("text").limit(40))
+    seen = np.zeros(fingerprints.LEVELS, np.int64)
+    for r in df.collect():
+        t = (r["text"] or "").encode()
+        if len(t) >= fingerprints.WINDOW:
+            seen += np.bincount(fingerprints.entropy_levels(np.frombuffer(t, np.uint8)), minlength=fingerprints.LEVELS)
+    rank = fingerprints.measure_rarity(df.repartition(3))
+    assert (rank == fingerprints.rarity(seen)).all() and rank[int(np.argmax(seen))] == fingerprints.LEVELS - 1
+    t = b"some text, 1234567 with SIGNS and ------------------------ a line"
+    plain = [np.bincount([fingerprints._CLASS[b] for b in t[a : a + 24]]) for a in range(len(t) - 23)]
+    assert fingerprints.entropy_levels(np.frombuffer(t, np.uint8)).tolist() == [round((np.log2(24) - sum(round(c * np.log2(c) * 64) for c in x if c) / (64 * 24)) * 16) for x in plain]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date", "double", "timestamp"])
+def test_fingerprints_take_ids_of_any_kind(spark, kind):
+    from datetime import date, datetime, timedelta
+
+    make = {"string": lambda i: f"é{i}" if i % 3 else f"x{i}", "int": lambda i: i - 20, "date": lambda i: date(2024, 1, 1) + timedelta(i), "double": lambda i: i / 7, "timestamp": lambda i: datetime(1960, 1, 1) + timedelta(seconds=i)}[kind]
+    rows = [(make(i), f"text number {i} " * (i % 5 + 1)) for i in range(60)] + [(None, "none a"), (None, "none b")] + [(make(3), f"{i} under the same id") for i in range(30)]
+    df = spark.createDataFrame(rows, f"id {kind}, text string").repartition(4)
+    got = [r["edited_sha256"] for r in fingerprints.fingerprint_documents(df, doc_id="id", bucket_docs=7).collect()]
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    comparable = lambda x: x.encode() if isinstance(x, str) else x
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: hashes[r[1]])
+    known = sorted(known, key=lambda r: comparable(r[0]), reverse=True)
+    line = known + sorted((r for r in rows if r[0] is None), key=lambda r: hashes[r[1]])
+    want = sorted(hashlib.sha256(fingerprints.edit(a[1], b[1]).encode()).hexdigest() for a, b in zip(line, line[1:] + line[:1], strict=True))
+    assert sorted(got) == want
+
+
 def test_fingerprints_dont_depend_on_neighbours():
     rng = random.Random(9)
     texts = ["".join(rng.choice("abcdef ghij.\n") for _ in range(rng.choice([0, 3, 20, 38, 39, 60, 500, 4000]))).encode() for _ in range(120)]
-    whole = [fingerprints.to_text(d) for d in fingerprints.digests(texts)]
-    assert whole == [fingerprints.to_text(fingerprints.digests([t])[0]) for t in texts]
-    for d in fingerprints.digests(texts):
+    rank = fingerprints.rarity(np.arange(fingerprints.LEVELS)[::-1])
+    whole = [fingerprints.to_text(d) for d in fingerprints.digests(texts, rank)]
+    assert whole == [fingerprints.to_text(fingerprints.digests([t], rank)[0]) for t in texts]
+    for d in fingerprints.digests(texts, rank):
         assert fingerprints.likeness(d, d) == 1.0
         back = fingerprints.from_text(fingerprints.to_text(d))
         assert (back[0] == d[0]).all() and (back[1] == d[1]).all()
