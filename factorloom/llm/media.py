@@ -3,8 +3,8 @@
 An archive is a ZIP file of stored (uncompressed) members; each member is an 8-bit greyscale PNG, 64 samples wide, whose
 samples are the text's UTF-8 bytes, padded with zeros. The archive's directory lists the members' offsets. The source
 plans byte ranges over the archives of a folder, or of a written list, from their sizes alone; a task reads an archive's directory, takes
-the members that begin in its range, and streams them in Arrow batches bounded in bytes. A member whose read fails is
-read again by its offset, alone, without the others.
+the members that begin in its range, and streams them through one open file in Arrow batches bounded in bytes. A member
+whose read fails is read again by its offset, alone, without the others.
 
 Files are reached through pyarrow's file systems, so the folder may lie in any store that those know.
 """
@@ -84,8 +84,7 @@ def features(samples: bytes) -> str:
     p = counts[counts > 0] / len(a)
     rows = a.reshape(-1, WIDTH)
     edge = np.linspace(0, len(rows), 9).astype(int)
-    total = np.vstack([np.zeros((1, WIDTH), np.int64), np.cumsum(rows, axis=0, dtype=np.int64)])
-    bands = np.stack([(total[max(e, s + 1)] if s < len(rows) else total[s]) - total[s] for s, e in zip(edge, edge[1:], strict=False)])
+    bands = np.stack([rows[s : max(e, s + 1)].sum(axis=0, dtype=np.int64) for s, e in zip(edge, edge[1:], strict=False)])
     cells = bands[:, :63].reshape(8, 9, 7).sum(axis=2)
     bits = int("".join("1" if x else "0" for x in (cells[:, 1:] > cells[:, :-1]).ravel()), 2)
     return f"{a.mean():.4f}:{a.std():.4f}:{-(p * np.log2(p)).sum():.4f}:{bits:016x}"
@@ -168,41 +167,49 @@ class ArchiveReader(DataSourceReader):
         files = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
         return sorted((f.base_name, f.size) for f in files if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith("."))
 
+    @staticmethod
+    def _take(f, path: str, info: zipfile.ZipInfo) -> bytes:
+        """A member's bytes from an open archive, by its own offset, checked."""
+        f.seek(info.header_offset)
+        head = f.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise OSError(f"no member at byte {info.header_offset} of {path}")
+        name, extra = struct.unpack("<HH", head[26:30])
+        f.seek(info.header_offset + 30 + name + extra)
+        data = f.read(info.compress_size)
+        if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+            raise OSError(f"member {info.filename} of {path} is damaged")
+        return data
+
     def _member(self, path: str, info: zipfile.ZipInfo) -> bytes:
-        """A member's bytes, by its own offset; each try opens the archive anew."""
-        for attempt in range(self.retries + 1):
+        """A member read again, alone; each try opens the archive anew. The last failure is raised."""
+        for attempt in range(self.retries):
             try:
                 with _seekable(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    name, extra = struct.unpack("<HH", head[26:30])
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError(f"no member at byte {info.header_offset} of {path}")
-                    f.seek(info.header_offset + 30 + name + extra)
-                    data = f.read(info.compress_size)
-                if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise OSError(f"member {info.filename} of {path} is damaged")
-                return data
+                    return self._take(f, path, info)
             except OSError:
-                if attempt == self.retries:
+                if attempt == self.retries - 1:
                     raise
                 time.sleep(min(5.0, 0.05 * 2**attempt * (1 + random.random())))
-        raise AssertionError
+        raise OSError(f"member {info.filename} of {path} can't be read")
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        with _seekable(partition.archive) as f, zipfile.ZipFile(f) as z:
+        path, rows, size = partition.archive, [], 0
+        with _seekable(path) as f, zipfile.ZipFile(f) as z:
             members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.stop]
-        rows, size = [], 0
-        for m in members:
-            data = self._member(partition.archive, m)
-            n, *keys = json.loads(m.comment)
-            rows.append((json.dumps(keys), m.filename, m.header_offset, n, data))
-            size += len(data)
-            if size >= self.batch_bytes:
-                yield _batch(rows)
-                rows, size = [], 0
+            for m in members:  # one stream through the range; only a member that fails is fetched apart
+                try:
+                    data = self._take(f, path, m)
+                except OSError:
+                    data = self._member(path, m)
+                n, *keys = json.loads(m.comment)
+                rows.append((json.dumps(keys), m.filename, m.header_offset, n, data))
+                size += len(data)
+                if size >= self.batch_bytes:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows)
 
