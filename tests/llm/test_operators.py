@@ -285,6 +285,63 @@ def test_held_out_accuracy(spark, sf):
     assert quality.score(docs(spark, []), quality.train(d, labels)).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of one text, by plain loops over its words and lines."""
+    raw, w = (text or "").encode(), words(text)
+    if not w:
+        return [0.0] * len(quality.FEATURES)
+    size, n, lines = len(raw), len(w), [x for x in raw.split(b"\n") if x]
+    share = lambda k, of: (k / of) ** 0.5
+    kind = lambda chars: sum(c in chars for c in raw)
+    upper, lower, symbols = bytes(range(65, 91)), bytes(range(97, 123)), b"!#$%&*|@<>{}[]=+~^_\\/`"
+    head = w[: max(n // 10, 1)]
+    pairs = list(zip(w, w[1:], strict=False))
+    return [
+        np.log1p(n), np.log1p(sum(map(len, w)) / n), share(kind(upper + lower), size), share(kind(upper), size), share(kind(b"0123456789"), size), share(kind(b".,;:'\"-()?"), size), share(sum(x.endswith(b".") for x in w), n), share(kind(symbols), size), share(sum(c > 127 for c in raw), size),
+        np.log1p(len(lines)), np.log1p(n / max(len(lines), 1)), len(set(w)) / n * np.log1p(n), share(n - 1 - len(set(pairs)), n), share(sum(a == b for a, b in pairs), n), share(len(lines) - len(set(lines)), max(len(lines), 1)), share(sum(x[-1] in symbols for x in w), n),
+        share(sum(len(x) > 1 and x[0] in upper and 64 <= x[1] < 96 for x in w), n), len(set(head)) / len(head),
+    ]
+
+
+def test_statistics_as_by_plain_loops(spark, sf):
+    texts = [t for _, t, *_ in ODD if t is None or len(t) < 10_000] + [r["text"] for r in real(spark, sf).limit(60).collect()] + ["A AB ABC Ab a@ b_ c. d. d. d.\n\nA AB\nA AB\n"]
+    got = np.concatenate([quality.statistics(d, o) for _, _, d, o in textarrays.chunks(pa.array(texts))])
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
+
+
+def test_discriminant_is_the_difference_of_two_gaussian_densities():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(80, 3)), rng.normal(1, 2, size=(60, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0], [0, 0, 1]])])
+    y = np.repeat([0, 1], [80, 60])
+    model = quality.fit(x, y, np.array([0.7, 0.3]), 0.3, 0.1)
+    own = [np.cov(x[y == k], rowvar=False) for k in (0, 1)]
+    pooled = 0.7 * own[0] + 0.3 * own[1]
+    part = []
+    for k, share in ((0, 0.7), (1, 0.3)):
+        c = 0.7 * own[k] + 0.3 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + np.diag(np.diag(pooled) * 1e-3 + 1e-9)
+        d = x - x[y == k].mean(axis=0)
+        part.append(np.log(share) - 0.5 * np.log(np.linalg.det(c)) - 0.5 * (d @ np.linalg.inv(c) * d).sum(axis=1))
+    assert np.allclose(model.log_odds(x), part[1] - part[0])
+    assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.8
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 1) for i in range(1, 60)], [(None, 0), (3, None)], [(1, 0), (2, 1)]])
+def test_without_two_classes_every_score_is_a_half(spark, sf, labels):
+    d = real(spark, sf)
+    model = quality.train(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert {r["score"] for r in quality.score(d, model).select("score").distinct().collect()} == {0.5}
+
+
+def test_fits_dont_depend_on_order_and_repeats(spark, sf):
+    d, labels = real(spark, sf), real(spark, sf, "labels")
+    a = quality.train(d, labels)
+    b = quality.train(d.union(d).repartition(7), labels.union(labels).orderBy(F.desc("doc_id")))
+    assert (a.means == b.means).all() and (a.inverse_factors == b.inverse_factors).all() and (a.slope, a.shift) == (b.slope, b.shift)
+    few = quality.train(d, labels, most=30)
+    assert few.means.shape == a.means.shape and not np.allclose(few.means, a.means)
+
+
 def test_statistics_dont_depend_on_neighbours():
     texts = [t for _, t, *_ in ODD]
     whole = np.concatenate([quality.statistics(d, o) for _, _, d, o in textarrays.chunks(pa.array(texts))])
@@ -340,6 +397,63 @@ def test_media_round_trip(spark, sf, tmp_path):
     assert media.media_columns(docs(spark, [])).count() == 0
 
 
+def test_stored_images_are_readable_by_any_reader(spark, sf):
+    """Stored bytes and features against the public PNG format and plain sums."""
+    import zlib as z
+
+    for t in (b"", b"abc", bytes(range(256)) * 40, "é text\n".encode() * 999):
+        samples = media.pad(t)
+        image = media.to_png(samples)
+        assert image.startswith(b"\x89PNG\r\n\x1a\n") and image[12:16] == b"IHDR" and image[-8:-4] == b"IEND"
+        assert (int.from_bytes(image[16:20]), int.from_bytes(image[20:24]), *image[24:29]) == (64, len(samples) // 64, 8, 0, 0, 0, 0)
+        at, body = 8, b""
+        while at < len(image):
+            n, kind = int.from_bytes(image[at : at + 4]), image[at + 4 : at + 8]
+            assert z.crc32(image[at + 4 : at + 8 + n]) == int.from_bytes(image[at + 8 + n : at + 12 + n])
+            body += image[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += 12 + n
+        lines = z.decompress(body)
+        assert b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65)) == samples and not any(lines[::65])
+        a = [list(samples[i : i + 64]) for i in range(0, len(samples), 64)]
+        flat = [x for r in a for x in r]
+        p = [flat.count(v) / len(flat) for v in set(flat)]
+        mean = sum(flat) / len(flat)
+        edge = [int(len(a) * k / 8) for k in range(9)]
+        bits = ""
+        for s, e in zip(edge, edge[1:], strict=False):
+            own = a[s : max(e, s + 1)]
+            cells = [sum(sum(r[c * 7 : c * 7 + 7]) for r in own) for c in range(9)]
+            bits += "".join("1" if y > x else "0" for x, y in zip(cells, cells[1:], strict=False))
+        want = f"{mean:.4f}:{(sum((x - mean) ** 2 for x in flat) / len(flat)) ** 0.5:.4f}:{-sum(x * np.log2(x) for x in p):.4f}:{int(bits, 2):016x}"
+        assert media.features(samples) == want
+    found = media.media_columns(real(spark, sf)).collect()
+    texts = {r["doc_id"]: r["text"] for r in real(spark, sf).collect()}
+    for r in found:
+        image = media.to_png(media.pad((texts[r["doc_id"]] or "").encode()))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(image), hashlib.sha256(image).hexdigest(), media.features(media.pad((texts[r["doc_id"]] or "").encode())))
+
+
+def test_a_damaged_member_fails_for_good_and_alone(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/a"
+    media.write_archives(docs(spark, [(i, f"text {i} " * 50, "en", "s", 1) for i in range(20)]).coalesce(1), path).collect()
+    archive = next((tmp_path / "a").glob("*.zip"))
+    import zipfile
+
+    with zipfile.ZipFile(archive) as z:
+        info = z.infolist()[7]
+    raw = bytearray(archive.read_bytes())
+    raw[info.header_offset + 60] ^= 255
+    archive.write_bytes(raw)
+    monkeypatch.setattr(media.time, "sleep", lambda _: None)
+    reader, opened, calls = media.ArchiveReader({"path": path, "batchBytes": "1", "retries": "3"}), media._seekable, []
+    monkeypatch.setattr(media, "_seekable", lambda p: calls.append(p) or opened(p))
+    rows = []
+    with pytest.raises(OSError, match="damaged"):
+        for batch in reader.read(reader.partitions()[0]):
+            rows += batch.to_pylist()
+    assert len(rows) == 7 and len(calls) == 1 + 3  # one stream, then three tries of the damaged member alone
+
+
 def test_archives_are_read_by_byte_ranges_and_members_again(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/a"
     df = docs(spark, [(i, f"text {i} " * 50, "en", "s", 1) for i in range(300)])
@@ -362,6 +476,8 @@ def test_archives_are_read_by_byte_ranges_and_members_again(spark, tmp_path, mon
     with opened(first.archive) as f, __import__("zipfile").ZipFile(f) as z:
         info = z.infolist()[0]
     monkeypatch.setattr(media, "_seekable", shaky)
+    monkeypatch.setattr(media.time, "sleep", lambda _: None)
+    reader.retries = 40
     assert all(reader._member(first.archive, info)[:4] == b"\x89PNG" for _ in range(20)) and failed
     assert media.read_archives(spark, path, rangeBytes="4000").count() == 300
 
