@@ -31,6 +31,8 @@ _LAST = U64(2**64 - 1)
 LEAST, SURE = 20, 40
 #: A fingerprint is hot if it has more positions than this, and than this part of all positions.
 HOT, HOT_SHARE = 1000, 10_000
+#: Parts into which the positions of a hot fingerprint are dealt.
+SALTS = 64
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,14 +223,16 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     width = sure - least + 1
     found = written(_fingerprints(df, doc_id, text, least, width), "fingerprints")
     counts = written(found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    # fingerprints that a ten-thousandth of all positions or more share are fewer than that: they are joined by broadcast
+    # fewer fingerprints than HOT_SHARE can have more than that part of all positions: a list that is safe to broadcast
     most = max(HOT, found.count() // HOT_SHARE)
     hot = F.broadcast(counts.filter(F.col("n") > most).select("fingerprint"))
     rest = counts.filter(F.col("n") <= most).select("fingerprint")
     place = ["fingerprint", "id", "hash", "pos"]  # rows alike count once
-    found = found.join(rest, "fingerprint").select(*place, F.lit(False).alias("hot")).distinct().union(found.join(hot, "fingerprint").select(*place, F.lit(True)).distinct())
+    cold = found.join(hot, "fingerprint", "left_anti").join(rest, "fingerprint").select(*place, F.lit(0).alias("salt"))
+    salted = found.join(hot, "fingerprint").select(*place, (F.pmod(F.xxhash64("id", "hash", "pos"), F.lit(SALTS)) + 1).cast("int"))
+    found = cold.distinct().union(salted.distinct())
     found = written(found, "shared")
-    origin = found.groupBy("fingerprint", "hot").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first != last").drop("last")
+    origin = found.groupBy("fingerprint").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.max("salt").alias("salts")).filter("first != last").drop("last")
     origin = written(origin, "origins")
 
     wanted, listed = "wanted", "matches"
@@ -242,8 +246,9 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     firsts = by_document(origin.select("fingerprint", "first.id", "first.hash", "first.pos"), F.struct("pos", "fingerprint"), wanted)
     context = _contexts(base.join(firsts, ["_document", "_hash"]), body, least, width).dropDuplicates(["fingerprint"])
     known = origin.join(context, "fingerprint")
-    spread = found.filter("not hot").join(known.filter("not hot").drop("hot"), "fingerprint")
-    later = spread.unionByName(found.filter("hot").join(F.broadcast(known.filter("hot").drop("hot")), "fingerprint")).filter(_place() != F.col("first"))
+    # the first place of a hot fingerprint meets its positions in many parts
+    known = known.withColumn("salt", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))))
+    later = found.join(known, ["fingerprint", "salt"]).filter(_place() != F.col("first"))
     own = F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")), F.col("first.pos")).otherwise(-1)
     later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), listed)
     both = base.join(later, ["_document", "_hash"], "left")
