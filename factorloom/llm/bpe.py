@@ -5,8 +5,8 @@ chunk at once. Every distinct pre-token is then merged once: the pre-tokens lie
 array, and each round applies, in every pre-token at once, all non-overlapping occurrences of that pre-token's
 lowest-ranked pair. Rounds end when no pair is left in any of them; the surviving symbols are the tokens.
 
-A text that holds a special string, or a character whose class depends on the Unicode version, goes through the
-tokenizer library instead, whole.
+Special strings are cut out of a text first and count as one token each. Classes of characters that changed between
+Unicode versions are asked of the tokenizer library, once for each character, so that they are those of its version.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import functools
 import itertools
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from .textarrays import chunks, hash_spans, ragged
 
 _NONE = np.int32(2**31 - 1)
-_OTHER, _LETTER, _NUMBER, _SPACE, _BLANK, _UNSURE = range(6)
+_OTHER, _LETTER, _NUMBER, _SPACE, _BLANK = range(5)
 #: Pre-tokens whose merged form a worker keeps; beyond that it starts anew (results don't depend on it).
 KEPT = 400_000
 
@@ -38,10 +39,14 @@ def bytes_to_chars() -> list[str]:
 
 
 class _Classes:
-    """Class of each code point, filled page by page when a text needs it."""
+    """Class of each code point, filled page by page when a text needs it.
+
+    A class that no Unicode version since 3.2 has changed is Python's. Any other one is found with the library's own
+    splitting into pre-tokens: a character belongs to the class whose example it stays together with.
+    """
 
     def __init__(self) -> None:
-        self.table = np.full(0x110000, _UNSURE, np.uint8)
+        self.table = np.zeros(0x110000, np.uint8)
         self.ready = np.zeros(0x1100, bool)
 
     def __call__(self, points: np.ndarray) -> np.ndarray:
@@ -52,11 +57,19 @@ class _Classes:
             self.ready[page] = True
         return self.table[points]
 
-    @staticmethod
-    def _of(c: int) -> int:
+    @functools.cached_property
+    def _split(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        return ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+
+    def _of(self, c: int) -> int:
+        if 0xD800 <= c < 0xE000:  # never in valid text
+            return _OTHER
         now, old = unicodedata.category(chr(c)), unicodedata.ucd_3_2_0.category(chr(c))
-        if now[0] != old[0] or now == "Cn" and c > 0xFF:
-            return _UNSURE
+        if now[0] != old[0] or now == "Cn":
+            return next((k for k, example in ((_LETTER, "a"), (_NUMBER, "1"), (_OTHER, "!")) if len(self._split(example + chr(c))) == 1), _SPACE)
         if c == 32:
             return _BLANK
         if now[0] == "Z" or 9 <= c <= 13 or c == 0x85:
@@ -85,19 +98,18 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, out
 
 
-def pre_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all pre-tokens (they tile the bytes), and the rows that need the library."""
+def pre_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of all pre-tokens (they tile the bytes)."""
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
-        return e, e, e
+        return e, e
     at, points = code_points(data)
     kind = _classes(points)
     count = len(at)
     row_start = np.zeros(count, bool)
     row_first = np.searchsorted(at, off[:-1][off[:-1] < off[1:]])
     row_start[row_first] = True
-    unsure = np.unique(np.searchsorted(off, at[kind == _UNSURE], "right") - 1)
     blank = kind == _BLANK
     kind[blank] = _SPACE
     change = row_start.copy()
@@ -133,7 +145,7 @@ def pre_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
             rest = s[hit] + size
             mark[rest[rest < end[quote + 1][hit]]] = True
     starts = at[mark]
-    return starts, np.append(starts[1:], n), unsure
+    return starts, np.append(starts[1:], n)
 
 
 class Vocabulary:
@@ -148,7 +160,11 @@ class Vocabulary:
             raise ValueError(f"{path} is not a plain byte-level BPE")
         vocab, chars = model["vocab"], bytes_to_chars()
         self.path = path
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        added = spec["added_tokens"]
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+            raise ValueError(f"{path} has special strings that depend on what is around them")
+        self.special = {t["content"].encode(): t["id"] for t in added if t["content"]}
+        self.marks = re.compile(b"|".join(re.escape(m) for m in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.of_byte = np.array([vocab[c] for c in chars], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         key = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], np.int64)
@@ -161,13 +177,6 @@ class Vocabulary:
         self.slot: dict[int, int] = {}
         self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    @functools.cached_property
-    def library(self):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.path)
-
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (left.astype(np.int64) << 20) | right
         i = np.searchsorted(self.keys, key)
@@ -238,38 +247,43 @@ class Vocabulary:
             self.ids = np.append(self.ids, sym)
         return known[codes]
 
-    def _library_rows(self, data: np.ndarray, off: np.ndarray, unsure: np.ndarray) -> np.ndarray:
-        rows, raw = set(unsure.tolist()), None
-        for mark in (s.encode() for s in self.special):
-            raw = data.tobytes() if raw is None else raw
-            i = raw.find(mark)
-            while i >= 0:
-                rows.add(int(np.searchsorted(off, i, "right")) - 1)
-                i = raw.find(mark, i + 1)
-        return np.array(sorted(rows), np.int64)
+    def _marked(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of the special strings of all rows, in order."""
+        found: list[tuple[int, int, int]] = []
+        if self.marks and len(data):
+            raw = data.tobytes()
+            if self.marks.search(raw):
+                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    found += [(m.start(), m.end(), self.special[m[0]]) for m in self.marks.finditer(raw, a, b)]
+        return tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
     def encode(self, column: pa.Array, ids: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
         """(first row, row after the last, tokens of each row, all their ids or None) for chunks of a column."""
         for i, j, data, off in chunks(column):
-            starts, ends, unsure = pre_tokens(data, off)
-            slot = self._slots(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
-            size = self.counts[slot]
-            first = np.searchsorted(starts, off)
+            begin, end, marks = self._marked(data, off)
+            # what lies between special strings is a text of its own
+            starts, ends = pre_tokens(data, np.sort(np.concatenate([off, begin, end])) if len(marks) else off)
+            inside = np.zeros(len(starts), bool)
+            if len(marks):
+                at = np.searchsorted(begin, starts, "right") - 1
+                inside = (at >= 0) & (starts < end[at])
+            plain = ~inside
+            slot = self._slots(data, starts[plain], ends[plain]) if plain.any() else np.zeros(0, np.int64)
+            counts_of, ids_of, starts_of = self.counts, self.ids, starts
+            if len(marks):  # one place more for each special string, at the end of the tables
+                where = np.concatenate([starts[plain], begin])
+                slot = np.concatenate([slot, len(counts_of) + np.arange(len(marks))])
+                order = np.argsort(where, kind="stable")
+                slot, starts_of = slot[order], where[order]
+                counts_of, ids_of = np.append(counts_of, np.ones(len(marks), np.int64)), np.append(ids_of, marks.astype(np.int32))
+            size = counts_of[slot]
+            first = np.searchsorted(starts_of, off)
             total = np.append(0, np.cumsum(size))
             counts = total[first[1:]] - total[first[:-1]]
             flat = None
             if ids:
-                begin = np.append(0, np.cumsum(self.counts))[:-1]
-                flat = self.ids[ragged(begin[slot], size)]
-            if (rows := self._library_rows(data, off, unsure)).size:
-                own = {int(r): self.library.encode(data[off[r] : off[r + 1]].tobytes().decode(), add_special_tokens=False).ids for r in rows}
-                if ids:
-                    parts = np.split(flat, np.cumsum(counts)[:-1])
-                    for r, v in own.items():
-                        parts[r] = np.array(v, np.int32)
-                    flat = np.concatenate(parts)
-                for r, v in own.items():
-                    counts[r] = len(v)
+                place = np.append(0, np.cumsum(counts_of))[:-1]
+                flat = ids_of[ragged(place[slot], size)]
             yield i, j, counts, flat
 
 

@@ -40,6 +40,19 @@ def test_ids_are_those_of_the_library(library):
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_classes_are_those_of_the_library(library):
+    """Every assigned or unassigned character, between letters, digits and marks, and special strings at all edges."""
+    vocab = bpe.Vocabulary(token_counts.default_path())
+    points = [*range(0, 0x3000), *range(0xA000, 0xAC00), *range(0xD7A0, 0xD800), *range(0xE000, 0xE010), *range(0xF900, 0x11000), *range(0x11000, 0x1FC00, 5), 0x2FA1D, 0x31350, 0xE0001, 0x10FFFD]
+    texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}!{chr(c)}\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    mark = "<|endoftext|>"
+    texts += [mark, mark * 3, f"a {mark}", f"{mark} a", f" {mark} \n{mark}", f"x  {mark}  y", mark[:-1], f"{mark[1:]}{mark}", f"'{mark}s", "", f"é{mark}½"]
+    got = [x.tolist() for _, _, counts, flat in vocab.encode(pa.array(texts)) for x in np.split(flat, np.cumsum(counts)[:-1])]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i for i, (a, b) in enumerate(zip(got, want, strict=True)) if a != b] == []
+    assert sum((c.tolist() for _, _, c, _ in vocab.encode(pa.array(texts), ids=False)), []) == list(map(len, want))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [f"word{i} other{i % 7}" for i in range(500)]
     want = [c.tolist() for _, _, c, _ in bpe.Vocabulary(token_counts.default_path()).encode(pa.array(texts))]
