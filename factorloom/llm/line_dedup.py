@@ -116,26 +116,38 @@ def _around(h: np.ndarray, at: np.ndarray, width: int, missing: int) -> np.ndarr
     return padded[np.clip(at, -width, len(h))[:, None] + width + np.arange(width)]
 
 
-def _contexts(placed: DataFrame, text: str, least: int, width: int) -> DataFrame:
-    """(fingerprint, before, after): the words next to each first position, from a table with ``text`` and ``wanted``."""
-    columns = placed.columns
-    t, w = columns.index(text), columns.index("wanted")
+def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int) -> DataFrame:
+    """The words next to each first position (fingerprint, salt, first_id, first_hash, first_pos, before, after), from a table
+    with texts and, as ``wanted``, positions; one row for each part of a hot fingerprint."""
+    t, k, x, w = (placed.columns.index(c) for c in (text, doc_id, "_hash", "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(w).to_pylist()
             for i, j, data, off in chunks(batch.column(t), 2 << 20):
                 _, _, h, first = word_hashes(data, off)
-                key, before, after = [], [], []
+                row, key, salt, pos, before, after = [], [], [], [], [], []
                 for r in range(i, j):
                     own = h[first[r - i] : first[r - i + 1]]
-                    at = np.array([x["pos"] for x in wanted[r]], np.int64)
-                    key += [x["fingerprint"] for x in wanted[r]]
-                    before += [x.tobytes() for x in _around(own, at - width, width, 0)[:, ::-1]]
-                    after += [x.tobytes() for x in _around(own, at + least, width, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["fingerprint", "before", "after"])
-
-    return placed.mapInArrow(run, "fingerprint long, before binary, after binary")
+                    at = np.array([m["pos"] for m in wanted[r]], np.int64)
+                    sides = zip(wanted[r], _around(own, at - width, width, 0)[:, ::-1], _around(own, at + least, width, 0), strict=True)
+                    for m, left, right in sides:
+                        parts = range(1, SALTS + 1) if m["salts"] else (0,)
+                        n = len(parts)
+                        row += [r] * n
+                        key += [m["fingerprint"]] * n
+                        salt += parts
+                        pos += [m["pos"]] * n
+                        before += [left.tobytes()] * n
+                        after += [right.tobytes()] * n
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.int64()), pa.array(salt, pa.int32()), batch.column(k).take(take), batch.column(x).take(take), pa.array(pos, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                    names=["fingerprint", "salt", "first_id", "first_hash", "first_pos", "before", "after"],
+                )
+
+    kind = placed.schema[doc_id].dataType.simpleString()
+    return placed.mapInArrow(run, f"fingerprint long, salt int, first_id {kind}, first_hash long, first_pos int, before binary, after binary")
 
 
 def extended(h: np.ndarray, matches: list, least: int, width: int) -> list[tuple[int, int]]:
@@ -243,13 +255,12 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     def by_document(d: DataFrame, item: Column, name: str) -> DataFrame:
         return d.groupBy(_document(F.col("id")).alias("_document"), F.col("hash").alias("_hash")).agg(F.collect_list(item).alias(name))
 
-    firsts = by_document(origin.select("fingerprint", "first.id", "first.hash", "first.pos"), F.struct("pos", "fingerprint"), wanted)
-    context = _contexts(base.join(firsts, ["_document", "_hash"]), body, least, width).dropDuplicates(["fingerprint"])
-    known = origin.join(context, "fingerprint")
-    # the first place of a hot fingerprint meets its positions in many parts
-    known = known.withColumn("salt", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))))
-    later = found.join(known, ["fingerprint", "salt"]).filter(_place() != F.col("first"))
-    own = F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")), F.col("first.pos")).otherwise(-1)
+    # a first position with the words around it, once for each part of a hot fingerprint; rows alike give it several times
+    firsts = by_document(origin.select("fingerprint", "salts", "first.id", "first.hash", "first.pos"), F.struct("pos", "fingerprint", "salts"), wanted)
+    known = _contexts(base.join(firsts, ["_document", "_hash"]), body, inner[doc_id], least, width).dropDuplicates(["fingerprint", "salt"])
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    later = found.join(known, ["fingerprint", "salt"]).filter(~same | (F.col("pos") != F.col("first_pos")))
+    own = F.when(same, F.col("first_pos")).otherwise(-1)
     later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), listed)
     both = base.join(later, ["_document", "_hash"], "left")
     edited = F.when(F.col(listed).isNotNull(), F.col(body))
