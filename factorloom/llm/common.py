@@ -28,8 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of this application."""
+    return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application. Results that weren't written elsewhere can't be read any more."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(f"sets_{spark.sparkContext.applicationId.replace('-', '_')}".lower()):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -99,7 +99,8 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 2048, doc_id: str = "do
 
     Pieces are dealt to ``groups`` groups by a hash of what they hold, and each group is packed by best-fit decreasing
     on its own, so the work is spread and no task sees more than its share; only a group's last sequences can be
-    emptier than they would be in one global packing. Ties in length go by doc_id, piece and checksum.
+    emptier than they would be in one global packing. A row's place in its partition is part of the hash, so that rows alike
+    don't make one group. Ties in length go by doc_id, piece and checksum.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +110,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 2048, doc_id: str = "do
         pdf["offset"] = offsets
         return pdf.drop(columns="_group_")
 
-    dealt = pieces.withColumn("_group_", F.pmod(F.xxhash64(doc_id, "piece", "length", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group_", F.pmod(F.xxhash64(doc_id, "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group_").applyInPandas(run, ddl(pieces, pieces.columns, "sequence_id long, offset long"))
 
 

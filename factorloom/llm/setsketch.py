@@ -263,11 +263,12 @@ def _with_roots(df: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _bucketed_sets(df: DataFrame, text: str, doc_id: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """The full sets of the classes in ``wanted``, in a table bucketed by class: joins with pairs don't move it again."""
+    """The full sets of the classes in ``wanted``, in a table bucketed by class: joins with pairs don't move it again.
+    ``common.clean_up`` drops it."""
     spark = df.sparkSession
     texts = df.select(doc_id, F.col(text).alias("_text_")).join(wanted, F.col(doc_id).eqNullSafe(F.col("rep")) & (F.xxhash64("_text_") == F.col("rep_hash"))).select("k", "_text_")
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, "sets")
-    name = f"sets_{path.rpartition('-')[2]}"
+    name = f"sets_{spark.sparkContext.applicationId.replace('-', '_')}_{path.rpartition('-')[2]}".lower()
     sets = _full_sets(texts, shingle).groupBy("k").agg(F.first("items").alias("items"))
     sets.repartition(n, "k").write.bucketBy(n, "k").sortBy("k").option("path", path).saveAsTable(name)
     return spark.table(name)

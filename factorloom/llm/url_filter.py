@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,61 +13,58 @@ from .common import fresh, need
 MOST_RULES = 1_000_000
 
 
-@dataclass
-class _Node:
-    labels: dict[str, _Node] = field(default_factory=dict)
-    segments: dict[str, _Node] = field(default_factory=dict)
-    #: What a path must go on with after this node's segments: the rule and its verdict; and these texts' lengths.
-    rests: dict[str, tuple[str, str]] = field(default_factory=dict)
-    lengths: list[int] = field(default_factory=list)
-
-
 class RuleTrie:
     """Rules (verdict, "host/path"): a rule fits its host and all its subdomains, where the path starts with its path.
 
     The rule with most host labels wins, and of these the one with the longest path; of a rule that is both allowed and
-    blocked the block counts. A rule without a slash fits every path, also an empty one.
+    blocked the block counts. A rule without a slash fits every path, also an empty one. Nodes are numbers and edges lie in
+    two flat tables, so a rule may be as deep as it likes.
     """
 
     def __init__(self, rules: list[tuple[str, str]]) -> None:
         if len(rules) > MOST_RULES:
             raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can be broadcast")
-        self.root = _Node()
+        self.labels: dict[tuple[int, str], int] = {}
+        self.segments: dict[tuple[int, str], int] = {}
+        #: What a path must go on with after a node's segments: the rule and its verdict; and these texts' lengths.
+        self.rests: dict[int, dict[str, tuple[str, str]]] = {}
+        self.lengths: dict[int, list[int]] = {}
+        made = 0
         for verdict, rule in rules:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"verdict {verdict!r} of rule {rule!r}")
             host, slash, path = rule.partition("/")
-            node = self.root
-            for label in reversed(host.translate(_LOWER).split(".")):
-                node = node.labels.setdefault(label, _Node())
             *whole, rest = (slash + path).split("/")
-            for segment in whole:
-                node = node.segments.setdefault(segment, _Node())
-            if verdict == "block" or rest not in node.rests:
-                node.rests[rest] = rule, verdict
-                node.lengths = sorted({*node.lengths, len(rest)}, reverse=True)
+            node = 0
+            for edges, names in ((self.labels, reversed(host.translate(_LOWER).split("."))), (self.segments, whole)):
+                for name in names:
+                    if (node, name) not in edges:
+                        made += 1
+                        edges[node, name] = made
+                    node = edges[node, name]
+            own = self.rests.setdefault(node, {})
+            if verdict == "block" or rest not in own:
+                own[rest] = rule, verdict
+                self.lengths[node] = sorted({len(r) for r in own}, reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the winning rule."""
-        best, node = None, self.root
-        parts = path.split("/")
+        best, node = None, 0
         for label in reversed(host.split(".")):
-            node = node.labels.get(label)
+            node = self.labels.get((node, label))
             if node is None:
                 break
-            best = self._in_path(node, parts) or best
+            best = self._in_path(node, path) or best
         return best
 
-    @staticmethod
-    def _in_path(node: _Node, parts: list[str]) -> tuple[str, str] | None:
-        best, depth = None, 0
+    def _in_path(self, node: int | None, path: str) -> tuple[str, str] | None:
+        best, at = None, 0
         while node is not None:
-            if node.lengths and depth < len(parts):
-                left = "/".join(parts[depth:])
-                fits = (node.rests.get(left[:n]) for n in node.lengths if n <= len(left))
-                best = next((x for x in fits if x), best)
-            node = node.segments.get(parts[depth]) if depth < len(parts) - 1 else None
-            depth += 1
+            own = self.rests.get(node, {})
+            best = next((own[path[at : at + n]] for n in self.lengths.get(node, ()) if path[at : at + n] in own), best)
+            stop = path.find("/", at)
+            node = self.segments.get((node, path[at:stop])) if stop >= 0 else None
+            at = stop + 1
         return best
 
 
@@ -89,10 +84,11 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", ke
     """One row per row of ``df``: the ``keep`` columns, host, path, rule (null: none fits) and verdict.
 
     Where no rule fits, the verdict is ``default``. A null url, or one without ://, has an empty host and path. Urls are
-    judged whole, repeated rows each; other columns are ignored; an empty table gives an empty result. The trie goes to
+    judged whole, repeated rows each; other columns are ignored, and kept ones called like a new column give way to it; an empty table gives an empty result. The trie goes to
     the executors once, in a broadcast whose size follows the rules and not the data; rows aren't shuffled.
     """
     need(df, [url, *keep])
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
     trie = df.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     @F.pandas_udf(StructType([StructField("rule", StringType()), StructField("verdict", StringType())]))

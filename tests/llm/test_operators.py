@@ -90,6 +90,12 @@ def test_best_fit_takes_the_tightest_bin():
     assert len(room) == bins.max() + 1 and want == (100 - offsets).tolist()
 
 
+def test_repeated_rows_dont_make_one_group(spark):
+    df = spark.createDataFrame([(1, "the same text")] * 2000, "doc_id long, text string").repartition(3)
+    rows = packing.pack_documents(df, group_docs=200).select((F.col("sequence_id") / 2**32).cast("int").alias("g")).groupBy("g").count().toPandas()
+    assert len(rows) == 10 and rows["count"].max() < 400
+
+
 def test_packing(spark, sf, library):
     df = real(spark, sf).select("doc_id", "text").union(docs(spark).select("doc_id", "text"))
     rows = packing.pack_documents(clashing(df), group_docs=100).toPandas()
@@ -184,6 +190,16 @@ def test_near_duplicates_of_odd_rows(spark):
         assert f(docs(spark, [])).count() == 0
 
 
+def test_clean_up_removes_tables_and_folder(spark):
+    from factorloom.llm import common
+
+    setsketch.near_duplicates(docs(spark, [(i, f"one two three four five {i % 3} six seven eight nine ten eleven", "en", "s", 1) for i in range(40)]), shingle=3, percent=60).count()
+    mine = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("sets_")]
+    assert mine() and __import__("os").path.isdir(common.run_dir(spark).removeprefix("file:"))
+    common.clean_up(spark)
+    assert not mine() and not __import__("os").path.isdir(common.run_dir(spark).removeprefix("file:"))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(20)]
@@ -394,6 +410,18 @@ def test_urls_as_by_all_rules(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
 
 
+def test_urls_of_any_depth(spark):
+    deep, labels = "/".join(f"s{i}" for i in range(3000)), ".".join(f"l{i}" for i in range(1500))
+    rules = [("block", f"x.com/{deep}/"), ("block", f"{labels}.com/"), ("allow", "x.com/s0/")]
+    long = "http://x.com/" + "y/" * 200_000
+    rows = [(1, f"http://x.com/{deep}/end"), (1, f"http://x.com/{deep}/end"), (2, f"http://a.{labels}.com/z"), (3, long), (4, f"http://x.com/{deep}")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("old"), "rule": F.lit("old")})
+    got = url_filter.judge_urls(df, rules, keep=("page_id", "host", "rule"))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    found = sorted((r["page_id"], r["verdict"], (r["rule"] or "")[:9]) for r in got.collect())
+    assert found == [(1, "block", "x.com/s0/"), (1, "block", "x.com/s0/"), (2, "block", "l0.l1.l2."), (3, "allow", ""), (4, "allow", "x.com/s0/")]
+
+
 # media
 
 
@@ -563,6 +591,22 @@ def test_revisits(spark):
     assert block[0][0] == {"a": "3: x", "b": "2"} and block[1][0] is None and block[2][0] == {}
 
 
+def test_revisit_records(spark):
+    h = lambda **k: {x.replace("_", "-"): v for x, v in k.items()}
+    same = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+    rows = [
+        (1, "http://a.com/x", "2024-01-01 00:00:00", 200, h(warc_payload_digest="sha1:A", content_type="t", warc_record_id="r1"), "d1"), (2, "http://b.com/copy", "2024-01-02 00:00:00", 200, h(warc_type="revisit", warc_profile=same, warc_payload_digest="sha1:A", warc_refers_to_target_uri="http://a.com/x"), None),
+        (3, "http://a.com/x", "2024-01-03 00:00:00", 200, h(warc_type="revisit", warc_profile=same, warc_payload_digest="sha1:B"), None), (4, "http://b.com/copy", "2024-01-04 00:00:00", 304, h(), None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, captured string, status int, headers map<string,string>, payload_digest string").withColumn("captured", F.to_timestamp("captured"))
+    got = {r["record_id"]: r for r in warc.resolve_revisits(df).collect()}
+    assert (got[2]["validation"], got[2]["base_id"], got[2]["payload_digest"], got[2]["resolved"]) == ("payload-digest", 1, "d1", True) and got[2]["headers"] == h(warc_payload_digest="sha1:A", content_type="t", warc_record_id="r1")
+    assert (got[3]["validation"], got[3]["resolved"], got[3]["payload_digest"]) == ("mismatch", False, None)
+    assert got[4]["validation"] == "none"  # the revisit of that url holds no response
+    folded = spark.createDataFrame([("A: 1\r\n  2\r\n\t3\r\nB: 4",)], "b string").select(warc.parse_headers(F.col("b"))).first()[0]
+    assert folded == {"a": "1 2 3", "b": "4"}
+
+
 # fingerprints
 
 

@@ -8,7 +8,7 @@ from factorloom.llm import queries
 from factorloom.llm.common import read
 from factorloom.llm.line_dedup import LEAST, SURE
 
-from .helpers import ODD, docs, line_dedup, near_duplicates, words
+from .helpers import ODD, docs, line_dedup, near_duplicates, repeated, words
 from .test_operators import line_hash
 
 
@@ -63,6 +63,16 @@ def test_labels_decide_what_goes_first(spark, sf, stages):
     assert left <= 0.1 * bad.count()
 
 
+def test_good_documents_stay(spark, sf, stages):
+    """Of documents that are labelled good, nearly all pass the classifier; after it only repetition takes any away."""
+    good = read(spark, sf, "labels").groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "q").filter("q = 1")
+    assert stages["quality_classifier"].join(good, "doc_id").count() >= 0.95 * good.count()
+    before = {r["doc_id"]: r["text"] for r in stages["quality_classifier"].collect()}
+    after = {r["doc_id"]: r["text"] for r in stages["line_dedup"].collect()}
+    fresh = repeated(sorted(before.items()), LEAST)
+    assert all(after.get(d) == t for d, t in before.items() if not fresh[d])
+
+
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages["best_fit_packing"].count()
 
