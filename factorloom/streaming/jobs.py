@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,32 +11,79 @@ from factorloom.operators.text import merge_records
 from factorloom.sources.files import TEXT_SCHEMA
 
 
+#: Parts of a stored text table; a batch rewrites only those that its sources lie in.
+PARTS = 64
+
+
+def _part() -> Column:
+    """The part of a record, by what its key names as its source."""
+    return F.pmod(F.xxhash64(F.coalesce("source_file", "url", F.lit(""))), F.lit(PARTS)).cast("int")
+
+
 def ingest_text(spark: SparkSession, incoming: str, store: str, checkpoint: str) -> StreamingQuery:
     """Merges JSONL records that arrive in a folder into a stored table, replacing those of sources that come again.
 
-    Each batch writes a new version of the table (``store``/v=batch), so a batch that is run again gives the same table;
-    readers take the latest complete version (see ``stored_text``).
+    Each batch writes a new version (``store``/v=batch/part=k) of the parts that its records lie in, so a batch that is run
+    again gives the same table; readers take the latest complete version of each part (see ``stored_text``). Versions
+    that no batch can need any more are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = stored_text(batch.sparkSession, store, number)
-        merged, _ = merge_records(old, batch)
-        merged.write.mode("overwrite").parquet(f"{store}/v={number}")
+        spark, batch = batch.sparkSession, batch.withColumn("part", _part())
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # PARTS at most
+        if not touched:
+            return
+        latest = _latest(spark, store, number)
+        old = _read(spark, [latest[k] for k in touched if k in latest])
+        merged, _ = merge_records(old, batch.drop("part"))
+        merged.withColumn("part", _part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/v={number}")
+        current = set(latest.values())
+        for path in _versions(spark, store, number):
+            if path not in current:
+                _delete(spark, path)
 
     records = spark.readStream.schema(TEXT_SCHEMA).json(incoming)
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _fs(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, path = _fs(spark, folder)
+    return [str(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    fs, path = _fs(spark, folder)
+    fs.delete(path, True)
+
+
+def _versions(spark: SparkSession, store: str, before: int | None) -> list[str]:
+    """Folders of all parts of complete versions before a batch, oldest first."""
+    numbers = sorted(int(n[2:]) for n in _names(spark, store) if n.startswith("v="))
+    found = []
+    for n in numbers:
+        inside = _names(spark, f"{store}/v={n}")
+        if "_SUCCESS" in inside and (before is None or n < before):
+            found += [f"{store}/v={n}/{x}" for x in inside if x.startswith("part=")]
+    return found
+
+
+def _latest(spark: SparkSession, store: str, before: int | None) -> dict[int, str]:
+    """The latest complete version of each part."""
+    return {int(path.rpartition("part=")[2]): path for path in _versions(spark, store, before)}
+
+
+def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(TEXT_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], TEXT_SCHEMA)
+
+
 def stored_text(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """The latest complete version of the table (before a batch's number)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [str(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
-    done = sorted(int(n[2:]) for n in found if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS")))
-    done = [n for n in done if before is None or n < before]
-    if not done:
-        return spark.createDataFrame([], TEXT_SCHEMA)
-    return spark.read.schema(TEXT_SCHEMA).parquet(f"{store}/v={done[-1]}")
+    """The latest complete version of all parts of the table (before a batch's number)."""
+    return _read(spark, list(_latest(spark, store, before).values()))
 
 
 def daily_bars_stream(ticks: DataFrame, time: str, asset: str, value: str, tie: str, late: str = "1 day") -> DataFrame:

@@ -77,6 +77,13 @@ def test_text_stream_replaces_by_source(spark, tmp_path):
     (incoming / "2.json").write_text(json.dumps(row | {"source_file": "f1", "title": "new"}))
     jobs.ingest_text(spark, str(incoming), str(store), f"{tmp_path}/cp").awaitTermination()
     assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store)).collect()) == [("f1", "new"), ("f2", "old")]
+    versions = sorted(str(p.relative_to(store)) for p in store.glob("v=*/part=*"))
+    assert [v[:3] for v in versions].count("v=1") == 1  # only the part of the source that came again is written anew
+    (incoming / "3.json").write_text(json.dumps(row | {"source_file": "f1", "title": "newest"}))
+    jobs.ingest_text(spark, str(incoming), str(store), f"{tmp_path}/cp").awaitTermination()
+    assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store)).collect()) == [("f1", "newest"), ("f2", "old")]
+    assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store), 2).collect()) == [("f1", "new"), ("f2", "old")]
+    assert len(list(store.glob("v=*/part=*"))) == 3  # the first version of f1's part is gone
     files.write_market_text(jobs.stored_text(spark, str(store)), f"{tmp_path}/out")
     assert files.read_market_text(spark, f"{tmp_path}/out", "jsonl").count() == 2
 
