@@ -20,10 +20,14 @@ from factorloom.llm.setsketch import drop_near_duplicates
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.3 or more. Null and empty texts are scored as texts without words; repeated rows get equal
+    scores; where labels can't be learnt from, all scores are 0.5 and all documents stay; an empty table stays empty."""
     return drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """Texts without runs of words that occurred in an earlier document. Documents of which no word is left go; null, empty
+    and blank texts lose nothing and stay; rows alike in id and text are one document; n_chars follows the text."""
     found = dedup_lines(docs)
     emptied = (F.col("n_deleted") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")
     length = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -31,14 +35,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """One document of each group of near-duplicates (five words, 0.8): the least id. Documents without words all stay; of rows
+    alike in id and text one stays; null ids stay only where a group has no other."""
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """Documents as often as the mix takes them (0 to 2 times). A null source is one of its own; documents without words have
+    size 0 and go as often as their place among equals says; an empty table stays empty."""
     return mix_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """A row for each piece of each document, repetitions too, with its sequence and offset. Null and empty texts are one
+    token; null ids stay null; an empty table stays empty."""
     return pack_documents(docs)
 
 
