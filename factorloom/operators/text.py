@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
 
 import pandas as pd
@@ -40,17 +41,22 @@ def has_word(text: Column, word: str) -> Column:
     return F.contains(text, F.lit(word)) if " " in word else text.rlike(f"(?U)\\b{_escaped(word)}\\b")
 
 
-def has_any(text: Column, words: list[str]) -> Column:
-    """Any of the words, by one alternation."""
-    single = [_escaped(w) for w in words if " " not in w]
-    found = text.rlike(f"(?U)\\b(?:{'|'.join(single)})\\b") if single else F.lit(False)
-    return reduce(lambda a, w: a | F.contains(text, F.lit(w)), [w for w in words if " " in w], found)
+def tokens(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)))
 
 
-def sentiment(text: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
+def word_hits(text: Column, words: list[str], found: Column) -> Column:
+    """How many of the words and phrases occur; ``found`` are the text's own words (see ``tokens``), taken once for all lists."""
+    single = [w for w in dict.fromkeys(words) if re.fullmatch(r"\w+", w)]
+    hits = F.size(F.array_intersect(found, F.array(*(F.lit(w) for w in single)))) if single else F.lit(0)
+    return reduce(lambda a, w: a + has_word(text, w).cast("int"), [w for w in dict.fromkeys(words) if w not in single], hits)
+
+
+def sentiment(text: Column, lexicon: dict[str, list[str]] = LEXICON, found: Column | None = None) -> Column:
     """(positive - negative) / (positive + negative) over distinct words that occur; 0 without any."""
-    count = lambda words: sum((has_word(text, w).cast("int") for w in words), F.lit(0))
-    pos, neg = count(lexicon["positive"]), count(lexicon["negative"])
+    found = tokens(text) if found is None else found
+    pos, neg = (word_hits(text, lexicon[k], found) for k in ("positive", "negative"))
     return (pos - neg) / F.greatest(F.lit(1), pos + neg)
 
 
@@ -97,9 +103,10 @@ def text_features(records: DataFrame, panel: DataFrame, lexicon: dict[str, list[
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
     when = F.col("timestamp") if records.schema["timestamp"].dataType.simpleString() == "timestamp" else parse_time(F.col("timestamp"))
     rows = records.select(when.alias("timestamp"), F.upper(ASSET).alias(ASSET), text.alias("t")).filter(F.col(ASSET).isNotNull())
-    t = F.col("t")
-    flag = lambda k: has_any(t, lexicon[k]).cast("double")
-    rows = rows.select("timestamp", ASSET, F.lit(1.0).alias(FEATURES[0]), sentiment(t, lexicon).alias(FEATURES[1]), flag("risk").alias(FEATURES[2]), flag("policy").alias(FEATURES[3]), flag("liquidity").alias(FEATURES[4]))
+    t, own = F.col("t"), F.col("w")
+    rows = rows.withColumn("w", tokens(t))
+    flag = lambda k: (word_hits(t, lexicon[k], own) > 0).cast("double")
+    rows = rows.select("timestamp", ASSET, F.lit(1.0).alias(FEATURES[0]), sentiment(t, lexicon, own).alias(FEATURES[1]), flag("risk").alias(FEATURES[2]), flag("policy").alias(FEATURES[3]), flag("liquidity").alias(FEATURES[4]))
     rows = align_to_bars(rows, panel.select(TIME).distinct()).groupBy(TIME, ASSET).agg(*(F.sum(c).alias(c) for c in FEATURES))
     return fan_out(rows, panel.select(ASSET).distinct()).groupBy(TIME, ASSET).agg(*(F.sum(c).alias(c) for c in FEATURES))
 
