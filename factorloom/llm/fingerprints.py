@@ -29,6 +29,8 @@ SHORT = 6
 BITS, HASHES, FILL = 2048, 5, 160
 #: Share of the span between chance and identity that counts as nothing.
 SLACK = 0.3
+#: Buckets of a partition, where there are more partitions than the session's setting.
+PART_BUCKETS = 32
 #: Entropy levels (in steps of 1/16 bit).
 LEVELS = 80
 _CLASS = ((np.arange(256) * 7) ^ (np.arange(256) >> 4)).astype(np.uint8) & (CLASSES - 1)
@@ -277,7 +279,8 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
         return pd.Series(out)
 
     moved = rows.select("id", "t", "i", "none", "h", F.posexplode(places("i", "none", "h")).alias("guest", "bucket"))
-    moved = moved.repartition("bucket").sortWithinPartitions("bucket", "guest", *order).select("id", "t", "bucket", "guest")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // PART_BUCKETS)
+    moved = moved.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", *order).select("id", "t", "bucket", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the row that waits for its next
