@@ -521,9 +521,9 @@ def knowledge_snapshot(library: DataFrame, events: DataFrame) -> dict[str, DataF
     return {"top_factors": top_factors(library), "top_evolved": top_factors(evolved, 10, ("Rank IC", "rank_ic")), "failures": failure_summary(events), "counts": library_summary(library)}
 
 
-def markdown_names(pages: DataFrame, text: str = "text") -> DataFrame:
+def markdown_names(pages: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Linked names of the first cells of markdown tables: one row each."""
-    return pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^\|\s*(?:\[)?([^|\]]+?)(?:\]\([^)]*\))?\s*\|"), F.lit(1))).alias("name")).filter(~F.col("name").rlike(r"^[-: ]+$")).select(F.trim("name").alias("name"))
+    return pages.select(*(keep or []), F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^\|\s*(?:\[)?([^|\]]+?)(?:\]\([^)]*\))?\s*\|"), F.lit(1))).alias("name")).filter(~F.col("name").rlike(r"^[-: ]+$")).select(*(keep or []), F.trim("name").alias("name"))
 
 
 def ordered_union(first: Column, second: Column) -> Column:

@@ -267,9 +267,9 @@ def library_accept_unseen(spark, sf_dir):
     return library.accept_unseen(f.filter("intra_loop_index % 2 = 1"), f.filter("intra_loop_index % 2 = 0")).select(files.bare("factor_expression").alias("expression"), "factor_name")
 
 
-_FORM = f"regexp_replace(upper({BARE}), '\\b\\d+(\\.\\d+)?(E[+-]?\\d+)?\\b', 'N', 'g')"
+FORM = f"regexp_replace(upper({BARE}), '\\b\\d+(\\.\\d+)?(E[+-]?\\d+)?\\b', 'N', 'g')"
 _GRAMS = "unnest(CASE WHEN length(f) < 3 THEN [f] ELSE list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3)) END)"
-SIMILAR = f"""a AS (SELECT {_FORM} AS f FROM lib WHERE idx % 7 < 3), b AS (SELECT {_FORM} AS f FROM lib WHERE idx % 7 >= 3), ga AS (SELECT DISTINCT f, {_GRAMS} AS g FROM (SELECT DISTINCT f FROM a)), gb AS (SELECT DISTINCT f, {_GRAMS} AS g FROM (SELECT DISTINCT f FROM b)),
+SIMILAR = f"""a AS (SELECT {FORM} AS f FROM lib WHERE idx % 7 < 3), b AS (SELECT {FORM} AS f FROM lib WHERE idx % 7 >= 3), ga AS (SELECT DISTINCT f, {_GRAMS} AS g FROM (SELECT DISTINCT f FROM a)), gb AS (SELECT DISTINCT f, {_GRAMS} AS g FROM (SELECT DISTINCT f FROM b)),
 na AS (SELECT f, count(*) AS n FROM ga GROUP BY 1), nb AS (SELECT f, count(*) AS n FROM gb GROUP BY 1), s AS (SELECT ga.f AS fa, gb.f AS fb, count(*) AS k FROM ga JOIN gb ON ga.g = gb.g GROUP BY 1, 2),
 j AS (SELECT fa, fb, k / (na.n + nb.n - k)::DOUBLE AS similarity FROM s JOIN na ON na.f = fa JOIN nb ON nb.f = fb)"""
 
@@ -287,7 +287,7 @@ def library_common_subtrees(spark, sf_dir):
 
 
 @query(f"""WITH {L1}, {SIMILAR}, g AS (SELECT idx AS intra_loop_index, CASE WHEN abs(ic) < 0.003 THEN 'ic' WHEN abs(icir) < 0.005 THEN 'icir' WHEN coalesce(nullif(turnover, 0), 1) > 0.5 THEN 'turnover' WHEN coalesce(coverage, 0) < 0.8 THEN 'coverage' WHEN {REJECTED} IS NOT NULL THEN 'rules'
-  WHEN lower(factor_name) IN (SELECT lower(factor_name) FROM lib WHERE idx % 7 >= 3) THEN 'name' WHEN {_FORM} IN (SELECT fa FROM j WHERE similarity >= 0.9) THEN 'similarity' END AS gate FROM lib WHERE idx % 7 < 3) SELECT *, gate IS NULL AS passed FROM g""")
+  WHEN lower(factor_name) IN (SELECT lower(factor_name) FROM lib WHERE idx % 7 >= 3) THEN 'name' WHEN {FORM} IN (SELECT fa FROM j WHERE similarity >= 0.9) THEN 'similarity' END AS gate FROM lib WHERE idx % 7 < 3) SELECT *, gate IS NULL AS passed FROM g""")
 def library_quality_gate(spark, sf_dir):
     f = factors(spark, sf_dir)
     return library.quality_gate(f.filter("intra_loop_index % 7 < 3"), f.filter("intra_loop_index % 7 >= 3"), COLUMNS).select("intra_loop_index", "gate", "passed")
