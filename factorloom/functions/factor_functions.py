@@ -185,15 +185,13 @@ def fill_forward(x):
 
 @register("WMA", "asset", 1, 2)
 def wma(x, p=5):
-    """Weights 1 to p over their sum, the newest row heaviest; a missing value in the window gives null."""
+    """Weights 1 to p over their sum, the newest row heaviest; rows before the first count 0, a missing value gives null."""
     p = _some(p)
-    window, total = over_time(), p * (p + 1) / 2
-    age = F.row_number().over(window)
-    terms = [F.when(age > k, F.lag(x, k).over(window)).otherwise(0.0) * ((p - k) / total) for k in range(p)]
-    out = terms[0]
-    for term in terms[1:]:
-        out = out + term
-    return out
+    rows, total = last_rows(p), p * (p + 1) / 2
+    values = F.collect_list(x).over(rows)  # one frame, whatever p is
+    weighted = F.transform(values, lambda v, i: v * ((i + (p + 1) - F.size(values)) / total))
+    whole = F.count(x).over(rows) == F.count(F.lit(1)).over(rows)
+    return F.when(whole, F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v))
 
 
 @register("TS_CORR", "asset", 2, 3)

@@ -120,13 +120,24 @@ def factor_quality(df: DataFrame, factors: list[str], size: str | None = None) -
     return out.select("factor", "coverage", "mean_std", "tail_ratio", "size_corr", F.array_join(notes, ",").alias("warnings"))
 
 
-def correlation_pairs(df: DataFrame, factors: list[str]) -> DataFrame:
-    """(f1, f2, corr) of all pairs of factors over their complete pairs of cells: one pass, no join."""
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+def correlation_pairs(df: DataFrame, factors: list[str], most: int = 100) -> DataFrame:
+    """(f1, f2, corr) of all pairs of factors over their complete pairs of cells: one pass, no join.
+
+    Up to ``most`` pairs are aggregates of one row; more of them are counted in long form, so that the plan doesn't grow
+    with their number: each row gives a row for each pair, which is summed before the shuffle.
+    """
+    pairs = [(i, j) for i in range(len(factors)) for j in range(i + 1, len(factors))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "f1 string, f2 string, corr double")
-    wide = df.agg(F.array(*(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), pair_corr(F.col(a), F.col(b)).alias("corr")) for a, b in pairs)).alias("p"))
-    return wide.select(F.explode("p").alias("p")).select("p.f1", "p.f2", "p.corr")
+    if len(pairs) <= most:
+        wide = df.agg(F.array(*(F.struct(F.lit(factors[i]).alias("f1"), F.lit(factors[j]).alias("f2"), pair_corr(F.col(factors[i]), F.col(factors[j])).alias("corr")) for i, j in pairs)).alias("p"))
+        return wide.select(F.explode("p").alias("p")).select("p.f1", "p.f2", "p.corr")
+    n, names = len(factors), F.array(*(F.lit(f) for f in factors))
+    spots = F.filter(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.floor(k / n) < k % n)
+    long = df.select(F.array(*(F.col(f).cast("double") for f in factors)).alias("v"), F.explode(spots).alias("k"))
+    i, j = F.floor(F.col("k") / n).cast("int"), (F.col("k") % n).cast("int")
+    found = long.groupBy("k").agg(pair_corr(F.get("v", i), F.get("v", j)).alias("corr"))
+    return found.select(F.get(names, i).alias("f1"), F.get(names, j).alias("f2"), "corr")
 
 
 def correlation_penalty(df: DataFrame, factors: list[str]) -> DataFrame:

@@ -199,3 +199,75 @@ def test_screens(spark):
     assert {r["factor"]: r["passed"] for r in evaluate.batch_screen(daily).collect()} == {"a": True, "b": False, "c": False}
     rows = spark.createDataFrame([("a", 0.1, 0.6, 0.0), ("b", -0.1, 0.9, 0.1), ("c", 0.2, None, 0.1)], "name string, fitness double, coverage double, rank_ic_mean double")
     assert {r["name"]: r["passed"] for r in evaluate.candidate_gate(rows).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_many_correlations_in_long_form(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{n} double" for n in names))
+    few, many = ({(r["f1"], r["f2"]): r["corr"] for r in diagnostics.correlation_pairs(df, names, most).collect()} for most in (100, 1))
+    assert len(many) == 15 and many == pytest.approx(few)
+    both = ~np.isnan(x[:, 1]) & ~np.isnan(x[:, 4])
+    assert many["f1", "f4"] == pytest.approx(np.corrcoef(x[both, 1], x[both, 4])[0, 1])
+
+
+def test_largest_common_subtrees_as_by_all_pairs(spark):
+    import ast
+    import re
+
+    new = ["RANK($a + TS_MEAN($b, 5))", "TS_MEAN($b, 5) * 2", "$c", "-$a / ($b - 1)", "RANK(($a", "ZSCORE($d)"]
+    old = ["TS_MEAN($b, 5) + $a", "2 * TS_MEAN($b, 5)", "($b - 1) / $a", "(1 - $b)", "$a - $b", "RANK($x"]
+
+    def parts(text):
+        try:
+            tree = ast.parse(re.sub(r"\$", "v_", text), mode="eval").body
+        except SyntaxError:
+            return {}
+        out = {}
+
+        def walk(node):
+            if isinstance(node, ast.BinOp):
+                kids = [walk(node.left), walk(node.right)]
+                key = (type(node.op).__name__, *(sorted(k for k, _ in kids) if isinstance(node.op, ast.Add | ast.Mult) else [k for k, _ in kids]))
+            elif isinstance(node, ast.UnaryOp):
+                kids = [walk(node.operand)]
+                key = (type(node.op).__name__, kids[0][0])
+            elif isinstance(node, ast.Call):
+                kids = [walk(x) for x in node.args]
+                key = (node.func.id, *(k for k, _ in kids))
+            else:
+                kids, key = [], (ast.unparse(node),)
+            size = 1 + sum(n for _, n in kids)
+            out[str(key)] = size
+            return str(key), size
+
+        walk(tree)
+        return out
+
+    want = {}
+    for n in new:
+        best = max((parts(n)[k] for o in old for k in parts(n).keys() & parts(o).keys()), default=0)
+        if best:
+            want[n] = best
+    frames = [spark.createDataFrame([(e,) for e in x], "factor_expression string") for x in (new, old)]
+    got = {r["new"]: (r["size"], r["old"]) for r in library.largest_common_subtree(*frames).collect()}
+    assert {k: v[0] for k, v in got.items()} == want and got[new[0]][1] == old[0] and all(got[n][0] in parts(got[n][1]).values() for n in got)
+
+
+def test_reports_as_by_plain_python(spark):
+    pages = {
+        "a/btc_2024-report.html": "<html><head><style>x</style></head><body><h1># BTC &amp; co</h1><p>On 2024-02-03 10:20 btc rose.</p><p>ETHUSDT fell</p></body></html>",
+        "b/plain_20230405.txt": "  \n** Market note\r\nnothing here\r\n", "c/empty.md": "", "d/only-title.md": "- one line", "e/words.txt": "XBTC and SOLVE; sol\nSOL at 20240101",
+    }
+    df = spark.createDataFrame([(k, datetime(2020, 1, 1), v) for k, v in pages.items()], "source_file string, modified timestamp, text string")
+    names = spark.createDataFrame([("BTCUSDT",), ("ethusdt",), ("SOLUSD",)], "symbol string")
+    got = {}
+    for r in text.report_records(df, names).collect():
+        got.setdefault(r["source_file"], []).append((r["chunk_id"], r["symbol"], r["title"], r["body"], str(r["timestamp"]), r["confidence"]))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "a/btc_2024-report.html": [(0, "BTCUSDT", "BTC & co", "# BTC & co\nOn 2024-02-03 10:20 btc rose.\nETHUSDT fell", "2024-02-03 10:20:00", 0.72), (1, "ETHUSDT", "BTC & co", "# BTC & co\nOn 2024-02-03 10:20 btc rose.\nETHUSDT fell", "2024-02-03 10:20:00", 0.72)],
+        "b/plain_20230405.txt": [(0, "*", "Market note", "** Market note\nnothing here", "2023-04-05 00:00:00", 0.48)], "c/empty.md": [(0, "*", "Empty", "Empty", "2020-01-01 00:00:00", 0.48)], "d/only-title.md": [(0, "*", "one line", "- one line", "2020-01-01 00:00:00", 0.48)],
+        "e/words.txt": [(0, "SOLUSD", "XBTC and SOLVE; sol", "SOL at 20240101", "2024-01-01 00:00:00", 0.72)],
+    }
