@@ -117,6 +117,37 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     return factors.join(specs, ["run_id", "loop_round", "factor_name"], "left")
 
 
+_DETAIL = "array<struct<name:string>>"
+LOOP_SCHEMA = (
+    "loop_index int, records array<struct<output_snapshot:struct<shared_updates:struct<hypothesis:string, experiment_spec:struct<factors:array<struct<factor_name:string,expression:string,code:string>>>, "
+    f"backtest_report:struct<per_factor_metrics:map<string,map<string,string>>, failed_details:{_DETAIL}>, failed_details:{_DETAIL}>>>>"
+)
+
+
+def read_loop_logs(spark: SparkSession, path: str, min_ic: float = 0.003) -> DataFrame:
+    """Factors of the rounds in a folder of runs (run/loop_*.json), with the metrics of their backtest reports.
+
+    A factor counts once for each run, round and name, at its place in its report, unless the report lists it as failed or its
+    IC is too small (or missing). Hypothesis and expressions are the last that the round names.
+    """
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="loop_*.json").select(F.col("_metadata.file_path").alias("file"), F.from_json("value", LOOP_SCHEMA).alias("d")).filter("d is not null")
+    updates = F.transform("d.records", lambda r: r["output_snapshot"]["shared_updates"])
+    docs = docs.select(F.element_at(F.split("file", "/"), -2).alias("run_id"), "file", F.coalesce("d.loop_index", F.lit(0)).alias("loop_round"), F.filter(updates, lambda u: u.isNotNull()).alias("u"))
+    said = F.filter(F.transform("u", lambda u: u["hypothesis"]), lambda h: h.isNotNull())
+    specs = F.flatten(F.filter(F.transform("u", lambda u: u["experiment_spec"]["factors"]), lambda x: x.isNotNull()))
+    docs = docs.withColumns({"hypothesis": F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("No hypothesis found")), "specs": specs})
+    reports = docs.select("run_id", "file", "loop_round", "hypothesis", "specs", F.posexplode("u").alias("record_no", "u"))
+    bad = F.transform(F.coalesce(F.when(F.size("u.backtest_report.failed_details") > 0, F.col("u.backtest_report.failed_details")), F.col("u.failed_details"), F.array().cast(_DETAIL)), lambda x: x["name"])
+    rows = reports.withColumn("bad", bad).select("run_id", "file", "loop_round", "hypothesis", "specs", "record_no", "bad", F.posexplode(F.map_entries("u.backtest_report.per_factor_metrics")).alias("intra_loop_index", "e"))
+    rows = rows.select("*", F.col("e.key").alias("factor_name"), F.col("e.value").alias("metrics"))
+    rows = rows.filter(~F.coalesce(F.array_contains("bad", F.col("factor_name")), F.lit(False)) & (F.abs(F.coalesce(F.col("metrics")["IC"].try_cast("double"), F.lit(0.0))) >= min_ic))
+    rows = first_of(rows, F.struct("run_id", "loop_round", "factor_name"), ["file", "record_no", "intra_loop_index"])
+    own = F.try_element_at(F.filter("specs", lambda x: x["factor_name"] == F.col("factor_name")), F.lit(-1))
+    standard = F.concat("run_id", F.lit("_L"), F.col("loop_round").cast("string"), F.lit("_I"), F.col("intra_loop_index").cast("string"), F.lit("_"), "factor_name", F.lit(".py"))
+    named = F.when(own["code"].isNotNull(), standard).otherwise(F.concat("factor_name", F.lit(".py")))
+    return rows.select("run_id", "loop_round", "intra_loop_index", "factor_name", named.alias("factor_file"), F.coalesce(own["expression"], F.lit("Unknown")).alias("factor_expression"), "hypothesis", "metrics")
+
+
 def proposed_before(traces: DataFrame, text: str = "value") -> DataFrame:
     """Distinct (factor_name, factor_expression) of trace records whose factors are a list, or a map by name."""
     one = "struct<factor_name:string,factor_expression:string,expression:string>"
@@ -128,18 +159,26 @@ def proposed_before(traces: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """(alias, symbol) of a JSON object, both upper-cased."""
-    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("alias", "symbol"))
-    return pairs.select(F.upper("alias").alias("alias"), F.upper("symbol").alias("symbol"))
+    """(alias, symbol) of a JSON object or of a flat YAML mapping (.yaml, .yml), both upper-cased; empty ones go."""
+    if path.lower().endswith((".yaml", ".yml")):
+        line = r"^\s*[\"']?([^#\"':]+?)[\"']?\s*:\s*[\"']?([^\"'#]*?)[\"']?\s*(?:#.*)?$"
+        pairs = spark.read.text(path).select(F.regexp_extract("value", line, 1).alias("alias"), F.regexp_extract("value", line, 2).alias("symbol"))
+    else:
+        pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("alias", "symbol"))
+    return pairs.filter((F.trim("alias") != "") & (F.trim("symbol") != "")).select(F.upper("alias").alias("alias"), F.upper("symbol").alias("symbol"))
 
 
 def write_panel(df: DataFrame, path: str) -> None:
-    """Parquet by month and in the order of date and asset within a file, and one row that describes it beside it."""
+    """Parquet by month and in the order of date and asset within a file; beside it one row that describes it, and the same
+    as text in Markdown."""
     from factorloom.operators.panel import summary
 
     out = df.withColumn("month", F.date_format("datetime", "yyyy-MM"))
     out.repartitionByRange("month", "datetime").sortWithinPartitions("datetime", "symbol").write.mode("overwrite").partitionBy("month").parquet(f"{path}/panel")
-    summary(df).write.mode("overwrite").json(f"{path}/schema")
+    about = summary(df)
+    about.write.mode("overwrite").json(f"{path}/schema")
+    line = lambda c: F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    about.select(F.concat_ws("\n", F.lit("# Panel"), F.lit(""), *(line(c) for c in about.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/description")
 
 
 def write_market_text(new: DataFrame, path: str, stored: DataFrame | None = None) -> None:

@@ -56,6 +56,34 @@ def test_run_logs_traces_and_aliases(spark, tmp_path):
     assert tuple(files.read_aliases(spark, f"{tmp_path}/alias.json").first()) == ("BTC", "BTCUSDT")
 
 
+def test_loop_logs_with_metrics_by_run_round_and_name(spark, tmp_path):
+    def loop(index, *updates):
+        return json.dumps({"loop_index": index, "records": [{"output_snapshot": {"shared_updates": u}} for u in updates]})
+
+    (tmp_path / "run1").mkdir()
+    (tmp_path / "run2").mkdir()
+    spec = {"experiment_spec": {"factors": [{"factor_name": "a", "expression": "$old"}, {"factor_name": "b", "expression": "$b", "code": "def f(): ..."}]}}
+    report = {"backtest_report": {"per_factor_metrics": {"a": {"IC": 0.01}, "b": {"IC": -0.02, "ICIR": 1}, "weak": {"IC": 0.001}, "none": {}, "bad": {"IC": 0.5}}, "failed_details": [{"name": "bad"}]}}
+    (tmp_path / "run1" / "loop_1.json").write_text(loop(1, {"hypothesis": "first"}, spec, {"experiment_spec": {"factors": [{"factor_name": "a", "expression": "$a"}]}, "hypothesis": "last"}, report, report))
+    (tmp_path / "run2" / "loop_1.json").write_text(loop(1, {"backtest_report": {"per_factor_metrics": {"a": {"IC": 0.3}, "c": {"IC": 0.3}}}, "failed_details": [{"name": "c"}]}))
+    (tmp_path / "run2" / "loop_2.json").write_text("not json")
+    got = sorted((r["run_id"], r["loop_round"], r["intra_loop_index"], r["factor_name"], r["factor_file"], r["factor_expression"], r["hypothesis"], r["metrics"]["IC"]) for r in files.read_loop_logs(spark, str(tmp_path)).collect())
+    assert got == [("run1", 1, 0, "a", "a.py", "$a", "last", "0.01"), ("run1", 1, 1, "b", "run1_L1_I1_b.py", "$b", "last", "-0.02"), ("run2", 1, 0, "a", "a.py", "Unknown", "No hypothesis found", "0.3")]
+
+
+def test_aliases_in_yaml(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("# names\nbtc: btcusdt\n'eth 2' : \"ethusdt\"  # second\nempty:\n")
+    assert sorted(map(tuple, files.read_aliases(spark, f"{tmp_path}/a.yaml").collect())) == [("BTC", "BTCUSDT"), ("ETH 2", "ETHUSDT")]
+
+
+def test_csv_has_the_types_of_json(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('timestamp,symbol,confidence,chunk_id,evidence\n2024-01-01,A,0.5,3,"[""x"",""y""]"\n2024-01-02,B,,,\n')
+    found = files.read_market_text(spark, f"{tmp_path}/a.csv")
+    kinds = dict(found.dtypes)
+    assert (kinds["confidence"], kinds["chunk_id"], kinds["evidence"]) == ("double", "int", "array<string>")
+    assert sorted((r["symbol"], r["confidence"], r["chunk_id"], r["evidence"]) for r in found.collect()) == [("A", 0.5, 3, ["x", "y"]), ("B", None, None, None)]
+
+
 def test_panel_and_table_sinks(spark, sf, tmp_path):
     from factorloom.plans.panel_queries import daily
 
@@ -63,6 +91,8 @@ def test_panel_and_table_sinks(spark, sf, tmp_path):
     files.write_panel(df, str(tmp_path / "p"))
     assert spark.read.parquet(f"{tmp_path}/p/panel").count() == df.count()
     assert spark.read.json(f"{tmp_path}/p/schema").first()["n_symbols"] == df.select("symbol").distinct().count()
+    about = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/p/description").collect())
+    assert about.startswith("# Panel") and f"- n_rows: {df.count()}" in about
     files.write_table(df.select("symbol", F.create_map(F.lit("a"), "close").alias("m")), f"{tmp_path}/t", "csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/t").count() == df.count()
 
