@@ -65,20 +65,21 @@ def parse_time(x: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(x), F.try_to_timestamp(x, F.lit("yyyy/M/d")), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
 
 
-def align_to_bars(records: DataFrame, calendar: DataFrame, timestamp: str = "timestamp") -> DataFrame:
+def align_to_bars(records: DataFrame, calendar: DataFrame, timestamp: str = "timestamp", span: str = "day") -> DataFrame:
     """Adds the latest bar at or before each record's time; records before the first bar go.
 
-    Bars and records are split by day; each day's last bar is carried to later days, so the as-of join is an equality
-    join on days and a window over single days, with no range join. The calendar has one row a bar.
+    Bars and records are split by spans of time; each span's last bar is carried to later ones, so the as-of join is an
+    equality join on spans and a search among a span's bars: no range join, and records aren't sorted. The calendar has one row
+    a bar; choose a ``span`` (day, hour, minute) that holds few bars.
     """
-    bars = calendar.select(F.col(TIME).alias("_bar")).distinct().withColumn("_day", F.to_date("_bar"))
-    days = records.select(F.to_date(timestamp).alias("_day")).union(bars.select("_day")).filter("_day is not null").distinct()
-    last = bars.groupBy("_day").agg(F.max("_bar").alias("_last"), F.sort_array(F.collect_set("_bar")).alias("_bars"))  # a day's bars
-    w = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    days = days.join(last, "_day", "left").withColumn("_before", F.last("_last", ignorenulls=True).over(w))
-    out = records.withColumn("_day", F.to_date(timestamp)).join(days, "_day")
+    bars = calendar.select(F.col(TIME).alias("_bar")).distinct().withColumn("_span", F.date_trunc(span, "_bar"))
+    spans = records.select(F.date_trunc(span, timestamp).alias("_span")).union(bars.select("_span")).filter("_span is not null").distinct()
+    last = bars.groupBy("_span").agg(F.max("_bar").alias("_last"), F.sort_array(F.collect_set("_bar")).alias("_bars"))
+    w = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    spans = spans.join(last, "_span", "left").withColumn("_before", F.last("_last", ignorenulls=True).over(w))
+    out = records.withColumn("_span", F.date_trunc(span, timestamp)).join(spans, "_span")
     inside = F.array_max(F.filter("_bars", lambda b: b <= F.col(timestamp)))
-    return out.withColumn(TIME, F.coalesce(inside, "_before")).filter(F.col(TIME).isNotNull()).drop("_day", "_last", "_bars", "_before")
+    return out.withColumn(TIME, F.coalesce(inside, "_before")).filter(F.col(TIME).isNotNull()).drop("_span", "_last", "_bars", "_before")
 
 
 def fan_out(records: DataFrame, symbols: DataFrame) -> DataFrame:

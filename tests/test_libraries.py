@@ -69,6 +69,18 @@ def test_backtest_runs_or_says_where_it_stopped(spark):
     assert done["status"] == "done" and done["predictions"].count() > 0 and done["analysis"].count() == 1 and done["importance"].count() == len(done["features"])
 
 
+def test_batches_change_nothing(spark):
+    df = panel.with_label(small_panel(spark))
+    rows = [("rev", "0 - $close"), ("mom", "$close / DELAY($close, 3)"), ("vol", "TS_MEAN($volume, 3)"), ("bad", "$none"), ("rank", "RANK($volume)")]
+    candidates = spark.createDataFrame(rows, "factor_name string, factor_expression string")
+    few, many = ([(r["factor_name"], r["status"], None if r["fitness"] is None else round(r["fitness"], 9)) for r in model.score_population(df, candidates, batch=n).collect()] for n in (2, 100))
+    assert few == many and [r[0] for r in few][-1] == "bad"
+    lib_rows = [("r", 0, i, n, e, 0.1) for i, (n, e) in enumerate(rows)]
+    a, b = (model.library_backtest(df, lib(spark, *lib_rows), RANGES, min_factors=1, min_ic=0.0, min_icir=0.0, rounds=2, batch=n) for n in (2, 100))
+    assert a["features"] == b["features"] and a["analysis"].first()["rank_ic_mean"] == pytest.approx(b["analysis"].first()["rank_ic_mean"])
+    assert model.score_population(df, candidates.filter("factor_name = 'bad'")).first()["status"] == "failed"
+
+
 def test_training_is_reproducible(spark):
     from factorloom.operators.factors import with_factors
 
