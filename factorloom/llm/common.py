@@ -54,6 +54,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more rows than this, and than this part of all rows.
+HOT, HOT_SHARE = 1000, 10_000
+
+
+def hot_from(rows: int) -> int:
+    """From how many rows on a key is hot; of ``rows`` rows in all, fewer than ``HOT_SHARE`` keys can have more."""
+    return max(HOT, rows // HOT_SHARE)
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each key and in ``size`` the number of the key's rows in ``many``.
+
+    Keys with more than ``most`` rows (see ``hot_from``: a bounded number of them) are joined by broadcast, so that their rows
+    stay where they are; the others are shuffled.
+    """
+    hot = one.filter(F.col(size) > most)
+    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(size) <= most), key)
+    return cold.unionByName(many.join(F.broadcast(hot), key))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

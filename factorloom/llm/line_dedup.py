@@ -22,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import hot_from, need, written
 from .textarrays import U64, chunks, hash_spans, mix, utf8, words
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _LAST = U64(2**64 - 1)
 #: No shorter repetition is touched, and every longer one than this is found.
 LEAST, SURE = 20, 40
-#: A fingerprint is hot if it has more positions than this, and than this part of all positions.
-HOT, HOT_SHARE = 1000, 10_000
 #: Parts into which the positions of a hot fingerprint are dealt.
 SALTS = 64
 
@@ -235,9 +233,8 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     width = sure - least + 1
     found = written(_fingerprints(df, doc_id, text, least, width), "fingerprints")
     counts = written(found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    # fewer fingerprints than HOT_SHARE can have more than that part of all positions: a list that is safe to broadcast
-    most = max(HOT, found.count() // HOT_SHARE)
-    hot = F.broadcast(counts.filter(F.col("n") > most).select("fingerprint"))
+    most = hot_from(found.count())
+    hot = F.broadcast(counts.filter(F.col("n") > most).select("fingerprint"))  # fewer than common.HOT_SHARE
     rest = counts.filter(F.col("n") <= most).select("fingerprint")
     place = ["fingerprint", "id", "hash", "pos"]  # rows alike count once
     cold = found.join(hot, "fingerprint", "left_anti").join(rest, "fingerprint").select(*place, F.lit(0).alias("salt"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import ddl, fresh, need, new_path, written
+from .common import ddl, fresh, hot_from, join_spread, need, new_path, written
 from .components import connected_components
 from .textarrays import LOWER, U64, chunks, hash_spans, mix, words
 
@@ -199,27 +199,28 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     classes = classes.select(F.monotonically_increasing_id().alias("k"), "set_key", "sketch", "n", F.col("row.id").alias("rep"), F.col("row.hash").alias("rep_hash"))
     classes = written(classes, "classes")
     rows = _bands(classes, percent / 100)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    live = written(rows.join(shared, "bucket").select("bucket", "k", "n", "members"), "buckets")
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+    most = hot_from(rows.count())
+    live = written(join_spread(rows, shared, "bucket", "members", most).select("bucket", "k", "n", "members"), "buckets")
     # a class that meets many others is likely the one that they were copied from: it leads its buckets
     met = live.groupBy("k").agg(F.sum("members").alias("met"))
     live = written(live.join(met, "k"), "buckets")
     sets = _bucketed_sets(df, text, doc_id, shingle, met.join(classes, "k").select("k", "rep", "rep_hash"))
     # first each class with the leader of each of its buckets
-    leaders = live.groupBy("bucket").agg(F.max_by(F.struct("k", "n"), F.struct("met", -F.col("k"))).alias("lead"))
-    pairs = live.join(leaders.select("bucket", F.col("lead.k").alias("a"), F.col("lead.n").alias("n_a")), "bucket")
+    leaders = live.groupBy("bucket").agg(F.max_by(F.struct("k", "n"), F.struct("met", -F.col("k"))).alias("lead"), F.max("members").alias("size"))
+    pairs = join_spread(live, leaders.select("bucket", F.col("lead.k").alias("a"), F.col("lead.n").alias("n_a"), "size"), "bucket", "size", most)
     pairs = pairs.filter((F.col("k") != F.col("a")) & _sizes_allow("n", "n_a", percent)).select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
     links = written(_linked(pairs, classes, sets, percent), "links")
     roots = _roots(links)
     # then, where a bucket still holds several components, their other members
     now = _with_roots(live, roots)
     undone = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("members").alias("size")).filter((F.col("lo") != F.col("hi")) & (F.col("size") > 2))
-    rest = written(now.join(undone.select("bucket"), "bucket").select("k", "n", "root").distinct(), "rest")
+    rest = written(join_spread(now, undone.select("bucket", "size"), "bucket", "size", most).select("k", "n", "root").distinct(), "rest")
     if not rest.isEmpty():
         roots = _roots(links.union(_linked(_prefix_pairs(rest, sets, percent), classes, sets, percent)))
     of = _with_roots(classes.select("k", "set_key", "rep"), roots)
-    least = of.groupBy("root").agg(F.min("rep").alias("component"))
-    groups = of.join(least, "root").select("set_key", F.col("root").alias("group_key"), "component")
+    least = of.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("size"))
+    groups = join_spread(of, least, "root", "size", most).select("set_key", F.col("root").alias("group_key"), "component")
     out = docs.join(groups, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col(doc_id)).otherwise(F.col("component"))
     out = out.withColumn("component_id", component)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, fingerprints, line_dedup, media, mixing, packing, quality, setsketch, textarrays, token_counts, url_filter, warc
+from factorloom.llm import bpe, common, fingerprints, line_dedup, media, mixing, packing, quality, setsketch, textarrays, token_counts, url_filter, warc
 from factorloom.llm.components import connected_components
 
 from .helpers import ODD, clashing, docs, near_duplicates, repeated, words
@@ -158,8 +158,9 @@ def copies(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_as_by_all_pairs(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "hot"), [(3, 85, 1000), (3, 85, 5), (5, 80, 3)])
+def test_near_duplicates_as_by_all_pairs(spark, n, percent, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(n)
     make = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(k))
     texts = [make(rng.randrange(1, 90)) for _ in range(40)]
@@ -191,8 +192,6 @@ def test_near_duplicates_of_odd_rows(spark):
 
 
 def test_clean_up_removes_tables_and_folder(spark):
-    from factorloom.llm import common
-
     setsketch.near_duplicates(docs(spark, [(i, f"one two three four five {i % 3} six seven eight nine ten eleven", "en", "s", 1) for i in range(40)]), shingle=3, percent=60).count()
     mine = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("sets_")]
     assert mine() and __import__("os").path.isdir(common.run_dir(spark).removeprefix("file:"))
@@ -200,7 +199,9 @@ def test_clean_up_removes_tables_and_folder(spark):
     assert not mine() and not __import__("os").path.isdir(common.run_dir(spark).removeprefix("file:"))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_components(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(20)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -245,8 +246,7 @@ def passages(rng, n=60):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize(("least", "sure"), [(20, 40), (5, 5), (8, 12)])
 def test_line_dedup_as_by_plain_winnowing(spark, seed, least, sure, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 1000 if seed < 3 else 4)
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", 10_000)
+    monkeypatch.setattr(common, "HOT", 1000 if seed < 3 else 4)
     rows = passages(random.Random(seed))
     texts, want = dict(rows), plain_line_dedup(rows, least, sure, line_hash)
     sound, found = repeated(rows, least), {}
