@@ -15,10 +15,10 @@ def parse_headers(block: Column) -> Column:
     """A block of header lines as a map with lower-case names; folded lines are joined, of repeated names the last counts, null
     gives null."""
     lines = F.filter(F.split(F.regexp_replace(block, r"\r?\n[ \t]+", " "), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
-    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
-    value = lambda x: F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))
-    names = F.array_distinct(F.transform(lines, name))
-    return F.map_from_arrays(names, F.transform(names, lambda n: value(F.element_at(F.filter(lines, lambda x: name(x) == n), -1))))
+    part = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value"))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    # the block is split once; each line takes the place of an earlier one of its name
+    return F.map_from_entries(F.aggregate(F.transform(lines, part), none, lambda done, e: F.array_append(F.filter(done, lambda d: d["name"] != e["name"]), e)))
 
 
 def canonical_url(url: Column) -> Column:
