@@ -507,12 +507,17 @@ def rebuild(factors: DataFrame, library: DataFrame, min_ic: float = 0.003) -> Da
     return accept_unseen(first_of(good, F.struct("run_id", "loop_round", F.lower("factor_name")), ["intra_loop_index"]), library)
 
 
-def audit(library: DataFrame, files: DataFrame) -> DataFrame:
-    """(check, n, advice): records, distinct expressions, duplicates, names alike, files nobody expects."""
+def audit(library: DataFrame, files: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """(check, n, advice): records, distinct expressions, duplicates, names alike, files nobody expects; and with ``logs`` (file,
+    events, bad_lines, as ``read_events`` counts them) their lines and those that can be read."""
     s = library_summary(library)
     row = lambda d, check, advice: d.agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), "n", F.lit(advice).alias("advice"))
     out = s.select(F.lit("records").alias("check"), F.col("records").alias("n"), F.lit("").alias("advice")).union(s.select(F.lit("distinct_expressions"), "distinct_expressions", F.lit("")))
-    return out.union(row(duplicate_expressions(library).select("expression").distinct(), "duplicate_expressions", "keep the first of each")).union(row(duplicate_names(library).select("base_name").distinct(), "duplicate_names", "merge or rename")).union(row(orphans(files, library), "orphan_files", "archive"))
+    out = out.union(row(duplicate_expressions(library).select("expression").distinct(), "duplicate_expressions", "keep the first of each")).union(row(duplicate_names(library).select("base_name").distinct(), "duplicate_names", "merge or rename")).union(row(orphans(files, library), "orphan_files", "archive"))
+    if logs is None:
+        return out
+    total = logs.agg(F.coalesce(F.sum(F.col("events") + F.col("bad_lines")), F.lit(0)).alias("lines"), F.coalesce(F.sum("events"), F.lit(0)).alias("good"))
+    return out.union(total.select(F.lit("log_lines"), "lines", F.lit(""))).union(total.select(F.lit("log_lines_valid"), "good", F.lit("repair or drop the others")))
 
 
 def knowledge_snapshot(library: DataFrame, events: DataFrame) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.stats import rounded
 from factorloom.operators import diagnostics, evaluate, library, model, panel, text
 from factorloom.plans.panel_queries import FACTORS, IC_SQL, LAG_SQL, P1, P2, RANGES, daily, long, r6, scored, sql_rank, sql_stats, table, weekly
-from factorloom.plans.text_queries import BARE, COLUMNS, FORM, L1, MERGE_SQL, R1, REJECTED, SIMILAR, factors, failures, records
+from factorloom.plans.text_queries import BARE, COLUMNS, FILES_SQL, FORM, L1, MERGE_SQL, R1, REJECTED, SIMILAR, code_files, factors, failures, records
 from factorloom.sources import files
 from factorloom.streaming import jobs
 
@@ -76,13 +76,23 @@ def market_text_scan(spark, sf_dir):
     return found.select(F.col("url").cast("long").alias("doc_id"), "timestamp", "symbol", "source_file", "chunk_id", F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_sha256"))
 
 
-@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total, (SELECT count(*) FROM events WHERE event_id % 7 = 3) AS bad_lines FROM events WHERE event_id % 7 <> 3 AND event_id % 11 <> 5 GROUP BY 1")
-def event_log_scan(spark, sf_dir):
-    """A log with lines that can't be read, which are counted, and blank ones, which aren't."""
+def event_log(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     path, i = folder(spark, "log"), F.col("event_id")
     line = F.when(i % 7 == 3, F.concat(F.lit('{"name": '), i.cast("string"))).when(i % 11 == 5, "").otherwise(F.to_json(F.struct(F.col("event_type").alias("name"), "value")))
     table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
-    events, counts = files.read_events(spark, path, "name string, value double")
+    return files.read_events(spark, path, "name string, value double")
+
+
+@query(f"WITH {L1}, {FILES_SQL}, n AS (SELECT 'records' AS \"check\", count(*) AS n FROM lib UNION ALL SELECT 'orphan_files', count(*) FROM code WHERE file NOT IN (SELECT file FROM known WHERE file IS NOT NULL) UNION ALL SELECT 'log_lines', count(*) FROM events WHERE event_id % 7 = 3 OR event_id % 11 <> 5 UNION ALL SELECT 'log_lines_valid', count(*) FROM events WHERE event_id % 7 <> 3 AND event_id % 11 <> 5) SELECT * FROM n")
+def library_audit_with_logs(spark, sf_dir):
+    out = library.audit(factors(spark, sf_dir), code_files(spark, sf_dir), event_log(spark, sf_dir)[1])
+    return out.filter(~F.col("check").isin("distinct_expressions", "duplicate_expressions", "duplicate_names")).select("check", "n")
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total, (SELECT count(*) FROM events WHERE event_id % 7 = 3) AS bad_lines FROM events WHERE event_id % 7 <> 3 AND event_id % 11 <> 5 GROUP BY 1")
+def event_log_scan(spark, sf_dir):
+    """A log with lines that can't be read, which are counted, and blank ones, which aren't."""
+    events, counts = event_log(spark, sf_dir)
     bad = counts.agg(F.sum("bad_lines").alias("bad_lines"))
     return events.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).crossJoin(bad)
 
