@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,62 @@ def test_diagnostic_tables(spark):
     tables = diagnostics.diagnostic_tables(df, "score", "returns_1d")
     assert {n: t.count() for n, t in tables.items() if n in ("groups", "ic", "monthly_ic", "summary")} == {"groups": 39, "ic": 39, "monthly_ic": 1, "summary": 1}
     assert tables["top"].count() == 480 and tables["last_date"].count() == 12 and tables["summary"].first()["ic_mean"] > 0
+
+
+def test_ridge_as_by_closed_form(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3)) * [1, 50, 1e-3] + [0, 7, 1]
+    y = x @ [0.5, 0.02, 300] + rng.normal(size=80) * 0.1
+    rows = [(DAY + timedelta(days=i), "s", *map(float, r), float(t), "train" if i < 60 else "test") for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    frame = spark.createDataFrame(rows, "datetime timestamp, symbol string, a double, b double, c double, returns_1d double, segment string")
+    fitted = model.predict(model.train_ridge(frame, ["a", "b", "c"], "returns_1d", l2=3.0), frame)
+    mean, sd, own = x[:60].mean(axis=0), x[:60].std(axis=0, ddof=1), y[:60]
+    z = (x - mean) / sd
+    w = np.linalg.solve(z[:60].T @ z[:60] + 3.0 * np.eye(3), z[:60].T @ (own - own.mean()))
+    want = z @ w + own.mean()
+    assert [r["score"] for r in fitted.orderBy("datetime").collect()] == pytest.approx(want.tolist(), abs=1e-8)
+
+
+def test_one_tree_splits_as_by_plain_search(spark):
+    rng = np.random.default_rng(5)
+    x = rng.permutation(40).astype(float)
+    y = np.where(x > 24, 3.0, -1.0) + rng.normal(size=40) * 0.01
+    rows = [(DAY + timedelta(days=i), "s", float(a), float(b), "train") for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(DAY + timedelta(days=99), "s", 30.0, 3.0, "valid")]
+    frame = spark.createDataFrame(rows, "datetime timestamp, symbol string, a double, returns_1d double, segment string")
+    fitted = model.predict(model.train_boosted(frame, ["a"], "returns_1d", rounds=1, depth=1, step=1.0, subsample=1.0), frame.filter("segment = 'train'"))
+    cuts = [(sum(((y[m] - y[m].mean()) ** 2).sum() for m in (x <= c, x > c)), c) for c in sorted(x)[:-1]]
+    cut = min(cuts)[1]
+    want = np.where(x <= cut, y[x <= cut].mean(), y[x > cut].mean())
+    assert [r["score"] for r in fitted.orderBy("datetime").collect()] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_research_is_its_steps_one_after_the_other(spark):
+    from factorloom.operators import preprocess
+    from factorloom.operators.factors import with_factors
+
+    df = panel.with_label(small_panel(spark))
+    expressions = {"rev": "0 - $close", "vol": "TS_MEAN($volume, 3)", "bad": "$none"}
+    got = evaluate.research(df, expressions)
+    values, failed = with_factors(df, expressions)
+    cleaned = preprocess.normalise_columns(preprocess.fill_missing(preprocess.winsorise(values, ["rev", "vol"]), ["rev", "vol"]), ["rev", "vol"])
+    passed = [r["factor"] for r in evaluate.screen(cleaned, ["rev", "vol"]).filter("passed").collect()]
+    want = evaluate.evaluation_report(evaluate.factor_score(cleaned, passed, ["rev", "vol"]), "score").first()
+    assert got["failed"].keys() == failed.keys() == {"bad"} and sorted(got["passed"]) == sorted(passed)
+    mine = got["evaluation"].first().asDict()
+    assert {k: v for k, v in mine.items() if isinstance(v, float)} == pytest.approx({k: v for k, v in want.asDict().items() if isinstance(v, float)}, nan_ok=True)
+
+
+def test_parameter_sets_are_judged_on_their_predictions(spark):
+    from factorloom.operators.factors import with_factors
+
+    df = panel.with_label(small_panel(spark))
+    frame, features = model.feature_matrix(with_factors(df, {"a": "0 - $close", "b": "TS_MEAN($volume, 3)"})[0], ["a", "b"], "returns_1d")
+    frame = panel.segments(frame, RANGES)
+    grid = [{"rounds": 2, "depth": 2}, {"rounds": 4, "depth": 3}]
+    got = {r["param_id"]: r for r in model.score_parameters(frame, features, "returns_1d", grid).collect()}
+    for i, params in enumerate(grid):
+        scores = model.predict(model.train_boosted(frame, features, "returns_1d", **params), frame).toPandas()
+        loss = {s: ((g["score"] - g["returns_1d"]) ** 2).mean() for s, g in scores.groupby("segment")}
+        daily = scores[scores["segment"] != "train"].groupby("datetime").apply(lambda g: g["score"].rank().corr(g["returns_1d"].rank()), include_groups=False).dropna()
+        assert got[f"p{i}"]["rank_ic_mean"] == pytest.approx(daily.mean()) and got[f"p{i}"]["rank_ic_dates"] == len(daily)
+        assert got[f"p{i}"]["overfit"] == pytest.approx(min(1, max(0, (loss["valid"] - loss["train"]) / loss["train"]))) and got[f"p{i}"]["complexity"] == pytest.approx(params["rounds"] * params["depth"] / 1000)
