@@ -17,13 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_from, need, written
-from .textarrays import U64, chunks, hash_spans, mix, utf8, words
+from .common import ddl, hot_from, need, written
+from .textarrays import U64, chunks, hash_spans, mix, words
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _LAST = U64(2**64 - 1)
@@ -107,11 +107,31 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "pos")
 
 
-def _around(h: np.ndarray, at: np.ndarray, width: int, missing: int) -> np.ndarray:
-    """For each position the hashes of ``width`` words from it on, in 32 bits; ``missing`` beyond the ends."""
-    short = (h >> U64(32)).astype(np.uint32) | np.uint32(2)
-    padded = np.concatenate([np.full(width, missing, np.uint32), short, np.full(width + 1, missing, np.uint32)])
-    return padded[np.clip(at, -width, len(h))[:, None] + width + np.arange(width)]
+def around(short: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, step: int, width: int, missing: int) -> np.ndarray:
+    """For each position the ``width`` words from it on (``step`` 1) or back (-1); ``missing`` outside its document, which
+    goes from ``low`` to ``high``."""
+    where = at[:, None] + step * np.arange(width)
+    inside = (where >= low[:, None]) & (where < high[:, None])
+    return np.where(inside, short[np.minimum(np.maximum(where, 0), max(0, len(short) - 1))] if len(short) else np.uint32(0), np.uint32(missing))
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """Word hashes in 32 bits, none of which stands for a missing word."""
+    return (h >> U64(32)).astype(np.uint32) | np.uint32(2)
+
+
+def _lists(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, pa.Array]:
+    """For rows i to j - 1 of a column of lists: the number of the row of each item, from 0 on, and the items."""
+    part = column.slice(i, j - i)
+    return np.repeat(np.arange(j - i), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), part.flatten()
+
+
+def _numbers(items: pa.Array, name: str) -> np.ndarray:
+    return items.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(rows.itemsize * rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
 def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int) -> DataFrame:
@@ -121,26 +141,18 @@ def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(w).to_pylist()
             for i, j, data, off in chunks(batch.column(t), 2 << 20):
                 _, _, h, first = word_hashes(data, off)
-                row, key, salt, pos, before, after = [], [], [], [], [], []
-                for r in range(i, j):
-                    own = h[first[r - i] : first[r - i + 1]]
-                    at = np.array([m["pos"] for m in wanted[r]], np.int64)
-                    sides = zip(wanted[r], _around(own, at - width, width, 0)[:, ::-1], _around(own, at + least, width, 0), strict=True)
-                    for m, left, right in sides:
-                        parts = range(1, SALTS + 1) if m["salts"] else (0,)
-                        n = len(parts)
-                        row += [r] * n
-                        key += [m["fingerprint"]] * n
-                        salt += parts
-                        pos += [m["pos"]] * n
-                        before += [left.tobytes()] * n
-                        after += [right.tobytes()] * n
-                take = pa.array(row, pa.int64())
+                row, items = _lists(batch.column(w), i, j)
+                short, at = _short(h), first[row] + _numbers(items, "pos")
+                low, high, hot = first[row], first[row + 1], _numbers(items, "salts") > 0
+                before, after = around(short, low, high, at - 1, -1, width, 0), around(short, low, high, at + least, 1, width, 0)
+                times = np.where(hot, SALTS, 1)
+                own = np.repeat(np.arange(len(row)), times)
+                salt = np.where(hot[own], np.arange(len(own)) - (np.cumsum(times) - times)[own] + 1, 0)
+                take = pa.array(row[own] + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(salt, pa.int32()), batch.column(k).take(take), batch.column(x).take(take), pa.array(pos, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                    [items.field("fingerprint").take(pa.array(own)), pa.array(salt.astype(np.int32)), batch.column(k).take(take), batch.column(x).take(take), items.field("pos").take(pa.array(own)), _binary(before[own]), _binary(after[own])],
                     names=["fingerprint", "salt", "first_id", "first_hash", "first_pos", "before", "after"],
                 )
 
@@ -148,20 +160,20 @@ def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int)
     return placed.mapInArrow(run, f"fingerprint long, salt int, first_id {kind}, first_hash long, first_pos int, before binary, after binary")
 
 
-def extended(h: np.ndarray, matches: list, least: int, width: int) -> list[tuple[int, int]]:
-    """The maximal runs of words (first, behind the last) of a document around its matches with first positions.
+def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and words behind the last, of the maximal runs around the matches of several documents with first positions.
 
-    A match within the document (``own``: its first position, else -1) leaves the first ``least`` words of the run alone.
+    A match within its document (``own``: its first position, else -1) leaves the first ``least`` words of the run alone.
     """
-    at = np.array([m["pos"] for m in matches], np.int64)
-    own = np.array([m["own"] for m in matches], np.int64)
-    stack = lambda c: np.frombuffer(b"".join(m[c] for m in matches), np.uint32).reshape(-1, width)
-    alike = lambda a, b: np.cumprod(a == b, axis=1).sum(axis=1)
-    begin = at - alike(_around(h, at - width, width, 1)[:, ::-1], stack("before"))
-    end = at + least + alike(_around(h, at + least, width, 1), stack("after"))
-    begin = np.where(own >= 0, np.maximum(begin, begin - at + own + least), begin)
+    short, low, high = _short(h), first[row], first[row + 1]
+    at, own = low + _numbers(matches, "pos"), _numbers(matches, "own")
+    stored = lambda c: np.frombuffer(b"".join(matches.field(c).to_pylist()), np.uint32).reshape(-1, width)
+    alike = lambda a, b: np.cumprod(a == b, axis=1, dtype=np.int8).sum(axis=1)
+    begin = at - alike(around(short, low, high, at - 1, -1, width, 1), stored("before"))
+    end = at + least + alike(around(short, low, high, at + least, 1, width, 1), stored("after"))
+    begin = np.where(own >= 0, np.maximum(begin, begin - at + low + own + least), begin)
     good = end - begin >= least
-    return list(zip(begin[good].tolist(), end[good].tolist(), strict=True))
+    return begin[good], end[good]
 
 
 def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -189,25 +201,37 @@ def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) ->
     return b"".join([*out, text[at:]])
 
 
-def _edit(least: int, width: int):
-    @F.pandas_udf("text string, n_deleted long")
-    def edit(text: pd.Series, matches: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, found in zip(text, matches, strict=True):
-            if t is None:
-                out.append((None, 0))
-                continue
-            data, off = utf8(pa.array([t]))
-            starts, ends, h, _ = word_hashes(data, off)
-            gone = np.zeros(len(h) + 1, np.int64)
-            for a, b in extended(h, found, least, width):
-                gone[a] += 1
-                gone[b] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            out.append((cut(t.encode(), starts, ends, gone).decode() if gone.any() else t, int(gone.sum())))
-        return pd.DataFrame(out, columns=["text", "n_deleted"])
+def _edited(placed: DataFrame, text: str, least: int, width: int) -> DataFrame:
+    """The table with the runs around its ``matches`` deleted from ``text``, and ``n_deleted`` in the place of the matches."""
+    columns = placed.columns
+    t, m = columns.index(text), columns.index("matches")
+    kept = [c for c in columns if c != "matches"]
 
-    return edit
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_deleted = np.zeros(len(batch), np.int64)
+            some = np.flatnonzero(batch.column(m).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0)
+            texts, matches = batch.column(t).take(pa.array(some)), batch.column(m).take(pa.array(some))
+            changed, new = np.zeros(len(batch), bool), []
+            for i, j, data, off in chunks(texts, 2 << 20):
+                starts, ends, h, first = word_hashes(data, off)
+                row, items = _lists(matches, i, j)
+                gone = np.zeros(len(h) + 1, np.int64)
+                for edge, sign in zip(runs_of(h, first, row, items, least, width), (1, -1), strict=True):
+                    np.add.at(gone, edge, sign)
+                gone = np.cumsum(gone)[:-1] > 0
+                n = np.diff(np.append(0, np.cumsum(gone))[first])
+                n_deleted[some[i:j]] = n
+                for r in np.flatnonzero(n):
+                    a, b = first[r], first[r + 1]
+                    new.append(cut(data[off[r] : off[r + 1]].tobytes(), starts[a:b] - off[r], ends[a:b] - off[r], gone[a:b]).decode())
+                    changed[some[i + r]] = True
+            column = batch.column(t)
+            if new:
+                column = pc.replace_with_mask(column, pa.array(changed), pa.array(new, column.type))
+            yield pa.RecordBatch.from_arrays([*(column if c == text else batch.column(columns.index(c)) for c in kept), pa.array(n_deleted)], names=[*kept, "n_deleted"])
+
+    return placed.mapInArrow(run, ddl(placed, kept, "n_deleted long"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, sure: int = SURE) -> DataFrame:
@@ -244,7 +268,6 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     origin = found.groupBy("fingerprint").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), F.max("salt").alias("salts")).filter("first != last").drop("last")
     origin = written(origin, "origins")
 
-    wanted, listed = "wanted", "matches"
     inner = {c: f"_{i}" for i, c in enumerate(df.columns)}  # so that no column of ``df`` clashes
     base = df.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), _document(F.col(doc_id)).alias("_document"), F.xxhash64(text).alias("_hash"))
     body = inner[text]
@@ -253,19 +276,12 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
         return d.groupBy(_document(F.col("id")).alias("_document"), F.col("hash").alias("_hash")).agg(F.collect_list(item).alias(name))
 
     # a first position with the words around it, once for each part of a hot fingerprint; rows alike give it several times
-    firsts = by_document(origin.select("fingerprint", "salts", "first.id", "first.hash", "first.pos"), F.struct("pos", "fingerprint", "salts"), wanted)
+    firsts = by_document(origin.select("fingerprint", "salts", "first.id", "first.hash", "first.pos"), F.struct("pos", "fingerprint", "salts"), "wanted")
     known = _contexts(base.join(firsts, ["_document", "_hash"]), body, inner[doc_id], least, width).dropDuplicates(["fingerprint", "salt"])
     same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
     later = found.join(known, ["fingerprint", "salt"]).filter(~same | (F.col("pos") != F.col("first_pos")))
     own = F.when(same, F.col("first_pos")).otherwise(-1)
-    later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), listed)
-    both = base.join(later, ["_document", "_hash"], "left")
-    edited = F.when(F.col(listed).isNotNull(), F.col(body))
-    both = both.withColumn("e", _edit(least, width)(edited, F.col(listed)))
-    hit = F.col(listed).isNotNull()
-    new = {
-        text: F.when(hit, F.col("e.text")).otherwise(F.col(body)),
-        "n_deleted": F.when(hit, F.col("e.n_deleted")).otherwise(0).cast("long"),
-    }
-    order = [*df.columns, *(c for c in new if c not in df.columns)]
-    return both.select(*((new[c] if c in new else F.col(inner[c])).alias(c) for c in order))
+    later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), "matches")
+    both = _edited(base.join(later, ["_document", "_hash"], "left").select(*inner.values(), "matches"), body, least, width)
+    order = [*df.columns, *(["n_deleted"] if "n_deleted" not in df.columns else [])]
+    return both.select(*(F.col("n_deleted" if c == "n_deleted" else inner[c]).alias(c) for c in order))
