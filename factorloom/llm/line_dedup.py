@@ -160,8 +160,9 @@ def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int)
     return placed.mapInArrow(run, f"fingerprint long, salt int, first_id {kind}, first_hash long, first_pos int, before binary, after binary")
 
 
-def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words, and words behind the last, of the maximal runs around the matches of several documents with first positions.
+def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, and words behind the last, of the maximal runs around the matches of several documents with first positions,
+    and whether these lie in other documents.
 
     A match within its document (``own``: its first position, else -1) leaves the first ``least`` words of the run alone.
     """
@@ -173,7 +174,7 @@ def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array
     end = at + least + alike(around(short, low, high, at + least, 1, width, 1), stored("after"))
     begin = np.where(own >= 0, np.maximum(begin, begin - at + low + own + least), begin)
     good = end - begin >= least
-    return begin[good], end[good]
+    return begin[good], end[good], own[good] < 0
 
 
 def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -201,41 +202,54 @@ def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) ->
     return b"".join([*out, text[at:]])
 
 
+def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words lie in one of the runs."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def longest_left(gone: np.ndarray) -> int:
+    """The most words in a row that aren't gone."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    return int((edge[1::2] - edge[::2]).max(initial=0))
+
+
 def _edited(placed: DataFrame, text: str, least: int, width: int) -> DataFrame:
-    """The table with the runs around its ``matches`` deleted from ``text``, and ``n_deleted`` in the place of the matches."""
+    """The table with the runs around its ``matches`` deleted from ``text``; n_deleted and is_copy in the place of the matches."""
     columns = placed.columns
     t, m = columns.index(text), columns.index("matches")
     kept = [c for c in columns if c != "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_deleted = np.zeros(len(batch), np.int64)
+            n_deleted, is_copy = np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
             some = np.flatnonzero(batch.column(m).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0)
             texts, matches = batch.column(t).take(pa.array(some)), batch.column(m).take(pa.array(some))
             changed, new = np.zeros(len(batch), bool), []
             for i, j, data, off in chunks(texts, 2 << 20):
                 starts, ends, h, first = word_hashes(data, off)
                 row, items = _lists(matches, i, j)
-                gone = np.zeros(len(h) + 1, np.int64)
-                for edge, sign in zip(runs_of(h, first, row, items, least, width), (1, -1), strict=True):
-                    np.add.at(gone, edge, sign)
-                gone = np.cumsum(gone)[:-1] > 0
+                begin, end, other = runs_of(h, first, row, items, least, width)
+                gone, copied = _covered(len(h), begin, end), _covered(len(h), begin[other], end[other])
                 n = np.diff(np.append(0, np.cumsum(gone))[first])
                 n_deleted[some[i:j]] = n
                 for r in np.flatnonzero(n):
                     a, b = first[r], first[r + 1]
                     new.append(cut(data[off[r] : off[r + 1]].tobytes(), starts[a:b] - off[r], ends[a:b] - off[r], gone[a:b]).decode())
                     changed[some[i + r]] = True
+                    is_copy[some[i + r]] = 2 * copied[a:b].sum() >= b - a and longest_left(gone[a:b]) < least + width - 1
             column = batch.column(t)
             if new:
                 column = pc.replace_with_mask(column, pa.array(changed), pa.array(new, column.type))
-            yield pa.RecordBatch.from_arrays([*(column if c == text else batch.column(columns.index(c)) for c in kept), pa.array(n_deleted)], names=[*kept, "n_deleted"])
+            yield pa.RecordBatch.from_arrays([*(column if c == text else batch.column(columns.index(c)) for c in kept), pa.array(n_deleted), pa.array(is_copy)], names=[*kept, "n_deleted", "is_copy"])
 
-    return placed.mapInArrow(run, ddl(placed, kept, "n_deleted long"))
+    return placed.mapInArrow(run, ddl(placed, kept, "n_deleted long, is_copy boolean"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, sure: int = SURE) -> DataFrame:
-    """``df`` with later repeated runs of words deleted from ``text``, and the column n_deleted (words) added.
+    """``df`` with later repeated runs of words deleted from ``text``, and the columns n_deleted (words) and is_copy added.
 
     Documents are in the order of their ids (null ids come last, rows that share an id go by their text's hash). Of a
     run of ``sure`` words or more that occurs earlier (in a document before, or further up in the same one), all words go;
@@ -246,7 +260,9 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     at each end.
 
     Null texts stay null, empty ones empty. A text whose words all go is empty. Rows alike in id and text are one document
-    and are treated alike. A column n_deleted of ``df`` is replaced. An empty table gives an empty result.
+    and are treated alike. ``is_copy``: half of the words or more stood in other documents, and no ``sure`` words in a row are
+    left, so what is left are the places where a copy was edited. Columns n_deleted and is_copy of ``df`` are replaced. An empty
+    table gives an empty result.
 
     Texts are shuffled once, as both joins with them take the same columns and Spark uses one exchange for both; so select
     the columns to keep before, not after.
@@ -283,5 +299,6 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     own = F.when(same, F.col("first_pos")).otherwise(-1)
     later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), "matches")
     both = _edited(base.join(later, ["_document", "_hash"], "left").select(*inner.values(), "matches"), body, least, width)
-    order = [*df.columns, *(["n_deleted"] if "n_deleted" not in df.columns else [])]
-    return both.select(*(F.col("n_deleted" if c == "n_deleted" else inner[c]).alias(c) for c in order))
+    new = ("n_deleted", "is_copy")
+    order = [*df.columns, *(c for c in new if c not in df.columns)]
+    return both.select(*(F.col(c if c in new else inner[c]).alias(c) for c in order))

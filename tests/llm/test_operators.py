@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factorloom.llm import bpe, common, fingerprints, line_dedup, media, mixing, packing, quality, setsketch, textarrays, token_counts, url_filter, warc
 from factorloom.llm.components import connected_components
 
-from .helpers import ODD, clashing, docs, near_duplicates, repeated, words
+from .helpers import ODD, clashing, docs, is_copy, near_duplicates, repeated, words
 from .helpers import line_dedup as plain_line_dedup
 
 
@@ -248,13 +248,13 @@ def passages(rng, n=60):
 def test_line_dedup_as_by_plain_winnowing(spark, seed, least, sure, monkeypatch):
     monkeypatch.setattr(common, "HOT", 1000 if seed < 3 else 4)
     rows = passages(random.Random(seed))
-    texts, want = dict(rows), plain_line_dedup(rows, least, sure, line_hash)
+    texts, (want, copied) = dict(rows), plain_line_dedup(rows, least, sure, line_hash)
     sound, found = repeated(rows, least), {}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for r in line_dedup.dedup_lines(df, least=least, sure=sure).collect():
         gone = found[r["doc_id"]] = want[r["doc_id"]]
         assert (r["n_deleted"], words(r["text"])) == (len(gone), [x for i, x in enumerate(words(texts[r["doc_id"]])) if i not in gone])
-        assert gone <= sound[r["doc_id"]]
+        assert gone <= sound[r["doc_id"]] and r["is_copy"] == is_copy(len(words(texts[r["doc_id"]])), gone, copied[r["doc_id"]], sure)
     # every run of ``sure`` words that came before has lost words, and less than a window at each of its ends is left
     seen = set()
     for d, text in rows[:-5]:
