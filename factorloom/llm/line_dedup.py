@@ -31,6 +31,8 @@ _LAST = U64(2**64 - 1)
 LEAST, SURE = 20, 40
 #: Parts into which the positions of a hot fingerprint are dealt.
 SALTS = 64
+#: Matches that are compared, or contexts that are sent, at once; and bytes of text that are read at once for them.
+BLOCK, TEXT = 16_384, 512 << 10
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +112,12 @@ def _place() -> Column:
 def around(short: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, step: int, width: int, missing: int) -> np.ndarray:
     """For each position the ``width`` words from it on (``step`` 1) or back (-1); ``missing`` outside its document, which
     goes from ``low`` to ``high``."""
-    where = at[:, None] + step * np.arange(width)
-    inside = (where >= low[:, None]) & (where < high[:, None])
-    return np.where(inside, short[np.minimum(np.maximum(where, 0), max(0, len(short) - 1))] if len(short) else np.uint32(0), np.uint32(missing))
+    where = at.astype(np.int32)[:, None] + np.int32(step) * np.arange(width, dtype=np.int32)
+    outside = (where < low.astype(np.int32)[:, None]) | (where >= high.astype(np.int32)[:, None])
+    where[outside] = 0
+    out = short[where] if len(short) else np.zeros(where.shape, np.uint32)
+    out[outside] = missing
+    return out
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -141,20 +146,22 @@ def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in chunks(batch.column(t), 2 << 20):
+            for i, j, data, off in chunks(batch.column(t), TEXT):
                 _, _, h, first = word_hashes(data, off)
                 row, items = _lists(batch.column(w), i, j)
-                short, at = _short(h), first[row] + _numbers(items, "pos")
-                low, high, hot = first[row], first[row + 1], _numbers(items, "salts") > 0
-                before, after = around(short, low, high, at - 1, -1, width, 0), around(short, low, high, at + least, 1, width, 0)
-                times = np.where(hot, SALTS, 1)
-                own = np.repeat(np.arange(len(row)), times)
-                salt = np.where(hot[own], np.arange(len(own)) - (np.cumsum(times) - times)[own] + 1, 0)
-                take = pa.array(row[own] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [items.field("fingerprint").take(pa.array(own)), pa.array(salt.astype(np.int32)), batch.column(k).take(take), batch.column(x).take(take), items.field("pos").take(pa.array(own)), _binary(before[own]), _binary(after[own])],
-                    names=["fingerprint", "salt", "first_id", "first_hash", "first_pos", "before", "after"],
-                )
+                short, every, hot_ones = _short(h), first[row] + _numbers(items, "pos"), _numbers(items, "salts") > 0
+                for a in range(0, len(row), BLOCK // SALTS):
+                    some = slice(a, a + BLOCK // SALTS)
+                    at, low, high, hot, part = every[some], first[row[some]], first[row[some] + 1], hot_ones[some], items.slice(a, BLOCK // SALTS)
+                    before, after = around(short, low, high, at - 1, -1, width, 0), around(short, low, high, at + least, 1, width, 0)
+                    times = np.where(hot, SALTS, 1)
+                    own = np.repeat(np.arange(len(at)), times)
+                    salt = np.where(hot[own], np.arange(len(own)) - (np.cumsum(times) - times)[own] + 1, 0)
+                    take = pa.array(row[some][own] + i)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.field("fingerprint").take(pa.array(own)), pa.array(salt.astype(np.int32)), batch.column(k).take(take), batch.column(x).take(take), part.field("pos").take(pa.array(own)), _binary(before[own]), _binary(after[own])],
+                        names=["fingerprint", "salt", "first_id", "first_hash", "first_pos", "before", "after"],
+                    )
 
     kind = placed.schema[doc_id].dataType.simpleString()
     return placed.mapInArrow(run, f"fingerprint long, salt int, first_id {kind}, first_hash long, first_pos int, before binary, after binary")
@@ -166,7 +173,14 @@ def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array
 
     A match within its document (``own``: its first position, else -1) leaves the first ``least`` words of the run alone.
     """
-    short, low, high = _short(h), first[row], first[row + 1]
+    short, found = _short(h), [_runs_of(_short(h[:0]), first, row[:0], matches.slice(0, 0), least, width)]
+    for a in range(0, len(row), BLOCK):  # so that memory follows the block and not the number of matches
+        found.append(_runs_of(short, first, row[a : a + BLOCK], matches.slice(a, BLOCK), least, width))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _runs_of(short: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low, high = first[row], first[row + 1]
     at, own = low + _numbers(matches, "pos"), _numbers(matches, "own")
     stored = lambda c: np.frombuffer(b"".join(matches.field(c).to_pylist()), np.uint32).reshape(-1, width)
     alike = lambda a, b: np.cumprod(a == b, axis=1, dtype=np.int8).sum(axis=1)
@@ -228,7 +242,7 @@ def _edited(placed: DataFrame, text: str, least: int, width: int) -> DataFrame:
             some = np.flatnonzero(batch.column(m).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0)
             texts, matches = batch.column(t).take(pa.array(some)), batch.column(m).take(pa.array(some))
             changed, new = np.zeros(len(batch), bool), []
-            for i, j, data, off in chunks(texts, 2 << 20):
+            for i, j, data, off in chunks(texts, TEXT):
                 starts, ends, h, first = word_hashes(data, off)
                 row, items = _lists(matches, i, j)
                 begin, end, other = runs_of(h, first, row, items, least, width)
