@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .cover_tree import hard_negatives
 from .fingerprints import fingerprint_documents
 from .line_dedup import dedup_lines
+from .maxscore import top_k
 from .media import media_columns
 from .mixing import mix_plan
 from .packing import pack_documents
@@ -92,6 +94,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows.filter("vec_id % 100 = 0"), rows)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return top_k(rows.filter("vec_id % 50 = 0"), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_document_fingerprints,
         op9_best_fit_packing,
         op10_token_counts,
+        op12_hard_negatives,
+        op13_exact_top_k,
     )
 }
 
@@ -216,9 +231,43 @@ SELECT record_id, 'https://www.' || path || '#' || record_id AS url, captured,
 FROM t
 """
 
+_VECTORS_SQL = """
+v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+_OP12_SQL = f"""
+WITH {_VECTORS_SQL},
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND a.label IS NOT NULL AND c.label IS NOT NULL),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER o AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER o <= 5
+"""
+
+_OP13_SQL = f"""
+WITH {_VECTORS_SQL},
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER o AS rank, vec_id, score FROM s
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER o <= 5
+"""
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": _OP2_SQL,
     "op3_url_filters": _OP3_SQL,
     "op7_warc_revisits": _OP7_SQL,
+    "op12_hard_negatives": _OP12_SQL,
+    "op13_exact_top_k": _OP13_SQL,
     "op6_mixing_sources_to_target_weights": _OP6_SQL,
 }

@@ -16,7 +16,7 @@ from .test_operators import line_hash
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.SQL[name]).df()
     columns = sorted(ours.columns)
@@ -26,7 +26,7 @@ def test_same_as_sql(spark, sf, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
