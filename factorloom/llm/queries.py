@@ -16,6 +16,7 @@ from .media import media_columns
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import held_out, score, train
+from .repair import pieces_joined, repair_conversations
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
 from .url_filter import judge_urls
@@ -94,6 +95,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows lost, emptied, cut, repeated or given another role, as the checksum of conv_id and turn says; lost ones are marked."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("kind") == 0).alias("lost"), F.explode(times).alias("time")).drop("time")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_joined(repair_conversations(damaged(read(spark, sf_dir, "conversations")), dropped="lost"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -118,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_document_fingerprints,
         op9_best_fit_packing,
         op10_token_counts,
+        op11_conversation_repair,
         op12_hard_negatives,
         op13_exact_top_k,
     )
@@ -231,6 +247,60 @@ SELECT record_id, 'https://www.' || path || '#' || record_id AS url, captured,
 FROM t
 """
 
+_OP11_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda d, e: CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END))) % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM c, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS t(x)),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    left(role, 1) AS ini
+  FROM d),
+r AS (
+  SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
+  FROM n),
+g AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id),
+v AS (
+  SELECT conv_id, n AS i, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS v0, {'c': 10, 'a': 'II', 'l': ['user:', 'assistant:']} AS v1,
+    {'c': 5, 'a': 'I', 'l': ['assistant:']} AS v2, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS v3
+  FROM g
+  UNION ALL
+  SELECT conv_id, i, least(b0, {'c': u.c + 5, 'a': 'I' || u.a, 'l': ['user:'] || u.l}), least(b1, {'c': u.c + 5, 'a': 'I' || u.a, 'l': ['user:'] || u.l}),
+    u, least(b3, {'c': b2.c + 5, 'a': 'I' || b2.a, 'l': ['user:'] || b2.l})
+  FROM (
+    SELECT *, least(b2, {'c': b3.c + 5, 'a': 'I' || b3.a, 'l': ['assistant:'] || b3.l}) AS u
+    FROM (
+      SELECT conv_id, i,
+        least({'c': v0.c + 2, 'a': 'D' || v0.a, 'l': v0.l}, k1, ku, ru) AS b0, least({'c': v1.c + 2, 'a': 'D' || v1.a, 'l': v1.l}, ku, ru) AS b1,
+        least({'c': v2.c + 2, 'a': 'D' || v2.a, 'l': v2.l}, ka, ra) AS b2, least({'c': v3.c + 2, 'a': 'D' || v3.a, 'l': v3.l}, ku, ru) AS b3
+      FROM (
+        SELECT v.conv_id, v.i - 1 AS i, v0, v1, v2, v3,
+          {'c': v1.c + more + CASE WHEN ini = 's' THEN 0 ELSE 1000000 END, 'a': 'K' || v1.a, 'l': [r.role || ':' || r.text] || v1.l} AS k1,
+          {'c': v2.c + more + CASE WHEN ini = 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || v2.a, 'l': [r.role || ':' || r.text] || v2.l} AS ku,
+          {'c': v3.c + more + CASE WHEN ini = 'a' THEN 0 ELSE 1000000 END, 'a': 'K' || v3.a, 'l': [r.role || ':' || r.text] || v3.l} AS ka,
+          {'c': v2.c + more + 1, 'a': 'R' || v2.a, 'l': ['user:' || r.text] || v2.l} AS ru,
+          {'c': v3.c + more + 1, 'a': 'R' || v3.a, 'l': ['assistant:' || r.text] || v3.l} AS ra
+        FROM v JOIN (SELECT *, CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000 END AS more FROM r) r
+          ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i))))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM v WHERE i = 0) f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 _VECTORS_SQL = """
 v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -267,6 +337,7 @@ SQL: dict[str, str] = {
     "op2_minhash_near_dedup": _OP2_SQL,
     "op3_url_filters": _OP3_SQL,
     "op7_warc_revisits": _OP7_SQL,
+    "op11_conversation_repair": _OP11_SQL,
     "op12_hard_negatives": _OP12_SQL,
     "op13_exact_top_k": _OP13_SQL,
     "op6_mixing_sources_to_target_weights": _OP6_SQL,
