@@ -19,22 +19,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
-from .vectors import Block, as_long, best, comparable, pack
+from .vectors import Block, as_longs, best, comparable, pack
 
 #: Points of a leaf, and by what a level's covering radius is less than the one's above.
 LEAF, FACTOR = 128, 1.2
 
 #: Part of the largest inner product that bounds are widened by, for rounding.
-SLACK = 1e-9
+SLACK = 1e-7
+
+#: Doubles below this are longs.
+LONGS = 9.2e18
+
+
+def unit(x: np.ndarray) -> float:
+    """The largest component: trees and bounds are in this unit, so that no square is beyond a double."""
+    return max(1.0, float(np.abs(x).max(initial=0)))
 
 
 class CoverTree:
     """Nodes in level order: ``spans`` (their points, once the points are in ``order``), ``centers``, ``radii``, ``children``."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        x = x / unit(x)
         squares = (x * x).sum(axis=1)
-        self.norm = float(np.sqrt(squares.max(initial=0)))
-        points = np.column_stack([x, np.sqrt(np.maximum(self.norm**2 - squares, 0))])
+        points = np.column_stack([x, np.sqrt(squares.max(initial=0) - squares)])
         away = lambda who, c: np.sqrt(((points[who] - points[c]) ** 2).sum(axis=1))
         everyone = np.arange(len(x))
         waiting, self.members, self.centers, self.radii, self.children = deque([(everyone, 0, away(everyone, 0))]), [], [], [], []
@@ -89,19 +97,22 @@ class Tree(Block):
         super().__init__(row)
         self.start, self.end, self.center, self.child, self.last = np.frombuffer(row["nodes"], np.int64).reshape(-1, 5).T
         self.radii = np.frombuffer(row["radii"], np.float64)
-        self.norm = float(np.sqrt((self.x * self.x).sum(axis=1).max(initial=0)))
+        self.unit = unit(self.x)
+        self.norm = float(np.sqrt(((self.x / self.unit) ** 2).sum(axis=1).max(initial=0)))
 
     def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest inner product (anchors by nodes) that a point within a node's covering radius can have.
 
         All points lie on a sphere, so a chord of length r is an angle, and angles add up.
         """
-        size = np.sqrt((anchors * anchors).sum(axis=1))[:, None] * self.norm
-        near = np.divide(anchors @ self.x[self.center].T, size, out=np.zeros((len(anchors), len(self.center))), where=size > 0)
+        own = unit(anchors)
+        size = np.sqrt(((anchors / own) ** 2).sum(axis=1))[:, None] * self.norm
+        near = np.divide((anchors / own) @ (self.x[self.center] / self.unit).T, size, out=np.zeros((len(anchors), len(self.center))), where=size > 0)
         angle = np.arccos(np.clip(near, -1, 1))
         reach = 2 * np.arcsin(np.clip(self.radii / (2 * self.norm), 0, 1)) if self.norm else np.zeros(len(self.radii))
-        slack = SLACK * size + 1e-6 * (size > 0)
-        return size * np.cos(np.minimum(np.pi, angle + reach)) - slack, size * np.cos(np.maximum(0, angle - reach)) + slack
+        near, far = np.cos(np.maximum(0, angle - reach)) + SLACK, np.cos(np.minimum(np.pi, angle + reach)) - SLACK
+        low, high = (size * side * min(own * self.unit, 1e300) for side in (far, near))
+        return np.minimum(low, LONGS), np.maximum(high, -LONGS)
 
 
 def descend(tree: Tree, x: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, allowed: np.ndarray, windows: list[tuple], k: int) -> list[tuple[np.ndarray, ...]]:
@@ -128,7 +139,7 @@ def descend(tree: Tree, x: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.
                     heapq.heappush(queue, (-high[c], c))
             continue
         leaf = slice(tree.start[n], tree.end[n])
-        score = x[leaf] @ q
+        score = as_longs(x[leaf] @ q)
         some = np.flatnonzero(allowed[leaf] & (score >= min(floors[w] for w in into)).astype(bool))
         if not len(some):
             continue
@@ -168,7 +179,7 @@ def mine(lane: dict, trees: list[dict], k: int, span: tuple[int, int] | None, po
                 continue
             for (place, positive, p_score), (score, known, ids) in zip(asked, descend(one, x, q, low[i], high[i], allowed, windows, k), strict=True):
                 out += [
-                    {"lane": lane["lane"], "anchor": int(anchors.ids[i]), "anchor_key": i, "place": place, "positive": positive, "positive_score": p_score, "id": int(d) if there else None, "score": as_long(s)}
+                    {"lane": lane["lane"], "anchor": int(anchors.ids[i]), "anchor_key": i, "place": place, "positive": positive, "positive_score": p_score, "id": int(d) if there else None, "score": int(s)}
                     for s, there, d in zip(score, known, ids, strict=True)
                 ]
     return out

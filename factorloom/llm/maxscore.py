@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
-from .vectors import Block, as_long, best, comparable
+from .vectors import Block, as_longs, best, comparable
 
 #: Documents of a shard that are scored in full to give each query its first threshold; documents of a posting block.
 HEAD, STRETCH = 128, 4096
@@ -71,7 +71,7 @@ def search(lane: dict, shards: list[dict], k: int) -> list[dict]:
 
     def take(i: int, one: Block, docs: np.ndarray, score: np.ndarray) -> None:
         others = ~(one.known[docs] & (one.ids[docs] == queries.ids[i]))
-        new = score[others], one.known[docs][others], one.ids[docs][others]
+        new = as_longs(score[others]), one.known[docs][others], one.ids[docs][others]
         score, known, ids = (np.concatenate(pair) for pair in zip(top[i], new, strict=True))
         order = best(score, known, ids, k)
         top[i] = score[order], known[order], ids[order]
@@ -86,7 +86,7 @@ def search(lane: dict, shards: list[dict], k: int) -> list[dict]:
                 docs, score = postings.competitive(q, top[i][0][-1] if len(top[i][0]) == k else None)
                 take(i, one, docs + at, score)
     return [
-        {"query": int(queries.ids[i]), "vector_key": i, "id": int(d) if known else None, "score": as_long(s)}
+        {"query": int(queries.ids[i]), "vector_key": i, "id": int(d) if known else None, "score": int(s)}
         for i, found in enumerate(top) for s, known, d in zip(*found, strict=True)
     ]
 

@@ -167,7 +167,7 @@ def _illegal(initials: Column) -> Column:
 def _span(low: Column, high: Column, distinct: Column) -> Column:
     """Turns that are missing between the first and the last."""
     wide = high.cast("decimal(38,0)") - low.cast("decimal(38,0)") + 1 - distinct.cast("decimal(38,0)")
-    return F.coalesce(F.least(wide, F.lit(Decimal(2**63 - 1))), F.lit(Decimal(0))).cast("long")
+    return F.when(low.isNull(), 0).otherwise(F.least(wide, F.lit(Decimal(2**63 - 1))).cast("long")).cast("long")
 
 
 def _count(faults: Column, kind: str) -> Column:
@@ -180,7 +180,7 @@ PIECE = ["conv_id", "piece", *TOTALS, "pieces", "audit", "repaired"]
 
 def _short(rows: DataFrame, costs: Costs) -> DataFrame:
     """One piece for each conversation; all its turns meet in one cell."""
-    turns = F.sort_array(F.collect_list(F.when(~F.col("dropped"), F.struct("turn", "role", "text", "fault", "same"))))
+    turns = F.sort_array(F.collect_list(F.when(~F.col("dropped"), F.struct("turn", "role", "same", "text", "fault"))))
     each = rows.groupBy("conv_id").agg(turns.alias("turns"))
     each = each.withColumns({"same": F.col("turns.same"), "numbers": F.filter(F.col("turns.turn"), lambda t: t.isNotNull()), "initials": F.transform(F.col("turns.role"), lambda r: F.left(r, F.lit(1)))})
     each = each.withColumn("faults", F.transform(F.col("turns"), lambda t, i: F.when((t["fault"] != "b") & (F.array_position(F.col("same"), t["same"]) <= i), "d").otherwise(t["fault"])))
@@ -287,8 +287,8 @@ def _long(rows: DataFrame, costs: Costs, chunk: int) -> DataFrame:
 def repair_conversations(rows: DataFrame, *, dropped: str | None = None, costs: Costs = Costs(), long_turns: int = LONG_TURNS, long_bytes: int = LONG_BYTES) -> DataFrame:
     """The cheapest edits that make each conversation alternate: an optional system message, then pairs of user and assistant.
 
-    ``rows`` has conv_id, turn, role and text. A conversation's rows count by turn (nulls first), then by role and text, which
-    makes repeated rows neighbours. Returned are pieces: conv_id, piece (their order; one piece for each conversation of at most
+    ``rows`` has conv_id, turn, role and text. A conversation's rows count by turn (nulls first), then by role and a digest
+    of role and text, which makes repeated rows neighbours. Returned are pieces: conv_id, piece (their order; one piece for each conversation of at most
     ``long_turns`` rows and ``long_bytes`` bytes), gaps, blank, duplicate, truncated, illegal, cost and number of
     pieces of the whole conversation, and audit (K, R, D, I for keep, change of role, delete, insert) and repaired (role and text of each turn
     that results) of the piece; ``pieces_joined`` puts them together.

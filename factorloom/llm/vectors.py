@@ -170,6 +170,6 @@ def best(score: np.ndarray, known: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return np.lexsort((ids, ~known, -score))[:k]
 
 
-def as_long(x: float) -> int:
-    """A score as a long; one beyond the range of longs is the nearest long."""
-    return max(-(2**63), min(2**63 - 1, int(x)))
+def as_longs(score: np.ndarray) -> np.ndarray:
+    """Scores within the range of longs: one beyond it is the nearest long."""
+    return np.array([max(-(2**63), min(2**63 - 1, v)) for v in score], dtype=object) if score.dtype == object else score
