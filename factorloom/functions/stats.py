@@ -66,8 +66,10 @@ def row_mean(*columns: Column) -> Column:
 
 
 def bounded(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """Clamped to a range; null counts as the lower end."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), x)), F.lit(low))
+    """Clamped to a range; what is null or not finite counts as the lower end."""
+    x = x.cast("double")
+    missing = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))  # greatest and least skip nulls, so they can't tell
+    return F.when(missing, F.lit(low)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def abs_score(x: Column, scale: float) -> Column:

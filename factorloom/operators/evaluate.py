@@ -152,8 +152,8 @@ def _annual(v: Column, mean: str, ratio: str, periods: int = 252) -> list[Column
 
 
 def daily_metrics(long: DataFrame, calendar: DataFrame | None = None, n_layers: int = 0, min_obs: int = 2, q: float | None = None, by_rank: bool = True) -> DataFrame:
-    """One row for each factor and date: rows, pairs, ic, rank_ic; with a calendar date_no and turnover; the mean target of each
-    layer; and with ``q`` the mean target of the top, the bottom (see ``quantile_long_short``) and all.
+    """One row for each factor and date: rows, pairs, ic, rank_ic; with a calendar date_no and turnover; the mean target and the
+    rows of each layer; and with ``q`` the mean target of the top, the bottom (see ``quantile_long_short``) and all.
 
     All ranks share one partitioning by factor and date, and the change of rank takes one by factor and asset: whatever is
     asked of a factor afterwards comes from this table of days, and the panel is read once.
@@ -183,6 +183,7 @@ def daily_metrics(long: DataFrame, calendar: DataFrame | None = None, n_layers:
         keys.append("date_no")
     aggs += [F.when(enough, pair_corr(F.col(a), F.col(b))).alias(name) for a, b, name in (("v", "t", "ic"), ("rv", "rt", "rank_ic"))]
     aggs += [F.when(enough, F.avg(F.when(F.col("bucket") == k, F.col("t")))).alias(f"layer_{k}") for k in range(1, n_layers + 1)]
+    aggs += [F.when(enough, F.count_if(F.col("bucket") == k)).otherwise(0).alias(f"layer_{k}_rows") for k in range(1, n_layers + 1)]
     if q:
         aggs += [F.avg(F.when(F.col("top"), F.col("t"))).alias("long_return"), F.avg(F.when(F.col("low"), F.col("t"))).alias("short_return"), F.avg("t").alias("average_return")]
     return out.groupBy(*keys).agg(*aggs)
@@ -255,40 +256,48 @@ def factor_score(df: DataFrame, passed: list[str], every: list[str], name: str =
 
 def signal_analysis(df: DataFrame, score: str, label: str, q: float = 0.2) -> DataFrame:
     """One row: IC and rank IC with their statistics, long-short and long-average return and Sharpe, coverage; all from one
-    table of days."""
+    table of days. The positive share is that of all days with pairs, also of those without an IC."""
     days = daily_metrics(long_frame(df, [score], label), None, 0, 3, q, by_rank=False)
     days = days.withColumns({"ls": (F.col("long_return") - F.col("short_return")) / 2, "la": F.col("long_return") - F.col("average_return")})
     aggs = [F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage")]
     for c in ("ic", "rank_ic"):
         v = F.col(c)
-        aggs += [F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), _ratio(F.avg(v), F.stddev_samp(v), "null").alias(f"{c}_ir"), F.avg((v > ICIR_FLOOR).cast("double")).alias(f"{c}_positive"), F.count(v).alias(f"{c}_dates")]
+        aggs += [F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), _ratio(F.avg(v), F.stddev_samp(v), "null").alias(f"{c}_ir"), F.try_divide(F.count_if(v > ICIR_FLOOR).cast("double"), F.count_if(F.col("pairs") > 0).cast("double")).alias(f"{c}_positive"), F.count(v).alias(f"{c}_dates")]
     for c, name in (("ls", "long_short"), ("la", "long_average")):
         aggs += _annual(F.col(c), f"{name}_annual_return", f"{name}_sharpe")
     return days.groupBy("factor").agg(*aggs)
 
 
 def train_eval_metrics(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, n_layers: int = 5) -> DataFrame:
-    """Each factor's metrics on the dates after the train part (on all, where none is left), and its overfit penalty.
+    """``held_out_metrics`` of columns."""
+    return held_out_metrics(long_frame(df, factors, target), dates(df), fraction, n_layers)
 
-    The penalty is the share of the train rank IC that is lost, at least 1 where the sign turns.
+
+def held_out_metrics(long: DataFrame, calendar: DataFrame, fraction: float = 0.7, n_layers: int = 5) -> DataFrame:
+    """Each factor's metrics on the dates after the train part, and its overfit penalty; all from one table of days.
+
+    Where no date is left after the train part, or no pair on those, all dates count. Means, ratios and shares of which there are no
+    days are 0. The penalty is the share of the train rank IC that is lost, at least 1 where the sign turns. A factor without any pair has
+    coverage 0, overfit 1 and turnover 1.
     """
-    calendar = dates(df)
     n = calendar.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n_train"), F.count("*").alias("n_all"))
-    names = [f"layer_{k}" for k in range(1, n_layers + 1)]
-    days = daily_metrics(long_frame(df, factors, target), calendar, n_layers).crossJoin(n)
-    held = (F.col("date_no") >= F.col("n_train")) | (F.col("n_train") >= F.col("n_all"))
-    on = lambda c: F.when(held, c)
-    gap = F.col(names[-1]) - F.col(names[0])
-    days = with_monotonicity(days, n_layers)
-    ls = on(gap)
+    days = with_monotonicity(daily_metrics(long, calendar, n_layers).crossJoin(n), n_layers)
+    late = (F.col("date_no") >= F.col("n_train")) | (F.col("n_train") >= F.col("n_all"))
+    left = F.sum(F.when(late, F.col("pairs"))).over(Window.partitionBy("factor"))  # one row a date
+    days = days.withColumn("held", late | (F.coalesce(left, F.lit(0)) == 0))
+    on = lambda c: F.when(F.col("held"), c)
+    ls = on(F.col(f"layer_{n_layers}") - F.col("layer_1"))
     out = days.groupBy("factor").agg(
         F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage"), *daily_stats(on(F.col("ic")), "ic"), *daily_stats(on(F.col("rank_ic")), "rank_ic"), F.avg(F.when(F.col("date_no") < F.col("n_train"), F.col("rank_ic"))).alias("train_rank_ic"),
-        F.avg(ls).alias("long_short_mean"), F.avg((ls > 0).cast("double")).alias("long_short_positive"), _ratio(F.avg(ls), F.stddev_samp(ls), "zero").alias("long_short_ir"), F.avg(on(F.col("mono"))).alias("layer_monotonicity"), F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"),
+        F.avg(ls).alias("long_short_mean"), F.avg((ls > 0).cast("double")).alias("long_short_positive"), _ratio(F.avg(ls), F.stddev_samp(ls), "zero").alias("long_short_ir"), F.avg(on(F.col("mono"))).alias("layer_monotonicity"), F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"), F.sum("pairs").alias("_pairs"),
     )
-    a, b = F.coalesce("train_rank_ic", F.lit(0.0)), F.coalesce("rank_ic_mean", F.lit(0.0))
-    lost = F.greatest(F.lit(0.0), F.try_divide(F.abs(a) - F.abs(b), F.abs(a)))
+    zero = ["ic_mean", "ic_ir", "ic_positive", "rank_ic_mean", "rank_ic_ir", "rank_ic_positive", "train_rank_ic", "long_short_mean", "long_short_positive", "long_short_ir"]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in zero})
+    a, b = F.col("train_rank_ic"), F.col("rank_ic_mean")
+    lost = F.greatest(F.lit(0.0), (F.abs(a) - F.abs(b)) / F.abs(a))
     penalty = F.when(F.abs(a) > 1e-12, F.when(a * b < 0, F.greatest(lost, F.lit(1.0))).otherwise(lost)).otherwise(0.0)
-    return out.withColumn("overfit", penalty)
+    empty = F.coalesce(F.col("_pairs"), F.lit(0)) == 0
+    return out.withColumns({"overfit": F.when(empty, 1.0).otherwise(penalty), "turnover": F.when(empty, 1.0).otherwise(F.col("turnover"))}).drop("_pairs")
 
 
 #: Weights of the fitness score's parts.
@@ -308,39 +317,67 @@ def fitness(metrics: DataFrame) -> DataFrame:
 
 
 def derived_metrics(metrics: DataFrame, digits: int = 6) -> DataFrame:
-    """Adds size and sign of IC, rank IC and its ratio, and the return over the drawdown; all rounded."""
+    """Adds size and sign of IC and rank IC, the sizes of the IC's ratio and of the Sharpe ratio, and the return over the
+    drawdown; all rounded. Only of columns that are there."""
     new = {}
-    for c in ("ic_mean", "rank_ic_mean", "rank_ic_ir"):
+    for c in ("ic_mean", "rank_ic_mean"):
         if c in metrics.columns:
             new |= {f"{c}_abs": F.abs(c), f"{c}_sign": F.signum(c)}
+    new |= {f"{c}_abs": F.abs(c) for c in ("ic_ir", "sharpe") if c in metrics.columns}
     if {"annual_return", "max_drawdown"} <= set(metrics.columns):
         new["calmar"] = F.try_divide(F.col("annual_return"), F.abs("max_drawdown"))
     out = metrics.withColumns(new)
     return out.select(*(F.round(c, digits).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
-def default_metrics(counts: DataFrame) -> DataFrame:
-    """Coverage and failure share where nothing could be evaluated, from columns total, generated and failed."""
-    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("total").cast("double")), F.lit(0.0))
-    return counts.withColumns({"coverage": bounded(share("generated")), "failure_ratio": bounded(share("failed"))}).withColumn("default_coverage", bounded(F.col("coverage") * (1 - F.col("failure_ratio"))))
+#: Metrics where there is no factor, and the weights of the formula where none was evaluated.
+NO_FACTOR = {"sharpe": 0.0, "turnover": 1.0, "drawdown": 1.0, "coverage": 0.0}
+DEFAULT_WEIGHTS = {"sharpe_coverage": 0.9, "sharpe_failure": 0.2, "turnover_base": 0.18, "turnover_coverage": 0.27, "drawdown_base": 0.1, "drawdown_failure": 0.25}
+
 
+def default_metrics(counts: DataFrame, none: dict[str, float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """Adds sharpe, turnover, drawdown and coverage where nothing could be evaluated, from columns total, generated and failed.
 
-def evaluation_report(df: DataFrame, score: str, target: str = "returns_1d", n_layers: int = 5, q: float = 0.2) -> DataFrame:
-    """One row for a score: coverage, turnover, IC statistics, layers, annual return and drawdown of the long-short series; all
-    from one table of days."""
-    days = with_monotonicity(daily_metrics(long_frame(df, [score], target), dates(df), n_layers, 2, q), n_layers)
+    Without factors (total null, 0 or less) they are those of ``none``; else they follow from the shares of generated and
+    failed factors, rounded to 3 digits.
+    """
+    none, w = NO_FACTOR | (none or {}), DEFAULT_WEIGHTS | (weights or {})
+    share = lambda c: bounded(F.try_divide(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.col("total").cast("double")))
+    coverage, failure = share("generated"), share("failed")
+    clamp = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.round(x, 3)))
+    found = {
+        "sharpe": clamp(coverage * w["sharpe_coverage"] - failure * w["sharpe_failure"], -1.0, float("inf")), "turnover": clamp(w["turnover_base"] + w["turnover_coverage"] * (1 - coverage), 0.0, 1.5),
+        "drawdown": clamp(w["drawdown_base"] + w["drawdown_failure"] * failure, 0.0, 1.5), "coverage": F.round(coverage, 3),
+    }
+    some = F.coalesce(F.col("total"), F.lit(0)) > 0
+    return counts.withColumns({k: F.when(some, v).otherwise(F.lit(float(none[k]))) for k, v in found.items()})
+
+
+def evaluation_report(df: DataFrame, score: str, target: str = "returns_1d", n_layers: int = 5, q: float = 0.2, selected: int = 1, failed: int = 0) -> DataFrame:
+    """One row for a score: coverage, turnover, IC statistics, mean return of each layer and of the top less the bottom, annual
+    return and drawdown of the daily long-short series; all from one table of days.
+
+    A day with pairs but without a top or a bottom group returns 0. The drawdown is a size; sharpe and information_ratio
+    are the ratio of the IC. Without any pair ICs are 0 and the drawdown is 1. The status is failed without a selected factor, partial where
+    factors failed or there is no pair, else finished.
+    """
+    days = daily_metrics(long_frame(df, [score], target), dates(df), n_layers, 2, q)
     w = Window.partitionBy("factor").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)  # one row a date
-    days = days.withColumns({"spread": F.col("long_return") - F.col("short_return"), "ls": F.col(f"layer_{n_layers}") - F.col("layer_1")})
-    days = days.withColumn("cumulative", compound(F.col("spread"), w))
+    spread = F.when(F.col("pairs") > 0, F.when(F.col("pairs") > 1, F.coalesce(F.col("long_return") - F.col("short_return"), F.lit(0.0))).otherwise(0.0))
+    days = with_monotonicity(days, n_layers).withColumns({"spread": spread, "ls": F.col(f"layer_{n_layers}") - F.col("layer_1")})
+    days = days.withColumn("cumulative", F.when(F.col("pairs") > 0, compound(F.col("spread"), w)))
     days = days.withColumn("drawdown", F.try_divide(F.col("cumulative"), F.max("cumulative").over(w)) - 1)
-    ls, spread = F.col("ls"), F.col("spread")
+    ls = F.col("ls")
+    pooled = [F.try_divide(F.sum(F.col(f"layer_{k}") * F.col(f"layer_{k}_rows")), F.sum(F.when(F.col(f"layer_{k}").isNotNull(), F.col(f"layer_{k}_rows"))).cast("double")).alias(f"layer_{k}_mean_return") for k in range(1, n_layers + 1)]
     out = days.groupBy("factor").agg(
-        F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage"), *daily_stats(F.col("ic"), "ic"), *daily_stats(F.col("rank_ic"), "rank_ic"),
-        F.avg(ls).alias("long_short_mean"), F.avg((ls > 0).cast("double")).alias("long_short_positive"), _ratio(F.avg(ls), F.stddev_samp(ls), "zero").alias("long_short_ir"), F.avg("mono").alias("layer_monotonicity"),
-        F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"), *_annual(spread, "annual_return", "annual_sharpe"), F.min(F.when(F.col("pairs") > 0, F.col("drawdown"))).alias("max_drawdown"),
+        F.try_divide(F.sum("pairs").cast("double"), F.sum("rows").cast("double")).alias("coverage"), *daily_stats(F.col("ic"), "ic"), *daily_stats(F.col("rank_ic"), "rank_ic"), *pooled,
+        F.avg(ls).alias("long_short_mean"), F.avg((ls > 0).cast("double")).alias("long_short_positive"), F.when(F.count(ls) > 0, _ratio(F.avg(ls), F.stddev_samp(ls), "zero")).alias("long_short_ir"), F.avg("mono").alias("layer_monotonicity"),
+        F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"), (F.avg("spread") * 252).alias("annual_return"), F.abs(F.min("drawdown")).alias("max_drawdown"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("_pairs"),
     )
-    out = derived_metrics(out)
-    return out.withColumn("status", F.when(F.col("ic_dates") > 0, "evaluated").otherwise("no_valid_dates"))
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ic_mean", "ic_ir", "rank_ic_mean", "rank_ic_ir")})
+    out = out.withColumns({"information_ratio": F.when(F.col("_pairs") > 0, F.col("ic_ir")), "sharpe": F.col("ic_ir"), "max_drawdown": F.coalesce("max_drawdown", F.lit(1.0))})
+    status = F.lit("failed") if not selected else F.when(F.lit(failed > 0) | (F.col("_pairs") == 0), "partial").otherwise("finished")
+    return derived_metrics(out.withColumn("status", status).drop("_pairs"))
 
 
 def research(panel: DataFrame, expressions: dict[str, str], target: str = "returns_1d") -> dict[str, object]:
@@ -354,14 +391,18 @@ def research(panel: DataFrame, expressions: dict[str, str], target: str = "retur
     screened = screen(cleaned, names, target)
     passed = [r["factor"] for r in screened.filter("passed").select("factor").collect()]  # names of the given factors
     scored = factor_score(cleaned, passed, names)
-    return {"values": values, "failed": failed, "preprocess": report, "warnings": notes, "screen": screened, "passed": passed, "scored": scored, "evaluation": evaluation_report(scored, "score", target)}
+    return {"values": values, "failed": failed, "preprocess": report, "warnings": notes, "screen": screened, "passed": passed, "scored": scored, "evaluation": evaluation_report(scored, "score", target, selected=len(passed or names), failed=len(failed))}
 
 
 def compare_rounds(rounds: DataFrame, metrics: list[str]) -> DataFrame:
-    """(metric, current, best, change, verdict): the last round (of column ``round``) against the last accepted before it."""
+    """(metric, current, best, change, larger): the last round (of column ``round``) against the last accepted before it.
+
+    ``larger`` names the side with the larger value, the baseline where they are equal; where one side has no value (or there is
+    no accepted round), the other. Metrics of which neither side has a value are left out.
+    """
     last = rounds.agg(F.max_by(F.struct(*metrics), "round").alias("c"), F.max("round").alias("r"))
     base = rounds.crossJoin(last.select("r")).filter("accepted and round < r").agg(F.max_by(F.struct(*metrics), "round").alias("b"))
     one = last.crossJoin(base).select(*(F.struct(F.col(f"c.{m}").alias("current"), F.col(f"b.{m}").alias("best")).alias(m) for m in metrics))
-    out = one.unpivot([], metrics, "metric", "v").select("metric", "v.current", "v.best")
-    change = F.col("current") - F.col("best")
-    return out.withColumns({"change": change, "verdict": F.when(F.col("best").isNull(), "no_baseline").when(change > 0, "better").when(change < 0, "worse").otherwise("equal")})
+    out = one.unpivot([], metrics, "metric", "v").select("metric", "v.current", "v.best").filter("current is not null or best is not null")
+    ahead = F.col("best").isNull() | (F.col("current") > F.col("best"))
+    return out.withColumns({"change": F.col("current") - F.col("best"), "larger": F.when(ahead, "current").otherwise("best")})

@@ -198,7 +198,8 @@ def candidate_check(library: DataFrame, columns: list[str], expression: str = "f
     unknown = F.array_except(variables_of(e), words(c.lstrip("$") for c in columns))
     nested = reduce(lambda a, n: a | e.rlike(rf"(?i)\b{n}\s*\(\s*{n}\s*\("), NORMALISERS, F.lit(False))
     found = library.withColumns({"_s": expression_shape(F.coalesce(e, F.lit(""))), "_c": self_cancelling(e)})
-    odd = F.filter(F.col("_s.functions"), lambda f: ~F.array_contains(words(f.upper() for f in PUBLIC), F.upper(f)))
+    known = words({f.upper() for f in REGISTRY if not f.startswith("_")} | {f.upper() for f in PUBLIC})  # also those registered since
+    odd = F.filter(F.col("_s.functions"), lambda f: ~F.array_contains(known, F.upper(f)))
     rules = [
         ("empty_expression", strip(F.coalesce(e, F.lit(""))) == ""), (F.concat(F.lit("unknown_column:$"), F.get(unknown, F.lit(0))), F.size(unknown) > 0), ("recursive_normalization", nested), ("degenerate_self_operation", F.col("_c")),
         ("syntax_error", F.col("_s.nodes").isNull()), ("expression_too_many_nodes", F.col("_s.all_nodes") > max_nodes), ("expression_too_deep", F.col("_s.all_depth") > max_depth), (F.concat(F.lit("unknown_function:"), F.get(odd, F.lit(0))), F.size(odd) > 0),

@@ -176,16 +176,19 @@ def knowledge_snapshot(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT p_size AS round, p_size % 3 <> 1 AS accepted, avg(p_retailprice) AS price, count(*)::DOUBLE AS parts FROM part GROUP BY 1, 2), l AS (SELECT * FROM r ORDER BY round DESC LIMIT 1), b AS (SELECT * FROM r WHERE accepted AND round < (SELECT round FROM l) ORDER BY round DESC LIMIT 1),
-m AS (SELECT 'price' AS metric, l.price AS current, b.price AS best FROM l, b UNION ALL SELECT 'parts', l.parts, b.parts FROM l, b) SELECT metric, round(current, 6) AS current, round(best, 6) AS best, round(current - best, 6) AS change, CASE WHEN current > best THEN 'better' WHEN current < best THEN 'worse' ELSE 'equal' END AS verdict FROM m""")
+m AS (SELECT 'price' AS metric, l.price AS current, b.price AS best FROM l, b UNION ALL SELECT 'parts', l.parts, b.parts FROM l, b) SELECT metric, round(current, 6) AS current, round(best, 6) AS best, round(current - best, 6) AS change, CASE WHEN current > best THEN 'current' ELSE 'best' END AS larger FROM m""")
 def rounds_compare(spark, sf_dir):
     rounds = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("round")).agg(F.avg("p_retailprice").alias("price"), F.count("*").cast("double").alias("parts")).withColumn("accepted", F.col("round") % 3 != 1)
     return evaluate.compare_rounds(rounds, ["price", "parts"])
 
 
-@query("SELECT p_brand AS brand, round(least(1, generated / total::DOUBLE), 6) AS coverage, round(failed / total::DOUBLE, 6) AS failure_ratio, round(least(1, generated / total::DOUBLE) * (1 - failed / total::DOUBLE), 6) AS default_coverage FROM (SELECT p_brand, count(*) AS total, count(CASE WHEN p_size > 20 THEN 1 END) AS generated, count(CASE WHEN p_size < 5 THEN 1 END) AS failed FROM part GROUP BY 1)")
+@query("""WITH g AS (SELECT p_brand AS brand, count(*) AS total, count(CASE WHEN p_size > 20 THEN 1 END) AS generated, count(CASE WHEN p_size < 5 THEN 1 END) AS failed FROM part GROUP BY 1 UNION ALL SELECT 'none', 0, 0, 0),
+s AS (SELECT *, generated / nullif(total, 0)::DOUBLE AS c, failed / nullif(total, 0)::DOUBLE AS f FROM g)
+SELECT brand, CASE WHEN total > 0 THEN greatest(-1, round(0.9 * c - 0.2 * f, 3)) ELSE 0 END AS sharpe, coalesce(round(0.18 + 0.27 * (1 - c), 3), 1) AS turnover, coalesce(round(0.1 + 0.25 * f, 3), 1) AS drawdown, coalesce(round(c, 3), 0) AS coverage FROM s""")
 def default_metrics(spark, sf_dir):
     counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("total"), F.count_if(F.col("p_size") > 20).alias("generated"), F.count_if(F.col("p_size") < 5).alias("failed"))
-    return evaluate.default_metrics(counts).select("brand", "coverage", "failure_ratio", "default_coverage")
+    none = counts.limit(1).select(F.lit("none").alias("brand"), *(F.lit(0).cast("long").alias(c) for c in ("total", "generated", "failed")))
+    return evaluate.default_metrics(counts.unionByName(none)).select("brand", "sharpe", "turnover", "drawdown", "coverage")
 
 
 @query("SELECT p_partkey, p_brand || '/' || p_type AS name FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 'name' FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -418,10 +420,11 @@ def factor_score(spark, sf_dir):
     return evaluate.factor_score(scored(spark, sf_dir), ["reversal", "cheap"], list(FACTORS)).select("datetime", "symbol", "score")
 
 
-def sql_stats(v: str, name: str, floor: bool) -> str:
-    """Mean, deviation, ratio, positive share and number of a daily value, as aggregates."""
+def sql_stats(v: str, name: str, floor: bool, share: str = "") -> str:
+    """Mean, deviation, ratio, positive share (of the values, or of the rows that ``share`` counts) and number of a daily value, as aggregates."""
+    positive = f"sum(({v} > 1e-12)::INT) / {share}::DOUBLE" if share else f"avg(({v} > 1e-12)::INT::DOUBLE)"
     ratio = f"avg({v}) / greatest(coalesce(stddev_samp({v}), 0), 1e-12)" if floor else f"CASE WHEN stddev_samp({v}) > 1e-12 THEN avg({v}) / stddev_samp({v}) END"
-    return f"round(avg({v}), 6) AS {name}_mean, round(stddev_samp({v}), 6) AS {name}_std, round({ratio}, 6) AS {name}_ir, round(avg(({v} > 1e-12)::INT::DOUBLE), 6) AS {name}_positive, count({v}) AS {name}_dates"
+    return f"round(avg({v}), 6) AS {name}_mean, round(stddev_samp({v}), 6) AS {name}_std, round({ratio}, 6) AS {name}_ir, round({positive}, 6) AS {name}_positive, count({v}) AS {name}_dates"
 
 
 def sql_annual(v: str, mean: str, ratio: str) -> str:
@@ -432,48 +435,64 @@ COVER = "round(sum((value IS NOT NULL AND target IS NOT NULL)::INT) / count(*)::
 
 
 @query(f"""WITH {LONG_SQL}, {HALF_T}, {IC_T}, big AS (SELECT factor, datetime FROM pairs GROUP BY 1, 2 HAVING count(*) >= 3), h AS (SELECT q.*, (long_return - short_return) / 2 AS ls, long_return - average_return AS la FROM q),
-i AS (SELECT factor, {sql_stats('ic', 'ic', False)}, {sql_stats('rank_ic', 'rank_ic', False)} FROM ics JOIN big USING (factor, datetime) GROUP BY 1), a AS (SELECT factor, {sql_annual('ls', 'long_short_annual_return', 'long_short_sharpe')}, {sql_annual('la', 'long_average_annual_return', 'long_average_sharpe')} FROM h GROUP BY 1),
+i AS (SELECT factor, {sql_stats('ic', 'ic', False, 'count(*)')}, {sql_stats('rank_ic', 'rank_ic', False, 'count(*)')} FROM (SELECT h.factor, h.datetime, CASE WHEN big.factor IS NOT NULL THEN ic END AS ic, CASE WHEN big.factor IS NOT NULL THEN rank_ic END AS rank_ic FROM h LEFT JOIN ics USING (factor, datetime) LEFT JOIN big USING (factor, datetime)) GROUP BY 1), a AS (SELECT factor, {sql_annual('ls', 'long_short_annual_return', 'long_short_sharpe')}, {sql_annual('la', 'long_average_annual_return', 'long_average_sharpe')} FROM h GROUP BY 1),
 cv AS (SELECT factor, {COVER} FROM long GROUP BY 1) SELECT * FROM cv JOIN i USING (factor) JOIN a USING (factor) WHERE factor = 'reversal'""")
 def signal_analysis(spark, sf_dir):
     return evaluate.signal_analysis(scored(spark, sf_dir), "reversal", "returns_1d")
 
 
-#: Held dates, layers and their order by day, and the metrics of train_eval_metrics with the fitness.
+#: A factor without any value.
+NOTHING = {"nothing": "TS_MEAN($close / 0, 3)"}
+LONG4_SQL = LONG_SQL.replace("'cheap', cheap FROM w)", "'cheap', cheap FROM w UNION ALL SELECT datetime, symbol, returns_1d, 'nothing', NULL FROM w)")
+
+#: Held dates, layers and their order by day, and the metrics of held_out_metrics with the fitness.
 DAYS_T = f"""n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n, count(*) AS every FROM c), lt AS (SELECT factor, datetime, {LAYERS} FROM l GROUP BY 1, 2),
 mono AS (SELECT factor, datetime, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS mono FROM (SELECT factor, datetime, bucket::DOUBLE AS x, avg(target) AS y FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2),
-days AS (SELECT f.factor, f.datetime, c.k, c.k >= n.n OR n.n >= n.every AS held, c.k < n.n AS train, ic, rank_ic, layer_5 - layer_1 AS ls, mono FROM (SELECT DISTINCT factor, datetime FROM long) f JOIN c ON c.datetime = f.datetime CROSS JOIN n LEFT JOIN ics ON ics.factor = f.factor AND ics.datetime = f.datetime LEFT JOIN lt ON lt.factor = f.factor AND lt.datetime = f.datetime LEFT JOIN mono ON mono.factor = f.factor AND mono.datetime = f.datetime)"""
-_HELD = lambda v: f"CASE WHEN held THEN {v} END"
-TEF_T = f"""te AS (SELECT factor, {sql_stats(_HELD('ic'), 'ic', True)}, {sql_stats(_HELD('rank_ic'), 'rank_ic', True)}, avg(CASE WHEN train THEN rank_ic END) AS train_rank_ic, avg({_HELD('ls')}) AS long_short_mean, avg(({_HELD('ls')} > 0)::INT::DOUBLE) AS long_short_positive,
-  CASE WHEN stddev_samp({_HELD('ls')}) > 1e-12 THEN avg({_HELD('ls')}) / stddev_samp({_HELD('ls')}) ELSE 0 END AS long_short_ir, avg({_HELD('mono')}) AS layer_monotonicity FROM days GROUP BY 1),
-cv AS (SELECT factor, {COVER} FROM long GROUP BY 1), ov AS (SELECT *, coalesce(train_rank_ic, 0) AS a, coalesce(rank_ic_mean, 0) AS b FROM te JOIN cv USING (factor) JOIN tv USING (factor)),
-ot AS (SELECT *, CASE WHEN abs(a) > 1e-12 THEN CASE WHEN a * b < 0 THEN greatest(1, (abs(a) - abs(b)) / abs(a)) ELSE greatest(0, (abs(a) - abs(b)) / abs(a)) END ELSE 0 END AS overfit FROM ov)"""
+hp AS (SELECT factor, sum((value IS NOT NULL AND target IS NOT NULL AND (k >= n OR n >= every))::INT) AS late_pairs, sum((value IS NOT NULL AND target IS NOT NULL)::INT) AS all_pairs FROM long JOIN c ON c.datetime = long.datetime CROSS JOIN n GROUP BY 1),
+days AS (SELECT f.factor, f.datetime, c.k, c.k >= n.n OR n.n >= n.every OR late_pairs = 0 AS held, c.k < n.n AS train, ic, rank_ic, layer_5 - layer_1 AS ls, mono FROM (SELECT DISTINCT factor, datetime FROM long) f JOIN c ON c.datetime = f.datetime JOIN hp ON hp.factor = f.factor CROSS JOIN n LEFT JOIN ics ON ics.factor = f.factor AND ics.datetime = f.datetime LEFT JOIN lt ON lt.factor = f.factor AND lt.datetime = f.datetime LEFT JOIN mono ON mono.factor = f.factor AND mono.datetime = f.datetime)"""
 
 
-def sql_fitness(**parts: str) -> str:
-    """The fitness of columns that are named as its parts; absent ones count as 0."""
-    one = {"rank_ic": "abs(rank_ic_mean) / 0.05", "icir": "abs(rank_ic_ir) / 1.5", "coverage": "coverage", "positive": "rank_ic_positive", "turnover": "turnover"} | parts
-    return " + ".join(f"({evaluate.FITNESS_WEIGHTS[k]}) * coalesce(greatest(0, least(1, {v})), 0)" for k, v in one.items())
+def sql_held(v: str, name: str) -> str:
+    """``sql_stats`` of held days, not rounded, 0 where there is none."""
+    x = f"CASE WHEN held THEN {v} END"
+    return f"coalesce(avg({x}), 0) AS {name}_mean, stddev_samp({x}) AS {name}_std, coalesce(avg({x}) / greatest(coalesce(stddev_samp({x}), 0), 1e-12), 0) AS {name}_ir, coalesce(avg(({x} > 1e-12)::INT::DOUBLE), 0) AS {name}_positive, count({x}) AS {name}_dates"
 
 
-FITNESS = sql_fitness(long_short_ir="abs(long_short_ir)", overfit="overfit")
-TEF_COLUMNS = f"ic_mean, ic_std, ic_ir, ic_positive, ic_dates, rank_ic_mean, rank_ic_std, rank_ic_ir, rank_ic_positive, rank_ic_dates, {r6('train_rank_ic', 'long_short_mean', 'long_short_positive', 'long_short_ir', 'layer_monotonicity', 'coverage', 'turnover')}, round(overfit, 4) AS overfit, round({FITNESS}, 4) AS fitness"
-TEF_SQL = f"{LONG_SQL}, {IC_T}, {LAYER_T}, {TURNOVER_SQL}, {DAYS_T}, {TEF_T}"
+_LS = "CASE WHEN held THEN ls END"
+TEF_T = f"""te AS (SELECT factor, {sql_held('ic', 'ic')}, {sql_held('rank_ic', 'rank_ic')}, coalesce(avg(CASE WHEN train THEN rank_ic END), 0) AS train_rank_ic, coalesce(avg({_LS}), 0) AS long_short_mean, coalesce(avg(({_LS} > 0)::INT::DOUBLE), 0) AS long_short_positive,
+  CASE WHEN stddev_samp({_LS}) > 1e-12 THEN avg({_LS}) / stddev_samp({_LS}) ELSE 0 END AS long_short_ir, avg(CASE WHEN held THEN mono END) AS layer_monotonicity FROM days GROUP BY 1),
+cv AS (SELECT factor, sum((value IS NOT NULL AND target IS NOT NULL)::INT) / count(*)::DOUBLE AS coverage FROM long GROUP BY 1),
+ov AS (SELECT te.*, coverage, CASE WHEN all_pairs = 0 THEN 1 ELSE turnover END AS turnover, all_pairs, train_rank_ic AS a, rank_ic_mean AS b FROM te JOIN cv USING (factor) JOIN tv USING (factor) JOIN hp USING (factor)),
+ot AS (SELECT *, CASE WHEN all_pairs = 0 THEN 1 WHEN abs(a) > 1e-12 THEN CASE WHEN a * b < 0 THEN greatest(1, (abs(a) - abs(b)) / abs(a)) ELSE greatest(0, (abs(a) - abs(b)) / abs(a)) END ELSE 0 END AS overfit FROM ov)"""
 
 
-@query(f"WITH {TEF_SQL} SELECT factor, {TEF_COLUMNS} FROM ot")
-def train_eval_fitness(spark, sf_dir):
-    out = evaluate.fitness(evaluate.train_eval_metrics(scored(spark, sf_dir), list(FACTORS)))
-    return out.withColumns({c: F.round(c, 4) for c in ("overfit", "fitness")})  # sums of many roundings
+def sql_fitness(**parts: str) -> str:
+    """The fitness of columns that are named as its parts; absent ones count as 0, missing values too."""
+    one = {"rank_ic": "abs(rank_ic_mean) / 0.05", "icir": "abs(rank_ic_ir) / 1.5", "long_short_ir": "abs(long_short_ir)", "coverage": "coverage", "positive": "rank_ic_positive", "turnover": "turnover", "overfit": "overfit"} | parts
+    return " + ".join(f"({evaluate.FITNESS_WEIGHTS[k]}) * CASE WHEN {v} IS NULL THEN 0 ELSE greatest(0, least(1, {v})) END" for k, v in one.items())
 
 
-@query(f"""WITH {LONG_SQL}, {IC_T}, {LAYER_T}, {TURNOVER_SQL}, {DAYS_T}, sp AS (SELECT factor, datetime, avg(CASE WHEN rv >= 0.8 THEN target END) - avg(CASE WHEN rv <= 0.2 THEN target END) AS spread FROM ranked GROUP BY 1, 2),
-cu AS (SELECT *, product(1 + coalesce(spread, 0)) OVER (PARTITION BY factor ORDER BY datetime) AS cum FROM sp), dd AS (SELECT factor, {sql_annual('spread', 'annual_return', 'annual_sharpe')}, min(f) AS max_drawdown FROM (SELECT *, cum / nullif(max(cum) OVER (PARTITION BY factor ORDER BY datetime), 0) - 1 AS f FROM cu) GROUP BY 1),
-g AS (SELECT factor, {sql_stats('ic', 'ic', True)}, {sql_stats('rank_ic', 'rank_ic', True)}, round(avg(ls), 6) AS long_short_mean, round(avg((ls > 0)::INT::DOUBLE), 6) AS long_short_positive, round(CASE WHEN stddev_samp(ls) > 1e-12 THEN avg(ls) / stddev_samp(ls) ELSE 0 END, 6) AS long_short_ir, round(avg(mono), 6) AS layer_monotonicity FROM days GROUP BY 1),
-cv AS (SELECT factor, {COVER} FROM long GROUP BY 1), e AS (SELECT * FROM cv JOIN g USING (factor) JOIN tv USING (factor) JOIN dd USING (factor) WHERE factor = 'reversal')
-SELECT * REPLACE (round(turnover, 6) AS turnover, round(ln(1 - max_drawdown), 6) AS max_drawdown), abs(ic_mean) AS ic_mean_abs, sign(ic_mean)::DOUBLE AS ic_mean_sign, abs(rank_ic_mean) AS rank_ic_mean_abs, sign(rank_ic_mean)::DOUBLE AS rank_ic_mean_sign, abs(rank_ic_ir) AS rank_ic_ir_abs, sign(rank_ic_ir)::DOUBLE AS rank_ic_ir_sign,
-  round(annual_return / abs(nullif(max_drawdown, 0)), 2) AS calmar, 'evaluated' AS status FROM e""")
+_TEF = ["ic_mean", "ic_std", "ic_ir", "ic_positive", "rank_ic_mean", "rank_ic_std", "rank_ic_ir", "rank_ic_positive", "train_rank_ic", "long_short_mean", "long_short_positive", "long_short_ir", "layer_monotonicity", "coverage", "turnover", "overfit"]
+TEF_SQL = f"{LONG4_SQL}, {IC_T}, {LAYER_T}, {TURNOVER_SQL}, {DAYS_T}, {TEF_T}"
+
+
+@query(f"WITH {TEF_SQL} SELECT factor, {r6(*_TEF)}, ic_dates, rank_ic_dates, round({sql_fitness()}, 6) AS fitness FROM ot")
+def train_eval_fitness(spark, sf_dir):
+    df = with_factors(weekly(spark, sf_dir), FACTORS | NOTHING)[0]
+    return evaluate.fitness(evaluate.train_eval_metrics(df, [*FACTORS, *NOTHING]))
+
+
+@query(f"""WITH {LONG4_SQL}, {IC_T}, {LAYER_T}, {TURNOVER_SQL}, {DAYS_T}, sp AS (SELECT factor, datetime, CASE WHEN count(*) > 1 THEN coalesce(avg(CASE WHEN rv >= 0.8 THEN target END) - avg(CASE WHEN rv <= 0.2 THEN target END), 0) ELSE 0 END AS spread FROM ranked GROUP BY 1, 2),
+cu AS (SELECT *, product(1 + spread) OVER (PARTITION BY factor ORDER BY datetime) AS cum FROM sp), dd AS (SELECT factor, avg(spread) * 252 AS annual_return, abs(min(f)) AS max_drawdown FROM (SELECT *, cum / nullif(max(cum) OVER (PARTITION BY factor ORDER BY datetime), 0) - 1 AS f FROM cu) GROUP BY 1),
+g AS (SELECT factor, {sql_stats('ic', 'ic', True)}, {sql_stats('rank_ic', 'rank_ic', True)}, {sql_stats('ls', 'long_short', True)}, round(avg((ls > 0)::INT::DOUBLE), 6) AS ls_positive, round(CASE WHEN count(ls) = 0 THEN NULL WHEN stddev_samp(ls) > 1e-12 THEN avg(ls) / stddev_samp(ls) ELSE 0 END, 6) AS ls_ir, round(avg(mono), 6) AS layer_monotonicity FROM days GROUP BY 1),
+pl AS (SELECT factor, {', '.join(f'round(avg(CASE WHEN bucket = {k} THEN target END), 6) AS layer_{k}_mean_return' for k in range(1, 6))} FROM l GROUP BY 1),
+cv AS (SELECT factor, {COVER} FROM long GROUP BY 1), e AS (SELECT * REPLACE (coalesce(ic_mean, 0) AS ic_mean, coalesce(ic_ir, 0) AS ic_ir, coalesce(rank_ic_mean, 0) AS rank_ic_mean, coalesce(rank_ic_ir, 0) AS rank_ic_ir, coalesce(max_drawdown, 1) AS max_drawdown) FROM cv JOIN g USING (factor) JOIN tv USING (factor) JOIN hp USING (factor) LEFT JOIN dd USING (factor) LEFT JOIN pl USING (factor) WHERE factor IN ('reversal', 'nothing'))
+SELECT factor, coverage, ic_mean, ic_std, ic_ir, ic_positive, ic_dates, rank_ic_mean, rank_ic_std, rank_ic_ir, rank_ic_positive, rank_ic_dates, {', '.join(f'layer_{k}_mean_return' for k in range(1, 6))}, long_short_mean, ls_positive AS long_short_positive, ls_ir AS long_short_ir, layer_monotonicity, round(turnover, 6) AS turnover, round(annual_return, 6) AS annual_return, round(max_drawdown, 6) AS max_drawdown,
+  CASE WHEN all_pairs > 0 THEN ic_ir END AS information_ratio, ic_ir AS sharpe, CASE WHEN all_pairs = 0 THEN 'partial' ELSE 'finished' END AS status, abs(ic_mean) AS ic_mean_abs, sign(ic_mean)::DOUBLE AS ic_mean_sign, abs(rank_ic_mean) AS rank_ic_mean_abs, sign(rank_ic_mean)::DOUBLE AS rank_ic_mean_sign, abs(ic_ir) AS ic_ir_abs, abs(ic_ir) AS sharpe_abs,
+  round(annual_return / abs(nullif(max_drawdown, 0)), 6) AS calmar FROM e""")
 def evaluation_report(spark, sf_dir):
-    return evaluate.evaluation_report(scored(spark, sf_dir), "reversal").withColumns({"calmar": F.round("calmar", 2), "max_drawdown": F.log(1 - F.col("max_drawdown"))})  # a spread of means can lose many times itself
+    df = with_factors(weekly(spark, sf_dir), FACTORS | NOTHING)[0]
+    return evaluate.evaluation_report(df, "reversal").unionByName(evaluate.evaluation_report(df, "nothing"))
 
 
 @query(None)
@@ -570,9 +589,9 @@ rk AS (SELECT *, {sql_rank('value', 'factor, datetime')} AS rv, {sql_rank('targe
 j AS (SELECT factor, avg(CASE WHEN k < n THEN ic END) AS ic_in, avg(CASE WHEN k >= n THEN ic END) AS ic_out FROM i JOIN c ON c.datetime = i.datetime, n GROUP BY 1),
 d AS (SELECT *, coalesce(ic_in, 0) AS a, coalesce(ic_out, 0) AS b, CASE WHEN abs(coalesce(ic_in, 0)) > 1e-12 THEN (abs(ic_in) - abs(coalesce(ic_out, 0))) / abs(ic_in) ELSE 0 END AS decay FROM j),
 x AS (SELECT *, CASE WHEN abs(a) > 0.01 AND decay > 0.7 THEN 'decay' WHEN abs(a) > 0.01 AND a * b < 0 THEN 'sign_flip' WHEN abs(a) < 0.002 THEN 'underfit' ELSE 'ok' END AS reason FROM d)
-SELECT factor, round(ic_in, 6) AS ic_in, round(ic_out, 6) AS ic_out, round(decay, 4) AS decay, reason, reason IN ('decay', 'sign_flip') AS overfit, abs(a) < 0.002 AS underfit, reason = 'ok' AS robust FROM x""")
+SELECT factor, round(ic_in, 6) AS ic_in, round(ic_out, 6) AS ic_out, round(decay, 6) AS decay, reason, reason IN ('decay', 'sign_flip') AS overfit, abs(a) < 0.002 AS underfit, reason = 'ok' AS robust FROM x""")
 def overfit_check(spark, sf_dir):
-    return diagnostics.overfit_check(scored(spark, sf_dir), list(FACTORS)).withColumn("decay", F.round("decay", 4))
+    return diagnostics.overfit_check(scored(spark, sf_dir), list(FACTORS))
 
 
 #: A factor that reads the next date's price through a column made beforehand.
@@ -588,10 +607,19 @@ def look_ahead_check(spark, sf_dir):
     return diagnostics.look_ahead(weekly(spark, sf_dir).drop("returns_1d"), FACTORS | LEAK, prepare=panel.with_label)
 
 
-@query(f"WITH {TEF_SQL} SELECT factor AS factor_name, 'evaluated' AS status, rank_ic_mean, rank_ic_ir, round(coverage, 6) AS coverage, round(turnover, 6) AS turnover, round({FITNESS}, 4) AS fitness FROM ot UNION ALL SELECT 'broken', 'failed', NULL, NULL, NULL, NULL, NULL")
+#: Candidates: good ones (the delay of one is clamped to 2), one without values, an equal one, one with an unknown column, one with too many nodes.
+CANDIDATES = FACTORS | NOTHING | {"same": " ( ".join(FACTORS["cheap"].split("(")), "broken": "RANK($nothing)", "wide": " + ".join(["$close"] * 25)}
+_NODES = {k: sum(1 for _ in ast.walk(ast.parse(CANDIDATES[k].replace("$", "").strip(), mode="eval"))) for k in CANDIDATES}
+_POP = ["rank_ic_mean", "rank_ic_ir", "long_short_ir", "coverage", "turnover", "overfit"]
+_REJECTED = {"same": ("duplicate", "duplicate_expression"), "broken": ("rejected", "unknown_column:$nothing"), "wide": ("rejected", "expression_too_many_nodes")}
+
+
+@query(f"""WITH {TEF_SQL.replace("lag(close) ", "lag(close, 2) ")}, nd(factor, complexity) AS (VALUES {', '.join(f"('{k}', {min(1, v / 40)}::DOUBLE)" for k, v in _NODES.items())}), x AS (SELECT * FROM ot JOIN nd USING (factor))
+SELECT factor AS factor_name, 'evaluated' AS status, NULL AS reason, {r6(*_POP, 'complexity')}, round({sql_fitness(complexity='complexity')}, 6) AS fitness FROM x
+UNION ALL SELECT * FROM (VALUES {', '.join(f"('{k}', '{a}', '{b}', {'NULL, ' * len(_POP)}round({min(1, _NODES[k] / 40)}::DOUBLE, 6), NULL)" for k, (a, b) in _REJECTED.items())})""")
 def population_scores(spark, sf_dir):
-    candidates = spark.createDataFrame([*FACTORS.items(), ("broken", "RANK($nothing)")], "factor_name string, factor_expression string")
-    return model.score_population(weekly(spark, sf_dir), candidates).select("factor_name", "status", "rank_ic_mean", "rank_ic_ir", "coverage", "turnover", F.round("fitness", 4).alias("fitness"))
+    candidates = spark.createDataFrame([*CANDIDATES.items()], "factor_name string, factor_expression string")
+    return model.score_population(weekly(spark, sf_dir), candidates).select("factor_name", "status", "reason", *_POP, "complexity", "fitness")
 
 
 _SUBSETS = {k: sorted(f for i, f in enumerate(FACTORS) if k >> i & 1) for k in range(1, 8)}
@@ -602,16 +630,16 @@ SUBSET_SQL = f"""{P2}, w AS (SELECT *, 0 - close / nullif(lag(close) {W}), 0) +
 cr AS (SELECT {', '.join(f"covar_samp(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END) / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END), 0) AS c{i}" for i, (a, b) in enumerate((('reversal', 'vol'), ('reversal', 'cheap'), ('vol', 'cheap'))))} FROM w),
 rr AS (SELECT *, {sql_rank('reversal')} AS r_reversal, {sql_rank('vol')} AS r_volume, {sql_rank('cheap')} AS r_cheap FROM w),
 long AS ({' UNION ALL '.join(f"SELECT datetime, symbol, returns_1d AS target, '{k}' AS factor, {_MEAN(own)} AS value FROM rr" for k, own in _SUBSETS.items())}), pairs AS (SELECT * FROM long WHERE value IS NOT NULL AND target IS NOT NULL), {IC_T}, {TURNOVER_SQL},
-n AS (SELECT greatest(1, floor(count(*) * 0.7)) AS n, count(*) AS every FROM c), hd AS (SELECT factor, {sql_stats("CASE WHEN k >= n OR n >= every THEN rank_ic END", 'rank_ic', True)} FROM ics JOIN c ON c.datetime = ics.datetime CROSS JOIN n GROUP BY 1), cv AS (SELECT factor, {COVER} FROM long GROUP BY 1),
-sz(factor, size, correlation) AS ({' UNION ALL '.join(f"SELECT '{k}', {len(own)}, {_CORR(own)} FROM cr" for k, own in _SUBSETS.items())}), al AS (SELECT * FROM hd JOIN cv USING (factor) JOIN tv USING (factor) JOIN sz USING (factor)), fi AS (SELECT *, {sql_fitness(complexity='size / 10.0', correlation='correlation')} AS fitness FROM al)"""
+{LAYER_T}, {DAYS_T}, {TEF_T}, sz(factor, size, correlation) AS ({' UNION ALL '.join(f"SELECT '{k}', {len(own)}, {_CORR(own)} FROM cr" for k, own in _SUBSETS.items())} UNION ALL SELECT '8', 0, 0 FROM cr),
+fi AS (SELECT *, CASE WHEN size > 0 THEN {sql_fitness(complexity='abs(size - 5) / 5.0', correlation='correlation')} END AS fitness FROM sz LEFT JOIN ot USING (factor))"""
+_SUB = ["rank_ic_mean", "long_short_ir", "coverage", "turnover", "overfit"]
 
 
-@query(f"WITH {SUBSET_SQL} SELECT factor AS subset_id, size::BIGINT AS size, rank_ic_mean, rank_ic_dates, coverage, round(turnover, 6) AS turnover, round(correlation, 6) AS correlation, round(fitness, 4) AS fitness, row_number() OVER (ORDER BY fitness DESC, factor) AS place FROM fi")
+@query(f"WITH {SUBSET_SQL} SELECT factor AS subset_id, size::BIGINT AS size, {r6(*_SUB)}, rank_ic_dates, round(correlation, 6) AS correlation, CASE WHEN size = 0 THEN 'empty_subset' END AS reason, round(fitness, 6) AS fitness, row_number() OVER (ORDER BY round(fitness, 9) DESC NULLS LAST, factor) AS place FROM fi")
 def subset_scores(spark, sf_dir):
     names = list(FACTORS)
-    masks = spark.createDataFrame([(k, f) for k in range(1, 8) for i, f in enumerate(names) if k >> i & 1], "subset_id int, factor string")
-    out = model.score_subsets(scored(spark, sf_dir), names, masks)
-    return out.select("subset_id", "size", "rank_ic_mean", "rank_ic_dates", "coverage", "turnover", "correlation", F.round("fitness", 4).alias("fitness"), "place")
+    masks = spark.createDataFrame([(k, f) for k in range(1, 8) for i, f in enumerate(names) if k >> i & 1] + [(8, None), (1, "unknown")], "subset_id int, factor string")
+    return model.score_subsets(scored(spark, sf_dir), names, masks).select("subset_id", "size", *_SUB, "rank_ic_dates", "correlation", "reason", "fitness", "place")
 
 
 @query(None)

@@ -42,14 +42,22 @@ def test_rankings(spark):
     assert spark.range(1).select(library.ordered_union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c"))).alias("x")).first()["x"] == ["b", "a", "c"]
 
 
-def test_rounds_and_derived_metrics(spark):
-    rounds = spark.createDataFrame([(1, True, 0.1, 5.0), (2, False, 9.9, 9.0), (3, True, 0.2, 4.0), (4, False, 0.3, 4.0)], "round int, accepted boolean, ic double, sharpe double")
-    got = {r["metric"]: (r["current"], r["best"], r["verdict"]) for r in evaluate.compare_rounds(rounds, ["ic", "sharpe"]).collect()}
-    assert got == {"ic": (0.3, 0.2, "better"), "sharpe": (4.0, 4.0, "equal")}
-    m = evaluate.derived_metrics(spark.createDataFrame([(-0.1, 0.5, -0.25)], "ic_mean double, annual_return double, max_drawdown double")).first()
-    assert (m["ic_mean_abs"], m["ic_mean_sign"], m["calmar"]) == (0.1, -1.0, 2.0)
-    d = evaluate.default_metrics(spark.createDataFrame([(4, 3, 1), (0, 0, 0)], "total int, generated int, failed int")).collect()
-    assert (d[0]["coverage"], d[0]["failure_ratio"], d[1]["coverage"]) == (0.75, 0.25, 0.0)
+def test_rounds_name_the_larger_side(spark):
+    """Worked by hand: equal goes to the baseline, a side without a value loses, a metric without any is left out."""
+    rounds = spark.createDataFrame([(1, True, 0.1, 5.0, None, 1.0, None), (2, False, 9.9, 9.0, 1.0, 1.0, 1.0), (3, True, 0.2, 4.0, None, 2.0, None), (4, False, 0.3, 4.0, 7.0, None, None)], "round int, accepted boolean, ic double, sharpe double, icir double, calmar double, odd double")
+    got = {r["metric"]: (r["current"], r["best"], r["larger"]) for r in evaluate.compare_rounds(rounds, ["ic", "sharpe", "icir", "calmar", "odd"]).collect()}
+    assert got == {"ic": (0.3, 0.2, "current"), "sharpe": (4.0, 4.0, "best"), "icir": (7.0, None, "current"), "calmar": (None, 2.0, "best")}
+    first = evaluate.compare_rounds(rounds.filter("round = 1"), ["ic"]).first()
+    assert (first["best"], first["larger"]) == (None, "current")
+
+
+def test_derived_and_default_metrics(spark):
+    m = evaluate.derived_metrics(spark.createDataFrame([(-0.1, -0.7, 0.5, -0.25, -1.5)], "ic_mean double, ic_ir double, annual_return double, max_drawdown double, sharpe double")).first()
+    assert (m["ic_mean_abs"], m["ic_mean_sign"], m["calmar"], m["ic_ir_abs"], m["sharpe_abs"]) == (0.1, -1.0, 2.0, 0.7, 1.5) and "rank_ic_mean_abs" not in m
+    rows = [(4, 3, 1), (0, 0, 0), (None, None, None), (10, 0, 10), (2, 9, None)]
+    d = evaluate.default_metrics(spark.createDataFrame(rows, "total int, generated int, failed int")).collect()
+    # 0.9 * 0.75 - 0.2 * 0.25, 0.18 + 0.27 * 0.25, 0.1 + 0.25 * 0.25, ...
+    assert [(r["sharpe"], r["turnover"], r["drawdown"], r["coverage"]) for r in d] == [(0.625, 0.248, 0.163, 0.75), (0.0, 1.0, 1.0, 0.0), (0.0, 1.0, 1.0, 0.0), (-0.2, 0.45, 0.35, 0.0), (0.9, 0.18, 0.1, 1.0)]
 
 
 def small_panel(spark, days=60, assets=12):
@@ -79,7 +87,7 @@ def test_batches_change_nothing(spark):
     lib_rows = [("r", 0, i, n, e, 0.1) for i, (n, e) in enumerate(rows)]
     a, b = (model.library_backtest(df, lib(spark, *lib_rows), RANGES, min_factors=1, min_ic=0.0, min_icir=0.0, rounds=2, batch=n) for n in (2, 100))
     assert a["features"] == b["features"] and a["analysis"].first()["rank_ic_mean"] == pytest.approx(b["analysis"].first()["rank_ic_mean"])
-    assert model.score_population(df, candidates.filter("factor_name = 'bad'")).first()["status"] == "failed"
+    assert model.score_population(df, candidates.filter("factor_name = 'bad'")).first()["status"] == "rejected"
 
 
 def test_training_is_reproducible(spark):

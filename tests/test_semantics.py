@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions.factor_functions import register
+from factorloom.functions import stats
 from factorloom.functions.stats import compound, rank_pct
 from factorloom.operators import diagnostics, evaluate, library, model, panel, preprocess, text
 from factorloom.operators.factors import parse, shape, with_factors
@@ -231,11 +232,66 @@ def test_common_subtrees_ignore_the_order_of_sums(spark):
     assert library.largest_common_subtree(a, b).first()["size"] == 5
 
 
+def test_missing_metrics_are_the_low_end(spark):
+    row = spark.createDataFrame([(None, 0.4, float("nan"), float("inf"), 3.0, -1.0)], "a double, b double, c double, d double, e double, f double")
+    got = row.select(*(stats.bounded(F.col(c)).alias(c) for c in "abcdef"), stats.abs_score(F.col("a"), 0.05).alias("g"), stats.abs_score(F.col("f"), 2.0).alias("h")).first()
+    assert tuple(got) == (0.0, 0.4, 0.0, 0.0, 1.0, 0.0, 0.0, 0.5)
+    metrics = spark.createDataFrame([("none", None, None, None), ("some", 0.01, 0.1, 0.5)], "factor string, rank_ic_mean double, rank_ic_ir double, turnover double")
+    fit = {r["factor"]: r["fitness"] for r in evaluate.fitness(metrics).collect()}
+    # 0.35 * 0.2 + 0.25 * 0.1 / 1.5 - 0.1 * 0.5
+    assert fit["none"] == 0.0 and fit["some"] == pytest.approx(0.07 + 0.25 / 15 - 0.05)
+
+
+def test_held_out_metrics_worked_by_hand(spark):
+    """Ten dates, three assets: f follows the return on the first seven dates and is its opposite on the last three; g has values on
+    the first dates only, so that all its pairs count; h has none."""
+    table = {s: [(float(k + d), float(k if d < 7 else -k), float(k) if d < 4 else None, None, float(k) / 100) for d in range(10)] for k, s in enumerate("abc", 1)}
+    df = make(spark, table, "x double, f double, g double, h double, returns_1d double")
+    got = {r["factor"]: r for r in evaluate.fitness(evaluate.train_eval_metrics(df, ["f", "g", "h"])).collect()}
+    f, g, h = got["f"], got["g"], got["h"]
+    assert (f["train_rank_ic"], f["rank_ic_mean"], f["overfit"], f["coverage"], f["rank_ic_dates"]) == pytest.approx((1.0, -1.0, 1.0, 1.0, 3))
+    assert (f["long_short_mean"], f["long_short_positive"], f["long_short_ir"]) == (0.0, 0.0, 0.0)  # three assets leave the first of five layers empty
+    assert f["turnover"] == pytest.approx((2 / 3 * 2 / 3) / 9)  # two assets change by two thirds on one of nine days
+    assert (g["coverage"], g["rank_ic_mean"], g["rank_ic_dates"], g["overfit"], g["turnover"]) == pytest.approx((0.4, 1.0, 4, 0.0, 0.0))
+    assert (h["coverage"], h["rank_ic_mean"], h["overfit"], h["turnover"], h["ic_ir"]) == (0.0, 0.0, 1.0, 1.0, 0.0)
+    assert h["fitness"] == pytest.approx(-0.2) and h["fitness"] == min(r["fitness"] for r in got.values())
+
+
+def test_reports_count_days_without_groups(spark):
+    """Three assets a day: no one is in the lowest fifth, so that all days return 0 and nothing is lost; without pairs all is lost."""
+    df = make(spark, {s: [(float(k), None, float(k * d) / 100) for d in range(4)] for k, s in enumerate("abc", 1)}, "f double, none double, returns_1d double")
+    some, none = evaluate.evaluation_report(df, "f").first(), evaluate.evaluation_report(df, "none").first()
+    assert (some["annual_return"], some["max_drawdown"], some["status"]) == (0.0, 0.0, "finished") and some["sharpe"] == some["ic_ir"] == some["information_ratio"]
+    assert some["layer_5_mean_return"] == pytest.approx(0.045) and some["layer_1_mean_return"] is None
+    assert (none["ic_mean"], none["sharpe"], none["max_drawdown"], none["status"], none["annual_return"]) == (0.0, 0.0, 1.0, "partial", None)
+    assert evaluate.evaluation_report(df, "f", failed=1).first()["status"] == "partial" and evaluate.evaluation_report(df, "f", selected=0).first()["status"] == "failed"
+
+
+def test_positive_share_is_of_all_days_with_pairs(spark):
+    """Two of four days have an IC above 0; one has equal scores and one only two pairs."""
+    table = {s: [(float(k), float(k)), (float(k), float(k)), (1.0, float(k)), (float(k) if k < 3 else None, float(k))] for k, s in enumerate("abcd", 1)}
+    got = evaluate.signal_analysis(make(spark, table, "f double, returns_1d double"), "f", "returns_1d").first()
+    assert (got["ic_positive"], got["rank_ic_positive"], got["ic_dates"]) == (0.5, 0.5, 2)
+
+
+def test_populations_are_repaired_checked_and_distinct(spark):
+    df = make(spark, {s: [(float(i * k % 7), float(i * k % 7) / 100) for i in range(9)] for k, s in enumerate("abcdef", 1)}, "close double, returns_1d double")
+    rows = [("good", "0 - $close"), ("late", " 0-$close "), ("window", "TS_MEAN($close, 1)"), ("self", "$close - $close + ($close - $close)"), ("long", " + ".join(["$close"] * 25)), ("unknown", "FOO($close)"), ("nothing", "$close / 0")]
+    got = {r["factor_name"]: r for r in model.score_population(df, spark.createDataFrame(rows, "factor_name string, factor_expression string")).collect()}
+    assert {k: (r["status"], r["reason"]) for k, r in got.items()} == {
+        "good": ("evaluated", None), "late": ("duplicate", "duplicate_expression"), "window": ("evaluated", None), "self": ("rejected", "degenerate_self_operation"), "long": ("rejected", "expression_too_many_nodes"), "unknown": ("rejected", "unknown_function:FOO"), "nothing": ("evaluated", None),
+    }
+    assert got["window"]["factor_expression"] == "TS_MEAN($close, 2)" and got["good"]["complexity"] == 6 / 40  # expression, operation, minus, number, name, reading of the name
+    assert [*got][-4:] == ["late", "long", "self", "unknown"] and got["nothing"]["fitness"] < got["good"]["fitness"]
+
+
 def test_subsets_and_fitness(spark):
     df = make(spark, {s: [(float(i * k % 7), float(-i * k % 7), float(i * k % 7) / 100) for i in range(9)] for k, s in enumerate("abcdef", 1)}, "f1 double, f2 double, returns_1d double")
-    masks = spark.createDataFrame([(1, "f1"), (2, "f1"), (2, "f2")], "subset_id int, factor string")
+    masks = spark.createDataFrame([(1, "f1"), (2, "f1"), (2, "f2"), (3, None), (4, "other")], "subset_id int, factor string")
     got = {r["subset_id"]: r for r in model.score_subsets(df, ["f1", "f2"], masks).collect()}
     assert got["1"]["fitness"] > got["2"]["fitness"] and got["1"]["correlation"] == 0
+    assert [got[k]["complexity"] for k in "12"] == [0.8, 0.6]  # |1 - 5| / 5 and |2 - 5| / 5
+    assert [(got[k]["reason"], got[k]["fitness"], got[k]["place"]) for k in "34"] == [("empty_subset", None, 3), ("empty_subset", None, 4)]
 
 
 def test_segments_and_policy(spark):
