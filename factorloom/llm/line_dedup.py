@@ -125,6 +125,13 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h >> U64(32)).astype(np.uint32) | np.uint32(2)
 
 
+def second_hash(h: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the running lines at ``at`` that has nothing to do with their fingerprints: only where both agree is a match believed."""
+    with np.errstate(over="ignore"):
+        each = mix(h[at[:, None] + np.arange(least)] ^ U64(0xC2B2AE3D27D4EB4F)) * mix(np.arange(1, least + 1, dtype=U64))
+        return each.sum(axis=1, dtype=U64).view(np.int64)
+
+
 def _lists(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, pa.Array]:
     """For rows i to j - 1 of a column of lists: the number of the row of each item, from 0 on, and the items."""
     part = column.slice(i, j - i)
@@ -140,8 +147,9 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int) -> DataFrame:
-    """The words next to each first position (fingerprint, salt, first_id, first_hash, first_pos, before, after), from a table
-    with texts and, as ``wanted``, positions; one row for each part of a hot fingerprint."""
+    """The words next to each first position (fingerprint, salt, first_id, first_hash, first_pos, second, before, after), from a
+    table with texts and, as ``wanted``, positions; one row for each part of a hot fingerprint. ``second`` is another hash of the
+    words of the fingerprint."""
     t, k, x, w = (placed.columns.index(c) for c in (text, doc_id, "_hash", "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,36 +167,37 @@ def _contexts(placed: DataFrame, text: str, doc_id: str, least: int, width: int)
                     salt = np.where(hot[own], np.arange(len(own)) - (np.cumsum(times) - times)[own] + 1, 0)
                     take = pa.array(row[some][own] + i)
                     yield pa.RecordBatch.from_arrays(
-                        [part.field("fingerprint").take(pa.array(own)), pa.array(salt.astype(np.int32)), batch.column(k).take(take), batch.column(x).take(take), part.field("pos").take(pa.array(own)), _binary(before[own]), _binary(after[own])],
-                        names=["fingerprint", "salt", "first_id", "first_hash", "first_pos", "before", "after"],
+                        [part.field("fingerprint").take(pa.array(own)), pa.array(salt.astype(np.int32)), batch.column(k).take(take), batch.column(x).take(take), part.field("pos").take(pa.array(own)), pa.array(second_hash(h, at, least)[own]), _binary(before[own]), _binary(after[own])],
+                        names=["fingerprint", "salt", "first_id", "first_hash", "first_pos", "second", "before", "after"],
                     )
 
     kind = placed.schema[doc_id].dataType.simpleString()
-    return placed.mapInArrow(run, f"fingerprint long, salt int, first_id {kind}, first_hash long, first_pos int, before binary, after binary")
+    return placed.mapInArrow(run, f"fingerprint long, salt int, first_id {kind}, first_hash long, first_pos int, second long, before binary, after binary")
 
 
-def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, and words behind the last, of the maximal runs around the matches of several documents with first positions,
-    and whether these lie in other documents.
+def runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and words behind the last, of the maximal runs around the matches of several documents with first positions.
 
     A match within its document (``own``: its first position, else -1) leaves the first ``least`` words of the run alone.
     """
-    short, found = _short(h), [_runs_of(_short(h[:0]), first, row[:0], matches.slice(0, 0), least, width)]
+    found = [_runs_of(h, first, row[:0], matches.slice(0, 0), least, width)]
     for a in range(0, len(row), BLOCK):  # so that memory follows the block and not the number of matches
-        found.append(_runs_of(short, first, row[a : a + BLOCK], matches.slice(a, BLOCK), least, width))
+        found.append(_runs_of(h, first, row[a : a + BLOCK], matches.slice(a, BLOCK), least, width))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _runs_of(short: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low, high = first[row], first[row + 1]
-    at, own = low + _numbers(matches, "pos"), _numbers(matches, "own")
+def _runs_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, matches: pa.Array, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    at = first[row] + _numbers(matches, "pos")
+    sure = np.flatnonzero(second_hash(h, at, least) == _numbers(matches, "second"))
+    row, at, matches, short = row[sure], at[sure], matches.take(pa.array(sure)), _short(h)
+    low, high, own = first[row], first[row + 1], _numbers(matches, "own")
     stored = lambda c: np.frombuffer(b"".join(matches.field(c).to_pylist()), np.uint32).reshape(-1, width)
     alike = lambda a, b: np.cumprod(a == b, axis=1, dtype=np.int8).sum(axis=1)
     begin = at - alike(around(short, low, high, at - 1, -1, width, 1), stored("before"))
     end = at + least + alike(around(short, low, high, at + least, 1, width, 1), stored("after"))
     begin = np.where(own >= 0, np.maximum(begin, begin - at + low + own + least), begin)
     good = end - begin >= least
-    return begin[good], end[good], own[good] < 0
+    return begin[good], end[good]
 
 
 def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -224,46 +233,39 @@ def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def longest_left(gone: np.ndarray) -> int:
-    """The most words in a row that aren't gone."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
-    return int((edge[1::2] - edge[::2]).max(initial=0))
-
-
 def _edited(placed: DataFrame, text: str, least: int, width: int) -> DataFrame:
-    """The table with the runs around its ``matches`` deleted from ``text``; n_deleted and is_copy in the place of the matches."""
+    """The table with the runs around its ``matches`` deleted from ``text``; n_deleted in the place of the matches."""
     columns = placed.columns
     t, m = columns.index(text), columns.index("matches")
     kept = [c for c in columns if c != "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_deleted, is_copy = np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
+            n_deleted = np.zeros(len(batch), np.int64)
             some = np.flatnonzero(batch.column(m).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0)
             texts, matches = batch.column(t).take(pa.array(some)), batch.column(m).take(pa.array(some))
             changed, new = np.zeros(len(batch), bool), []
             for i, j, data, off in chunks(texts, TEXT):
                 starts, ends, h, first = word_hashes(data, off)
                 row, items = _lists(matches, i, j)
-                begin, end, other = runs_of(h, first, row, items, least, width)
-                gone, copied = _covered(len(h), begin, end), _covered(len(h), begin[other], end[other])
+                begin, end = runs_of(h, first, row, items, least, width)
+                gone = _covered(len(h), begin, end)
                 n = np.diff(np.append(0, np.cumsum(gone))[first])
                 n_deleted[some[i:j]] = n
                 for r in np.flatnonzero(n):
                     a, b = first[r], first[r + 1]
                     new.append(cut(data[off[r] : off[r + 1]].tobytes(), starts[a:b] - off[r], ends[a:b] - off[r], gone[a:b]).decode())
                     changed[some[i + r]] = True
-                    is_copy[some[i + r]] = 2 * copied[a:b].sum() >= b - a and longest_left(gone[a:b]) < least + width - 1
             column = batch.column(t)
             if new:
                 column = pc.replace_with_mask(column, pa.array(changed), pa.array(new, column.type))
-            yield pa.RecordBatch.from_arrays([*(column if c == text else batch.column(columns.index(c)) for c in kept), pa.array(n_deleted), pa.array(is_copy)], names=[*kept, "n_deleted", "is_copy"])
+            yield pa.RecordBatch.from_arrays([*(column if c == text else batch.column(columns.index(c)) for c in kept), pa.array(n_deleted)], names=[*kept, "n_deleted"])
 
-    return placed.mapInArrow(run, ddl(placed, kept, "n_deleted long, is_copy boolean"))
+    return placed.mapInArrow(run, ddl(placed, kept, "n_deleted long"))
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, sure: int = SURE) -> DataFrame:
-    """``df`` with later repeated runs of words deleted from ``text``, and the columns n_deleted (words) and is_copy added.
+    """``df`` with later repeated runs of words deleted from ``text``, and the column n_deleted (words) added.
 
     Documents are in the order of their ids (null ids come last, rows that share an id go by their text's hash). Of a
     run of ``sure`` words or more that occurs earlier (in a document before, or further up in the same one), all words go;
@@ -274,9 +276,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     at each end.
 
     Null texts stay null, empty ones empty. A text whose words all go is empty. Rows alike in id and text are one document
-    and are treated alike. ``is_copy``: half of the words or more stood in other documents, and no ``sure`` words in a row are
-    left, so what is left are the places where a copy was edited. Columns n_deleted and is_copy of ``df`` are replaced. An empty
-    table gives an empty result.
+    and are treated alike. A column n_deleted of ``df`` is replaced. An empty table gives an empty result.
 
     Texts are shuffled once, as both joins with them take the same columns and Spark uses one exchange for both; so select
     the columns to keep before, not after.
@@ -311,8 +311,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least
     same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
     later = found.join(known, ["fingerprint", "salt"]).filter(~same | (F.col("pos") != F.col("first_pos")))
     own = F.when(same, F.col("first_pos")).otherwise(-1)
-    later = by_document(later, F.struct("pos", own.alias("own"), "before", "after"), "matches")
+    later = by_document(later, F.struct("pos", own.alias("own"), "second", "before", "after"), "matches")
     both = _edited(base.join(later, ["_document", "_hash"], "left").select(*inner.values(), "matches"), body, least, width)
-    new = ("n_deleted", "is_copy")
-    order = [*df.columns, *(c for c in new if c not in df.columns)]
-    return both.select(*(F.col(c if c in new else inner[c]).alias(c) for c in order))
+    order = [*df.columns, *(["n_deleted"] if "n_deleted" not in df.columns else [])]
+    return both.select(*(F.col(c if c == "n_deleted" else inner[c]).alias(c) for c in order))

@@ -193,15 +193,27 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(min(5.0, 0.05 * 2**attempt * (1 + random.random())))
         raise OSError(f"member {info.filename} of {path} can't be read")
 
+    def _members(self, path: str, start: int, stop: int) -> list[zipfile.ZipInfo]:
+        """The archive's directory; each try opens the archive anew, and one cut short by a fault (no archive) is tried again too."""
+        for attempt in range(self.retries):
+            try:
+                with _seekable(path) as f, zipfile.ZipFile(f) as z:
+                    return [m for m in z.infolist() if start <= m.header_offset < stop]
+            except (OSError, EOFError, zipfile.BadZipFile):
+                if attempt == self.retries - 1:
+                    raise
+                time.sleep(min(5.0, 0.05 * 2**attempt * (1 + random.random())))
+        raise OSError(f"{path} can't be read")
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        path, rows, size = partition.archive, [], 0
-        with _seekable(path) as f, zipfile.ZipFile(f) as z:
-            members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.stop]
-            for m in members:  # one stream through the range; only a member that fails is fetched apart
+        path, rows, size, stream = partition.archive, [], 0, None
+        try:
+            for m in self._members(path, partition.start, partition.stop):  # one stream through the range; only a member that fails is fetched apart
                 try:
-                    data = self._take(f, path, m)
+                    stream = stream or _seekable(path)
+                    data = self._take(stream, path, m)
                 except OSError:
                     data = self._member(path, m)
                 n, *keys = json.loads(m.comment)
@@ -210,6 +222,9 @@ class ArchiveReader(DataSourceReader):
                 if size >= self.batch_bytes:
                     yield _batch(rows)
                     rows, size = [], 0
+        finally:
+            if stream:
+                stream.close()
         if rows:
             yield _batch(rows)
 

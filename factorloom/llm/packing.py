@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .common import ddl, need
+from .common import ddl, fresh, need, written
 from .token_counts import default_path
 
 #: Documents whose pieces are packed together. It bounds a task's memory; more documents make more groups.
@@ -99,19 +99,21 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 2048, doc_id: str = "do
 
     Pieces are dealt to ``groups`` groups by a hash of what they hold, and each group is packed by best-fit decreasing
     on its own, so the work is spread and no task sees more than its share; only a group's last sequences can be
-    emptier than they would be in one global packing. A row's place in its partition is part of the hash, so that rows alike
-    don't make one group. Ties in length go by doc_id, piece and checksum.
+    emptier than they would be in one global packing. A row's place is part of the hash, so that rows alike don't make one
+    group; the pieces are written first, so that places stay as they are when an executor is lost. Ties in length go by doc_id, piece and checksum.
     """
 
+    group = fresh(pieces, "_group_")
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", doc_id, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         bins, offsets = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = bins + (int(key[0]) << 32)
         pdf["offset"] = offsets
-        return pdf.drop(columns="_group_")
+        return pdf.drop(columns=group)
 
-    dealt = pieces.withColumn("_group_", F.pmod(F.xxhash64(doc_id, "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("_group_").applyInPandas(run, ddl(pieces, pieces.columns, "sequence_id long, offset long"))
+    dealt = written(pieces, "pieces").withColumn(group, F.pmod(F.xxhash64(doc_id, "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy(group).applyInPandas(run, ddl(pieces, pieces.columns, "sequence_id long, offset long"))
 
 
 def pack_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, capacity: int = 2048, end_id: int = 0, group_docs: int = GROUP_DOCS) -> DataFrame:

@@ -280,15 +280,34 @@ def _row(doc_id: str) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("text_hash").alias("hash"))
 
 
-def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80, whole: DataFrame | None = None) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: its least doc_id (rows that share it: the least text hash).
 
+    With ``whole`` (doc_id and text: the documents as they were before passages were cut) documents are linked by what they
+    were, too: a copy of which only the edited places are left still goes with what it was copied from. Only ids that
+    stand once in either table, with different texts, have a text of both kinds.
+
     Documents without words are linked with nothing and all stay. If all ids of a group are null, its least text hash
-    stays; rows alike in id and text count as one.
+    stays; rows alike in id and text count as one; an empty table stays empty.
     """
-    found = near_duplicates(df, text, doc_id, shingle, percent)
-    best = found.filter("n_shingles > 0").groupBy("group_key").agg(F.min(_row(doc_id)).alias("best"))
-    keep = best.select("best.id", "best.hash").union(found.filter("n_shingles = 0").select(doc_id, "text_hash"))
+    texts, cut = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
+    if whole is not None:
+        whole = whole.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        once = lambda d, name: d.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(f"n_{name}"), F.min(F.xxhash64("text")).alias(name)).filter(f"n_{name} = 1")
+        cut = written(once(whole, "was").join(once(texts, "now"), "doc_id").filter("was != now").select("doc_id", "was"), "cut")
+        texts = texts.unionByName(whole.join(cut.select("doc_id"), "doc_id", "left_semi"))
+    found = near_duplicates(texts, "text", "doc_id", shingle, percent)
+    if cut is not None:
+        found = written(found.join(cut, "doc_id", "left").withColumn("now", F.col("was").isNull() | (F.col("text_hash") != F.col("was"))).drop("was"), "groups")
+        # a document's two texts join their groups
+        joins = found.join(cut, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("group_key").alias("u"), F.max("group_key").alias("v")).filter("u != v")
+        roots = connected_components(joins.select("u", "v")).select(F.col("node").alias("group_key"), "root")
+        best = found.filter("n_shingles > 0 AND now").groupBy("group_key").agg(F.min(_row("doc_id")).alias("best"))
+        best = best.join(roots, "group_key", "left").groupBy(F.coalesce("root", "group_key").alias("group_key")).agg(F.min("best").alias("best"))
+        found = found.filter("now")
+    else:
+        best = found.filter("n_shingles > 0").groupBy("group_key").agg(F.min(_row("doc_id")).alias("best"))
+    keep = best.select("best.id", "best.hash").union(found.filter("n_shingles = 0").select("doc_id", "text_hash"))
     keep = keep.distinct().toDF("_id_", "_hash_")
     hash_name = fresh(df, "_text_hash")
     out = df.withColumn(hash_name, F.xxhash64(text))

@@ -75,8 +75,7 @@ def repeated(rows, n):
 
 
 def line_dedup(rows, least, sure, order):
-    """{key: words that go} and {key: those that stood in other documents} of (key, text) rows in document order; ``order`` gives
-    each running line the hash it is ranked by."""
+    """{key: words that go} of (key, text) rows in document order; ``order`` gives each running line the hash it is ranked by."""
     width, docs, chosen = sure - least + 1, [words(t) for _, t in rows], []
     for w in docs:
         lines = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
@@ -90,9 +89,9 @@ def line_dedup(rows, least, sure, order):
             if (p - begin) % width == 0:
                 own.append((p, lines[p]))
         chosen.append(own)
-    first, gone, copied = {}, {}, {}
+    first, gone = {}, {}
     for d, (k, _) in enumerate(rows):
-        gone[k], copied[k] = set(), set()
+        gone[k] = set()
         for p, line in chosen[d]:
             e, q = first.setdefault(line, (d, p))
             if (e, q) == (d, p):
@@ -105,11 +104,4 @@ def line_dedup(rows, least, sure, order):
             begin = max(p - a, q - a + least) if e == d else p - a
             if p + b - begin >= least:
                 gone[k].update(range(begin, p + b))
-                if e != d:
-                    copied[k].update(range(begin, p + b))
-    return gone, copied
-
-
-def is_copy(n_words, gone, copied, sure):
-    left = "".join("x" if i in gone else "." for i in range(n_words)).split("x")
-    return bool(gone) and 2 * len(copied) >= n_words and max(map(len, left)) < sure
+    return gone

@@ -8,7 +8,7 @@ from factorloom.llm import queries
 from factorloom.llm.common import read
 from factorloom.llm.line_dedup import LEAST, SURE
 
-from .helpers import ODD, docs, is_copy, line_dedup, near_duplicates, repeated, words
+from .helpers import ODD, docs, line_dedup, near_duplicates, repeated, shingles, words
 from .test_operators import line_hash
 
 
@@ -43,15 +43,33 @@ def test_stages_act_on_what_the_one_before_kept(stages):
     for name in ("quality_classifier", "line_dedup", "near_dedup", "mixing"):
         assert stages[name].columns == d.columns
     before = [(r["doc_id"], r["text"]) for r in stages["quality_classifier"].orderBy("doc_id").collect()]
-    gone, copied = line_dedup(before, LEAST, SURE, line_hash)
-    want = {}
+    gone, want = line_dedup(before, LEAST, SURE, line_hash), {}
     for k, text in before:
         left = [x for i, x in enumerate(words(text)) if i not in gone[k]]
-        if not is_copy(len(words(text)), gone[k], copied[k], SURE) and (left or not gone[k]):
+        if left or not gone[k]:
             want[k] = left
     after = {r["doc_id"]: r["text"] for r in stages["line_dedup"].collect()}
     assert {k: words(t) for k, t in after.items()} == want
-    kept = {d for (d, _), (_, n, c) in zip(after.items(), near_duplicates(list(after.items()), 5, 80), strict=True) if c == d or not n}
+    # as they are and as they were: a document's two texts are one document
+    both = [*after.items(), *((k, t) for k, t in before if k in after and after[k] != t)]
+    group, root = {}, {}
+    for (k, _), (_, n, c) in zip(both, near_duplicates([(i, t) for i, (_, t) in enumerate(both)], 5, 80), strict=True):
+        if n:
+            group.setdefault(k, []).append(c)
+
+    def top(g):
+        while root.get(g, g) != g:
+            g = root[g]
+        return g
+
+    for own in group.values():
+        for g in own[1:]:
+            a, b = sorted((top(own[0]), top(g)))
+            root[b] = a
+    least = {}
+    for k in sorted(group):
+        least.setdefault(top(group[k][0]), k)
+    kept = {k for k in after if not shingles(after[k], 5) or least[top(group[k][0])] == k}
     assert {r["doc_id"] for r in stages["near_dedup"].collect()} == kept
     mixed = {r["doc_id"] for r in stages["mixing"].collect()}
     assert mixed <= kept and {r["doc_id"] for r in stages["best_fit_packing"].collect()} == mixed
@@ -77,6 +95,21 @@ def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages["best_fit_packing"].count()
 
 
+def test_documents_with_own_text_stay_and_near_copies_go(spark, sf, monkeypatch):
+    """Document 2 copies half its words from 1 and has short stretches of its own; 3 is 1 with a few words changed; 4 is 1 alone."""
+    passages = [[f"p{k}_{i}" for i in range(45)] for k in range(4)]
+    own = [[f"own{k}_{i}" for i in range(38)] for k in range(4)]
+    first = sum(passages, [])
+    mixed = sum((p + o for p, o in zip(passages, own, strict=True)), [])
+    edited = [f"new{i}" if i % 60 == 30 else w for i, w in enumerate(first)]
+    table = docs(spark, [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in enumerate([first, mixed, edited, first], 1)])
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *_: table)
+    cut = corpus_pipeline.line_dedup(spark, table, sf)
+    left = {r["doc_id"]: words(r["text"]) for r in cut.collect()}
+    assert sorted(left) == [1, 2, 3] and left[2] == [w.encode() for o in own for w in o] and 0 < len(left[3]) < 40
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, corpus_pipeline.written(cut, "cut"), sf).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_stages_take_odd_rows(spark, sf, rows):
     for _, stage in corpus_pipeline.STAGES:
