@@ -26,19 +26,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Texts without runs of words that occurred in an earlier document. Documents of which no word is left go, and those that are
-    copies of earlier ones but for edited places, of which only these would be left. Null, empty and blank texts lose nothing
-    and stay; rows alike in id and text are one document; n_chars follows the text."""
+    """Texts without runs of words that occurred in an earlier document. Documents of which no word is left go; all others stay with
+    what is left of them. Null, empty and blank texts lose nothing and stay; rows alike in id and text are one document;
+    n_chars follows the text."""
     found = dedup_lines(docs)
     emptied = (F.col("n_deleted") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")
     length = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.filter((~emptied | F.col("text").isNull()) & ~F.col("is_copy")).withColumn("n_chars", length).select(*docs.columns)
+    return found.filter(~emptied | F.col("text").isNull()).withColumn("n_chars", length).select(*docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """One document of each group of near-duplicates (five words, 0.8): the least id. Documents without words all stay; of rows
-    alike in id and text one stays; null ids stay only where a group has no other."""
-    return drop_near_duplicates(docs, shingle=5, percent=80)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8): the least id. Documents are compared as they are and as they
+    were before passages were cut, since a copy that was cut no longer resembles what it was copied from. Documents
+    without words all stay; of rows alike in id and text one stays; null ids stay only where a group has no other."""
+    return drop_near_duplicates(docs, shingle=5, percent=80, whole=read(spark, sf_dir, "documents"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
