@@ -205,13 +205,13 @@ def daily_stats(c: Column, name: str) -> list[Column]:
     return [F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_std"), ratio.alias(f"{name}_ir"), F.avg((c > ICIR_FLOOR).cast("double")).alias(f"{name}_positive"), F.count(c).alias(f"{name}_dates")]
 
 
-def screen(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, window: tuple[str, str] | None = None, min_ic: float = 0.01, min_icir: float = 0.1, min_coverage: float = 0.3, min_dates: int = 2, method: str = "spearman") -> DataFrame:
+def screen(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, window: tuple[str, str] | None = None, min_ic: float = 0.01, min_icir: float = 0.1, min_coverage: float = 0.3, min_dates: int = 2, method: str = "spearman", min_obs: int = 2) -> DataFrame:
     """One row a factor: IC, rank IC, their ratios, coverage and turnover on the train dates, passed and reason.
 
-    With ``spearman`` both kinds of IC are rank ICs. Turnover counts all dates.
+    With ``spearman`` both kinds of IC are rank ICs. Dates with fewer pairs than ``min_obs`` have none. Turnover counts all dates.
     """
     calendar = dates(df)
-    days = daily_metrics(long_frame(df, factors, target), calendar)
+    days = daily_metrics(long_frame(df, factors, target), calendar, min_obs=min_obs)
     if window:
         days = days.withColumn("train", F.col(TIME).between(F.lit(window[0]).cast("timestamp"), F.lit(window[1]).cast("timestamp")))
     else:

@@ -141,19 +141,96 @@ def test_ridge_as_by_closed_form(spark):
     assert [r["score"] for r in fitted.orderBy("datetime").collect()] == pytest.approx(want.tolist(), abs=1e-8)
 
 
+def rows_of(x, y, segment):
+    names = [f"f{i}" for i in range(x.shape[1])]
+    return [(DAY + timedelta(days=i), "s", *map(float, r), float(t), g) for i, (r, t, g) in enumerate(zip(x, y, segment, strict=True))], names, f"datetime timestamp, symbol string, {', '.join(f'{n} double' for n in names)}, returns_1d double, segment string"
+
+
 def test_one_tree_splits_as_by_plain_search(spark):
     rng = np.random.default_rng(5)
     x = rng.permutation(40).astype(float)
     y = np.where(x > 24, 3.0, -1.0) + rng.normal(size=40) * 0.01
-    rows = [(DAY + timedelta(days=i), "s", float(a), float(b), "train") for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(DAY + timedelta(days=99), "s", 30.0, 3.0, "valid")]
-    frame = spark.createDataFrame(rows, "datetime timestamp, symbol string, a double, returns_1d double, segment string")
-    fitted = model.predict(model.train_boosted(frame, ["a"], "returns_1d", rounds=1, depth=1, step=1.0, subsample=1.0), frame.filter("segment = 'train'"))
+    rows, names, schema = rows_of(x[:, None], y, ["train"] * 40)
+    frame = spark.createDataFrame(rows, schema)
+    fitted = model.predict(model.train_boosted(frame, names, "returns_1d", rounds=1, depth=1, min_leaf=1, step=1.0, l1=0.0, l2=0.0, subsample=1.0), frame)
     cuts = [(sum(((y[m] - y[m].mean()) ** 2).sum() for m in (x <= c, x > c)), c) for c in sorted(x)[:-1]]
     cut = min(cuts)[1]
     want = np.where(x <= cut, y[x <= cut].mean(), y[x > cut].mean())
     assert [r["score"] for r in fitted.orderBy("datetime").collect()] == pytest.approx(want.tolist(), abs=1e-9)
 
 
+def plain_tree(x, g, s):
+    """Predictions of one tree grown strictly leaf by leaf: always the split with the most gain, by comparing all cuts."""
+    shrunk = lambda t: np.sign(t) * max(abs(t) - s.l1, 0)
+    score = lambda rows: shrunk(g[rows].sum()) ** 2 / (len(rows) + s.l2)
+
+    def best(rows, depth):
+        found = (0.0, None, None)
+        if depth < s.depth:
+            for f in range(x.shape[1]):
+                for c in np.unique(x[rows, f])[:-1]:
+                    a, b = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                    gain = score(a) + score(b) - score(rows)
+                    if min(len(a), len(b)) >= s.min_leaf and gain > found[0] + 1e-9:
+                        found = (gain, a, b)
+        return found
+
+    leaves = [(np.arange(len(x)), 0)]
+    while len(leaves) < s.leaves:
+        options = [(best(r, d), i) for i, (r, d) in enumerate(leaves)]
+        (gain, a, b), i = max(options, key=lambda o: o[0][0])
+        if gain <= 0:
+            break
+        depth = leaves.pop(i)[1] + 1
+        leaves += [(a, depth), (b, depth)]
+    out = np.zeros(len(x))
+    for rows, _ in leaves:
+        out[rows] = -s.step * shrunk(g[rows].sum()) / (len(rows) + s.l2)
+    return out
+
+
+@pytest.mark.parametrize("params", [{"leaves": 5, "depth": 4, "min_leaf": 3, "l1": 0.0, "l2": 0.0}, {"leaves": 7, "depth": 3, "min_leaf": 8, "l1": 0.5, "l2": 2.0}, {"leaves": 31, "depth": 2, "min_leaf": 1, "l1": 0.0, "l2": 1.0}])
+def test_trees_grow_leaf_by_leaf_as_by_plain_search(spark, params):
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(size=150), rng.integers(0, 6, 150), rng.normal(size=150)])
+    y = np.sin(2 * x[:, 0]) + (x[:, 1] > 3) * x[:, 2] + 0.1 * rng.normal(size=150)
+    rows, names, schema = rows_of(x, y, ["train"] * 150)
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+    fitted = model.train_boosted(frame, names, "returns_1d", rounds=4, step=0.3, subsample=1.0, feature_share=1.0, **params)
+    want = np.full(150, y.mean())
+    for _ in range(4):
+        want = want + plain_tree(x, want - y, fitted.settings)
+    assert [r["score"] for r in model.predict(fitted, frame).orderBy("datetime").collect()] == pytest.approx(want.tolist(), abs=1e-9)
+    assert fitted.losses[-1][0] == pytest.approx(((want - y) ** 2).mean()) and max(t.feature.count(-1) for t in fitted.trees) <= params["leaves"]
+    gain = model.importances(fitted, names, spark).collect()
+    assert {r["feature"] for r in gain} == set(names) and gain[0]["importance"] >= gain[-1]["importance"] >= 0
+
+
+def test_training_stops_without_gain(spark, monkeypatch):
+    """Of 500 rounds those after 50 without a lower loss on valid aren't run, and the best are kept; blocks and passes change nothing."""
+    from factorloom.operators import trees
+
+    monkeypatch.setattr(trees, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 2))
+    y = (x[:, 0] > 0) + rng.normal(size=240)
+    x[3, 1] = np.nan
+    rows, names, schema = rows_of(x, y, ["train"] * 160 + ["valid"] * 80)
+    frame = spark.createDataFrame([(*r[:3], None if r[3] != r[3] else r[3], *r[4:]) for r in rows], schema).repartition(4)
+    few, other = trees.train_many(frame, names, "returns_1d", [trees.Settings(step=0.3, min_leaf=5), trees.Settings(step=0.3, min_leaf=5, rounds=7, patience=0, subsample=1.0)])
+    valid = [v for _, v in few.losses]
+    assert len(few.trees) == valid.index(min(valid)) < len(valid) - 1 == len(few.trees) + 50 < 500
+    assert len(other.trees) == 7 and len(other.losses) == 8
+    monkeypatch.setattr(trees, "KEEP", 3)
+    monkeypatch.setattr(trees, "PARTIALS", 1)
+    again = trees.train_many(frame, names, "returns_1d", [other.settings])[0]
+    assert [r["score"] for r in other.transform(frame).orderBy("datetime").collect()] == pytest.approx([r["score"] for r in again.transform(frame).orderBy("datetime").collect()])
+    none = trees.train_many(frame.filter("segment = 'valid'"), names, "returns_1d", [trees.Settings()])[0]
+    assert none.transform(frame).first()["score"] == 0.0 and not none.trees
+    with pytest.raises(ValueError, match="no such trees"):
+        trees.Settings(leaves=1)
+
+
 def test_research_is_its_steps_one_after_the_other(spark):
     from factorloom.operators import preprocess
     from factorloom.operators.factors import with_factors
@@ -175,12 +252,20 @@ def test_parameter_sets_are_judged_on_their_predictions(spark):
 
     df = panel.with_label(small_panel(spark))
     frame, features = model.feature_matrix(with_factors(df, {"a": "0 - $close", "b": "TS_MEAN($volume, 3)"})[0], ["a", "b"], "returns_1d")
-    frame = panel.segments(frame, RANGES)
-    grid = [{"rounds": 2, "depth": 2}, {"rounds": 4, "depth": 3}]
+    whole = {"subsample": 1.0, "feature_share": 1.0}  # samples follow from the blocks
+    grid = [{"rounds": 2, "depth": 2, "leaves": 4, "min_leaf": 20} | whole, {"rounds": 4, "depth": 3, "leaves": 31, "min_leaf": 100} | whole]
     got = {r["param_id"]: r for r in model.score_parameters(frame, features, "returns_1d", grid).collect()}
-    for i, params in enumerate(grid):
-        scores = model.predict(model.train_boosted(frame, features, "returns_1d", **params), frame).toPandas()
+    days = sorted(r["datetime"] for r in frame.select("datetime").distinct().collect())
+    split = frame.withColumn("segment", F.when(F.col("datetime") < days[int(len(days) * 0.7)], "train").otherwise("valid"))
+    for i, (params, complexity) in enumerate(zip(grid, ((4 / 63 + 2 / 8 + 2.5) / 3, (31 / 63 + 3 / 8 + 0.5) / 3), strict=True)):
+        fitted = model.train_boosted(split, features, "returns_1d", patience=0, **params)
+        scores = model.predict(fitted, split).toPandas()
         loss = {s: ((g["score"] - g["returns_1d"]) ** 2).mean() for s, g in scores.groupby("segment")}
-        daily = scores[scores["segment"] != "train"].groupby("datetime").apply(lambda g: g["score"].rank().corr(g["returns_1d"].rank()), include_groups=False).dropna()
-        assert got[f"p{i}"]["rank_ic_mean"] == pytest.approx(daily.mean()) and got[f"p{i}"]["rank_ic_dates"] == len(daily)
-        assert got[f"p{i}"]["overfit"] == pytest.approx(min(1, max(0, (loss["valid"] - loss["train"]) / loss["train"]))) and got[f"p{i}"]["complexity"] == pytest.approx(params["rounds"] * params["depth"] / 1000)
+        daily = scores.groupby(["segment", "datetime"]).apply(lambda g: g["score"].rank().corr(g["returns_1d"].rank()), include_groups=False).dropna()
+        a, b = daily["train"].mean(), daily["valid"].mean()
+        lost = max(0, (abs(a) - abs(b)) / abs(a), 1 if a * b < 0 else 0)
+        r = got[f"p{i}"]
+        assert (r["rank_ic_mean"], r["train_loss"], r["valid_loss"], r["complexity"]) == pytest.approx((b, loss["train"], loss["valid"], complexity))
+        assert r["overfit"] == pytest.approx(max(lost, loss["valid"] / loss["train"] - 1, 0)) and r["reason"] is None and r["fitness"] is not None
+    empty = model.score_parameters(frame.limit(0), features, "returns_1d", grid).collect()
+    assert [(r["fitness"], r["reason"]) for r in empty] == [(None, "empty_training_frame")] * 2

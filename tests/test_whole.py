@@ -60,4 +60,4 @@ def test_parameters_are_not_below_the_operators_own(spark, sf, monkeypatch, name
     args, named = found.value.args
     assert not named.keys() & {"cuts", "rounds", "depth"}
     if operator == "score_parameters":
-        assert all(p["rounds"] >= 80 for p in args[3])
+        assert not any("rounds" in p for p in args[3])
