@@ -201,3 +201,7 @@ def ts_corr(x, y, p=5):
     a, b = F.when(both, x), F.when(both, y)
     spread = F.stddev_samp(a).over(window) * F.stddev_samp(b).over(window)
     return F.when(F.count(a).over(window) >= 2, F.try_divide(F.covar_samp(a, b).over(window), spread))
+
+
+#: The functions as they are here, whatever users register later.
+BUILT_IN = dict(REGISTRY)

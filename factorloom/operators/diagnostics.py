@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.stats import ASSET, TIME, compound, pair_corr, rank_pct
 from factorloom.operators.evaluate import complete, daily_ic, long_frame
 from factorloom.operators.panel import dates, to_long
+from factorloom.operators.quantiles import exact_quantiles
+
+#: Factors by factors of a tile of sums.
+TILE = 128
 
 
 def drawdown(daily: DataFrame, value: str, by: tuple[str, ...] = (), additive: bool = False) -> DataFrame:
@@ -105,13 +111,14 @@ def portfolio_summary(report: DataFrame, periods: int = 252) -> DataFrame:
 def factor_quality(df: DataFrame, factors: list[str], size: str | None = None) -> DataFrame:
     """Coverage, mean cross-section deviation, tail ratio and correlation with size of each factor, with warnings.
 
-    The tail ratio is the mean distance from the median over the span of 1 to 99 % / 1.4826. Percentiles are exact.
+    The tail ratio is the mean distance from the median over the span of 1 to 99 % / 1.4826. Percentiles are exact,
+    and no task holds a factor's values.
     """
     long = to_long(df, factors, [size] if size else [])
     daily = long.groupBy("factor", TIME).agg(F.stddev_samp("value").alias("s")).groupBy("factor").agg(F.avg("s").alias("mean_std"))
     other = pair_corr(F.col("value"), F.col(size)) if size else F.lit(None).cast("double")
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    out = long.groupBy("factor").agg(F.try_divide(F.count("value").cast("double"), F.count("*").cast("double")).alias("coverage"), q.alias("q"), other.alias("size_corr")).join(daily, "factor", "left")
+    out = long.groupBy("factor").agg(F.try_divide(F.count("value").cast("double"), F.count("*").cast("double")).alias("coverage"), other.alias("size_corr")).join(daily, "factor", "left")
+    out = out.join(exact_quantiles(long, ["factor"], "value", [0.01, 0.5, 0.99]), "factor", "left")
     span = out.select("factor", F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("span"))  # one row a factor
     off = long.join(span, "factor").groupBy("factor").agg(F.avg(F.abs(F.col("value") - F.col("mid"))).alias("off"), F.first("span").alias("span"))
     tail = F.when(F.col("span") > 0, F.col("off") / (F.col("span") / 1.4826 + 1e-12))
@@ -123,8 +130,8 @@ def factor_quality(df: DataFrame, factors: list[str], size: str | None = None) -
 def correlation_pairs(df: DataFrame, factors: list[str], most: int = 100) -> DataFrame:
     """(f1, f2, corr) of all pairs of factors over their complete pairs of cells: one pass, no join.
 
-    Up to ``most`` pairs are aggregates of one row; more of them are counted in long form, so that the plan doesn't grow
-    with their number: each row gives a row for each pair, which is summed before the shuffle.
+    Up to ``most`` pairs are aggregates of one row; more of them come from blocked matrices, a few for each task, so that
+    neither the plan nor the rows grow with their number.
     """
     pairs = [(i, j) for i in range(len(factors)) for j in range(i + 1, len(factors))]
     if not pairs:
@@ -132,12 +139,48 @@ def correlation_pairs(df: DataFrame, factors: list[str], most: int = 100) -> Dat
     if len(pairs) <= most:
         wide = df.agg(F.array(*(F.struct(F.lit(factors[i]).alias("f1"), F.lit(factors[j]).alias("f2"), pair_corr(F.col(factors[i]), F.col(factors[j])).alias("corr")) for i, j in pairs)).alias("p"))
         return wide.select(F.explode("p").alias("p")).select("p.f1", "p.f2", "p.corr")
-    n, names = len(factors), F.array(*(F.lit(f) for f in factors))
-    spots = F.filter(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.floor(k / n) < k % n)
-    long = df.select(F.array(*(F.col(f).cast("double") for f in factors)).alias("v"), F.explode(spots).alias("k"))
-    i, j = F.floor(F.col("k") / n).cast("int"), (F.col("k") % n).cast("int")
-    found = long.groupBy("k").agg(pair_corr(F.get("v", i), F.get("v", j)).alias("corr"))
-    return found.select(F.get(names, i).alias("f1"), F.get(names, j).alias("f2"), "corr")
+    return _gram_correlations(df, factors)
+
+
+def _gram_correlations(df: DataFrame, factors: list[str]) -> DataFrame:
+    """The correlations from blocked matrices: each task adds up, over its rows, the products, sums and squares of all pairs with
+    both values there (missing ones are 0 beside a matrix of presence), and tiles of them are reduced and turned into rows.
+
+    Columns are centred and scaled by their own mean and deviation first, so that sums of squares stay exact.
+    """
+    stats = df.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"_{i}") for i, c in enumerate(factors))).first()
+    mean = np.array([r["m"] or 0.0 for r in stats])
+    spread = np.array([r["s"] or 1.0 for r in stats])
+    cuts = [(a, min(a + TILE, len(factors))) for a in range(0, len(factors), TILE)]
+    tiles = [(i, j) for i in range(len(cuts)) for j in range(i, len(cuts))]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {t: np.zeros((6, cuts[t[0]][1] - cuts[t[0]][0], cuts[t[1]][1] - cuts[t[1]][0])) for t in tiles}
+        for batch in batches:
+            x = (np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - mean) / spread
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(np.float64)
+            squares = x * x
+            for (i, j), s in sums.items():
+                (a, b), (c, d) = cuts[i], cuts[j]
+                for k, (left, right) in enumerate(((x, x), (there, there), (x, there), (there, x), (squares, there), (there, squares))):
+                    s[k] += left[:, a:b].T @ right[:, c:d]
+        for (i, j), s in sums.items():
+            yield pa.RecordBatch.from_pylist([{"i": i, "j": j, "sums": s.tobytes()}])
+
+    def rows(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        (a, b), (c, d) = cuts[i], cuts[j]
+        products, n, x, y, xx, yy = sum(np.frombuffer(s, np.float64) for s in table["sums"].to_pylist()).reshape(6, b - a, d - c)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy = xx - x * x / n, yy - y * y / n
+            flat = (vx <= 1e-14 * xx) | (vy <= 1e-14 * yy) | (n < 2)
+            corr = np.where(flat, np.nan, (products - x * y / n) / np.sqrt(vx * vy))
+        p, q = np.nonzero(np.arange(a, b)[:, None] < np.arange(c, d)[None, :])
+        return pa.table({"f1": pa.array([factors[a + k] for k in p], pa.string()), "f2": pa.array([factors[c + k] for k in q], pa.string()), "corr": pa.array(corr[p, q], from_pandas=True)})
+
+    plain = df.select(*(F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(factors)))
+    return plain.mapInArrow(summed, "i long, j long, sums binary").groupBy("i", "j").applyInArrow(rows, "f1 string, f2 string, corr double")
 
 
 def correlation_penalty(df: DataFrame, factors: list[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Expressions are read with Python's ``ast``. Every distinct call that needs a window becomes one column, whichever
 expressions share it. All calls along assets that are ready are added in one step, until none is left; then all
-across dates; and so on. So there is one shuffle for each change of direction, not one for each factor.
+across dates; and so on. So there is one shuffle for each change of direction, not one for each factor (and one for a level's
+medians and ranks over long windows, which are streamed).
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.factor_functions import REGISTRY
+from factorloom.functions.factor_functions import BUILT_IN, REGISTRY
+from factorloom.functions.stats import clean
+from factorloom.operators.rolling import rolling_orders
 
 _PREFIX = "_col_"
 
+#: Rows from which on medians and ranks of a window are streamed.
+LONG_ORDER = 64
+
 
 def parse(expression: str, columns: list[str]) -> ast.expr:
     """The tree of an expression; ``$name`` (or ``scope$name``) are columns, && and || are & and |."""
@@ -156,7 +162,11 @@ def with_factors(panel: DataFrame, expressions: dict[str, str], keep: list[str]
             kind = "date" if kind == "asset" else "asset"
             continue
         names = {t: f"_f{len(made) + i}" for i, t in enumerate(ready)}
-        out = out.withColumns({names[t]: _windowed(n, made) for t, n in ready.items()})
+        orders = {names[t]: (*found, n.args[0]) for t, n in ready.items() if (found := _long_order(n))}
+        out = out.withColumns({names[t]: _windowed(n, made) for t, n in ready.items() if names[t] not in orders})
+        if orders:
+            out = out.withColumns({f"{c}_of": clean(_column(x, made)) for c, (_, _, x) in orders.items()})
+            out = rolling_orders(out, {c: (what, f"{c}_of", p) for c, (what, p, _) in orders.items()}).drop(*(f"{c}_of" for c in orders))
         made |= names
         for t in ready:
             del todo[t]
@@ -170,6 +180,15 @@ def with_factors(panel: DataFrame, expressions: dict[str, str], keep: list[str]
     return out.select(*(F.col(f"`{c}`") for c in kept), *(v.alias(k) for k, v in values.items())), failed
 
 
+def _long_order(node: ast.Call) -> tuple[str, int] | None:
+    """Which order statistic of how many rows a call asks for, if that is better streamed than gathered for each row."""
+    what = {"TS_MEDIAN": "median", "TS_RANK": "rank"}.get(call_name(node))
+    size = node.args[1] if len(node.args) > 1 else node.keywords[0].value if node.keywords else None
+    if what and REGISTRY[call_name(node)] is BUILT_IN[call_name(node)] and isinstance(size, ast.Constant) and size.value >= LONG_ORDER:
+        return what, int(size.value)
+    return None
+
+
 def _windowed(node: ast.Call, made: dict[str, str]) -> Column:
     args = [_column(a, made) for a in node.args] + [_column(k.value, made) for k in node.keywords]
     return REGISTRY[call_name(node)].build(*args)
