@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from factorloom.functions.stats import ASSET, TIME, strip
+from factorloom.sources.files import written
 
 #: Words of the default lexicons.
 LEXICON = {
@@ -24,6 +29,8 @@ LEXICON = {
 FEATURES = ["news_count", "news_sentiment_score", "risk_event_count", "policy_event_flag", "liquidity_event_score"]
 #: Endings of a quote currency (the first that fits is taken off), and roles of mentions that make no event.
 QUOTES = ["USDT", "USD", "USDC", "BUSD"]
+#: Fixed value: what a pair with a quote currency looks like.
+QUOTED_PAIR = r"(?U)\b[A-Z]{2,12}(?:USDT|USD|USDC|BUSD)\b"
 SILENT_ROLES = ["backtest_example", "illustration", "incidental_reference"]
 TITLE_CHARS, BODY_CHARS, CHUNK_CHARS, CHUNKS = 240, 4000, 2500, 12
 #: Marks that don't begin a title.
@@ -65,21 +72,39 @@ def parse_time(x: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(x), F.try_to_timestamp(x, F.lit("yyyy/M/d")), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
 
 
-def align_to_bars(records: DataFrame, calendar: DataFrame, timestamp: str = "timestamp", span: str = "day") -> DataFrame:
-    """Adds the latest bar at or before each record's time; records before the first bar go.
+def align_to_bars(records: DataFrame, calendar: DataFrame, timestamp: str = "timestamp") -> DataFrame:
+    """Adds the latest bar at or before each record's time; records before the first bar, or without a time, go.
 
-    Bars and records are split by spans of time; each span's last bar is carried to later ones, so the as-of join is an
-    equality join on spans and a search among a span's bars: no range join, and records aren't sorted. The calendar has one row
-    a bar; choose a ``span`` (day, hour, minute) that holds few bars.
+    Bars and records are sorted together over all tasks by time (records of one time may go to several); each task hands the
+    last bar on from row to row while its rows stream by, and the last bars of the tasks before it, one small table, fill its
+    beginning. So neither the number of bars nor that of records at one time matters.
     """
-    bars = calendar.select(F.col(TIME).alias("_bar")).distinct().withColumn("_span", F.date_trunc(span, "_bar"))
-    spans = records.select(F.date_trunc(span, timestamp).alias("_span")).union(bars.select("_span")).filter("_span is not null").distinct()
-    last = bars.groupBy("_span").agg(F.max("_bar").alias("_last"), F.sort_array(F.collect_set("_bar")).alias("_bars"))
-    w = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
-    spans = spans.join(last, "_span", "left").withColumn("_before", F.last("_last", ignorenulls=True).over(w))
-    out = records.withColumn("_span", F.date_trunc(span, timestamp)).join(spans, "_span")
-    inside = F.array_max(F.filter("_bars", lambda b: b <= F.col(timestamp)))
-    return out.withColumn(TIME, F.coalesce(inside, "_before")).filter(F.col(TIME).isNotNull()).drop("_span", "_last", "_bars", "_before")
+    rows = records.withColumns({"_at": F.col(timestamp).cast("timestamp"), "_kind": F.lit(1), "_bar": F.lit(None).cast("timestamp")}).filter("_at IS NOT NULL")
+    bars = calendar.select(F.col(TIME).cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.col(TIME).cast("timestamp").alias("_bar")).filter("_at IS NOT NULL").distinct()
+    both = rows.unionByName(bars, allowMissingColumns=True).withColumn("_salt", F.when(F.col("_kind") == 1, F.rand(7)).otherwise(0.0))
+    order = ["_at", "_kind", "_salt"]
+    both = both.repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt")
+    at = both.columns.index("_bar")
+    names = [*both.columns, "_task"]
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            column = batch.column(at)
+            if last is not None and len(column):
+                column = pa.concat_arrays([pa.array([last], column.type), column])
+                column = pc.fill_null_forward(column).slice(1)
+            else:
+                column = pc.fill_null_forward(column)
+            last = column[-1].as_py() if len(column) else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :], pa.array([task] * len(batch), pa.int32())], names=names)
+
+    schema = StructType([*both.schema.fields, StructField("_task", IntegerType())])
+    filled = written(both.mapInArrow(carried, schema), "aligned")
+    before = F.max("_bar").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    ends = filled.groupBy("_task").agg(F.max("_bar").alias("_bar")).select("_task", before.alias("_before"))
+    out = filled.filter("_kind = 1").join(ends, "_task", "left").withColumn(TIME, F.coalesce("_bar", "_before"))
+    return out.filter(F.col(TIME).isNotNull()).drop("_at", "_kind", "_bar", "_task", "_before")
 
 
 def fan_out(records: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -124,15 +149,13 @@ def html_to_text(markup: Column) -> Column:
     x = F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/title)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
-    coded = F.contains(x, F.lit("&"))  # only texts with an entity go to Python
-    x = F.when(coded, _unescape(F.when(coded, x))).otherwise(x)
-    return F.regexp_replace(x, r"[ \t\xa0]+", " ")
+    return F.regexp_replace(_unescape(x), r"[ \t\xa0]+", " ")  # x stands here once, so that it is made once
 
 
 @F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     """Named and numeric entities as characters."""
-    return text.map(html.unescape, na_action="ignore")
+    return text.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
 
 
 def tidy_lines(text: Column) -> Column:
@@ -176,7 +199,7 @@ def base_symbol(symbol: Column) -> Column:
 def chunks_of(text: Column, most: int = CHUNK_CHARS, count: int | None = CHUNKS) -> Column:
     """Paragraphs packed into chunks of at most ``most`` characters; longer paragraphs are cut; the first ``count`` chunks,
     or all of them (None)."""
-    parts = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda x: x != "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -195,8 +218,13 @@ def detect_symbols(reports: DataFrame, symbols: DataFrame, text: str = "text", k
     """One row for each report and symbol that occurs, itself or its base, as a whole word in its first 80 lines and 8000
     characters; ``*`` where none does.
 
-    The words of these heads are joined with the table of names, so no report is tried against every symbol.
+    The words of these heads are joined with the table of names, so no report is tried against every symbol. Without any symbol
+    to look for, pairs with a quote currency are found by their pattern.
     """
+    if symbols.isEmpty():
+        top = F.upper(F.substring(F.array_join(F.slice(F.split(F.col(text), "\n"), 1, 80), "\n"), 1, 8000))
+        pairs = F.array_sort(F.array_distinct(F.regexp_extract_all(top, F.lit(QUOTED_PAIR), F.lit(0))))
+        return reports.withColumn(ASSET, F.explode(F.when(F.size(pairs) > 0, pairs).otherwise(F.array(F.lit("*")))))
     names = symbols.select(F.upper(ASSET).alias(ASSET)).distinct()
     names = names.select(ASSET, F.explode(F.array(F.col(ASSET), base_symbol(F.col(ASSET)))).alias("name")).distinct()
     size = F.size(F.regexp_extract_all("name", F.lit(r"\w+"), F.lit(0)))
@@ -280,11 +308,11 @@ def summary_events(docs: DataFrame, aliases: DataFrame, symbols: DataFrame, summ
     """Events of document summaries (key, title, timestamp, summary as JSON), one row each.
 
     The symbol is that of the first of the event's symbol, its panel symbols, its other assets and the document's main
-    assets that isn't empty. Events without body go; titles, bodies and confidence are bounded; ``emitted`` is false for
+    assets that isn't empty. Events without body go; an event without title has the file's; titles, bodies and confidence are bounded; ``emitted`` is false for
     mere examples.
     """
     d = docs.withColumn("_s", F.from_json(summary, SUMMARY_SCHEMA))
-    e = d.select(key, F.col("title").alias("_title"), F.col("timestamp").alias("_ts"), F.col("_s.document_date").alias("_date"), F.col("_s.document_title").alias("_doc_title"), F.col("_s.primary_assets").alias("_main"), F.col("_s.evidence").alias("_ev"), F.posexplode("_s.events").alias("event_no", "e"))
+    e = d.select(key, F.col("title").alias("_title"), F.col("timestamp").alias("_ts"), F.col("_s.document_date").alias("_date"), F.col("_s.primary_assets").alias("_main"), F.col("_s.evidence").alias("_ev"), F.posexplode("_s.events").alias("event_no", "e"))
     empty = F.array().cast("array<string>")
     wanted = F.concat(F.array("e.symbol"), F.coalesce("e.panel_symbols", empty), F.coalesce("e.mentioned_assets", empty), F.coalesce("_main", empty))
     first = F.get(F.filter(wanted, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.lit(0))
@@ -294,7 +322,7 @@ def summary_events(docs: DataFrame, aliases: DataFrame, symbols: DataFrame, summ
     when = F.coalesce(parse_time(F.col("e.timestamp")), parse_time(F.col("_date")), F.col("_ts"))
     body = F.trim(F.coalesce("e.body", F.lit("")))
     confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("e.confidence", F.lit(0.6)))), 4)
-    out = e.filter(body != "").select(key, "event_no", ASSET, role.alias("asset_role"), F.substring(or_else("e.title", or_else("_doc_title", F.col("_title"))), 1, TITLE_CHARS).alias("title"), F.substring(body, 1, BODY_CHARS).alias("body"), or_else("e.event_type", F.lit("report_event")).alias("event_type"), or_else("e.direction", F.lit("neutral")).alias("direction"), confidence.alias("confidence"), F.when(F.size("e.evidence") > 0, F.col("e.evidence")).otherwise(F.col("_ev")).alias("evidence"), when.alias("timestamp"))
+    out = e.filter(body != "").select(key, "event_no", ASSET, role.alias("asset_role"), F.substring(or_else("e.title", F.trim("_title")), 1, TITLE_CHARS).alias("title"), F.substring(body, 1, BODY_CHARS).alias("body"), or_else("e.event_type", F.lit("report_event")).alias("event_type"), or_else("e.direction", F.lit("neutral")).alias("direction"), confidence.alias("confidence"), F.when(F.size("e.evidence") > 0, F.col("e.evidence")).otherwise(F.col("_ev")).alias("evidence"), when.alias("timestamp"))
     return out.withColumn("emitted", ~F.lower("asset_role").isin(SILENT_ROLES))
 
 

@@ -64,7 +64,7 @@ _R = ", ".join(f"round({c}, 6) AS {c}" for c in text.FEATURES)
 
 @query(f"WITH {P1}, {R1}, c AS (SELECT DISTINCT datetime FROM panel) SELECT rec.doc_id, c.datetime FROM rec ASOF JOIN c ON rec.ts >= c.datetime")
 def text_asof_bars(spark, sf_dir):
-    return text.align_to_bars(records(spark, sf_dir), daily(spark, sf_dir).select("datetime")).select("doc_id", "datetime")
+    return text.align_to_bars(records(spark, sf_dir).select("doc_id", "timestamp"), daily(spark, sf_dir).select("datetime")).select("doc_id", "datetime")
 
 
 @query(f"WITH {P1}, {R1} SELECT DISTINCT rec.symbol FROM rec WHERE symbol <> '*' AND symbol NOT IN (SELECT symbol FROM panel)")
@@ -384,13 +384,13 @@ def recent_rejected(spark, sf_dir):
     return library.recent_rejected(failures(spark, sf_dir)).select("name", "timestamp", "reason")
 
 
-@query(f"""WITH {EVENTS_SQL}, done AS (SELECT DISTINCT name, run_id FROM ev WHERE src = 0), p AS (SELECT *, row_number() OVER (PARTITION BY name, run_id ORDER BY ts, expression) AS n FROM ev WHERE src = 1),
+@query(f"""WITH {EVENTS_SQL}, done AS (SELECT DISTINCT name, run_id FROM ev WHERE src = 0), p AS (SELECT *, row_number() OVER (PARTITION BY name, run_id ORDER BY ts, expression) AS n FROM ev WHERE src > 0),
 u AS (SELECT name, run_id, max(ts) AS "timestamp", arg_max(reason, ts) FILTER (WHERE reason IS NOT NULL) AS reason, arg_max(expression, ts) AS expression, 'low_metric' AS "type" FROM ev WHERE src = 0 GROUP BY 1, 2)
 SELECT * FROM u UNION ALL SELECT name, run_id, ts, coalesce(reason, 'Proposed but results pending or rejected.'), expression, 'unsuccessful_attempt' FROM p ANTI JOIN done USING (name, run_id) WHERE n = 1""")
 def failure_proposals(spark, sf_dir):
     f = failures(spark, sf_dir)
     logs = f.filter("event_id % 3 = 0").withColumn("type", F.lit("low_metric"))
-    return library.upsert_failures(logs, proposals=f.filter("event_id % 3 = 1"))
+    return library.upsert_failures(logs, proposals=f.filter("event_id % 3 > 0"))
 
 
 @query(f"WITH {L1}, {FILES_SQL} SELECT 'records' AS \"check\", count(*) AS n FROM lib UNION ALL SELECT 'distinct_expressions', count(DISTINCT {BARE}) FROM lib UNION ALL SELECT 'duplicate_expressions', count(*) FROM (SELECT 1 FROM lib GROUP BY {BARE} HAVING count(*) > 1) UNION ALL SELECT 'duplicate_names', count(*) FROM (SELECT 1 FROM lib GROUP BY regexp_replace(factor_name, '\\s+\\d+$', '') HAVING count(*) > 1) UNION ALL SELECT 'orphan_files', count(*) FROM code WHERE file NOT IN (SELECT file FROM known WHERE file IS NOT NULL)")

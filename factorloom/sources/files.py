@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StringType, StructType
 
 TEXT_SCHEMA = "timestamp string, symbol string, source string, title string, body string, url string, source_file string, event_type string, confidence double, chunk_id int, direction string, asset_role string, primary_assets array<string>, ignored_mentions array<struct<mention:string,reason:string>>, evidence array<string>"
 RECORD_SCHEMA = "run_id string, hypothesis string, loop_round int, intra_loop_index int, factor_name string, factor_expression string, factor_file string, metrics map<string,string>, generation int, parent_1 string, parent_2 string, source string, fitness double"
@@ -25,9 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of this application."""
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application. Results that weren't written elsewhere can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later steps don't compute it again."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -119,32 +132,64 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 _DETAIL = "array<struct<name:string>>"
 LOOP_SCHEMA = (
-    "loop_index int, records array<struct<output_snapshot:struct<shared_updates:struct<hypothesis:string, experiment_spec:struct<factors:array<struct<factor_name:string,expression:string,code:string>>>, "
+    "loop_index int, records array<struct<output_snapshot:struct<shared_updates:struct<hypothesis:string, experiment_spec:struct<factors:array<struct<factor_name:string,expression:string>>>, "
     f"backtest_report:struct<per_factor_metrics:map<string,map<string,string>>, failed_details:{_DETAIL}>, failed_details:{_DETAIL}>>>>"
 )
 
 
+@F.pandas_udf(MapType(StringType(), StringType()))
+def codes_in(document: pd.Series) -> pd.Series:
+    """Code by factor name, from all objects at any depth that have a name (factor_name, else name) and code; of several for one
+    name the last in the document counts."""
+
+    def one(text: str | None) -> dict[str, str]:
+        try:
+            waiting, found = [json.loads(text)], {}
+        except (TypeError, ValueError, RecursionError):
+            return {}
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, dict):
+                name = x.get("factor_name") if "factor_name" in x and "code" in x else x.get("name")
+                if "code" in x and ("factor_name" in x or "name" in x) and isinstance(name, str):
+                    found[name] = x["code"] if isinstance(x["code"], str) else json.dumps(x["code"]) if x["code"] else ""
+                waiting += reversed(list(x.values()))
+            elif isinstance(x, list):
+                waiting += reversed(x)
+        return found
+
+    return document.map(one)
+
+
 def read_loop_logs(spark: SparkSession, path: str, min_ic: float = 0.003) -> DataFrame:
-    """Factors of the rounds in a folder of runs (run/loop_*.json), with the metrics of their backtest reports.
+    """``loop_logs`` of a folder of runs (run/loop_*.json)."""
+    file = F.col("_metadata.file_path")
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="loop_*.json")
+    return loop_logs(docs.select(F.element_at(F.split(file, "/"), -2).alias("run_id"), file.alias("file"), "value"), min_ic)
+
+
+def loop_logs(docs: DataFrame, min_ic: float = 0.003) -> DataFrame:
+    """Factors of rounds, given as (run_id, file, value: the round's log as JSON), with the metrics of their backtest reports.
 
     A factor counts once for each run, round and name, at its place in its report, unless the report lists it as failed or its
-    IC is too small (or missing). Hypothesis and expressions are the last that the round names.
+    IC is too small (or missing). Hypothesis and expressions are the last that the round names. A factor's code may stand
+    anywhere in the log (see ``codes_in``); where there is some, its file has the standard name. What isn't JSON goes.
     """
-    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="loop_*.json").select(F.col("_metadata.file_path").alias("file"), F.from_json("value", LOOP_SCHEMA).alias("d")).filter("d is not null")
+    docs = docs.select("run_id", "file", F.from_json("value", LOOP_SCHEMA).alias("d"), codes_in("value").alias("codes")).filter("d is not null")
     updates = F.transform("d.records", lambda r: r["output_snapshot"]["shared_updates"])
-    docs = docs.select(F.element_at(F.split("file", "/"), -2).alias("run_id"), "file", F.coalesce("d.loop_index", F.lit(0)).alias("loop_round"), F.filter(updates, lambda u: u.isNotNull()).alias("u"))
+    docs = docs.select("run_id", "file", "codes", F.coalesce("d.loop_index", F.lit(0)).alias("loop_round"), F.filter(updates, lambda u: u.isNotNull()).alias("u"))
     said = F.filter(F.transform("u", lambda u: u["hypothesis"]), lambda h: h.isNotNull())
     specs = F.flatten(F.filter(F.transform("u", lambda u: u["experiment_spec"]["factors"]), lambda x: x.isNotNull()))
     docs = docs.withColumns({"hypothesis": F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("No hypothesis found")), "specs": specs})
-    reports = docs.select("run_id", "file", "loop_round", "hypothesis", "specs", F.posexplode("u").alias("record_no", "u"))
+    reports = docs.select("run_id", "file", "codes", "loop_round", "hypothesis", "specs", F.posexplode("u").alias("record_no", "u"))
     bad = F.transform(F.coalesce(F.when(F.size("u.backtest_report.failed_details") > 0, F.col("u.backtest_report.failed_details")), F.col("u.failed_details"), F.array().cast(_DETAIL)), lambda x: x["name"])
-    rows = reports.withColumn("bad", bad).select("run_id", "file", "loop_round", "hypothesis", "specs", "record_no", "bad", F.posexplode(F.map_entries("u.backtest_report.per_factor_metrics")).alias("intra_loop_index", "e"))
+    rows = reports.withColumn("bad", bad).select("run_id", "file", "codes", "loop_round", "hypothesis", "specs", "record_no", "bad", F.posexplode(F.map_entries("u.backtest_report.per_factor_metrics")).alias("intra_loop_index", "e"))
     rows = rows.select("*", F.col("e.key").alias("factor_name"), F.col("e.value").alias("metrics"))
     rows = rows.filter(~F.coalesce(F.array_contains("bad", F.col("factor_name")), F.lit(False)) & (F.abs(F.coalesce(F.col("metrics")["IC"].try_cast("double"), F.lit(0.0))) >= min_ic))
     rows = first_of(rows, F.struct("run_id", "loop_round", "factor_name"), ["file", "record_no", "intra_loop_index"])
     own = F.try_element_at(F.filter("specs", lambda x: x["factor_name"] == F.col("factor_name")), F.lit(-1))
     standard = F.concat("run_id", F.lit("_L"), F.col("loop_round").cast("string"), F.lit("_I"), F.col("intra_loop_index").cast("string"), F.lit("_"), "factor_name", F.lit(".py"))
-    named = F.when(own["code"].isNotNull(), standard).otherwise(F.concat("factor_name", F.lit(".py")))
+    named = F.when(F.coalesce(F.try_element_at("codes", F.col("factor_name")), F.lit("")) != "", standard).otherwise(F.concat("factor_name", F.lit(".py")))
     return rows.select("run_id", "loop_round", "intra_loop_index", "factor_name", named.alias("factor_file"), F.coalesce(own["expression"], F.lit("Unknown")).alias("factor_expression"), "hypothesis", "metrics")
 
 

@@ -56,6 +56,33 @@ def test_clipping_needs_no_date_in_one_task(spark, monkeypatch):
     assert one == two
 
 
+@pytest.mark.parametrize(("groups", "by"), [(["g"], []), (["g"], ["x", "z"]), (["g", "h"], ["x"]), (["g", "h"], [])])
+def test_groups_are_taken_off_as_by_dummy_variables(spark, groups, by):
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(3):
+        for a in range(50):
+            g, h = f"g{rng.integers(4)}", f"h{rng.integers(3)}"
+            rows.append([DAY + timedelta(days=d), f"s{a}", None if a == 3 else g, h, float(rng.normal()), 1e6 * float(rng.normal()), float(rng.normal()) + len(g) * d, None if a == 7 else float(rng.normal() + int(g[1]) - 2 * int(h[1]))])
+    rows += [[DAY + timedelta(days=9), "s", "g", "h", 1.0, 1.0, 1.0, 5.0]]
+    df = spark.createDataFrame(rows, "datetime timestamp, symbol string, g string, h string, x double, z double, f double, k double").repartition(3)
+    got = {(r["datetime"], r["symbol"]): r for r in preprocess.neutralise_groups(df, ["f", "k"], groups, by).collect()}
+    assert len(got) == len(rows)
+    at = {"g": 2, "h": 3, "x": 4, "z": 5, "f": 6, "k": 7}
+    for d in range(3):
+        for c in ("f", "k"):
+            own = [r for r in rows if r[0] == DAY + timedelta(days=d)]
+            good = [r for r in own if all(r[at[v]] is not None for v in [*groups, *by, c])]
+            columns = [np.array([float(r[at[v]] == one) for r in good]) for v in groups for one in sorted({r[at[v]] for r in good})] + [np.array([r[at[v]] for r in good]) for v in by]
+            y = np.array([r[at[c]] for r in good])
+            m = np.column_stack(columns)
+            m = m / np.maximum(np.abs(m).max(axis=0), 1e-300)
+            want = y - m @ np.linalg.lstsq(m, y, rcond=None)[0]
+            assert [got[r[0], r[1]][c] for r in good] == pytest.approx(want.tolist(), abs=1e-7)
+            assert all(got[r[0], r[1]][c] is None for r in own if r not in good)
+    assert got[DAY + timedelta(days=9), "s"]["f"] == (1.0 if len(by) + 2 > 1 else 0.0)
+
+
 def panel_of(spark, n, assets=3, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(DAY + timedelta(hours=i), f"s{a}", None if rng.random() < 0.1 else float(rng.integers(0, 40)) if a else float(rng.normal()), "text") for a in range(assets) for i in range(n)] + [(DAY, "empty", None, "t"), (DAY, None, 2.0, "t"), (DAY + timedelta(hours=1), None, 1.0, "t")]

@@ -232,6 +232,31 @@ def test_common_subtrees_ignore_the_order_of_sums(spark):
     assert library.largest_common_subtree(a, b).first()["size"] == 5
 
 
+def test_chunks_lose_white_space_of_all_kinds(spark):
+    df = spark.createDataFrame([("\ta \n\n\n b\n\n \x0b\n\n\x1fc",)], "t string")
+    assert df.select(text.chunks_of("t", 1)).first()[0] == ["a", "b", "c"]
+
+
+def test_pairs_are_found_by_pattern_without_a_universe(spark):
+    reports = spark.createDataFrame([("a", "Buy btcusdt and ETHUSD, not XUSDT or AUSDTX.\n" + "line\n" * 80 + "SOLUSDT"), ("b", "nothing"), ("c", None)], "source_file string, text string")
+    none = spark.createDataFrame([], "symbol string")
+    assert sorted((r["source_file"], r["symbol"]) for r in text.detect_symbols(reports, none).collect()) == [("a", "BTCUSDT"), ("a", "ETHUSD"), ("b", "*"), ("c", "*")]
+
+
+def test_bars_are_handed_on_over_tasks(spark):
+    """Many bars a second, records of one time in several tasks, times before the first bar, none and odd columns."""
+    bars = spark.range(5000).select(F.timestamp_millis(F.col("id") * 7 + 1000).alias("datetime"))
+    rec = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.timestamp_millis(F.lit(20_000))).when(F.col("id") % 50 == 1, None).otherwise(F.timestamp_millis(F.col("id") * 20)).alias("timestamp"), F.array(F.lit("x")).alias("extra")).repartition(5)
+    got = {r["id"]: r for r in text.align_to_bars(rec, bars).collect()}
+    for i in range(3000):
+        at = None if i % 50 == 1 and i % 3 else 20_000 if i % 3 == 0 else i * 20
+        if at is None or at < 1000:
+            assert i not in got
+        else:
+            assert round(got[i]["datetime"].timestamp() * 1000) == 1000 + min((at - 1000) // 7, 4999) * 7 and got[i]["extra"] == ["x"]
+    assert text.align_to_bars(rec, bars.limit(0)).count() == 0 and text.align_to_bars(rec.limit(0), bars).count() == 0
+
+
 def test_missing_metrics_are_the_low_end(spark):
     row = spark.createDataFrame([(None, 0.4, float("nan"), float("inf"), 3.0, -1.0)], "a double, b double, c double, d double, e double, f double")
     got = row.select(*(stats.bounded(F.col(c)).alias(c) for c in "abcdef"), stats.abs_score(F.col("a"), 0.05).alias("g"), stats.abs_score(F.col("f"), 2.0).alias("h")).first()

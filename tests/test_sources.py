@@ -71,6 +71,16 @@ def test_loop_logs_with_metrics_by_run_round_and_name(spark, tmp_path):
     assert got == [("run1", 1, 0, "a", "a.py", "$a", "last", "0.01"), ("run1", 1, 1, "b", "run1_L1_I1_b.py", "$b", "last", "-0.02"), ("run2", 1, 0, "a", "a.py", "Unknown", "No hypothesis found", "0.3")]
 
 
+def test_code_at_any_depth(spark):
+    docs = [
+        ("r", "f", '{"loop_index": 3, "unknown": [[{"x": {"factor_name": "a", "code": "old"}}]], "records": [{"output_snapshot": {"shared_updates": {"backtest_report": {"per_factor_metrics": {"a": {"IC": 0.1}, "b": {"IC": 0.1}, "c": {"IC": 0.1}, "d": {"IC": 0.1}}}}}, "later": {"name": "b", "code": "y"}}], "z": {"name": "a", "code": "new", "inner": {"factor_name": "c", "code": ""}}}'),
+        ("r", "g", "{broken"), ("r", "h", None), ("s", "f", "[" * 5000 + "]" * 5000),
+    ]
+    df = spark.createDataFrame(docs, "run_id string, file string, value string")
+    assert {r["file"]: r["c"] for r in df.filter("run_id = 'r'").select("file", files.codes_in("value").alias("c")).collect()} == {"f": {"a": "new", "b": "y", "c": ""}, "g": {}, "h": {}}
+    assert sorted((r["factor_name"], r["factor_file"]) for r in files.loop_logs(df).collect()) == [("a", "r_L3_I0_a.py"), ("b", "r_L3_I1_b.py"), ("c", "c.py"), ("d", "d.py")]
+
+
 def test_aliases_in_yaml(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("# names\nbtc: btcusdt\n'eth 2' : \"ethusdt\"  # second\nempty:\n")
     assert sorted(map(tuple, files.read_aliases(spark, f"{tmp_path}/a.yaml").collect())) == [("BTC", "BTCUSDT"), ("ETH 2", "ETHUSDT")]

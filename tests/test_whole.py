@@ -13,7 +13,7 @@ QUERIES = registry.queries()
 
 def plain_chunks(text, most):
     done, chunk = [], ""
-    for p in (x.strip(" ") for x in text.split("\n")):
+    for p in (x.strip() for x in text.split("\n")):
         if not p:
             continue
         joined = f"{chunk}\n\n{p}" if chunk else p
