@@ -5,13 +5,15 @@ A library has run_id, loop_round, intra_loop_index, factor_name, factor_expressi
 
 from __future__ import annotations
 
+import ast
+import hashlib
 import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from factorloom.functions.factor_functions import REGISTRY
 from factorloom.functions.stats import strip
@@ -270,39 +272,58 @@ def similar_expressions(new: DataFrame, library: DataFrame, threshold: float = 0
     return full.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select(F.col("new").alias("new_form"), F.col("old").alias("old_form"), "similarity", "n_new", "n_old")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("form", StringType()), StructField("size", IntegerType())])))
+def _forms(text: str | None) -> dict[bytes, tuple[int, str]]:
+    """Size and form of each distinct sub-expression by its hash, which follows from its label and the hashes of its operands
+    (sorted, for + and *)."""
+    found: dict[bytes, tuple[int, str]] = {}
+
+    def walk(node: ast.expr) -> tuple[bytes, int, str]:
+        children = [walk(c) for c in ast.iter_child_nodes(node) if isinstance(c, ast.expr) and not (isinstance(node, ast.Call) and c is node.func)]
+        label = type(node.op).__name__ if isinstance(node, ast.BinOp | ast.UnaryOp) else node.func.id if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) else node.id if isinstance(node, ast.Name) else repr(getattr(node, "value", type(node).__name__))
+        hashes, forms = [h for h, *_ in children], [f for *_, f in children]
+        if label in ("Add", "Mult"):
+            hashes.sort()
+            forms.sort()
+        key = hashlib.md5(b"".join([label.encode(), b"\0", *hashes]), usedforsecurity=False).digest()
+        size, form = 1 + sum(n for _, n, _ in children), f"{label}({','.join(forms)})" if forms else label
+        found[key] = size, form
+        return key, size, form
+
+    try:
+        walk(ast.parse(re.sub(r"\$(\w+)", r"\1", text or "").replace("&&", "&").replace("||", "|").strip(), mode="eval").body)
+    except (SyntaxError, ValueError, RecursionError):
+        return {}
+    return found
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("hash", BinaryType()), StructField("size", IntegerType())])))
 def subtrees(expression: pd.Series) -> pd.Series:
-    """The distinct sub-expressions of an expression in a form in which operands of + and * are sorted, with their sizes."""
-    import ast
+    """The distinct sub-expressions of an expression as hashes, with their sizes."""
+    return expression.map(lambda text: [(h, n) for h, (n, _) in _forms(text).items()])
 
-    def one(text: str | None) -> list[tuple[str, int]]:
-        found: dict[str, int] = {}
-
-        def walk(node: ast.expr) -> tuple[str, int]:
-            children = [walk(c) for c in ast.iter_child_nodes(node) if isinstance(c, ast.expr) and not (isinstance(node, ast.Call) and c is node.func)]
-            forms = [f for f, _ in children]
-            label = type(node.op).__name__ if isinstance(node, ast.BinOp | ast.UnaryOp) else node.func.id if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) else node.id if isinstance(node, ast.Name) else repr(getattr(node, "value", type(node).__name__))
-            if label in ("Add", "Mult"):
-                forms.sort()
-            form, size = f"{label}({','.join(forms)})" if forms else label, 1 + sum(n for _, n in children)
-            found[form] = size
-            return form, size
-
-        try:
-            walk(ast.parse(re.sub(r"\$(\w+)", r"\1", text or "").replace("&&", "&").replace("||", "|").strip(), mode="eval").body)
-        except (SyntaxError, ValueError):
-            return []
-        return sorted(found.items())
 
-    return expression.map(one)
+@F.pandas_udf(StructType([StructField("old", StringType()), StructField("size", IntegerType()), StructField("form", StringType())]))
+def _named(new: pd.Series, found: pd.Series) -> pd.DataFrame:
+    """Of sub-expressions of one size the one with the largest form, read from the expression itself."""
+    rows = []
+    for text, own in zip(new, found, strict=True):
+        forms = _forms(text)
+        rows.append(max(((x["old"], *forms[bytes(x["hash"])]) for x in own), key=lambda r: r[2]))
+    return pd.DataFrame(rows, columns=["old", "size", "form"])
 
 
 def largest_common_subtree(new: DataFrame, library: DataFrame, expression: str = "factor_expression") -> DataFrame:
-    """(new, old, size, form): for each new expression, the library's expression with the largest sub-expression in common."""
-    a = new.select(F.col(expression).alias("new")).distinct().select("new", F.explode(subtrees("new")).alias("s")).select("new", "s.form", "s.size")
-    b = library.select(F.col(expression).alias("old")).distinct().select("old", F.explode(subtrees("old")).alias("s")).select("old", "s.form")
-    b = b.groupBy("form").agg(F.min("old").alias("old"))
-    return a.join(b, "form").groupBy("new").agg(F.max_by(F.struct("old", "size", "form"), F.struct("size", "form")).alias("m")).select("new", "m.*")
+    """(new, old, size, form): for each new expression, the library's expression with the largest sub-expression in common.
+
+    Sub-expressions travel as hashes of 16 bytes; their texts are made again only for the largest of each new expression.
+    The library has one row for each of them, so that a common one meets a new expression once.
+    """
+    a = new.select(F.col(expression).alias("new")).distinct().select("new", F.explode(subtrees("new")).alias("s")).select("new", "s.hash", "s.size")
+    b = library.select(F.col(expression).alias("old")).distinct().select("old", F.explode(subtrees("old")).alias("s")).select("old", "s.hash")
+    b = b.groupBy("hash").agg(F.min("old").alias("old"))
+    by_size = a.join(b, "hash").groupBy("new", "size").agg(F.collect_list(F.struct("hash", "old")).alias("found"))
+    best = by_size.groupBy("new").agg(F.max_by("found", "size").alias("found"))
+    return best.select("new", _named("new", "found").alias("m")).select("new", "m.*")
 
 
 def quality_gate(new: DataFrame, library: DataFrame, columns: list[str], min_ic: float = 0.003, min_icir: float = 0.005, max_turnover: float = 0.5, min_coverage: float = 0.8, threshold: float = 0.9) -> DataFrame:

@@ -117,17 +117,48 @@ def test_text_stream_replaces_by_source(spark, tmp_path):
     (incoming / "2.json").write_text(json.dumps(row | {"source_file": "f1", "title": "new"}))
     jobs.ingest_text(spark, str(incoming), str(store), f"{tmp_path}/cp").awaitTermination()
     assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store)).collect()) == [("f1", "new"), ("f2", "old")]
-    versions = sorted(str(p.relative_to(store)) for p in store.glob("v=*/part=*"))
-    assert [v[:3] for v in versions].count("v=1") == 1  # only the part of the source that came again is written anew
+    folders = lambda: sorted(str(p.relative_to(store / "data"))[:2] for p in store.glob("data/*/part=*"))
+    assert folders().count("1-") == 1  # only the part of the source that came again is written anew
     (incoming / "3.json").write_text(json.dumps(row | {"source_file": "f1", "title": "newest"}))
     jobs.ingest_text(spark, str(incoming), str(store), f"{tmp_path}/cp").awaitTermination()
     assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store)).collect()) == [("f1", "newest"), ("f2", "old")]
     assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store), 2).collect()) == [("f1", "new"), ("f2", "old")]
-    assert len(list(store.glob("v=*/part=*"))) == 3  # the first version of f1's part is gone
+    assert len(folders()) == 4 and jobs.vacuum(spark, str(store)) == 1  # the first version of f1's part
+    assert sorted((r["source_file"], r["title"]) for r in jobs.stored_text(spark, str(store), 2).collect()) == [("f1", "new"), ("f2", "old")]
     files.write_market_text(jobs.stored_text(spark, str(store)), f"{tmp_path}/out")
     assert files.read_market_text(spark, f"{tmp_path}/out", "jsonl").count() == 2
 
 
+def test_commits_are_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from factorloom.sources.files import TEXT_SCHEMA
+
+    store, publish = str(tmp_path / "store"), jobs._publish
+    batch = lambda title, *sources: spark.createDataFrame([("2024-01-01", "A", s, title, 0) for s in sources], "timestamp string, symbol string, source_file string, title string, chunk_id int").select(*(F.col(f.name) if f.name in ("timestamp", "symbol", "source_file", "title", "chunk_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], TEXT_SCHEMA).schema))
+    rows = lambda df: sorted((r["source_file"], r["title"]) for r in df.collect())
+    assert jobs.commit_text(spark, store, batch("one", "a", "b"), 0) and not jobs.commit_text(spark, store, batch("again", "a"), 0)
+    pinned = jobs.stored_text(spark, store)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(jobs, "_publish", crash)
+    with pytest.raises(RuntimeError):
+        jobs.commit_text(spark, store, batch("two", "a", "c"), 1)
+    assert rows(jobs.stored_text(spark, store)) == [("a", "one"), ("b", "one")]
+
+    def beaten(spark, store, version, entry):
+        monkeypatch.setattr(jobs, "_publish", publish)
+        assert jobs.commit_text(spark, store, batch("first", "b", "d"), 1)
+        return publish(spark, store, version, entry)
+
+    monkeypatch.setattr(jobs, "_publish", beaten)
+    assert jobs.commit_text(spark, store, batch("two", "a", "c"), 2)
+    assert rows(jobs.stored_text(spark, store)) == [("a", "two"), ("b", "first"), ("c", "two"), ("d", "first")]
+    assert rows(pinned) == [("a", "one"), ("b", "one")]  # a reader keeps its version
+    assert jobs.vacuum(spark, store, 1) > 0 and rows(jobs.stored_text(spark, store)) == [("a", "two"), ("b", "first"), ("c", "two"), ("d", "first")]
+    assert not jobs.commit_text(spark, store, batch("late", "a"), 2) and rows(jobs.stored_text(spark, f"{store}-none")) == []
+
+
 def test_summaries(spark):
     doc = {"primary_assets": ["BTC"], "evidence": ["e"], "events": [{"symbol": "", "body": "up", "confidence": 7}, {"symbol": "ETH", "body": ""}, {"symbol": "zzz", "body": "x", "asset_role": "Backtest_Example", "timestamp": "2024-02-03"}]}
     docs = spark.createDataFrame([("f", "title", "2024-01-01", json.dumps(doc))], "source_file string, title string, timestamp string, summary_json string").withColumn("timestamp", F.to_timestamp("timestamp"))
