@@ -24,23 +24,36 @@ class FactorFunction:
     build: Callable[..., Column]
     least: int
     most: int
+    reach: Callable[..., tuple[int | None, int | None]] | None = None
 
 
 REGISTRY: dict[str, FactorFunction] = {}
 
 
-def register(name: str, kind: str, least: int, most: int | None = None) -> Callable:
-    """Makes a function known to expressions; users may add their own."""
+def register(name: str, kind: str, least: int, most: int | None = None, reach: Callable[..., tuple[int | None, int | None]] | None = None) -> Callable:
+    """Makes a function known to expressions; users may add their own.
+
+    ``reach``: of a function along assets, the rows before and after a row that its value depends on, by its numeric arguments
+    (None: any number). Without it both are unknown.
+    """
     if kind not in ("asset", "date", "row"):
         raise ValueError(f"kind {kind!r}")
 
     def keep(build: Callable[..., Column]) -> Callable[..., Column]:
-        REGISTRY[name] = FactorFunction(kind, build, least, most or least)
+        REGISTRY[name] = FactorFunction(kind, build, least, most or least, reach)
         return build
 
     return keep
 
 
+def _shifted(p: int = 1) -> tuple[int, int]:
+    return int(p), 0
+
+
+def _framed(p: int = 5) -> tuple[int, int]:
+    return int(p) - 1, 0
+
+
 def _rows(p: Column | float) -> int:
     if isinstance(p, Column) or int(p) != p:
         raise ValueError("a number of rows must be a whole number")
@@ -85,13 +98,13 @@ def min2(x, y):
     return _both(x, y, F.least)
 
 
-@register("Ref", "asset", 1, 2)
-@register("DELAY", "asset", 1, 2)
+@register("Ref", "asset", 1, 2, _shifted)
+@register("DELAY", "asset", 1, 2, _shifted)
 def delay(x, p=1):
     return F.lag(x, _rows(p)).over(over_time())
 
 
-@register("DELTA", "asset", 1, 2)
+@register("DELTA", "asset", 1, 2, _shifted)
 def delta(x, p=1):
     return x - F.lag(x, _rows(p)).over(over_time())
 
@@ -136,54 +149,54 @@ def scale(x, a=1.0):
     return F.try_divide(x * float(a), F.sum(F.abs(x)).over(over_assets()))
 
 
-@register("TS_MEAN", "asset", 1, 2)
+@register("TS_MEAN", "asset", 1, 2, _framed)
 def ts_mean(x, p=5):
     return F.avg(x).over(last_rows(_some(p)))
 
 
-@register("TS_SUM", "asset", 1, 2)
+@register("TS_SUM", "asset", 1, 2, _framed)
 def ts_sum(x, p=5):
     return F.sum(x).over(last_rows(_some(p)))
 
 
-@register("TS_MIN", "asset", 1, 2)
+@register("TS_MIN", "asset", 1, 2, _framed)
 def ts_min(x, p=5):
     return F.min(x).over(last_rows(_some(p)))
 
 
-@register("TS_MAX", "asset", 1, 2)
+@register("TS_MAX", "asset", 1, 2, _framed)
 def ts_max(x, p=5):
     return F.max(x).over(last_rows(_some(p)))
 
 
-@register("TS_STD", "asset", 1, 2)
+@register("TS_STD", "asset", 1, 2, _framed)
 def ts_std(x, p=5):
     return F.stddev_samp(x).over(last_rows(_some(p)))
 
 
-@register("TS_MEDIAN", "asset", 1, 2)
+@register("TS_MEDIAN", "asset", 1, 2, _framed)
 def ts_median(x, p=5):
     return F.percentile(x, 0.5).over(last_rows(_some(p)))
 
 
-@register("TS_RANK", "asset", 1, 2)
+@register("TS_RANK", "asset", 1, 2, _framed)
 def ts_rank(x, p=5):
     window = F.collect_list(x).over(last_rows(_some(p)))
     less, equal = F.size(F.filter(window, lambda v: v < x)), F.size(F.filter(window, lambda v: v == x))
     return F.when(x.isNotNull(), F.try_divide(less + (equal + 1) / 2, F.size(window)))
 
 
-@register("TS_ZSCORE", "asset", 1, 2)
+@register("TS_ZSCORE", "asset", 1, 2, _framed)
 def ts_zscore(x, p=5):
     return F.try_divide(x - ts_mean(x, p), ts_std(x, p))
 
 
-@register("_FILL", "asset", 1)
+@register("_FILL", "asset", 1, reach=lambda: (None, 0))
 def fill_forward(x):
     return F.last(x, ignorenulls=True).over(over_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
-@register("WMA", "asset", 1, 2)
+@register("WMA", "asset", 1, 2, _framed)
 def wma(x, p=5):
     """Weights 1 to p over their sum, the newest row heaviest; rows before the first count 0, a missing value gives null."""
     p = _some(p)
@@ -194,7 +207,7 @@ def wma(x, p=5):
     return F.when(whole, F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v))
 
 
-@register("TS_CORR", "asset", 2, 3)
+@register("TS_CORR", "asset", 2, 3, _framed)
 def ts_corr(x, y, p=5):
     """Pearson correlation of the complete pairs of the last p rows, from two pairs on."""
     both, window = x.isNotNull() & y.isNotNull(), last_rows(_some(p))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from factorloom.functions.stats import ASSET, TIME, compound, pair_corr, rank_pc
 from factorloom.operators.evaluate import complete, daily_ic, long_frame
 from factorloom.operators.panel import dates, to_long
 from factorloom.operators.quantiles import exact_quantiles
+from factorloom.sources.files import written
 
 #: Factors by factors of a tile of sums.
 TILE = 128
@@ -188,30 +191,88 @@ def correlation_penalty(df: DataFrame, factors: list[str]) -> DataFrame:
     return correlation_pairs(df, factors).agg(F.coalesce(F.avg(F.abs("corr")), F.lit(0.0)).alias("correlation"))
 
 
-def look_ahead(panel: DataFrame, expressions: dict[str, str], cuts: int = 5, tolerance: float = 1e-8, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def look_ahead(
+    panel: DataFrame, expressions: dict[str, str], cuts: int = 5, tolerance: float = 1e-8, prepare: Callable[[DataFrame], DataFrame] | None = None, prepared: tuple[int | None, int | None] = (None, None), least: int = 5, relative: float = 1e-5
+) -> DataFrame:
     """(factor, max_diff, passed): each factor is recomputed on the panel cut off after each of the last dates before the
-    end; values that later rows change give it away. The cut-offs are a few dates, so the rounds are as few.
+    end; values that later rows change give it away.
 
-    ``prepare`` makes the panel's derived columns, anew for each cut-off. The panel and the whole factors are written once.
+    The reach of each expression, read off its tree, says which dates a cut can change and which rows these need. Only the
+    last of them are read, at least ``least`` dates being compared, and all cuts are evaluated in one job beside each other. Factors whose reach is
+    unknown or without end (filled forward, users' functions that don't declare it) are recomputed as a whole, in one more.
+
+    ``prepare`` makes the panel's derived columns, anew for each cut-off, of the rows before and after that ``prepared`` names. A
+    difference passes up to ``tolerance`` and a ``relative`` part of the value; a value missing on one side never does. Expressions that
+    can't be evaluated don't pass. With fewer than ``cuts`` + 2 dates nothing is compared: all pass, and max_diff is null.
     """
-    from factorloom.operators.factors import with_factors
-    from factorloom.sources.files import written
-
-    panel = written(panel, "panel")
-    full, failed = with_factors(prepare(panel), expressions, [TIME, ASSET])
-    names = [n for n in expressions if n not in failed]
-    whole = written(to_long(full, names), "factors")
-    ends = [r[TIME] for r in dates(panel).orderBy(F.desc(TIME)).limit(cuts + 1).collect()][1:]
-    worst = None
-    for end in ends:
-        part, _ = with_factors(prepare(panel.filter(F.col(TIME) <= F.lit(end))), {n: expressions[n] for n in names}, [TIME, ASSET])
-        both = to_long(part, names).withColumnRenamed("value", "again").join(whole, [TIME, ASSET, "factor"])
-        gap = F.when(F.col("again").isNull() != F.col("value").isNull(), F.lit(float("inf"))).otherwise(F.coalesce(F.abs(F.col("again") - F.col("value")), F.lit(0.0)))
-        one = both.groupBy("factor").agg(F.max(gap).alias("d"))
-        worst = one if worst is None else worst.union(one)
-    if worst is None:
-        return panel.sparkSession.createDataFrame([], "factor string, max_diff double, passed boolean")
-    return worst.groupBy("factor").agg(F.max("d").alias("max_diff")).withColumn("passed", F.col("max_diff") <= tolerance)
+    from factorloom.operators.factors import reach, with_factors
+
+    made = prepared if prepare else (0, 0)
+    if not prepare:
+        used = {c for e in expressions.values() for c in re.findall(r"\$(\w+)", e)}
+        panel = panel.select(TIME, ASSET, *(f"`{c}`" for c in panel.columns if c in used - {TIME, ASSET}))
+    prepare = prepare or (lambda d: d)
+    columns = prepare(panel.limit(0)).columns
+    _, failed = with_factors(prepare(panel.limit(0)), expressions, [TIME, ASSET])
+    spans = {n: reach(e, columns, made) for n, e in expressions.items() if n not in failed}
+    bounded = [n for n, span in spans.items() if all(None not in s for s in span)]
+    spark, verdict = panel.sparkSession, "factor string, max_diff double, passed boolean"
+    out = spark.createDataFrame([(n, None, False) for n in expressions if n in failed], verdict)
+    floors, tail = _floors(panel, {x for n in bounded for s in spans[n] for x in s}, cuts + least)
+    if len(tail) < cuts + 2:
+        return out.union(spark.createDataFrame([(n, None, True) for n in spans], verdict))
+    places = range(len(tail) - 1 - cuts, len(tail) - 1)
+    for names in (bounded, [n for n in spans if n not in bounded]):
+        if not names:
+            continue
+        zones = starts = [None] * cuts
+        if names is bounded:
+            widest = [tuple(max(spans[n][i][side] if i < len(spans[n]) else 0 for n in names) for side in (0, 1)) for i in range(max(len(spans[n]) for n in names))]
+            changed = _back(floors, [tail[i + 1] for i in places], [after for _, after in reversed(widest)])
+            zones = [min(z, tail[max(0, i + 1 - least)]) for z, i in zip(changed, places, strict=True)]
+            starts = _back(floors, zones, [before for before, _ in widest])
+        since = None if None in starts else min(starts)
+        rows = written(panel if since is None else panel.filter(F.col(TIME) >= F.lit(since)), "tail")
+        slices = [rows] + [rows.filter((F.col(TIME) <= F.lit(tail[i])) & (F.lit(True) if s is None else F.col(TIME) >= F.lit(s))) for i, s in zip(places, starts, strict=True)]
+        beside = reduce(DataFrame.unionByName, (prepare(d).withColumn("_cut", F.lit(k)) for k, d in enumerate(slices)))
+        beside = beside.withColumns({c: F.struct("_cut", c) for c in (TIME, ASSET)})  # so the cuts share no date and no asset
+        values, _ = with_factors(beside, {n: expressions[n] for n in names}, [TIME, ASSET])
+        cut, when = F.col(f"{ASSET}._cut"), F.col(f"{TIME}.{TIME}")
+        judged = F.lit(True) if None in zones else reduce(lambda a, k: a.when(cut == k + 1, when >= F.lit(zones[k])), range(cuts), F.when(cut == 0, when >= F.lit(min(zones))))  # noqa: B023
+        aggs = [F.count_if(F.col("_k") > 0).alias("_n")]
+        for j, n in enumerate(names):
+            again = F.when(F.col("_k") > 0, F.col(f"`{n}`"))
+            aggs += [F.max(F.when(F.col("_k") == 0, F.col(f"`{n}`"))).alias(f"_v{j}"), F.min(again).alias(f"_a{j}"), F.max(again).alias(f"_b{j}"), F.count(again).alias(f"_c{j}")]
+        cells = values.filter(judged).select(cut.alias("_k"), when.alias("_t"), F.col(f"{ASSET}.{ASSET}").alias("_s"), *(F.col(f"`{n}`") for n in names)).groupBy("_t", "_s").agg(*aggs).filter("_n > 0")
+        found = []
+        for j, n in enumerate(names):
+            v, there = F.col(f"_v{j}"), F.col(f"_c{j}")
+            gaps = [F.abs(F.col(f"_{side}{j}") - v) for side in "ab"]
+            lost = F.when(v.isNull(), there > 0).otherwise(there < F.col("_n"))
+            wrong = lost | reduce(lambda a, b: a | b, (F.coalesce(g > tolerance + relative * F.abs(F.col(f"_{side}{j}")), F.lit(False)) for g, side in zip(gaps, "ab", strict=True)))
+            gap = F.when(lost, float("inf")).otherwise(F.coalesce(F.greatest(*gaps), F.lit(0.0)))
+            found.append(F.struct(F.lit(n).alias("factor"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_diff"), F.coalesce(~F.bool_or(wrong), F.lit(True)).alias("passed")))
+        out = out.union(cells.agg(F.array(*found).alias("found")).select(F.inline("found")))
+    return out
+
+
+def _floors(panel: DataFrame, rows: set[int], last: int) -> tuple[DataFrame, list]:
+    """One row a date, with the first date that any asset's row of the date reaches by going back so many of its rows (``_f3``: three;
+    assets with fewer: to their first); and the last dates in order."""
+    w = Window.partitionBy(ASSET).orderBy(TIME)
+    keys = panel.select(TIME, ASSET).filter(F.col(TIME).isNotNull())
+    far = {f"_f{n}": F.coalesce(F.lag(TIME, n).over(w), F.first(TIME).over(w)) for n in sorted(rows) if n}
+    floors = written((keys.withColumns(far) if far else keys).groupBy(TIME).agg(F.count("*").alias("_n"), *(F.min(f).alias(f) for f in far)), "floors")
+    return floors, sorted(r[TIME] for r in floors.orderBy(F.desc(TIME)).limit(last + 1).select(TIME).collect())
+
+
+def _back(floors: DataFrame, since: list, rows: list[int]) -> list:
+    """Each of the dates ``since`` moved back by so many rows of the assets that have rows from there on, step by step: one small job a step."""
+    for n in rows:
+        if n:
+            row = floors.agg(*(F.min(F.when(F.col(TIME) >= F.lit(s), F.col(f"_f{n}"))).alias(f"_{k}") for k, s in enumerate(since))).first()
+            since = [min(s, r) for s, r in zip(since, row, strict=True)]
+    return since
 
 
 def overfit_check(df: DataFrame, factors: list[str], target: str = "returns_1d", fraction: float = 0.7, decay: float = 0.7, least: float = 0.002, judged: float = 0.01) -> DataFrame:

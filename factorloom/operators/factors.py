@@ -132,6 +132,38 @@ def _column(node: ast.expr, made: dict[str, str]) -> Column | float:
     raise ValueError(f"{ast.unparse(node)} isn't allowed in an expression")
 
 
+#: For each change between rows along assets and dates across them, outermost first: rows before and after; None: any number.
+Span = list[tuple[int | None, int | None]]
+
+
+def _wider(spans: list[Span]) -> Span:
+    """The least span that holds all of ``spans``."""
+    widest = lambda rows: None if None in rows else max(rows)
+    return [tuple(widest([s[i][side] if i < len(s) else 0 for s in spans]) for side in (0, 1)) for i in range(max(map(len, spans), default=1))]
+
+
+def _span(node: ast.expr, leaf: Span) -> Span:
+    if isinstance(node, ast.Name):
+        return leaf
+    if not isinstance(node, ast.Call):
+        return _wider([[(0, 0)], *(_span(c, leaf) for c in ast.iter_child_nodes(node) if isinstance(c, ast.expr))])
+    args = [*node.args, *(k.value for k in node.keywords)]
+    below, known = _wider([[(0, 0)], *(_span(a, leaf) for a in args)]), REGISTRY[call_name(node)]
+    if known.kind == "date":
+        return [(0, 0), *below]
+    if known.kind == "asset":
+        numbers = [_column(a, {}) for a in args if not any(isinstance(n, ast.Name) for n in ast.walk(a))]
+        own = known.reach(*numbers) if known.reach else (None, None)
+        return [tuple(None if None in (a, b) else a + b for a, b in zip(own, below[0], strict=True)), *below[1:]]
+    return below
+
+
+def reach(expression: str, columns: list[str], made: tuple[int | None, int | None] = (0, 0)) -> Span:
+    """How far the value of a row can depend on other rows: windows along a path of the tree add up, those on different paths
+    don't. ``made``: rows before and after that the panel's own columns were made of."""
+    return _span(_expand(parse(expression, columns)), [(0, 0)] if made == (0, 0) else [(0, 0), made])
+
+
 def with_factors(panel: DataFrame, expressions: dict[str, str], keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """``panel`` with a double column for each expression, and the reasons of those that can't be evaluated.
 

@@ -604,7 +604,7 @@ g AS (SELECT max(CASE WHEN (x IS NULL) <> (y IS NULL) THEN 'infinity'::DOUBLE EL
 SELECT unnest(['reversal', 'volume', 'cheap']) AS factor, 0.0::DOUBLE AS max_diff, true AS passed UNION ALL SELECT 'leak', d, d <= 1e-8 FROM g""")
 def look_ahead_check(spark, sf_dir):
     """The panel's label is derived again for each cut-off, so that a factor of it gives itself away."""
-    return diagnostics.look_ahead(weekly(spark, sf_dir).drop("returns_1d"), FACTORS | LEAK, prepare=panel.with_label)
+    return diagnostics.look_ahead(weekly(spark, sf_dir).drop("returns_1d"), FACTORS | LEAK, prepare=panel.with_label, prepared=(0, 1))
 
 
 #: Candidates: good ones (the delay of one is clamped to 2), one without values, an equal one, one with an unknown column, one with too many nodes.

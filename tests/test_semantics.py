@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.factor_functions import register
 from factorloom.functions import stats
-from factorloom.functions.stats import compound, rank_pct
+from factorloom.functions.stats import compound, over_time, rank_pct
 from factorloom.operators import diagnostics, evaluate, library, model, panel, preprocess, text
-from factorloom.operators.factors import parse, shape, with_factors
+from factorloom.operators.factors import parse, reach, shape, with_factors
 
 DAY = datetime(2024, 1, 1)
 
@@ -92,11 +92,73 @@ def test_user_functions(spark):
 
 def test_appending_rows_doesnt_change_factors(spark):
     df = make(spark, {"a": [1.0, 4.0, 2.0, 8.0, 3.0, 9.0], "b": [2.0, 1.0, 5.0, 3.0, 7.0, 1.0]})
-    got = {r["factor"]: r["passed"] for r in diagnostics.look_ahead(df, {"good": "RANK(TS_MEAN($x, 3))"}, cuts=2).collect()}
-    assert got == {"good": True}
-    register("_AHEAD", "asset", 1)(lambda x: F.lead(x, 1).over(__import__("factorloom.functions.stats", fromlist=["x"]).over_time()))
+    got = {r["factor"]: r["passed"] for r in diagnostics.look_ahead(df, {"good": "RANK(TS_MEAN($x, 3))", "filled": "TS_PCTCHANGE($x, 1)", "broken": "RANK($nothing)"}, cuts=2).collect()}
+    assert got == {"good": True, "filled": True, "broken": False}
+    register("_AHEAD", "asset", 1)(lambda x: F.lead(x, 1).over(over_time()))
     got = {r["factor"]: r["passed"] for r in diagnostics.look_ahead(df, {"bad": "_AHEAD($x)"}, cuts=2).collect()}
     assert got == {"bad": False}
+    few = diagnostics.look_ahead(df, {"bad": "_AHEAD($x)"}, cuts=5).collect()
+    assert [tuple(r) for r in few] == [("bad", None, True)]  # six dates are too few for five cuts
+    assert diagnostics.look_ahead(df.filter("false"), {"good": "RANK($x)"}).first()["max_diff"] is None
+
+
+def test_reach_of_expressions(spark):
+    register("_NEXT", "asset", 1, 2, lambda p=1: (0, p))(lambda x, p=1: F.lead(x, int(p)).over(over_time()))
+    register("_ALL", "asset", 1)(lambda x: F.avg(x).over(over_time().rowsBetween(-10, 10)))
+    spans = {
+        "$x + 1": [(0, 0)],
+        "TS_MEAN(DELAY($x, 3), 4) - TS_STD($x)": [(6, 0)],
+        "TS_MEAN(DELTA($x), p=2 + 2)": [(4, 0)],
+        "RANK(TS_MEAN($x, 3)) + DELAY($x, 9)": [(9, 0), (2, 0)],
+        "TS_SUM(RANK(TS_CORR($x, $x, 10)), 3) * ZSCORE($x)": [(2, 0), (9, 0)],
+        "TS_PCTCHANGE($x, 2)": [(None, 0)],
+        "RANK(_NEXT($x, 2))": [(0, 0), (0, 2)],
+        "_ALL($x)": [(None, None)],
+    }
+    assert {e: reach(e, ["x"]) for e in spans} == spans
+    assert reach("TS_MEAN($x, 3)", ["x"], (0, 1)) == [(2, 0), (0, 1)]
+
+
+def scattered(spark):
+    """Assets with gaps, one that ends early, one that begins late, and one with two rows far apart."""
+    days = {"a": range(40), "b": [d for d in range(40) if d % 3], "c": range(15), "d": range(33, 40), "e": [2, 38], "f": [d for d in range(40) if d % 7 == 0]}
+    return make(spark, {s: [float((i * 37 + ord(s) * 11) % 23) if i in own else ... for i in range(40)] for s, own in days.items()})
+
+
+def whole_look_ahead(df, expressions, cuts):
+    """The largest difference by plain recomputation of the whole panel for each cut."""
+    names, worst = list(expressions), dict.fromkeys(expressions, 0.0)
+    cells = lambda d: {(r["datetime"], r["symbol"]): r for r in with_factors(d, expressions)[0].collect()}
+    full = cells(df)
+    for end in sorted({t for t, _ in full})[-cuts - 1 : -1]:
+        for key, r in cells(df.filter(F.col("datetime") <= F.lit(end))).items():
+            for n in names:
+                a, b = r[n], full[key][n]
+                worst[n] = max(worst[n], float("inf") if (a is None) != (b is None) else abs((a or 0.0) - (b or 0.0)))
+    return worst
+
+
+def test_look_ahead_by_reach_equals_whole_recomputation(spark):
+    register("_NEXT", "asset", 1, 2, lambda p=1: (0, p))(lambda x, p=1: F.lead(x, int(p), 5.0).over(over_time()))
+    register("_ALL", "asset", 1)(lambda x: F.avg(x).over(over_time().rowsBetween(-10, 10)))
+    df = scattered(spark)
+    expressions = {
+        "mean": "TS_MEAN($x, 3)", "deep": "RANK(TS_SUM(ZSCORE(DELAY($x, 2)), 4))", "filled": "TS_PCTCHANGE($x, 2)", "long": "TS_MEDIAN($x, 70)",
+        "next": "_NEXT($x, 2)", "spread": "TS_MEAN(RANK(_NEXT($x, 3)), 2)", "twice": "_NEXT(MEAN(_NEXT($x, 2)), 2)", "all": "_ALL($x)",
+    }
+    got = {r["factor"]: r for r in diagnostics.look_ahead(df, expressions, least=1).collect()}
+    worst = whole_look_ahead(df, expressions, 5)
+    assert {n: r["max_diff"] for n, r in got.items()} == pytest.approx(worst, abs=1e-12)
+    assert {n for n, r in got.items() if not r["passed"]} == {"next", "spread", "twice", "all"} == {n for n, d in worst.items() if d > 1e-8}
+
+
+def test_look_ahead_reads_only_the_rows_in_reach(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(diagnostics, "written", lambda d, label, keep=diagnostics.written: seen.setdefault(label, keep(d, label)))
+    df = make(spark, {s: [float((i * 7 + ord(s)) % 13) for i in range(200)] for s in "abc"})
+    assert diagnostics.look_ahead(df, {"good": "RANK(TS_MEAN($x, 4))"}).first()["passed"]
+    # the last date, five cuts, five dates compared at the first of them, and three rows before these
+    assert seen["tail"].count() == 3 * (1 + 5 + 4 + 3)
 
 
 def test_turnover_needs_adjacent_dates(spark):
