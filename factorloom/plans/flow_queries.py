@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.stats import rounded
 from factorloom.operators import diagnostics, evaluate, library, model, panel, text
 from factorloom.plans.panel_queries import FACTORS, IC_SQL, LAG_SQL, P1, P2, RANGES, daily, long, r6, scored, sql_rank, sql_stats, table, weekly
-from factorloom.plans.text_queries import BARE, COLUMNS, FILES_SQL, FORM, L1, MERGE_SQL, R1, REJECTED, SIMILAR, code_files, factors, failures, records
+from factorloom.plans.text_queries import BARE, COLUMNS, EVENTS_SQL, FILES_SQL, FORM, L1, MERGE_SQL, R1, REJECTED, SIMILAR, code_files, factors, failures, records
 from factorloom.sources import files
 from factorloom.streaming import jobs
 
@@ -167,14 +167,75 @@ def library_rebuild(spark, sf_dir):
     return library.rebuild(logs, f.filter("intra_loop_index % 2 = 0")).select("factor_name", files.bare("factor_expression").alias("expression"))
 
 
-@query(f"WITH {L1} SELECT * FROM (SELECT 'top' AS kind, factor_name AS name, round(sharpe, 6) AS value FROM lib ORDER BY abs(sharpe) DESC, factor_name LIMIT 10) UNION ALL SELECT 'records', 'all', count(*)::DOUBLE FROM lib UNION ALL SELECT 'expressions', 'all', count(DISTINCT {BARE})::DOUBLE FROM lib")
+_EVOLVED = "CASE WHEN generation > 0 THEN 'evolution' ELSE source END"
+
+
+@query(f"""WITH {L1}, {EVENTS_SQL}, t AS (SELECT * FROM ev ORDER BY ts DESC, name LIMIT 30), x AS (SELECT *, {_EVOLVED} AS came FROM lib)
+SELECT * FROM (SELECT 'top' AS kind, factor_name AS name, round(sharpe, 6) AS value FROM lib ORDER BY abs(sharpe) DESC, factor_name LIMIT 10) UNION ALL SELECT * FROM (SELECT 'evolved', factor_name, round(ic * 2, 6) FROM x WHERE came = 'evolution' ORDER BY abs(ic * 2) DESC, factor_name LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'reason', coalesce(reason, 'unknown') AS v, count(*)::DOUBLE FROM t GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8) UNION ALL SELECT * FROM (SELECT 'name', name, count(*)::DOUBLE FROM t GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12)
+UNION ALL SELECT * FROM (SELECT 'expression', expression, n::DOUBLE FROM (SELECT expression, count(*) AS n, min(ts) AS at, arg_min(name, ts) AS m FROM t GROUP BY 1 ORDER BY 3, 4, 1 LIMIT 5))
+UNION ALL SELECT 'records', 'all', count(*)::DOUBLE FROM lib UNION ALL SELECT 'expressions', 'all', count(DISTINCT {BARE})::DOUBLE FROM lib""")
 def knowledge_snapshot(spark, sf_dir):
-    found = library.knowledge_snapshot(factors(spark, sf_dir), failures(spark, sf_dir))
-    counts = found["counts"]
-    out = found["top_factors"].select(F.lit("top").alias("kind"), F.col("factor_name").alias("name"), "value")
+    """All four tables; evolved factors are those of later generations, their rank IC twice their IC."""
+    f = factors(spark, sf_dir).withColumns({"source": F.when(F.col("generation") > 0, "evolution").otherwise(F.col("source")), "metrics": F.map_concat("metrics", F.create_map(F.lit("Rank IC"), (F.col("metrics")["IC"].cast("double") * 2).cast("string")))})
+    found = library.knowledge_snapshot(f, failures(spark, sf_dir))
+    counts, named = found["counts"], lambda d, kind: d.select(F.lit(kind).alias("kind"), F.col("factor_name").alias("name"), "value")
+    out = named(found["top_factors"], "top").union(named(found["top_evolved"], "evolved")).union(found["failures"].select("kind", "value", F.col("n").cast("double")))
     return out.union(counts.select(F.lit("records"), F.lit("all"), F.col("records").cast("double"))).union(counts.select(F.lit("expressions"), F.lit("all"), F.col("distinct_expressions").cast("double")))
 
 
+def traces(spark, sf_dir) -> DataFrame:
+    """Trace records of agents, one a factor: every third as a field of the experiment, the others in its list (some by ``name``, some
+    without expression); every fifth is another agent's."""
+    i, form, update = F.col("intra_loop_index"), F.col("factor_expression"), lambda spec: F.concat(F.lit('"output_snapshot":{"shared_updates":{"experiment_spec":'), spec, F.lit("}}}"))
+    item = F.to_json(F.struct(F.when(i % 2 == 0, F.col("factor_name")).alias("factor_name"), F.when(i % 2 == 1, F.col("factor_name")).alias("name"), F.when(i % 7 > 0, F.concat(F.lit(" "), form)).alias("expression")))
+    listed = F.concat(F.lit('{"task_plan":{"steps":[1,{}]},"factors":['), item, F.lit(",5,{}]}"))
+    keyed = F.to_json(F.create_map("factor_name", F.struct(form.alias("expression"), F.lit("so").alias("description"))))
+    value = F.concat(F.lit('{"agent_name":"'), F.when(i % 5 == 0, "coder").otherwise("designer"), F.lit('",'), update(F.when(i % 3 == 0, keyed).otherwise(listed)), F.lit("}"))
+    return factors(spark, sf_dir).select(i.alias("record"), value.alias("value"))
+
+
+@query(f"WITH {L1} SELECT DISTINCT factor_name FROM lib WHERE idx % 5 <> 0")
+def trace_names(spark, sf_dir):
+    """Names that an agent proposed in earlier rounds, from trace records written and read again."""
+    path = folder(spark, "traces")
+    traces(spark, sf_dir).select("value").write.text(path)
+    return files.proposed_names(spark.read.text(path), "designer")
+
+
+@query(f"WITH {L1} SELECT trim(factor_expression) AS expression, min(idx) AS record, count(*) AS n FROM lib WHERE idx % 5 <> 0 AND (idx % 3 = 0 OR idx % 7 > 0) GROUP BY 1")
+def trace_expressions(spark, sf_dir):
+    """Expressions that an agent proposed in earlier rounds, with the first record of each."""
+    return files.proposed_expressions(traces(spark, sf_dir), "designer", order="record")
+
+
+@query("SELECT upper(c_name) AS alias, 'N' || c_nationkey AS symbol, 'yaml' AS kind FROM customer UNION ALL SELECT upper(s_name), 'N' || s_nationkey, 'json' FROM supplier")
+def alias_maps(spark, sf_dir):
+    """Aliases from YAML lines (with quotes and comments) and from JSON objects, several files of each."""
+    yaml, js = f"{folder(spark, 'aliases')}.yaml", f"{folder(spark, 'aliases')}.json"
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    quote = F.when(k % 3 == 0, '"').when(k % 3 == 1, "'").otherwise("")
+    c.select(F.concat(quote, F.lower("c_name"), quote, F.lit(": "), quote, F.lit("n"), F.col("c_nationkey").cast("string"), quote, F.when(k % 2 == 0, "  # known").otherwise("")).alias("value")).write.text(yaml)
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s_name", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))))).alias("value"))
+    s.select("value", "s_nationkey").repartition("s_nationkey").write.partitionBy("s_nationkey").text(js)
+    return files.read_aliases(spark, yaml).withColumn("kind", F.lit("yaml")).union(files.read_aliases(spark, js).withColumn("kind", F.lit("json")))
+
+
+@query(f"WITH {L1} SELECT 'csv' AS kind, factor_name AS name, status, round(fitness, 6) AS fitness, '{{\"generation\":\"' || generation || '\",\"phase\":\"' || phase || '\"}}' AS params_json FROM lib WHERE status = 'evaluated' UNION ALL SELECT 'json', factor_name, status, round(fitness, 6), NULL FROM lib UNION ALL SELECT 'parquet', factor_name, status, round(fitness, 6), NULL FROM lib")
+def search_history_sinks(spark, sf_dir):
+    """A search's history: evaluated rows as a flat csv with their parameters as JSON, all rows as JSON lines and Parquet, read again."""
+    params = F.create_map(F.lit("phase"), F.col("phase"), F.lit("generation"), F.col("generation").cast("string"))
+    h = factors(spark, sf_dir).select(F.col("factor_name").alias("name"), "status", "fitness", params.alias("params"))
+    a, b, c = (folder(spark, x) for x in ("population", "history", "history"))
+    files.write_population(h, a, evaluated=True)
+    files.write_table(h, b, "json")
+    files.write_table(h, c, "parquet")
+    out = files.read_population(spark, a, "name string, status string, fitness double, params_json string").select(F.lit("csv").alias("kind"), "name", "status", "fitness", "params_json")
+    for kind, df in (("json", spark.read.schema("name string, status string, fitness double").json(b)), ("parquet", spark.read.parquet(c))):
+        out = out.union(df.select(F.lit(kind), "name", "status", "fitness", F.lit(None).cast("string")))
+    return out
+
+
 _LOOP = "idx // 7 % 5"
 
 

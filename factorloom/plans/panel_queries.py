@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,6 +199,13 @@ def factor_ts_rank(spark, sf_dir):
     return with_factors(daily(spark, sf_dir), {"ts_rank": "TS_RANK($close, 5)"}, ["datetime", "symbol"])[0]
 
 
+@query(f"""WITH {P2}, w AS (SELECT datetime, symbol, close, median(close) {rows(100)} AS m, list(close) {rows(100)} AS v FROM panel) SELECT datetime, symbol, round(m, 6) AS middle,
+  round((len(list_filter(v, lambda x: x < close)) + (len(list_filter(v, lambda x: x = close)) + 1) / 2.0) / len(v), 6) AS place FROM w""")
+def factors_long_windows(spark, sf_dir):
+    """Medians and ranks of a hundred rows, streamed."""
+    return with_factors(weekly(spark, sf_dir), {"middle": "TS_MEDIAN($close, 100)", "place": "TS_RANK($close, 100)"}, ["datetime", "symbol"])[0]
+
+
 D = "OVER (PARTITION BY datetime)"
 
 
@@ -234,6 +242,18 @@ def factors_twenty(spark, sf_dir):
     return with_factors(daily(spark, sf_dir), TWENTY, ["datetime", "symbol"])[0]
 
 
+_MANY = [(f"f{i}", f"f{j}") for i in range(20) for j in range(i + 1, 20)]
+_BOTH = lambda a, b: f"CASE WHEN {b} IS NOT NULL THEN {a} END"
+
+
+@query(f"""WITH f AS ({re.sub(r"round[(]((?:(?!, 6[)] AS ).)*), 6[)] AS ", r"(\1) AS ", SQL["factors_twenty"])}),
+c AS (SELECT {', '.join(f"covar_samp({_BOTH(a, b)}, {_BOTH(b, a)}) / nullif(stddev_samp({_BOTH(a, b)}) * stddev_samp({_BOTH(b, a)}), 0) AS c{k}" for k, (a, b) in enumerate(_MANY))} FROM f)
+SELECT unnest({[a for a, _ in _MANY]}) AS f1, unnest({[b for _, b in _MANY]}) AS f2, round(unnest([{', '.join(f'c{k}' for k in range(len(_MANY)))}]), 6) AS corr FROM c""")
+def factor_correlations_many(spark, sf_dir):
+    """All pairs of twenty factors, from blocked matrices."""
+    return diagnostics.correlation_pairs(with_factors(daily(spark, sf_dir), TWENTY, ["datetime", "symbol"])[0], list(TWENTY))
+
+
 @query(f"""WITH {P2}, m AS (SELECT *, median(close) {D} AS m FROM panel), d AS (SELECT *, median(abs(close - m)) {D} * 1.4826 AS d FROM m)
 SELECT datetime, symbol, round(CASE WHEN d > 0 THEN greatest(m - 3 * d, least(m + 3 * d, close)) ELSE close END, 6) AS close FROM d""")
 def preprocess_winsorise(spark, sf_dir):
@@ -251,18 +271,49 @@ c AS (SELECT *, sum((volume - m1) * (volume - m1)) {D} AS s11, sum((volume - m1)
 o AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM c)"""
 
 
-@query(f"""WITH {TWO_SQL} SELECT datetime, symbol, round(CASE WHEN n < 4 THEN close WHEN det > 1e-9 * s11 * s22 THEN close - my - (s22 * sy1 - s12 * sy2) / det * (volume - m1) - (s11 * sy2 - s12 * sy1) / det * (cap - m2) / 1e12 END, 4) + 0.0 AS close,
-  round(CASE WHEN n < 4 THEN discount WHEN det > 1e-9 * s11 * s22 THEN 0 END, 6) AS planted FROM o WHERE n < 4 OR det > 1e-9 * s11 * s22""")
+@query(f"""WITH {TWO_SQL} SELECT datetime, symbol, round(CASE WHEN n < 4 THEN close WHEN det > 4e-10 * s11 * s22 THEN close - my - (s22 * sy1 - s12 * sy2) / det * (volume - m1) - (s11 * sy2 - s12 * sy1) / det * (cap - m2) / 1e12
+  WHEN s11 > 0 THEN close - my - sy1 / s11 * (volume - m1) WHEN s22 > 0 THEN close - my - sy2 / s22 * (cap - m2) / 1e12 ELSE close - my END, 4) + 0.0 AS close, CASE WHEN n < 4 THEN round(discount, 6) ELSE 0 END AS planted FROM o""")
 def preprocess_neutralise_many(spark, sf_dir):
     """Two factors on two variables, one in units of a market capitalisation; one of the factors is a sum of the variables."""
     df = weekly(spark, sf_dir).withColumns({"cap": F.col("amount") * 1e9, "planted": F.col("discount")})
     n = F.count("*").over(over_assets())
     df = df.withColumn("planted", F.when(n >= 4, F.col("volume") * 2 + F.col("cap") / 1e12).otherwise(F.col("discount")))
     out = preprocess.neutralise_many(df, ["close", "planted"], ["volume", "cap"])
-    x, y, w = F.col("volume"), F.col("cap") / 1e12, over_assets()
-    s = [F.var_samp(x).over(w), F.covar_samp(x, y).over(w), F.var_samp(y).over(w)]
-    fine = out.withColumn("fine", (F.count("*").over(w) < 4) | (s[0] * s[2] - s[1] * s[1] > 1e-9 * s[0] * s[2]))
-    return fine.filter("fine").select("datetime", "symbol", F.round("close", 4).alias("close"), "planted")
+    return out.select("datetime", "symbol", F.round("close", 4).alias("close"), "planted")
+
+
+G = "OVER (PARTITION BY datetime, sector)"
+
+
+@query(f"""WITH {P2}, t AS (SELECT *, 's' || (symbol::BIGINT % 3) AS sector FROM panel), g AS (SELECT *, close - avg(close) {G} AS y, volume - avg(volume) {G} AS x FROM t)
+SELECT datetime, symbol, round(CASE WHEN count(*) {D} >= 3 THEN y - coalesce(sum(x * y) {D} / nullif(sum(x * x) {D}, 0), 0) * x ELSE close END, 5) + 0.0 AS close FROM g""")
+def preprocess_neutralise_groups(spark, sf_dir):
+    """Residuals on a text column, as if each of its values had a variable, and on a number."""
+    df = weekly(spark, sf_dir).withColumn("sector", F.concat(F.lit("s"), (F.col("symbol").cast("bigint") % 3).cast("string")))
+    return preprocess.neutralise_groups(df, ["close"], ["sector"], ["volume"]).select("datetime", "symbol", F.round("close", 5).alias("close"))
+
+
+def _by_policy(c: str) -> str:
+    return f"""m_{c} AS (SELECT datetime, symbol, {c} AS v, market_cap AS x, median({c}) {D} AS m FROM holes), d_{c} AS (SELECT *, median(abs(v - m)) {D} * 1.4826 AS d FROM m_{c}), w_{c} AS (SELECT datetime, symbol, CASE WHEN v IS NOT NULL THEN x END AS x, x AS own, CASE WHEN d > 0 THEN CASE WHEN v IS NOT NULL THEN greatest(m - 3 * d, least(m + 3 * d, v)) END ELSE v END AS v FROM d_{c}),
+n_{c} AS (SELECT datetime, symbol, CASE WHEN count(x) {D} >= 3 THEN v - avg(v) {D} - coalesce(covar_samp(v, x) {D} / nullif(var_samp(x) {D}, 0), 0) * (x - avg(x) {D}) ELSE v END AS v FROM w_{c}), l_{c} AS (SELECT datetime, symbol, last_value(v IGNORE NULLS) {W} ROWS UNBOUNDED PRECEDING) AS v FROM n_{c})"""
+
+
+@query(f"""WITH {P2}, holes AS (SELECT datetime, symbol, amount AS market_cap, CASE WHEN volume % 4 <> 0 THEN close END AS close, CASE WHEN volume % 5 <> 0 THEN discount END AS discount FROM panel), {_by_policy('close')}, {_by_policy('discount')}
+SELECT datetime, symbol, round(l_close.v, 5) + 0.0 AS close, round(l_discount.v, 6) + 0.0 AS discount, 'daily' AS close_fill, 'quarterly' AS discount_fill FROM l_close JOIN l_discount USING (datetime, symbol)""")
+def preprocess_policy(spark, sf_dir):
+    """What the panel's columns and the factors' descriptions call for: clipped, neutralised by market value, filled forward."""
+    df = weekly(spark, sf_dir).withColumnRenamed("amount", "market_cap")
+    df = df.withColumns({"close": F.when(F.col("volume") % 4 != 0, F.col("close")), "discount": F.when(F.col("volume") % 5 != 0, F.col("discount"))})
+    out, policy = preprocess.preprocess_by_policy(df, {"close": "price of the week", "discount": "of a Quarterly statement"})
+    return out.select("datetime", "symbol", F.round("close", 5).alias("close"), "discount", *(F.lit(policy["fill"][c]).alias(f"{c}_fill") for c in ("close", "discount")))
+
+
+@query(f"WITH {P2} SELECT unnest(['close', 'discount', 'some']) AS column_name, unnest([count(close), count(discount), count(CASE WHEN volume > 60 THEN close END)]) AS n FROM panel")
+def panel_drop_empty(spark, sf_dir):
+    """Columns that have a value at all, with the number of their values."""
+    df = weekly(spark, sf_dir).withColumns({"some": F.when(F.col("volume") > 60, F.col("close")), "none": F.lit(None).cast("double"), "never": F.when(F.col("volume") < 0, F.col("close"))})
+    left = panel.drop_empty(df, ["close", "none", "discount", "never", "some"])
+    return df.agg(*(F.count(c).alias(c) for c in left)).unpivot([], left, "column_name", "n")
 
 
 @query(f"""WITH {P2}, f AS (SELECT datetime, symbol, coalesce(returns_1d, avg(returns_1d) {D}, 0) AS returns_1d, close FROM panel)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructType
 
+from factorloom.functions.stats import strip
+
 TEXT_SCHEMA = "timestamp string, symbol string, source string, title string, body string, url string, source_file string, event_type string, confidence double, chunk_id int, direction string, asset_role string, primary_assets array<string>, ignored_mentions array<struct<mention:string,reason:string>>, evidence array<string>"
 RECORD_SCHEMA = "run_id string, hypothesis string, loop_round int, intra_loop_index int, factor_name string, factor_expression string, factor_file string, metrics map<string,string>, generation int, parent_1 string, parent_2 string, source string, fitness double"
 REPORT_GLOB = "*.{txt,md,markdown,html,htm}"
@@ -193,21 +195,43 @@ def loop_logs(docs: DataFrame, min_ic: float = 0.003) -> DataFrame:
     return rows.select("run_id", "loop_round", "intra_loop_index", "factor_name", named.alias("factor_file"), F.coalesce(own["expression"], F.lit("Unknown")).alias("factor_expression"), "hypothesis", "metrics")
 
 
-def proposed_before(traces: DataFrame, text: str = "value") -> DataFrame:
-    """Distinct (factor_name, factor_expression) of trace records whose factors are a list, or a map by name."""
-    one = "struct<factor_name:string,factor_expression:string,expression:string>"
-    listed = F.from_json(text, f"factors array<{one}>")["factors"]
-    mapped = F.from_json(text, f"factors map<string,{one}>")["factors"]
-    a = traces.select(F.explode(listed).alias("f")).select(F.col("f.factor_name"), F.coalesce("f.factor_expression", "f.expression").alias("factor_expression"))
-    b = traces.select(F.explode(mapped).alias("factor_name", "f")).select("factor_name", F.coalesce("f.factor_expression", "f.expression").alias("factor_expression"))
-    return a.union(b).filter("factor_name is not null").distinct()
+def proposals(traces: DataFrame, agent: str, text: str = "value", order: str | None = None) -> DataFrame:
+    """(record, layout, place, factor_name, expression, described): what an agent's trace records (JSON) proposed, in both layouts of an experiment.
+
+    ``list``: the entries of its ``factors``, by factor_name, else name. ``key``: any of its fields that is an object; it is
+    ``described`` if it has a description, formulation or expression. Names of a list and expressions are stripped; those without are null.
+    ``order`` is the column that records are told apart and ordered by (their text, if not given). What isn't of this form is skipped.
+    """
+    one = "struct<factor_name:string,name:string,expression:string>"
+    record = F.from_json(text, "agent_name string, output_snapshot struct<shared_updates:struct<experiment_spec:map<string,string>>>")
+    spec = traces.select(F.col(order or text).alias("record"), record.alias("r")).filter(F.col("r.agent_name") == agent).select("record", F.col("r.output_snapshot.shared_updates.experiment_spec").alias("spec"))
+    said = lambda c: F.when(strip(c) != "", strip(c))
+    fields = spec.select("record", F.posexplode("spec").alias("place", "key", "body"))
+    listed = fields.filter("key = 'factors'").select("record", F.posexplode(F.from_json("body", "array<string>")).alias("place", "item")).withColumn("f", F.from_json("item", one))
+    listed = listed.select("record", F.lit("list").alias("layout"), "place", said(F.when(F.col("f.factor_name") != "", F.col("f.factor_name")).otherwise(F.col("f.name"))).alias("factor_name"), said(F.col("f.expression")).alias("expression"), F.lit(True).alias("described"))
+    inner = F.from_json("body", "map<string,string>")
+    keyed = fields.filter(F.ltrim("body").startswith("{")).withColumn("f", inner).filter("f is not null")
+    described = F.arrays_overlap(F.map_keys("f"), F.array(F.lit("description"), F.lit("formulation"), F.lit("expression")))
+    return listed.union(keyed.select("record", F.lit("key"), "place", "key", said(F.try_element_at("f", F.lit("expression"))), described))
+
+
+def proposed_names(traces: DataFrame, agent: str, text: str = "value") -> DataFrame:
+    """(factor_name): the distinct names that an agent proposed before."""
+    return proposals(traces, agent, text).filter("described and factor_name is not null").select("factor_name").distinct()
+
+
+def proposed_expressions(traces: DataFrame, agent: str, text: str = "value", order: str | None = None) -> DataFrame:
+    """(expression, record, n): the distinct expressions that an agent proposed before, the record that did so first, and how often."""
+    found = proposals(traces, agent, text, order).filter("expression is not null")
+    return found.groupBy("expression").agg(F.min("record").alias("record"), F.count("*").alias("n"))
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(alias, symbol) of a JSON object or of a flat YAML mapping (.yaml, .yml), both upper-cased; empty ones go."""
     if path.lower().endswith((".yaml", ".yml")):
-        line = r"^\s*[\"']?([^#\"':]+?)[\"']?\s*:\s*[\"']?([^\"'#]*?)[\"']?\s*(?:#.*)?$"
-        pairs = spark.read.text(path).select(F.regexp_extract("value", line, 1).alias("alias"), F.regexp_extract("value", line, 2).alias("symbol"))
+        line = r"""^\s*(?:"([^"]*)"|'([^']*)'|([^\s#"'].*?))\s*:(?:\s+(?:"([^"]*)"|'([^']*)'|([^\s#"'].*?)))\s*(?:\s#.*)?$"""
+        part = lambda *groups: F.concat(*(F.regexp_extract("value", line, g) for g in groups))
+        pairs = spark.read.text(path).select(part(1, 2, 3).alias("alias"), part(4, 5, 6).alias("symbol"))
     else:
         pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("alias", "symbol"))
     return pairs.filter((F.trim("alias") != "") & (F.trim("symbol") != "")).select(F.upper("alias").alias("alias"), F.upper("symbol").alias("symbol"))
@@ -245,6 +269,24 @@ def write_table(df: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"kind {kind!r}")
 
 
+def write_population(history: DataFrame, path: str, evaluated: bool = False) -> None:
+    """A search's history as one flat csv: maps and other nested columns as JSON with sorted keys, in ``<column>_json``; ``evaluated``:
+    only rows of that status. Without rows there is one whose status is ``empty``."""
+    rows = history.filter(F.col("status") == "evaluated") if evaluated else history
+    if rows.isEmpty():
+        rows = history.sparkSession.createDataFrame([("empty",)], "status string")
+    flat = []
+    for c, t in rows.dtypes:
+        ordered = F.map_from_entries(F.array_sort(F.map_entries(c))) if t.startswith("map") else F.col(f"`{c}`")
+        flat.append(F.to_json(ordered).alias(f"{c}_json") if t.startswith(("struct", "map", "array")) else F.col(f"`{c}`"))
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "\\N").csv(path)
+
+
+def read_population(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_population`` wrote, with types; JSON stays text."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\\N").csv(path)
+
+
 def read_predictions(spark: SparkSession, scores: str, labels: str, label: str = "label") -> DataFrame:
     """Scores joined with their labels; rows with either missing go."""
     from factorloom.operators.panel import normalise

@@ -385,5 +385,10 @@ def test_segments_and_policy(spark):
     df = make(spark, {"a": [1.0, 2.0, 3.0, 4.0]})
     assert [r["segment"] for r in panel.split_by_fraction(df, 0.5).orderBy("datetime").collect()] == ["train", "train", "valid", "valid"]
     assert {r["segment"] for r in panel.split_by_fraction(df, 1.0).collect()} == {"both"}
-    assert preprocess.choose_policy(["close", "market_cap"], "quarterly_profit") == {"neutralise_by": ["market_cap"], "fill": "zero", "normalise": "zscore"}
+    policy = preprocess.choose_policy(["close", "Sector", "total_mv", "market_cap ", "industry"], {"profit": "from the Annual statement", "f10_size": "", "momentum": "of five days"})
+    assert policy["neutralise_by"] == ["market_cap", "total_mv", "industry", "sector"] and policy["neutralise"]
+    assert policy["fill"] == {"profit": "quarterly", "f10_size": "quarterly", "momentum": "daily"}
+    assert not preprocess.choose_policy(["close"])["neutralise"] and not preprocess.choose_policy(["close"])["fill_forward"]
+    got, _ = preprocess.preprocess_by_policy(make(spark, {"a": [1.0, None, 3.0], "b": [None, 2.0, None]}), {"x": ""})
+    assert values(got, "x") == {("a", 0): 1.0, ("a", 1): 1.0, ("a", 2): 3.0, ("b", 0): None, ("b", 1): 2.0, ("b", 2): 2.0}
     assert library.resolve_signal_columns("RANK(close / Vol)", ["close", "volume"], {"vol": "volume"}) == ["close", "volume"]

@@ -50,12 +50,41 @@ def test_run_logs_traces_and_aliases(spark, tmp_path):
     (tmp_path / "log.json").write_text(json.dumps(log))
     r = files.read_run_logs(spark, f"{tmp_path}/log.json").first()
     assert (r["factor_name"], r["hypothesis"], r["metrics"]["IC"]) == ("a", "h", 0.02)
-    traces = spark.createDataFrame([('{"factors": [{"factor_name": "a", "expression": "$x"}]}',), ('{"factors": {"b": {"factor_expression": "$y"}}}',)], "value string")
-    assert sorted(map(tuple, files.proposed_before(traces).collect())) == [("a", "$x"), ("b", "$y")]
     (tmp_path / "alias.json").write_text('{"btc": "btcusdt"}')
     assert tuple(files.read_aliases(spark, f"{tmp_path}/alias.json").first()) == ("BTC", "BTCUSDT")
 
 
+def test_what_an_agent_proposed_before(spark):
+    def record(spec, agent="designer"):
+        return json.dumps({"agent_name": agent, "output_snapshot": {"shared_updates": {"experiment_spec": spec}}})
+
+    traces = [
+        record({"factors": [{"factor_name": " a ", "expression": " $x "}, {"factor_name": "", "name": "b"}, 7, {"expression": "$lone"}], "task_plan": {"steps": 3}}),
+        record({"c": {"description": "d", "more": {"deep": [1]}}, "d": {"expression": "$y"}, "e": "text", "f": {"other": 1}, "factors": "none"}),
+        record({"factors": {"expression": "$odd"}}),
+        record({"factors": [{"factor_name": "z", "expression": "$z"}]}, "coder"),
+        record([1]), '{"agent_name": "designer", "output_snapshot": 5}', '{"agent_name": "designer"}', "no json", None,
+        record({"g": {"expression": "$x"}}),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(traces)], "i int, value string")
+    assert sorted(r[0] for r in files.proposed_names(df, "designer").collect()) == ["a", "b", "c", "d", "factors", "g"]
+    got = {r["expression"]: (r["record"], r["n"]) for r in files.proposed_expressions(df, "designer", order="i").collect()}
+    assert got == {"$x": (0, 2), "$lone": (0, 1), "$y": (1, 1), "$odd": (2, 1)}
+    assert files.proposed_names(df.filter("false"), "designer").count() == 0
+
+
+def test_populations_are_flat_and_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("evaluated", 'a "b", \n c', {"z": 1, "a": 2}, 0.5), ("failed", None, None, None), ("evaluated", "", {}, 1.0)], "status string, name string, params map<string,int>, fitness double")
+    schema = "status string, name string, params_json string, fitness double"
+    files.write_population(df, f"{tmp_path}/p")
+    got = sorted(map(tuple, files.read_population(spark, f"{tmp_path}/p", schema).collect()), key=str)
+    assert got == sorted([("evaluated", 'a "b", \n c', '{"a":2,"z":1}', 0.5), ("failed", None, None, None), ("evaluated", "", "{}", 1.0)], key=str)
+    files.write_population(df, f"{tmp_path}/q", evaluated=True)
+    assert files.read_population(spark, f"{tmp_path}/q", schema).count() == 2
+    files.write_population(df.filter("false"), f"{tmp_path}/r")
+    assert [tuple(r) for r in files.read_population(spark, f"{tmp_path}/r", "status string").collect()] == [("empty",)]
+
+
 def test_loop_logs_with_metrics_by_run_round_and_name(spark, tmp_path):
     def loop(index, *updates):
         return json.dumps({"loop_index": index, "records": [{"output_snapshot": {"shared_updates": u}} for u in updates]})
@@ -84,6 +113,8 @@ def test_code_at_any_depth(spark):
 def test_aliases_in_yaml(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("# names\nbtc: btcusdt\n'eth 2' : \"ethusdt\"  # second\nempty:\n")
     assert sorted(map(tuple, files.read_aliases(spark, f"{tmp_path}/a.yaml").collect())) == [("BTC", "BTCUSDT"), ("ETH 2", "ETHUSDT")]
+    (tmp_path / "b.yaml").write_text("a#1: x#y # rest\nb:c: d:e\n\"q: z\":  'w # in'\nnone: # nothing\n- item\n")
+    assert sorted(map(tuple, files.read_aliases(spark, f"{tmp_path}/b.yaml").collect())) == [("A#1", "X#Y"), ("B:C", "D:E"), ("Q: Z", "W # IN")]
 
 
 def test_csv_has_the_types_of_json(spark, tmp_path):
