@@ -250,12 +250,18 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array(text)))
 
 
+#: Forms of either side that meet over one trigram in one task.
+HOT = 5_000
+
+
 def similar_expressions(new: DataFrame, library: DataFrame, threshold: float = 0.9, expression: str = "factor_expression") -> DataFrame:
     """(new_form, old_form, similarity, n_new, n_old): pairs of normal forms whose trigram sets have a Jaccard similarity of
     at least ``threshold``, and how many expressions have each. Copies aren't paired one by one.
 
     Forms meet in an inverted index of their rarest trigrams alone: of n trigrams, those left when threshold x n, less one,
-    of the most frequent are taken away. Every pair that is similar enough shares one of them; full sets are then compared.
+    of the most frequent are taken away. Every pair that is similar enough shares one of them, has sizes near enough, and after the first
+    that it shares has enough trigrams left; full sets are then compared. Trigrams that very many forms hold among their rarest are dealt to a
+    grid of tasks, ``HOT`` forms of either side in each cell.
     """
     own = lambda d, tag: d.select(normal_form(F.col(expression)).alias(tag)).filter(F.col(tag).isNotNull()).groupBy(tag).agg(F.count("*").alias(f"n_{tag}")).withColumn(f"g_{tag}", trigrams(F.col(tag)))
     a, b = own(new, "new"), own(library, "old")
@@ -264,9 +270,19 @@ def similar_expressions(new: DataFrame, library: DataFrame, threshold: float = 0
     def prefix(d: DataFrame, tag: str) -> DataFrame:
         items = d.select(tag, F.size(f"g_{tag}").alias("n"), F.explode(f"g_{tag}").alias("t")).join(freq, "t")
         place = F.row_number().over(Window.partitionBy(tag).orderBy("f", "t"))
-        return items.withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", tag)
-
-    pairs = prefix(a, "new").join(prefix(b, "old"), "t").select("new", "old").distinct()
+        return items.withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("t", tag, F.col("n").alias(f"s_{tag}"), F.col("p").alias(f"p_{tag}"))
+
+    left, right = prefix(a, "new"), prefix(b, "old")
+    parts = lambda d, tag: d.groupBy("t").agg(F.ceil(F.count("*") / HOT).cast("int").alias(f"c_{tag}"))
+    grid = parts(left, "new").join(parts(right, "old"), "t")  # trigrams that only one side holds go here
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda tag: F.pmod(F.xxhash64(tag), F.col(f"c_{tag}")).cast("int")
+    left = left.join(grid, "t").withColumn("i", dealt("new")).withColumn("j", every("c_old")).drop("c_new", "c_old")
+    right = right.join(grid, "t").withColumn("j", dealt("old")).withColumn("i", every("c_new")).drop("c_new", "c_old")
+    na, nb = F.col("s_new"), F.col("s_old")
+    near = F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9
+    enough = 1 + F.least(na - F.col("p_new"), nb - F.col("p_old")) >= (na + nb) * (threshold / (1 + threshold)) - 1e-9
+    pairs = left.join(right, ["t", "i", "j"]).filter(near & enough).select("new", "old").distinct()
     full = pairs.join(a, "new").join(b, "old")
     score = F.size(F.array_intersect("g_new", "g_old")) / F.size(F.array_union("g_new", "g_old"))
     return full.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select(F.col("new").alias("new_form"), F.col("old").alias("old_form"), "similarity", "n_new", "n_old")

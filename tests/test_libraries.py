@@ -269,3 +269,21 @@ def test_parameter_sets_are_judged_on_their_predictions(spark):
         assert r["overfit"] == pytest.approx(max(lost, loss["valid"] / loss["train"] - 1, 0)) and r["reason"] is None and r["fitness"] is not None
     empty = model.score_parameters(frame.limit(0), features, "returns_1d", grid).collect()
     assert [(r["fitness"], r["reason"]) for r in empty] == [(None, "empty_training_frame")] * 2
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.7, 0.9])
+def test_similar_expressions_equal_all_pairs_in_a_grid(spark, monkeypatch, threshold):
+    monkeypatch.setattr(library, "HOT", 3)
+    rng = np.random.default_rng(5)
+    parts = ["RANK($close)", "TS_MEAN($volume, 5)", "DELAY($close, 1)", "ZSCORE($open)", "ABS($low)", "LOG($high)"]
+    texts = [" + ".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(60)] + ["$x", "$x", "", None]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "factor_expression string")
+    new, old = texts[::2], texts[1::2]
+    forms = {r[0]: r[1] for r in frame(texts).select("factor_expression", library.normal_form(F.col("factor_expression"))).distinct().collect() if r[1] is not None}
+    grams = lambda f: {f[i : i + 3] for i in range(len(f) - 2)} or {f}
+    count = lambda rows: {f: sum(forms.get(t) == f for t in rows) for t in rows if (f := forms.get(t)) is not None}
+    a, b = count(new), count(old)
+    plain = {(x, y): (len(grams(x) & grams(y)) / len(grams(x) | grams(y)), a[x], b[y]) for x in a for y in b}
+    got = library.similar_expressions(frame(new), frame(old), threshold).collect()
+    assert {(r["new_form"], r["old_form"]): (r["similarity"], r["n_new"], r["n_old"]) for r in got} == {k: v for k, v in plain.items() if v[0] >= threshold}
+    assert len(got) == len({(r["new_form"], r["old_form"]) for r in got}) > 0
