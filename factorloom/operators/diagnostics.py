@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.stats import ASSET, TIME, compound, pair_corr, rank_pct
+from factorloom.functions.stats import ASSET, TIME, compound, dealt, pair_corr, places, rank_pct
 from factorloom.operators.evaluate import complete, daily_ic, long_frame
 from factorloom.operators.panel import dates, to_long
 from factorloom.operators.quantiles import exact_quantiles
@@ -56,7 +56,7 @@ def score_autocorrelation(long: DataFrame, lag: int = 1) -> DataFrame:
     Each is ranked among all of the date that have it; the pairs that have both are correlated. Dates without a value go.
     """
     w = Window.partitionBy("factor", ASSET).orderBy(TIME)
-    both = long.withColumn("old", F.lag("value", lag).over(w))
+    both = dealt(long.withColumn("old", F.lag("value", lag).over(w)), "factor", TIME)
     both = both.withColumns({"a": rank_pct(F.col("value"), "factor", TIME), "b": rank_pct(F.col("old"), "factor", TIME)})
     return both.groupBy("factor", TIME).agg(pair_corr(F.col("a"), F.col("b")).alias("autocorrelation")).filter("autocorrelation is not null")
 
@@ -67,10 +67,14 @@ def set_turnover(long: DataFrame, lag: int = 1, share: int = 5) -> DataFrame:
     All assets of the date count, also those without an earlier score, which come last in both orders; ties by asset.
     """
     w = Window.partitionBy("factor", ASSET).orderBy(TIME)
-    g = Window.partitionBy("factor", TIME)
-    both = long.withColumn("old", F.lag("value", lag).over(w))
-    order = {"top": F.desc_nulls_last, "low": F.asc_nulls_last}
-    both = both.withColumns({"n": F.floor(F.count("*").over(g) / share), **{f"{a}{b}": F.row_number().over(g.orderBy(order[a](c), ASSET)) for a in order for b, c in (("now", "value"), ("old", "old"))}})
+    both = dealt(long.withColumn("old", F.lag("value", lag).over(w)).select("factor", TIME, ASSET, "value", "old"), "factor", TIME)
+    both = both.withColumn("n", F.floor(F.count("*").over(Window.partitionBy("factor", TIME)) / share))
+    for b, c in (("now", "value"), ("old", "old")):  # one sort gives both orders
+        x, place = F.col(c), places(F.col(c), "factor", TIME)
+        for k, v in place.items():
+            both = both.withColumn(k, v)
+        last = F.col("size") + F.count_if(x.isNull()).over(Window.partitionBy("factor", TIME).orderBy(x.asc_nulls_last(), ASSET).rowsBetween(Window.unboundedPreceding, 0))
+        both = both.withColumn("last", last).withColumns({f"low{b}": F.when(x.isNull(), F.col("last")).otherwise(F.col("rising")), f"top{b}": F.when(x.isNull(), F.col("last")).otherwise(F.col("falling"))}).drop(*place, "last")
     kept = lambda a: F.count_if((F.col(f"{a}now") <= F.col("n")) & (F.col(f"{a}old") <= F.col("n")))
     part = lambda a: (1 - F.try_divide(kept(a).cast("double"), F.max("n").cast("double"))).alias(f"{a}_turnover")
     return both.groupBy("factor", TIME).agg(part("top"), part("low")).filter("top_turnover is not null")
@@ -281,7 +285,7 @@ def overfit_check(df: DataFrame, factors: list[str], target: str = "returns_1d",
     calendar = dates(df)
     n = calendar.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("n_train"))
     part = calendar.crossJoin(n).select(TIME, (F.col("date_no") < F.col("n_train")).alias("inside"))
-    pairs = complete(long_frame(df, factors, target))
+    pairs = dealt(complete(long_frame(df, factors, target)), "factor", TIME)
     pairs = pairs.withColumns({c: rank_pct(F.col(c), "factor", TIME) for c in ("value", "target")})
     ics = pairs.groupBy("factor", TIME).agg(F.when(F.count("*") < 2, 0.0).otherwise(pair_corr(F.col("value"), F.col("target"))).alias("ic")).join(part, TIME)
     out = ics.groupBy("factor").agg(F.avg(F.when(F.col("inside"), F.col("ic"))).alias("ic_in"), F.avg(F.when(~F.col("inside"), F.col("ic"))).alias("ic_out"))

@@ -392,3 +392,23 @@ def test_segments_and_policy(spark):
     got, _ = preprocess.preprocess_by_policy(make(spark, {"a": [1.0, None, 3.0], "b": [None, 2.0, None]}), {"x": ""})
     assert values(got, "x") == {("a", 0): 1.0, ("a", 1): 1.0, ("a", 2): 3.0, ("b", 0): None, ("b", 1): 2.0, ("b", 2): 2.0}
     assert library.resolve_signal_columns("RANK(close / Vol)", ["close", "volume"], {"vol": "volume"}) == ["close", "volume"]
+
+
+def test_groups_are_sorted_once_and_dealt(spark):
+    """Places in both directions and the ranks of all rows and of pairs come from one order; groups go to many tasks whatever their bytes."""
+    from factorloom.functions.stats import SORTING, places
+    from factorloom.operators import diagnostics, evaluate
+
+    rows = [(f, d, f"s{(i * 7) % 23:02}", None if i % 6 == 0 else float((i * i + d) % 5), None if i % 7 == 3 else float((i * 3 + d) % 11)) for f in ("a", "b") for d in range(4) for i in range(23)]
+    long = spark.createDataFrame(rows, "factor string, d int, symbol string, value double, target double").selectExpr("factor", "timestamp_seconds(d * 86400) AS datetime", "symbol", "value", "target")
+    found = long
+    for k, v in places(F.col("value"), "factor", "datetime").items():
+        found = found.withColumn(k, v)
+    for r in found.filter("value is not null").collect():
+        own = [x for x in rows if x[0] == r["factor"] and x[1] == r["datetime"].day - 1 and x[3] is not None]
+        assert r["size"] == len(own) and r["upto"] == sum(x[3] <= r["value"] for x in own) and r["peers"] == sum(x[3] == r["value"] for x in own)
+        assert r["rising"] == sum((x[3], x[2]) <= (r["value"], r["symbol"]) for x in own) and r["falling"] == sum((-x[3], x[2]) <= (-r["value"], r["symbol"]) for x in own)
+    days = evaluate.daily_metrics(long, evaluate.dates(long), 5)
+    for df, sorts in ((days, 6), (evaluate.daily_metrics(long, None, 0, 3, 0.2, by_rank=False), 2), (diagnostics.set_turnover(long), 3)):  # of days: four for the calendar's join, its numbers, and changes by asset
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f", {SORTING})" in plan and len([x for x in plan.splitlines() if "- Sort [" in x or "+ Sort [" in x]) <= sorts, plan
