@@ -468,7 +468,9 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 
 def recent(events: DataFrame, n: int, time: str = "timestamp", tie: str = "name") -> DataFrame:
-    return events.orderBy(F.desc(time), tie).limit(n)
+    """The latest ``n`` events; those of one time and name in the order of their other columns, so that reruns agree."""
+    others = [c for c, t in sorted(events.dtypes) if c not in (time, tie) and not re.search("map<|variant", t)]
+    return events.orderBy(F.desc(time), tie, *others).limit(n)
 
 
 def recent_rejected(events: DataFrame, n: int = 50) -> DataFrame:

@@ -287,3 +287,10 @@ def test_similar_expressions_equal_all_pairs_in_a_grid(spark, monkeypatch, thres
     got = library.similar_expressions(frame(new), frame(old), threshold).collect()
     assert {(r["new_form"], r["old_form"]): (r["similarity"], r["n_new"], r["n_old"]) for r in got} == {k: v for k, v in plain.items() if v[0] >= threshold}
     assert len(got) == len({(r["new_form"], r["old_form"]) for r in got}) > 0
+
+
+def test_events_of_one_time_and_name(spark):
+    """Which of them are the latest doesn't depend on where they lie."""
+    rows = [(k, "n", f"r{k * 7 % 11}") for k in range(40)]
+    found = [{r["event_id"] for r in library.recent(spark.createDataFrame(own, "event_id int, name string, reason string").coalesce(1).withColumn("timestamp", F.lit(0)), 5).collect()} for own in (rows, rows[::-1])]
+    assert found[0] == found[1] == {0, 1, 2, 3, 4}
