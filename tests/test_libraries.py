@@ -294,3 +294,27 @@ def test_events_of_one_time_and_name(spark):
     rows = [(k, "n", f"r{k * 7 % 11}") for k in range(40)]
     found = [{r["event_id"] for r in library.recent(spark.createDataFrame(own, "event_id int, name string, reason string").coalesce(1).withColumn("timestamp", F.lit(0)), 5).collect()} for own in (rows, rows[::-1])]
     assert found[0] == found[1] == {0, 1, 2, 3, 4}
+
+
+def test_trees_of_two_features_take_one_pass(spark, monkeypatch):
+    """The same trees as by passes for each level, which they took before."""
+    from factorloom.operators import trees
+
+    rng = np.random.default_rng(5)
+    rows = [(*map(float, x), float(x[0] * x[1] + x[2] + e), "train" if i % 4 else "valid") for i, (x, e) in enumerate(zip(rng.integers(0, 9, (400, 3)), rng.normal(size=400)))]
+    frame, passes, one = spark.createDataFrame(rows, "a double, b double, c double, y double, segment string").coalesce(1), [], trees._pass
+    monkeypatch.setattr(trees, "_pass", lambda *x: passes.append(1) or one(*x))
+    found = []
+    for joint in (2, 0):
+        monkeypatch.setattr(trees, "JOINT", joint)
+        passes.clear()
+        found.append((trees.train_many(frame, ["a", "b", "c"], "y", [trees.Settings(rounds=4, min_leaf=5, feature_share=0.6)])[0], len(passes)))
+    (fast, few), (slow, many) = found
+    assert few == 5 and many > 12 and len(fast.trees) == len(slow.trees) == 4
+    for a, b in zip(fast.trees, slow.trees, strict=True):
+        assert (a.feature, a.bin, a.left, a.right) == (b.feature, b.bin, b.left, b.right) and a.value == pytest.approx(b.value) and a.gain == pytest.approx(b.gain)
+        bins = rng.integers(0, 256, (3, 5000)).astype(np.uint8)
+        plain = a.scores(bins)
+        monkeypatch.setattr(trees, "JOINT", 2)
+        a.seen = 1 << 20
+        assert (a.scores(bins) == plain).all() and a.table is not None or len(a.used()) > trees.JOINT
