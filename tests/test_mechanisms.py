@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions.factor_functions import REGISTRY
-from factorloom.functions.stats import last_rows
-from factorloom.operators import diagnostics, factors, preprocess, quantiles, rolling
+from factorloom.functions.stats import SORTING, last_rows
+from factorloom.operators import diagnostics, evaluate, factors, panel, preprocess, quantiles, rolling
 from factorloom.operators.factors import with_factors
 
 DAY = datetime(2024, 1, 1)
@@ -160,3 +160,16 @@ def test_a_thousand_factors(spark):
     df = spark.range(40).select(*(F.when((F.col("id") + i) % 11 > 0, F.sin(F.col("id") * (i + 1) * 0.37)).alias(c) for i, c in enumerate(names)))
     found = diagnostics.correlation_pairs(df, names).agg(F.count("*").alias("n"), F.count("corr").alias("c"), F.max(F.abs("corr")).alias("m")).first()
     assert found["n"] == 499_500 and found["c"] == found["n"] and found["m"] <= 1 + 1e-9
+
+
+def test_held_out_metrics_deal_rows_once(spark):
+    """The calendar is no reason to deal the rows of all factors by date first, into as few tasks as their bytes ask for."""
+    rows = [(datetime(2024, 1, 1 + i), s, float(i * k % 5), float(i + k)) for i in range(6) for k, s in enumerate("abc")]
+    df = spark.createDataFrame(rows, "datetime timestamp, symbol string, x double, returns_1d double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = evaluate.daily_metrics(evaluate.long_frame(df, ["x"], "returns_1d"), panel.dates(df), 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("factor")]
+    assert "SortMergeJoin" not in plan and len(dealt) == 3 and f"{SORTING}), REPARTITION_BY_NUM" in plan  # by date, by asset, and the sums of days
