@@ -173,3 +173,11 @@ def test_held_out_metrics_deal_rows_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("factor")]
     assert "SortMergeJoin" not in plan and len(dealt) == 3 and f"{SORTING}), REPARTITION_BY_NUM" in plan  # by date, by asset, and the sums of days
+
+
+def test_windows_across_dates_take_few_dates_a_task(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1), "a", 1.0)], "datetime timestamp, symbol string, x double")
+    out = preprocess.preprocess(with_factors(df, {"f": "ZSCORE(DELTA($x, 1))"})[0], ["f"])[0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by_date = [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("datetime")]
+    assert len(by_date) == 1 and f"{SORTING}), REPARTITION_BY_NUM" in plan
