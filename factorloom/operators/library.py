@@ -8,6 +8,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -44,6 +45,17 @@ def numeric_metrics(metrics: Column) -> Column:
     return F.map_filter(F.transform_values(metrics, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
 
 
+def spread(library: DataFrame) -> DataFrame:
+    """``library`` with its rows dealt over all cores: a file of expressions is small in bytes, so one task would read and parse them all."""
+    return library.repartition(4 * library.sparkSession.sparkContext.defaultParallelism)
+
+
+def each_once(f: Callable, texts: pd.Series) -> list:
+    """``f`` of each text, called once for equal texts of a batch."""
+    found = {x: f(x) for x in texts.unique()}
+    return [found[x] for x in texts]
+
+
 def slug(text: Column) -> Column:
     """Letters and digits in lower case, everything between them as one _; at most 80 characters; ``expression`` for nothing."""
     core = F.substring(F.btrim(F.regexp_replace(text, r"(?U)[^\p{Alnum}]+", "_"), F.lit("_")), 1, 80)
@@ -84,7 +96,7 @@ def windows_of(expression: str) -> list[tuple[str, int]]:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _windows(expression: pd.Series) -> pd.Series:
-    return pd.Series([[n for _, n in windows_of(x)] for x in expression])
+    return pd.Series(each_once(lambda x: [n for _, n in windows_of(x)], expression))
 
 
 _SHAPE = ["nodes", "depth", "numbers", "all_nodes", "all_depth", "variables", "functions"]
@@ -97,7 +109,7 @@ def expression_shape(expression: pd.Series) -> pd.DataFrame:
     ``all_nodes`` and ``all_depth`` also count the nodes for names of functions, for operators and for reading a name.
     """
     none = (None,) * len(_SHAPE)
-    return pd.DataFrame([shape(x) or none if x else none for x in expression], columns=_SHAPE).astype(dict.fromkeys(_SHAPE[:5], "Int32"))
+    return pd.DataFrame(each_once(lambda x: shape(x) or none if x else none, expression), columns=_SHAPE).astype(dict.fromkeys(_SHAPE[:5], "Int32"))
 
 
 def _cancels(tokens: list[str]) -> bool:
@@ -117,7 +129,7 @@ def _cancels(tokens: list[str]) -> bool:
 @F.pandas_udf(BooleanType())
 def self_cancelling(expression: pd.Series) -> pd.Series:
     token = re.compile(r"\$\w+|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|\w+|\S")
-    return expression.map(lambda x: _cancels(token.findall((x or "").lower())))
+    return pd.Series(each_once(lambda x: _cancels(token.findall((x or "").lower())), expression))
 
 
 @F.pandas_udf(StringType())
@@ -149,7 +161,7 @@ def repair_windows(expression: pd.Series) -> pd.Series:
                 named = m[0].strip()
         return "".join(out)
 
-    return expression.map(one)
+    return pd.Series(each_once(one, expression))
 
 
 def _first_reason(rules: list[tuple[str | Column, Column]]) -> Column:
@@ -179,7 +191,7 @@ def rule_check(library: DataFrame, columns: list[str], expression: str = "factor
     e = F.col(expression)
     unknown = F.array_except(variables_of(e), words(c.lstrip("$") for c in columns)) if columns else words(())
     unsupported = F.array_intersect(calls_of(e), words(UNSUPPORTED))
-    found = library.withColumn("_w", _windows(F.coalesce(e, F.lit(""))))
+    found = spread(library).withColumn("_w", _windows(F.coalesce(e, F.lit(""))))
     rules = [
         ("empty", F.trim(F.coalesce(e, F.lit(""))) == ""),
         (F.concat(F.lit("unsupported_function:"), F.get(unsupported, F.lit(0))), F.size(unsupported) > 0),
@@ -199,7 +211,7 @@ def candidate_check(library: DataFrame, columns: list[str], expression: str = "f
     e = F.col(expression)
     unknown = F.array_except(variables_of(e), words(c.lstrip("$") for c in columns))
     nested = reduce(lambda a, n: a | e.rlike(rf"(?i)\b{n}\s*\(\s*{n}\s*\("), NORMALISERS, F.lit(False))
-    found = library.withColumns({"_s": expression_shape(F.coalesce(e, F.lit(""))), "_c": self_cancelling(e)})
+    found = spread(library).withColumns({"_s": expression_shape(F.coalesce(e, F.lit(""))), "_c": self_cancelling(e)})
     known = words({f.upper() for f in REGISTRY if not f.startswith("_")} | {f.upper() for f in PUBLIC})  # also those registered since
     odd = F.filter(F.col("_s.functions"), lambda f: ~F.array_contains(known, F.upper(f)))
     rules = [
@@ -225,7 +237,7 @@ def acceptable_shape(library: DataFrame, expression: str = "factor_expression",
     """Adds the shape of each expression, the size of its largest sub-expression in common with ``references`` (0 without any) and
     whether it is acceptable: readable, short, of few variables, less than half of it numbers, less than half of it different
     variables, and no large part in common."""
-    out = library.withColumn("shape", expression_shape(F.coalesce(F.col(expression), F.lit(""))))
+    out = spread(library).withColumn("shape", expression_shape(F.coalesce(F.col(expression), F.lit(""))))
     if references is None:
         out = out.withColumn("common_size", F.lit(0))
     else:

@@ -226,7 +226,7 @@ def library_lexical_check(spark, sf_dir):
 
 @query(f"WITH {L1} SELECT idx AS intra_loop_index, CASE WHEN kind IN (0, 1, 3, 4, 5, 8, 9, 10) THEN replace(factor_expression, n || ')', greatest(2, least(120, n)) || ')') ELSE factor_expression END AS repaired FROM lib")
 def library_repair(spark, sf_dir):
-    return factors(spark, sf_dir).select("intra_loop_index", library.repair_windows("factor_expression").alias("repaired"))
+    return library.spread(factors(spark, sf_dir)).select("intra_loop_index", library.repair_windows("factor_expression").alias("repaired"))
 
 
 #: Of each kind: nodes, depth, numbers, and whether its shape is acceptable (null where it can't be read).

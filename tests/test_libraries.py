@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,13 @@ def test_trees_of_two_features_take_one_pass(spark, monkeypatch):
         monkeypatch.setattr(trees, "JOINT", 2)
         a.seen = 1 << 20
         assert (a.scores(bins) == plain).all() and a.table is not None or len(a.used()) > trees.JOINT
+
+
+def test_expressions_are_parsed_by_all_cores_and_once_a_batch(spark):
+    from factorloom.operators.library import acceptable_shape, candidate_check, each_once, rule_check
+
+    df = spark.createDataFrame([("TS_MEAN($x, 3)",), (None,)], "factor_expression string")
+    for out in (candidate_check(df, ["x"]), acceptable_shape(df), rule_check(df, ["x"])):
+        assert "RoundRobinPartitioning(16)" in out._jdf.queryExecution().executedPlan().toString()  # four tasks for each of 4 cores
+    seen = []
+    assert each_once(lambda x: seen.append(x) or len(x or ""), pd.Series(["a", None, "bb", "a", None])) == [1, 0, 2, 1, 0] and len(seen) == 3
