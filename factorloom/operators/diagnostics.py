@@ -119,15 +119,16 @@ def factor_quality(df: DataFrame, factors: list[str], size: str | None = None) -
     """Coverage, mean cross-section deviation, tail ratio and correlation with size of each factor, with warnings.
 
     The tail ratio is the mean distance from the median over the span of 1 to 99 % / 1.4826. Percentiles are exact,
-    and no task holds a factor's values.
+    and no task holds a factor's values: the middle and the span, one row a factor, go to all tasks. The factors are written once, as they are
+    read several times.
     """
-    long = to_long(df, factors, [size] if size else [])
+    long = to_long(written(df.select(TIME, ASSET, *dict.fromkeys([*factors, *([size] if size else [])])), "factors"), factors, [size] if size else [])
     daily = long.groupBy("factor", TIME).agg(F.stddev_samp("value").alias("s")).groupBy("factor").agg(F.avg("s").alias("mean_std"))
     other = pair_corr(F.col("value"), F.col(size)) if size else F.lit(None).cast("double")
     out = long.groupBy("factor").agg(F.try_divide(F.count("value").cast("double"), F.count("*").cast("double")).alias("coverage"), other.alias("size_corr")).join(daily, "factor", "left")
     out = out.join(exact_quantiles(long, ["factor"], "value", [0.01, 0.5, 0.99]), "factor", "left")
     span = out.select("factor", F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("span"))  # one row a factor
-    off = long.join(span, "factor").groupBy("factor").agg(F.avg(F.abs(F.col("value") - F.col("mid"))).alias("off"), F.first("span").alias("span"))
+    off = long.join(F.broadcast(span), "factor").groupBy("factor").agg(F.avg(F.abs(F.col("value") - F.col("mid"))).alias("off"), F.first("span").alias("span"))
     tail = F.when(F.col("span") > 0, F.col("off") / (F.col("span") / 1.4826 + 1e-12))
     out = out.join(off.select("factor", tail.alias("tail_ratio")), "factor", "left")
     notes = F.array_compact(F.array(F.when(F.col("coverage") < 0.3, "low_coverage"), F.when(F.coalesce("mean_std", F.lit(0.0)) < 0.01, "low_dispersion"), F.when(F.col("tail_ratio") > 10, "heavy_tail"), F.when(F.abs("size_corr") > 0.8, "size_exposure")))

@@ -181,3 +181,13 @@ def test_windows_across_dates_take_few_dates_a_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     by_date = [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("datetime")]
     assert len(by_date) == 1 and f"{SORTING}), REPARTITION_BY_NUM" in plan
+
+
+def test_quality_joins_no_factor_in_one_task(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1 + i), s, float(i + k), float(k)) for i in range(3) for k, s in enumerate("ab")], "datetime timestamp, symbol string, f double, units double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table of spans were taken for a large one
+    try:
+        plan = diagnostics.factor_quality(df, ["f"], "units")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 1
