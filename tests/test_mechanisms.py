@@ -191,3 +191,29 @@ def test_quality_joins_no_factor_in_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("BroadcastHashJoin") == 1
+
+
+def test_subsets_stay_in_their_rows_until_they_are_summed_up(spark, monkeypatch):
+    import random
+
+    from factorloom.functions.stats import rank_pct, row_mean
+    from factorloom.operators import model
+
+    rng = random.Random(3)
+    some = lambda x, share=0.2: None if rng.random() < share else x
+    rows = [(datetime(2024, 1, 1 + d), f"a{a}", some(float(rng.randrange(4))), some(rng.random(), 0.5), some(round(rng.random(), 1))) for d in range(9) for a in range(12) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "datetime timestamp, symbol string, f1 double, f2 double, returns_1d double")
+    masks = spark.createDataFrame([("x", "f1"), ("y", "f2"), ("z", "f1"), ("z", "f2"), ("e", None)], "subset_id string, factor string")
+    ranked = df.withColumns({f: rank_pct(F.col(f)) for f in ("f1", "f2")})
+    plain = ranked.select("datetime", "symbol", F.col("returns_1d").alias("target"), F.col("f1").alias("x"), F.col("f2").alias("y"), row_mean(F.col("f1"), F.col("f2")).alias("z"))
+    calendar = panel.dates(df)
+    want = evaluate.daily_metrics(plain.unpivot(["datetime", "symbol", "target"], ["x", "y", "z"], "factor", "value"), calendar, 5)
+    read = lambda days: {(r["factor"], r["datetime"]): [None if r[c] is None else round(r[c], 9) for c in want.columns[2:]] for r in days.collect()}
+    expected = read(want)
+    assert len(expected) == 27 and any(v[-1] for v in expected.values())
+    for block in (12, 2):
+        monkeypatch.setattr(model, "BLOCK", block)
+        assert read(model.subset_days(df, ["f1", "f2"], masks, "returns_1d", calendar)) == expected
+    monkeypatch.undo()
+    plan = model.score_subsets(df, ["f1", "f2"], masks)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan  # no row for each subset before the windows
