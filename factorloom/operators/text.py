@@ -7,13 +7,12 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from factorloom.functions.stats import ASSET, TIME, strip
 from factorloom.sources.files import written
@@ -35,6 +34,8 @@ SILENT_ROLES = ["backtest_example", "illustration", "incidental_reference"]
 TITLE_CHARS, BODY_CHARS, CHUNK_CHARS, CHUNKS = 240, 4000, 2500, 12
 #: Marks that don't begin a title.
 MARKS = "#*-"
+#: Fixed value: what ``html.unescape`` looks at.
+ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 #: Parts of the symbols that a record of the whole market is sent to.
 PARTS = 64
 
@@ -144,18 +145,38 @@ def unified_panel(panel: DataFrame, records: DataFrame, lexicon: dict[str, list[
     return joined.fillna(0.0, FEATURES)
 
 
-def html_to_text(markup: Column) -> Column:
-    """Text of HTML: scripts, styles, comments and tags go, block tags break lines, entities are resolved."""
+def without_tags(markup: Column) -> Column:
+    """HTML without scripts, styles, comments and tags; block tags break lines. Entities stay."""
     x = F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/title)\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
-    return F.regexp_replace(_unescape(x), r"[ \t\xa0]+", " ")  # x stands here once, so that it is made once
+    return F.regexp_replace(x, r"(?s)<[^>]+>", " ")
+
+
+def entities(text: Column) -> Column:
+    """What may be an entity, in the order of the text."""
+    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+
+
+def resolved(text: Column, characters: Column) -> Column:
+    """The text with ``characters`` in place of its entities; blanks in a row become one."""
+    whole = F.array_join(F.zip_with(F.split(text, ENTITY, -1), characters, lambda part, c: F.concat(part, F.coalesce(c, F.lit("")))), "")
+    return F.regexp_replace(F.when(F.size(characters) > 0, whole).otherwise(text), r"[ \t\xa0]+", " ")
+
+
+def html_to_text(markup: Column) -> Column:
+    """Text of HTML: scripts, styles, comments and tags go, block tags break lines, entities are resolved."""
+    x = without_tags(markup)
+    return resolved(x, characters_of(entities(x)))
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    """Named and numeric entities as characters."""
-    return text.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
+@F.arrow_udf(ArrayType(StringType()))
+def characters_of(found: pa.Array) -> pa.Array:
+    """Named and numeric entities as characters. Python gets the entities alone, no texts, and resolves each different one of a batch once."""
+    flat = found.flatten().dictionary_encode()
+    plain = pa.array([html.unescape(e) for e in flat.dictionary.to_pylist()], pa.string())
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(found), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, plain.take(flat.indices), mask=found.is_null())
 
 
 def tidy_lines(text: Column) -> Column:
@@ -243,14 +264,18 @@ def detect_symbols(reports: DataFrame, symbols: DataFrame, text: str = "text", k
 def report_records(reports: DataFrame, symbols: DataFrame, source: str = "report") -> DataFrame:
     """Text records of reports (source_file, modified, text): one for each symbol found, by rules alone.
 
-    Confidence is 0.72 where a symbol was found and 0.48 for the whole market.
+    Confidence is 0.72 where a symbol was found and 0.48 for the whole market. Tidy texts are written once to the shared folder, as they are
+    read for the words of their heads, for the heads and for the records.
     """
     markup = F.lower(F.col("source_file")).rlike(r"\.html?$") | F.col("text").rlike(r"(?i)<html\b")
-    tidy = reports.withColumn("text", tidy_lines(F.when(markup, html_to_text(F.col("text"))).otherwise(F.col("text"))))
+    # step by step, so that tags are taken out once
+    tidy = reports.withColumn("_markup", markup).withColumn("text", F.when(F.col("_markup"), without_tags(F.col("text"))).otherwise(F.col("text")))
+    tidy = tidy.withColumn("_characters", characters_of(F.when(F.col("_markup"), entities(F.col("text")))))
+    tidy = tidy.withColumn("text", tidy_lines(F.when(F.col("_markup"), resolved(F.col("text"), F.col("_characters"))).otherwise(F.col("text")))).drop("_markup", "_characters")
     named = F.initcap(F.regexp_replace(F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\.\w+$", ""), "[_-]", " "))
     tidy = tidy.withColumn("title", title_of(F.col("text"), named))
     tidy = tidy.withColumns({"body": body_of(F.col("text"), F.col("title")), "timestamp": date_of(F.col("text"), F.col("source_file"), F.col("modified"))})
-    out = detect_symbols(tidy, symbols)
+    out = detect_symbols(written(tidy, "reports"), symbols)
     number = F.row_number().over(Window.partitionBy("source_file").orderBy(ASSET)) - 1
     return out.select("timestamp", ASSET, F.lit(source).alias("source"), "title", "body", F.col("source_file").alias("url"), "source_file", F.lit("report_event").alias("event_type"), F.when(F.col(ASSET) == "*", 0.48).otherwise(0.72).alias("confidence"), number.cast("int").alias("chunk_id"))
 

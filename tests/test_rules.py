@@ -271,3 +271,16 @@ def test_reports_as_by_plain_python(spark):
         "b/plain_20230405.txt": [(0, "*", "Market note", "** Market note\nnothing here", "2023-04-05 00:00:00", 0.48)], "c/empty.md": [(0, "*", "Empty", "Empty", "2020-01-01 00:00:00", 0.48)], "d/only-title.md": [(0, "*", "one line", "- one line", "2020-01-01 00:00:00", 0.48)],
         "e/words.txt": [(0, "SOLUSD", "XBTC and SOLVE; sol", "SOL at 20240101", "2024-01-01 00:00:00", 0.72)],
     }
+
+
+def test_entities_are_resolved_without_texts_in_python(spark):
+    import html
+
+    odd = [None, "", "&", "&amp;", "a&amp;lt;b&ltc &notit; &#65;&#x1F600;&#0;&#xD800; x&y;z", "&&amp;&", "&eacute" * 3, "é&" + "ü" * 40 + ";", "no", "&#38;amp; 😀&😀;", "&copy&reg;;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").repartition(1)
+    got = {r["i"]: r["x"] for r in df.select("i", text.resolved(F.col("t"), text.characters_of(text.entities(F.col("t")))).alias("x")).collect()}
+    assert [got[i] for i in range(len(odd))] == [t if t is None else html.unescape(t) for t in odd]
+    rep = df.select(F.lit("a.html").alias("source_file"), F.current_timestamp().alias("modified"), F.col("t").alias("text"))
+    names = spark.createDataFrame([("A",)], "symbol string")
+    plan = text.report_records(rep, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "script|style" not in plan  # texts were tidied once, not for each join
