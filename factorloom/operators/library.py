@@ -481,8 +481,12 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 def recent(events: DataFrame, n: int, time: str = "timestamp", tie: str = "name") -> DataFrame:
     """The latest ``n`` events; those of one time and name in the order of their other columns, so that reruns agree."""
-    others = [c for c, t in sorted(events.dtypes) if c not in (time, tie) and not re.search("map<|variant", t)]
-    return events.orderBy(F.desc(time), tie, *others).limit(n)
+    return events.orderBy(F.desc(time), tie, *_others(events, time, tie)).limit(n)
+
+
+def _others(df: DataFrame, *used: str) -> list[str]:
+    """All columns that can be put in order, but those that are ``used``."""
+    return [c for c, t in sorted(df.dtypes) if c not in used and not re.search("map<|variant", t)]
 
 
 def recent_rejected(events: DataFrame, n: int = 50) -> DataFrame:
@@ -522,7 +526,11 @@ def by_hypothesis(library: DataFrame, sharpe: float = 2.0) -> DataFrame:
 
 
 def top_factors(library: DataFrame, k: int = 10, names: tuple[str, ...] = ("Sharpe", "sharpe")) -> DataFrame:
-    return library.withColumn("value", metric("metrics", *names)).filter("value is not null").orderBy(F.desc(F.abs("value")), "factor_name").limit(k).select("factor_name", "value")
+    """The ``k`` factors with the largest absolute value of a metric; equal ones by name, then by their place in their round and their
+    other columns, so that reruns agree."""
+    found = library.withColumn("value", metric("metrics", *names)).filter("value is not null")
+    ties = sorted(_others(library, "factor_name"), key=lambda c: c != "intra_loop_index")
+    return found.orderBy(F.desc(F.abs("value")), "factor_name", *ties, "value").limit(k).select("factor_name", "value")
 
 
 def candidate_pool(candidates: DataFrame, n: int = 50) -> DataFrame:

@@ -329,3 +329,11 @@ def test_expressions_are_parsed_by_all_cores_and_once_a_batch(spark):
         assert "RoundRobinPartitioning(16)" in out._jdf.queryExecution().executedPlan().toString()  # four tasks for each of 4 cores
     seen = []
     assert each_once(lambda x: seen.append(x) or len(x or ""), pd.Series(["a", None, "bb", "a", None])) == [1, 0, 2, 1, 0] and len(seen) == 3
+
+
+def test_factors_of_one_size_and_name(spark):
+    """Which of them are at the top doesn't depend on where they lie, and a loss and a gain of one size are told apart by place."""
+    rows = [(k, "n", {"Sharpe": "3" if k % 4 else "-3"}) for k in range(40)]
+    schema = "intra_loop_index int, factor_name string, metrics map<string,string>"
+    found = [[r["value"] for r in library.top_factors(spark.createDataFrame(own, schema).coalesce(1), 4).collect()] for own in (rows, rows[::-1])]
+    assert found == [[-3.0, 3.0, 3.0, 3.0]] * 2
