@@ -337,3 +337,31 @@ def test_factors_of_one_size_and_name(spark):
     schema = "intra_loop_index int, factor_name string, metrics map<string,string>"
     found = [[r["value"] for r in library.top_factors(spark.createDataFrame(own, schema).coalesce(1), 4).collect()] for own in (rows, rows[::-1])]
     assert found == [[-3.0, 3.0, 3.0, 3.0]] * 2
+
+
+def test_training_keeps_one_copy_of_its_blocks(spark, monkeypatch, tmp_path):
+    """Blocks whose scores were carried on go at once, and nothing but the matrix is left in the end."""
+    from factorloom.operators import trees
+    from factorloom.sources import files
+
+    folders = lambda *names: [p.name for p in tmp_path.glob("tables-*/*") if p.name.split("-")[0] in names]
+    seen, one = [], trees._pass
+    monkeypatch.setattr(files, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(trees, "_pass", lambda *x: seen.append(len(folders("blocks"))) or one(*x))
+    monkeypatch.setattr(trees, "KEEP", 2)
+    frame, features = model.feature_matrix(panel.with_label(small_panel(spark)), ["close", "volume"], "returns_1d")
+    assert [x.split("-")[0] for x in folders("features", "matrix")] == ["matrix"]
+    fitted = model.train_boosted(panel.segments(frame, RANGES), features, "returns_1d", rounds=9, patience=0, min_leaf=5)
+    assert len(fitted.trees) == 9 and len(fitted.losses) == 10 and set(seen) == {1} and not folders("blocks")
+    assert frame.count() > 0
+
+
+def test_backtest_leaves_no_panel(spark, monkeypatch, tmp_path):
+    from factorloom.sources import files
+
+    monkeypatch.setattr(files, "shared_dir", lambda _: str(tmp_path))
+    rows = [("r", 0, i, n, e, 0.1) for i, (n, e) in enumerate({"rev": "0 - $close", "vol": "TS_MEAN($volume, 3)"}.items())]
+    done = model.library_backtest(small_panel(spark), lib(spark, *rows), RANGES, min_factors=1, min_ic=0.0, min_icir=0.0, rounds=2)
+    left = {p.name.split("-")[0] for p in tmp_path.glob("tables-*/*")}
+    assert not left & {"panel", "features", "blocks"} and {"screen", "predictions"} <= left
+    assert done["screen"].count() == 2 and done["predictions"].count() > 0 and done["analysis"].count() == 1

@@ -196,3 +196,19 @@ def test_summaries(spark):
     names = spark.createDataFrame([("BTCUSDT",)], "symbol string")
     got = sorted((r["event_no"], r["symbol"], r["confidence"], r["emitted"], str(r["timestamp"])[:10]) for r in text.summary_events(docs, text.default_aliases(names), names).collect())
     assert got == [(0, "BTCUSDT", 1.0, True, "2024-01-01"), (2, "*", 0.6, False, "2024-02-03")]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from factorloom.sources.files import SHUFFLES_GO
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, setting = shuffles(), spark.conf.get(SHUFFLES_GO, None)
+    df = files.written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert df.count() == 7 and spark.conf.get(SHUFFLES_GO, None) == setting
