@@ -363,5 +363,15 @@ def test_backtest_leaves_no_panel(spark, monkeypatch, tmp_path):
     rows = [("r", 0, i, n, e, 0.1) for i, (n, e) in enumerate({"rev": "0 - $close", "vol": "TS_MEAN($volume, 3)"}.items())]
     done = model.library_backtest(small_panel(spark), lib(spark, *rows), RANGES, min_factors=1, min_ic=0.0, min_icir=0.0, rounds=2)
     left = {p.name.split("-")[0] for p in tmp_path.glob("tables-*/*")}
-    assert not left & {"panel", "features", "blocks"} and {"screen", "predictions"} <= left
+    assert not left & {"panel", "values", "features", "blocks"} and {"screen", "predictions"} <= left
     assert done["screen"].count() == 2 and done["predictions"].count() > 0 and done["analysis"].count() == 1
+
+
+def test_backtest_evaluates_one_batch_once(spark, monkeypatch):
+    rows = [("r", 0, i, n, e, 0.1) for i, (n, e) in enumerate({"rev": "0 - $close", "vol": "TS_MEAN($volume, 3)"}.items())]
+    asked, one = [], model.with_factors
+    monkeypatch.setattr(model, "with_factors", lambda df, group, keep: asked.append(sorted(group)) or one(df, group, keep))
+    for n, want in ((100, [["rev", "vol"]]), (1, [["rev"], ["vol"], ["rev", "vol"]])):
+        asked.clear()
+        assert model.library_backtest(small_panel(spark), lib(spark, *rows), RANGES, min_factors=1, min_ic=0.0, min_icir=0.0, rounds=1, batch=n)["status"] == "done"
+        assert sorted(asked) == sorted(want)
